@@ -1,0 +1,43 @@
+"""Connected components of an edge table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from offerlens.llm.frames import written
+
+
+def _stars(edges: DataFrame, small: bool) -> DataFrame:
+    """Each node's neighbours (small: the smaller ones and itself; else the larger ones) get linked to the least of all."""
+    ends = edges.select("a", "b") if small else edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if small:  # a > b: the least neighbour takes the others and the node itself
+        least = ends.groupBy("a").agg(F.min("b").alias("m"))
+        moved = ends.join(least, "a").select(F.col("b").alias("x"), "m").unionAll(least.select(F.col("a").alias("x"), "m"))
+    else:
+        least = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        moved = ends.where("b > a").join(least, "a").select(F.col("b").alias("x"), "m")
+    return moved.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the smallest node reachable from each node that has an edge.
+
+    Only minima and joins on unique sides are used, so a node with very many edges never meets in one group.
+    Rows with a null end and loops are ignored; an edge repeated or turned round counts once.
+    Every round is written to the shared folder, and rounds end when the edges no longer change.
+    """
+    x, y = F.col(a).cast("long"), F.col(b).cast("long")
+    edges = written(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
+
+    def state(df: DataFrame):
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    was = state(edges)
+    while was[0]:
+        edges = written(_stars(_stars(edges, small=False), small=True))
+        now = state(edges)
+        if now == was:
+            break
+        was = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
