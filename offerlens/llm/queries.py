@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from offerlens.llm import line_dedup
+from offerlens.llm import line_dedup, sentencepiece_bpe, simhash
 
 QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 SQL = {
