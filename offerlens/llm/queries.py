@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from offerlens.llm import line_dedup, sentencepiece_bpe, simhash
+from offerlens.llm import decontaminate, licenses, line_dedup, sentencepiece_bpe, simhash, url_filters
 
 QUERIES = {
+    "op2_license_scan": licenses.op2_license_scan,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_url_filters": url_filters.op7_url_filters,
     "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 SQL = {
+    "op2_license_scan": licenses.OP2_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op5_decontaminate": decontaminate.OP5_SQL,
+    "op7_url_filters": url_filters.OP7_SQL,
 }
