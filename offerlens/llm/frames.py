@@ -31,15 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write `df` as a table in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/offerlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write `df` as a table in the shared folder and read it back.
+
+    The write's own shuffle files, which nothing reads again, go when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/offerlens-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and the two columns that tell rows apart: k (the id, the smallest long for null) and t (a hash of the text).
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """id, text, the columns in `more`, and the two columns that tell rows apart: k (the id, the smallest long for null) and t (a hash of the text).
 
     Rows that share an id are told apart by their text; rows that share both get the same result each.
     """
@@ -49,6 +61,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         text.alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"),
         F.xxhash64(text).alias("t"),
+        *more,
     )
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from offerlens.llm import decontaminate, licenses, line_dedup, sentencepiece_bpe, simhash, url_filters
+from offerlens.llm import decontaminate, language_id, licenses, line_dedup, sentencepiece_bpe, simhash, substring_dedup, url_filters
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "page_language": language_id.page_language,
     "op2_license_scan": licenses.op2_license_scan,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
@@ -18,4 +21,5 @@ SQL = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op7_url_filters": url_filters.OP7_SQL,
+    "op9_substring_dedup": substring_dedup.OP9_SQL,
 }

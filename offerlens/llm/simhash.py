@@ -12,134 +12,148 @@ from pyspark.sql import functions as F
 
 from offerlens.llm.components import connected_components
 from offerlens.llm.frames import arrow_batch, keyed, slices, table, written
+from offerlens.llm.words import mix
 
-#: Rows of a strip, the unit that a task gets two of, and rows of the tiles that a strip is compared in.
-STRIP_ROWS = 32_768
+#: Most rows of a strip, the unit that a task gets two of, with and without splitting by population count; rows of the tiles.
+STRIP_ROWS, WIDE_STRIP_ROWS = 32_768, 262_144
 TILE_ROWS = 512
-_BLOCK = 1 << 15
+#: From this radius on the population counts of 64 bits hardly ever differ by more, and strips are not split by them.
+WIDE_RADIUS = 12
+_BLOCK = 1 << 12
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("fp", pa.int64())])
 
-
-def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
-    """SimHash of word shingles, as a signed long; see `fingerprints`."""
+def fingerprint(text: str, shingle: int, seed: int = 42, size: int = 1) -> np.ndarray:
+    """SimHash of word shingles in `size` 64-bit words (uint64); see `fingerprints`."""
     words = text.encode("utf-8", "replace").lower().split()  # both act on ASCII only
     if not words:
-        return 0
-    joined, size = b" ".join(words), min(shingle, len(words))
+        return np.zeros(size, np.uint64)
+    joined, taken = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest, votes, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(words) - size + 1
+    digest, votes, n = xxhash.xxh64_intdigest, np.zeros(64 * size, np.int64), len(words) - taken + 1
     for i in range(0, n, _BLOCK):
         j = min(n, i + _BLOCK)
-        spans = zip(starts[i:j].tolist(), ends[i + size - 1 : j + size - 1].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    bits = (2 * votes > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+        spans = zip(starts[i:j].tolist(), ends[i + taken - 1 : j + taken - 1].tolist(), strict=True)
+        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)[:, None]
+        if size > 1:
+            more = mix(hashes + np.arange(1, size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            hashes = np.concatenate([hashes, more], axis=1)
+        votes += np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * votes > n, bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
-    """(doc_id, k, t, fp) for each row: the SimHash of all shingles of `shingle` words, repeats included.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, size: int = 1) -> DataFrame:
+    """(doc_id, k, t, fp, more) for each row: the SimHash of all shingles of `shingle` words, repeats included.
 
     A-Z is lower-cased, words are runs without ASCII white space. A bit is 1 if it is set in over half of the
-    shingles' XXH64. A text of fewer words is one shingle; null, empty and blank texts have fingerprint 0.
+    shingles' XXH64 (fp, 64 bits) and of hashes derived from it (more, `size` - 1 further words). A text of fewer words is one
+    shingle; null, empty and blank texts have all bits 0.
     """
+    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("fp", pa.int64()), ("more", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield arrow_batch(_PRINTS, part["doc_id"], part["k"], part["t"], [fingerprint(x, shingle, seed) for x in part["text"].to_pylist()])
+                prints = np.array([fingerprint(x, shingle, seed, size) for x in part["text"].to_pylist()]).view(np.int64)
+                yield arrow_batch(schema, part["doc_id"], part["k"], part["t"], prints[:, 0], list(prints[:, 1:]))
 
-    return keyed(docs, id_col, text_col).mapInArrow(scan, "doc_id long, k long, t long, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(scan, "doc_id long, k long, t long, fp long, more array<long>")
 
 
-def _strips(prints: DataFrame, strip_rows: int) -> DataFrame:
-    """Distinct fingerprints packed into strips of about `strip_rows`, each with one population count.
+def near_pairs(prints: DataFrame, radius: int = 4, total: int | None = None, strip_rows: int | None = None) -> DataFrame:
+    """Links (a, b) of the nodes of `prints` (node, fp, more) such that those that are near are connected, directly or by others.
 
-    The histogram of population counts has 65 rows at most.
+    Near are nodes with at most `radius` different bits in fp, and at most `total` in fp and more if that is given. Every
+    pair of strips whose population counts differ by at most `radius` is compared in full, tile by tile; a tile pair
+    is skipped when the counts of its quarters alone differ by more. Each strip pair returns a spanning forest of its links, so
+    a large group of near copies yields as many rows as it has members, not pairs. No link between components is lost.
     """
-    ones = prints.withColumn("ones", F.bit_count("fp").cast("int"))
-    sizes = ones.groupBy("ones").agg(F.ceil(F.count("*") / F.lit(strip_rows)).cast("int").alias("parts"))
-    return (
+    spark = prints.sparkSession
+    wide = radius >= WIDE_RADIUS
+    most = strip_rows or (WIDE_STRIP_ROWS if wide else STRIP_ROWS)
+    ones = written(prints.select(F.lit(0).alias("ones") if wide else F.bit_count("fp").cast("int").alias("ones"), "node", "fp", "more").distinct())
+    sizes = ones.groupBy("ones").agg(F.count("*").alias("n"))  # 65 rows at most
+    spread = int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism))) if wide else 1
+    parts = F.greatest(F.ceil(F.col("n") / most), F.least(F.lit(spread), F.ceil(F.col("n") / 2048))).cast("int")
+    sizes = sizes.withColumn("parts", parts)
+    strips = written(
         ones.join(F.broadcast(sizes), "ones")
-        .groupBy("ones", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
-        .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+        .groupBy("ones", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+        .agg(F.collect_list(F.struct("node", "fp", "more")).alias("rows"))
     )
-
-
-def near_pairs(prints: DataFrame, radius: int = 4, strip_rows: int = STRIP_ROWS) -> DataFrame:
-    """Links (a, b) among the distinct values of `fp` such that those within `radius` bits are connected, directly or by others.
-
-    Every pair of strips whose population counts differ by at most `radius` is compared in full, tile by tile; a tile pair is
-    skipped when the counts of its quarters alone differ by more. Each strip pair returns a spanning forest of its links, so
-    a large group of near copies yields as many rows as it has members, not pairs. No link between components is lost.
-    """
-    strips = written(_strips(prints.select("fp").distinct(), strip_rows))
-    part = F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("d")
-    # one row for each pair of strips, from the small table of (ones, part)
     names = strips.select("ones", "part")
-    near = names.select(F.col("ones").alias("a_ones"), F.col("part").alias("a_part"), part).select("a_ones", "a_part", (F.col("a_ones") + F.col("d")).alias("b_ones"))
-    others = names.select(F.col("ones").alias("b_ones"), F.col("part").alias("b_part"))
-    cells = near.join(others, "b_ones").where("a_ones < b_ones OR a_part <= b_part")
-    sizes = strips.groupBy("ones").agg(F.count("*").alias("parts"), F.sum(F.size("fps")).alias("rows"))
-    n_cells, rows = sizes.agg(F.coalesce(F.sum(F.col("parts") * F.col("parts")), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    left = strips.select(F.col("ones").alias("a_ones"), F.col("part").alias("a_part"), F.col("fps").alias("a_fps"))
-    right = strips.select(F.col("ones").alias("b_ones"), F.col("part").alias("b_part"), F.col("fps").alias("b_fps"))
-    tasks = max(1, min(n_cells * (radius + 1), max(2 * prints.sparkSession.sparkContext.defaultParallelism, rows // 500), 8192))
+    near = names.select(F.col("ones").alias("a_ones"), F.col("part").alias("a_part"), F.explode(F.sequence(F.col("ones"), F.col("ones") + (0 if wide else radius))).alias("b_ones"))
+    cells = near.join(names.select(F.col("ones").alias("b_ones"), F.col("part").alias("b_part")), "b_ones").where("a_ones < b_ones OR a_part <= b_part")
+    n_cells, rows = strips.groupBy("ones").agg(F.count("*").alias("parts"), F.sum(F.size("rows")).alias("n")).agg(F.coalesce(F.sum(F.col("parts") * F.col("parts")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(1, min(n_cells * (radius + 1), max(2 * spark.sparkContext.defaultParallelism, rows // 500), 8192))
+    left = strips.select(F.col("ones").alias("a_ones"), F.col("part").alias("a_part"), F.col("rows").alias("a"))
+    right = strips.select(F.col("ones").alias("b_ones"), F.col("part").alias("b_part"), F.col("rows").alias("b"))
     work = cells.join(left, ["a_ones", "a_part"]).join(right, ["b_ones", "b_part"]).repartition(tasks)
 
+    def unpack(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        values = rows.values
+        fp = values.field("fp").to_numpy()
+        more = values.field("more").flatten().to_numpy().reshape(len(fp), -1) if total is not None else np.zeros((len(fp), 0), np.int64)
+        return values.field("node").to_numpy(), np.concatenate([fp[:, None], more], axis=1).view(np.uint64)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b = (batch[c][i].values.to_numpy().view(np.uint64) for c in ("a_fps", "b_fps"))
-                same = batch["a_ones"][i] == batch["b_ones"][i] and batch["a_part"][i] == batch["b_part"][i]
-                x, y = linked(a, a if same else b, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
-
-    return work.select("a_ones", "a_part", "b_ones", "b_part", "a_fps", "b_fps").mapInArrow(compare, "a long, b long")
-
-
-def _tiles(x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Values ordered by the population counts of their quarters; tiles with the least and greatest of each count."""
-    quarters = np.bitwise_count(x.view(np.uint16).reshape(-1, 4)).astype(np.int16)
-    order = np.lexsort(quarters.T)
-    quarters = quarters[order]
-    spans = [(i, min(len(x), i + TILE_ROWS)) for i in range(0, len(x), TILE_ROWS)]
-    low = np.array([quarters[i:j].min(axis=0) for i, j in spans])
-    high = np.array([quarters[i:j].max(axis=0) for i, j in spans])
-    return x[order], spans, low, high
-
-
-def linked(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of values of `a` and `b` (uint64) within `radius` bits; `a is b` compares each pair once."""
-    if not len(a) or not len(b):
-        return a[:0], b[:0]
-    own = b is a
-    a, a_spans, a_low, a_high = _tiles(a)
-    b, b_spans, b_low, b_high = (a, a_spans, a_low, a_high) if own else _tiles(b)
-    shift = 0 if own else len(a)
-    root = np.arange(len(a) + (0 if own else len(b)))
+                same = all(batch[f"a_{c}"][i] == batch[f"b_{c}"][i] for c in ("ones", "part"))
+                nodes, bits = unpack(batch["a"][i])
+                others, other_bits = (nodes, None) if same else unpack(batch["b"][i])
+                x, y = linked(bits, other_bits, radius, total)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(others[y])], names=["a", "b"])
+
+    return work.select("a_ones", "a_part", "b_ones", "b_part", "a", "b").mapInArrow(compare, "a long, b long")
+
+
+class _Tiled:
+    """Fingerprints ordered by the population counts of the first word's quarters; tiles with the least and greatest of each."""
+
+    def __init__(self, bits: np.ndarray):
+        quarters = np.bitwise_count(np.ascontiguousarray(bits[:, 0]).view(np.uint16).reshape(-1, 4)).astype(np.int16)
+        self.order = np.lexsort(quarters.T)
+        quarters, self.bits = quarters[self.order], bits[self.order]
+        self.first = np.ascontiguousarray(self.bits[:, 0])
+        self.spans = [(i, min(len(bits), i + TILE_ROWS)) for i in range(0, len(bits), TILE_ROWS)]
+        self.low = np.array([quarters[i:j].min(axis=0) for i, j in self.spans])
+        self.high = np.array([quarters[i:j].max(axis=0) for i, j in self.spans])
+
+
+def linked(bits: np.ndarray, others: np.ndarray | None, radius: int, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of a spanning forest of the near pairs of two sets of fingerprints (rows of uint64 words), or within one if `others` is None."""
+    if not len(bits) or (others is not None and not len(others)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a = _Tiled(bits)
+    b = a if others is None else _Tiled(others)
+    shift = 0 if others is None else len(bits)
+    root = np.arange(len(bits) + (0 if others is None else len(others)))
     out_x, out_y = [], []
-    bits, count = np.empty((TILE_ROWS, TILE_ROWS), np.uint64), np.empty((TILE_ROWS, TILE_ROWS), np.uint8)
-    for m, (i, j) in enumerate(a_spans):
-        gap = np.maximum(np.maximum(b_low - a_high[m], a_low[m] - b_high), 0).sum(axis=1)
+    xors, counts = np.empty((TILE_ROWS, TILE_ROWS), np.uint64), np.empty((TILE_ROWS, TILE_ROWS), np.uint8)
+    for m, (i, j) in enumerate(a.spans):
+        gap = np.maximum(np.maximum(b.low - a.high[m], a.low[m] - b.high), 0).sum(axis=1)
         for n in np.flatnonzero(gap <= radius):
-            if own and n < m:
+            if others is None and n < m:
                 continue
-            p, q = b_spans[n]
-            xor, ones = bits[: j - i, : q - p], count[: j - i, : q - p]
-            np.bitwise_xor(a[i:j, None], b[None, p:q], out=xor)
-            np.bitwise_count(xor, out=ones)
-            hits = ones <= radius
-            if own and n == m:
+            p, q = b.spans[n]
+            xor, count = xors[: j - i, : q - p], counts[: j - i, : q - p]
+            np.bitwise_xor(a.first[i:j, None], b.first[None, p:q], out=xor)
+            np.bitwise_count(xor, out=count)
+            hits = count <= radius
+            if others is None and n == m:
                 hits = np.triu(hits, 1)
-            if not hits.any():
+            x, y = np.nonzero(hits) if hits.any() else ((), ())
+            if not len(x):
                 continue
-            x, y = np.nonzero(hits)
-            x, y = x + i, y + p + shift
+            x, y = x + i, y + p
+            if total is not None:
+                apart = root[x] != root[y + shift]
+                x, y = x[apart], y[apart]
+                near = np.bitwise_count(a.bits[x] ^ b.bits[y]).sum(axis=1, dtype=np.int32) <= total
+                x, y = x[near], y[near]
             while len(x):  # join roots, one edge for each that is hooked
-                rx, ry = root[x], root[y]
+                rx, ry = root[x], root[y + shift]
                 apart = rx != ry
                 x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
                 if not len(x):
@@ -150,24 +164,40 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
                 root[high] = np.minimum(rx, ry)[at]
                 while not np.array_equal(up := root[root], root):
                     root = up
-    values = a if own else np.concatenate([a, b])
     x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_x, out_y))
-    return values[x], values[y]
+    return a.order[x], b.order[y]
+
+
+def bits_at(similarity: float, bits: int, errors: float = 1.0) -> int:
+    """Different bits of SimHash that two sets of equal size and Jaccard `similarity` have, plus so many standard errors."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(round(bits * share + errors * np.sqrt(bits * share * (1 - share))))
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, strip_rows: int = STRIP_ROWS) -> DataFrame:
+def simhash_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, similarity: float | None = None, size: int = 8, strip_rows: int | None = None
+) -> DataFrame:
     """(doc_id, k, t, fp, component_id) for each row of `docs`: component_id is the smallest id reachable over links.
 
-    Documents whose fingerprints differ by at most `radius` bits are linked; equal fingerprints always are, those of
-    empty texts (0) included. Null ids are allowed; a component of only null ids has a null component_id.
+    Documents whose 64-bit fingerprints differ by at most `radius` bits are linked; equal ones always are, those of
+    empty texts (0) included. With `similarity`, fingerprints have `size` words of 64 bits, and linked are those that differ by no more
+    bits than texts with that Jaccard similarity of shingles do, plus a standard error (three in the first 64). Null
+    ids are allowed; a component of only null ids has a null component_id.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle))
-    parts = connected_components(near_pairs(prints, radius, strip_rows))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    of = first.join(parts, first.fp == parts.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    total = None
+    if similarity is None:
+        size = 1
+    else:
+        radius, total = bits_at(similarity, 64, 3.0), bits_at(similarity, 64 * size)
+    prints = fingerprints(docs, id_col, text_col, shingle, size=size)
+    node = F.col("fp") if similarity is None else F.xxhash64("fp", "more")
+    prints = written(prints.withColumn("node", node))
+    parts = connected_components(near_pairs(prints, radius, total, strip_rows))
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("low"))
+    of = first.join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lowest = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    groups = of.join(lowest, "component").select("fp", "component_id")
-    return prints.join(groups, "fp").select("doc_id", "k", "t", "fp", "component_id")
+    groups = of.join(lowest, "component").select("node", "component_id")
+    return prints.join(groups, "node").select("doc_id", "k", "t", "fp", "component_id")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

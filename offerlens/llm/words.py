@@ -91,21 +91,25 @@ def grams(hashes: np.ndarray, row: np.ndarray, k: int, seed: int = 0) -> tuple[n
     return mix(h[at]), at
 
 
-def winnow(hashes: np.ndarray, at: np.ndarray, row: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest hash of each w consecutive grams of one row (the last of equals) and the number of its first word.
+def minima(hashes: np.ndarray, row: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of w consecutive grams of one row: number of its first gram, and of the smallest (the last of equals).
 
     A row of fewer than w grams has one window with all of them.
     """
-    if not len(at):
-        return hashes, at
-    n, of = len(at), row[at]
-    last = np.searchsorted(of, of, side="right")  # one past the row's last gram
-    head = np.searchsorted(of, of)
-    starts = np.flatnonzero((np.arange(n) + w <= last) | (np.arange(n) == head))
-    best, value = starts.copy(), hashes[starts]
+    n = len(hashes)
+    last = np.searchsorted(row, row, side="right")  # one past the row's last gram
+    starts = np.flatnonzero((np.arange(n) + w <= last) | (np.arange(n) == np.searchsorted(row, row)))
+    best, value, stop = starts.copy(), hashes[starts], last[starts] - 1
     for j in range(1, w):
-        i = np.minimum(starts + j, last[starts] - 1)
+        i = np.minimum(starts + j, stop)
         less = hashes[i] <= value
-        best[less], value[less] = i[less], hashes[i][less]
-    best = np.unique(best)
+        best[less], value[less] = i[less], hashes[i[less]]
+    return starts, best
+
+
+def winnow(hashes: np.ndarray, at: np.ndarray, row: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams that are the smallest of some window of w, and the number of their first word."""
+    if not len(at):
+        return hashes, at
+    best = np.unique(minima(hashes, row[at], w)[1])
     return hashes[best], at[best]
