@@ -36,6 +36,8 @@ TEMPLATES = {
 }
 #: Words of a gram: of long templates, and of the phrases, of which some have two words only.
 LONG_GRAM, SHORT_GRAM = 5, 2
+#: Stands for a document itself among the hashes of its grams.
+HEAD = -1
 #: Share of a template's grams that a place must hold, distance of diagonals that are one place, longest place for its template.
 COVERAGE, DRIFT, STRETCH = 0.8, 3, 1.5
 
@@ -64,19 +66,27 @@ def license_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     grams, about = _template_grams(docs.sparkSession, phrases, templates)
     rows = keyed(docs, id_col, text_col).select("doc_id", "k", "t", F.filter(F.split(ascii_lower(F.col("text")), SPLIT), lambda x: x != "").alias("w"))
-    n = F.size("w")
+    hashes = F.transform("w", lambda x: F.xxhash64(x))
+    rows = rows.withColumns({"n": F.size("w"), "h": hashes})
 
     def rolling(size: int):
-        none = F.array().cast("array<struct<place:int,gram:string>>")
-        return F.when(
-            n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(i.alias("place"), F.array_join(F.slice("w", i + 1, size), " ").alias("gram")))
-        ).otherwise(none)
-
-    head = F.array(F.struct(n.alias("place"), F.lit("").alias("gram")))  # one row for each document, whatever it holds
+        of = lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(size)])
+        return F.when(F.col("n") >= size, F.transform(F.sequence(F.lit(0), F.col("n") - size), of)).otherwise(F.array().cast("array<bigint>"))
+
+    # the first entry of each document stands for itself and always joins; then come its short grams, then its long ones
+    rows = rows.withColumn("grams", F.concat(F.array(F.lit(HEAD)), rolling(SHORT_GRAM), rolling(LONG_GRAM))).select("doc_id", "k", "t", "w", "n", "grams")
+    short = F.greatest(F.col("n") - (SHORT_GRAM - 1), F.lit(0))
+    place = F.when(F.col("pos") == 0, F.col("n")).otherwise(F.col("pos") - 1 - F.when(F.col("pos") > short, short).otherwise(0))
+    words = F.split("gram", " ")
+    hash_ = F.when(F.col("template") < 0, F.lit(HEAD))
+    for size in (SHORT_GRAM, LONG_GRAM):
+        hash_ = hash_.when(F.size(words) == size, F.xxhash64(*[F.xxhash64(F.get(words, F.lit(j))) for j in range(size)]))
+    grams = grams.select("gram", "template", "at", hash_.alias("hash"), F.size(words).alias("size"))
     votes = (
-        rows.select("doc_id", "k", "t", F.explode(F.concat(head, rolling(SHORT_GRAM), rolling(LONG_GRAM))).alias("x"))
-        .select("doc_id", "k", "t", "x.place", "x.gram", F.xxhash64("x.gram").alias("hash"))
-        .join(F.broadcast(grams.withColumn("hash", F.xxhash64("gram"))), ["hash", "gram"])
+        rows.select("doc_id", "k", "t", "w", "n", F.posexplode_outer("grams").alias("pos", "hash"))
+        .join(F.broadcast(grams), "hash")
+        .withColumn("place", place)
+        .where((F.col("template") < 0) | (F.array_join(F.slice("w", F.col("place") + 1, F.col("size")), " ") == F.col("gram")))
         .select("doc_id", "k", "t", "place", "template", "at")
     )
     votes = written(votes)
