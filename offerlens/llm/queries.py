@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from offerlens.llm import decontaminate, language_id, licenses, line_dedup, sentencepiece_bpe, simhash, substring_dedup, url_filters
+import corpus_pipeline
+from offerlens.llm import decontaminate, embedding_dedup, language_id, licenses, line_dedup, maxent_lm, sentencepiece_bpe, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "page_language": language_id.page_language,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_lm_scoring": maxent_lm.op6_lm_scoring,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
