@@ -24,33 +24,36 @@ def decide(pairs: DataFrame, high: int = HIGH, ambiguous: int = AMBIGUOUS, brand
     """confidence, reason and score of each pair.
 
     Columns: brand, name, aliases (array or null), raw_title, candidate_brand, candidate_name, concentration, volume_ml. The
-    score is computed only where names differ and their lengths allow `ambiguous` of it; it is null where no fuzzy reason holds.
+    score is computed only where names differ and their lengths allow `ambiguous` of it, or all words are within; thresholds
+    hold for it as it is. The score returned is in whole numbers, halves to even, and null where the names were not the reason.
     """
     brand_ok = F.lit(True) if brand_checked else F.array_contains(T.brand_forms(F.col("candidate_brand")), T.normalize(F.col("brand")))
     a, b = T.normalize(F.col("candidate_name")), T.normalize(F.col("name"))
     out = pairs.withColumns({"__x": T.exclusion(F.col("raw_title")), "__b": brand_ok, "__c": a, "__t": b})
     a, b = F.col("__c"), F.col("__t")
-    asked = F.col("__x").isNull() & F.col("__b") & (a != b) & (S.ratio_bound(a, b) >= ambiguous)
+    inside = S.words_within(b, a)
+    asked = F.col("__x").isNull() & F.col("__b") & (a != b) & ((S.ratio_bound(a, b) >= ambiguous) | inside)
     # the Python function gets nulls, and does nothing, for all pairs that cannot reach the threshold
     out = out.withColumn("__s", S.token_sort_ratio(F.when(asked, a), F.when(asked, b)))
-    s, inside = F.coalesce("__s", F.lit(0.0)), S.words_within(b, a)
+    s = F.coalesce("__s", F.lit(0.0))
+    whole = F.bround("__s", 0).cast("int")
     known = F.coalesce(F.array_contains("aliases", a), F.lit(False))
     ladder = [
         (F.col("__x").isNotNull(), "rejected", F.concat(F.lit("excluded:"), F.col("__x"))),
         (~F.col("__b"), "rejected", F.lit("brand_mismatch")),
         (F.col("concentration").isNull() | F.col("volume_ml").isNull(), "ambiguous", F.lit("missing_variant_fields")),
-        (a == b, "exact", F.lit("exact_match")),
+        (a == b, "exact", F.lit(None).cast("string")),
         (known, "exact", F.lit("confirmed_name_alias")),
-        (s >= high, "high_confidence", F.lit("fuzzy_name_score")),
-        (s >= ambiguous, "ambiguous", F.lit("fuzzy_name_score")),
-        (inside, "ambiguous", F.lit("name_containment_score")),
+        (s >= high, "high_confidence", F.concat(F.lit("name_fuzzy_score="), whole)),
+        (s >= ambiguous, "ambiguous", F.concat(F.lit("name_fuzzy_score="), whole)),
+        (inside, "ambiguous", F.concat(F.lit("name_containment_score="), whole)),
     ]
     confidence, reason = F.lit("rejected"), F.lit("name_mismatch")
     for test, level, why in reversed(ladder):
         confidence, reason = F.when(test, level).otherwise(confidence), F.when(test, why).otherwise(reason)
     out = out.withColumns({"confidence": confidence, "reason": reason})
-    fuzzy = F.col("reason") == "fuzzy_name_score"
-    return out.withColumn("score", F.when(fuzzy, F.col("__s"))).drop("__x", "__b", "__c", "__t", "__s")
+    by_name = F.coalesce(F.col("reason").rlike("^name_(fuzzy|containment)_score="), F.lit(False))
+    return out.withColumn("score", F.when(by_name, whole)).drop("__x", "__b", "__c", "__t", "__s")
 
 
 def usable(confidence: str = "confidence"):

@@ -22,6 +22,7 @@ from offerlens.operators import overlap as V
 from offerlens.operators import review as R
 from offerlens.plans import tables as T
 from offerlens.plans.tables import CTES, sql, stamp
+from offerlens.sources import pages as SP
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -337,16 +338,16 @@ def match_ladder(s, d):
     catalog = T.variants(s, d).select("brand", "name").distinct().withColumns({"perfume_id": F.xxhash64("brand", "name"), "aliases": F.lit(None).cast("array<string>")})
     pairs = MA.candidate_pairs(catalog, _candidates(s, d))
     out = MA.decide(pairs, brand_checked=True)
-    return out.select("candidate_id", "brand", "name", "confidence", "reason", F.round("score", 4).alias("score"))
+    return out.select("candidate_id", "brand", "name", "confidence", "reason", "score")
 
 
 _cand = "c AS (SELECT p_partkey AS candidate_id, p_brand AS brand, p_name AS was, CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' intense' WHEN 2 THEN replace(p_name, ' ', '') WHEN 3 THEN 'x' || p_name WHEN 4 THEN 'zzz qqq' ELSE p_name END AS cn, p_partkey % 7 = 5 AS gift, p_partkey % 7 = 6 AS bare FROM part), k AS (SELECT DISTINCT p_brand AS brand, p_name AS name FROM part)"
 
 
-@query(f"WITH {_cand} SELECT candidate_id, name, CASE WHEN gift THEN 'excluded:gift_set' WHEN bare THEN 'missing_variant_fields' ELSE 'exact_match' END AS reason FROM c JOIN k USING (brand) WHERE gift OR bare OR cn = name")
+@query(f"WITH {_cand} SELECT candidate_id, name, CASE WHEN gift THEN 'excluded:gift_set' WHEN bare THEN 'missing_variant_fields' END AS reason FROM c JOIN k USING (brand) WHERE gift OR bare OR cn = name")
 def match_certain(s, d):
     """The decisions that need no score."""
-    return match_ladder(s, d).where("reason NOT IN ('fuzzy_name_score', 'name_containment_score', 'name_mismatch')").select("candidate_id", "name", "reason")
+    return match_ladder(s, d).where("reason IS NULL OR reason NOT LIKE 'name_%'").select("candidate_id", "name", "reason")
 
 
 REVIEW = "q AS (SELECT p_partkey AS perfume_id, 1 AS store_id, p_name AS product_url, CAST(p_size AS DOUBLE) AS match_score, CASE p_partkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'confirmed' ELSE 'rejected' END AS status, 10 AS first_seen_at, 10 AS last_seen_at FROM part WHERE p_partkey % 2 = 0), f AS (SELECT p_partkey AS perfume_id, 1 AS store_id, p_name AS product_url, CAST(p_size + 1 AS DOUBLE) AS match_score FROM part WHERE p_partkey % 4 < 3)"
@@ -474,3 +475,100 @@ def components(s, d):
 def cluster_report(s, d):
     items = T.read(s, d, "supplier")
     return G.cluster_report(G.cluster_edges(T.edges(s, d)), items, "s_suppkey", "s_name")
+
+
+# -- pages ---------------------------------------------------------------------------------------------------------
+
+
+def _pages(s, d):
+    return T.read(s, d, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("store_slug"), F.lit("page").alias("page_kind"), "url", "html", "page_id")
+
+
+@query(r"SELECT page_id, i AS position, href, trim(regexp_replace(label, '\s+', ' ', 'g')) AS label FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=\"([^\"]*)\"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=\"([^\"]*)\"[^>]*>([^<]*)</a>', 2)) AS label, unnest(range(len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=\"([^\"]*)\"[^>]*>([^<]*)</a>', 1)))) AS i FROM pages)".replace('\\"', '"'))
+def page_anchors(s, d):
+    pages = _pages(s, d).withColumn("url", F.col("page_id").cast("string"))
+    return SP.anchors(pages).select(F.col("url").cast("long").alias("page_id"), "position", "href", "label")
+
+
+@query(r"SELECT host AS store_slug, brand, arg_max(href, (page_id, i)) AS target FROM (SELECT regexp_extract(url, '://([^/]*)', 1) AS host, page_id, strip_accents(lower(trim(regexp_replace(label, '\s+', ' ', 'g')))) AS brand, href, i FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=\"([^\"]*)\"[^>]*>([^<]+)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=\"([^\"]*)\"[^>]*>([^<]+)</a>', 2)) AS label, unnest(range(len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=\"([^\"]*)\"[^>]*>([^<]+)</a>', 1)))) AS i FROM pages)) WHERE brand <> '' GROUP BY 1, 2".replace('\\"', '"'))
+def page_directory(s, d):
+    pages = _pages(s, d).withColumn("url", F.lpad(F.col("page_id").cast("string"), 12, "0"))
+    return SP.brand_directory(pages)
+
+
+@query(r"SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS heading, len(regexp_extract_all(html, '(?is)<p\b')) AS paragraphs FROM pages")
+def page_headings(s, d):
+    return T.read(s, d, "pages").select("page_id", F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1).alias("heading"), F.size(F.regexp_extract_all("html", F.lit(r"(?is)<p\b"), 0)).cast("long").alias("paragraphs"))
+
+
+@query("SELECT regexp_extract(url, '://([^/]*)', 1) AS store_slug, url, 'structure not recognised' AS error FROM pages WHERE NOT regexp_matches(html, '\"@type\":\\s*\"Product\"')")
+def page_error_rows(s, d):
+    pages = _pages(s, d)
+    raw = SP.json_ld(pages)
+    found = raw.groupBy("store_slug", "url").agg(F.count("*").alias("n"))
+    return pages.join(found, ["store_slug", "url"], "left_anti").select("store_slug", "url", F.lit("structure not recognised").alias("error"))
+
+
+@query("SELECT regexp_extract(url, '://([^/]*)', 1) AS store_slug, regexp_replace(url, '[?&]page=\\d+.*$', '') AS listing, count(DISTINCT CASE WHEN regexp_extract(url, '[?&]page=(\\d+)', 1) = '' THEN 1 ELSE CAST(regexp_extract(url, '[?&]page=(\\d+)', 1) AS INTEGER) END) AS pages_seen, 2 AS last_page, count(DISTINCT CASE WHEN regexp_extract(url, '[?&]page=(\\d+)', 1) = '' THEN 1 ELSE CAST(regexp_extract(url, '[?&]page=(\\d+)', 1) AS INTEGER) END) >= 2 AS complete FROM pages GROUP BY 1, 2")
+def listing_completeness(s, d):
+    return SP.pages_complete(_pages(s, d), F.lit(2), SP.url_page())
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def embedded_json_fields(s, d):
+    return T.read(s, d, "events").select("event_id", F.from_json("props", "struct<k:int>")["k"].alias("k"))
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#]+/(en|fr)/\d+') THEN 'https://www.example.com' || regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) END AS canonical FROM pages")
+def canonical_url(s, d):
+    """Pages' paths on one host; the pattern of item pages does not occur in these pages, so the path of a language and a number stands for it."""
+    path = F.regexp_extract("url", r"^https?://[^/?#]+(/[^?#]*)", 1)
+    item = F.regexp_replace(path, r"^/(en|fr)/(\d+).*$", "/perfume/$1/x-$2.html")
+    found = X.canonical_page(F.concat(F.lit("https://www.example.com"), item), ["www.example.com"], "www.example.com")
+    return T.read(s, d, "pages").select("page_id", F.when(found.isNotNull(), F.concat(F.lit("https://www.example.com"), path)).alias("canonical"))
+
+
+@query("SELECT count(DISTINCT p_name) AS discovered, count(DISTINCT p_name) FILTER (WHERE NOT known AND NOT failed) AS added, count(DISTINCT p_name) FILTER (WHERE known) AS skipped, count(DISTINCT p_name) FILTER (WHERE NOT known AND failed) AS failed FROM (SELECT p_name, p_name LIKE 'red%' AS known, p_name LIKE 'blue%' AS failed FROM part)")
+def import_summary(s, d):
+    part = T.read(s, d, "part")
+    found = part.select(F.col("p_name").alias("url"), F.col("p_partkey").alias("ordinal"), F.when(~F.startswith("p_name", F.lit("blue")), F.col("p_name")).alias("parsed"))
+    return C.import_items(part.where("p_name LIKE 'red%'").select(F.col("p_name").alias("url")), found)[1]
+
+
+@query("SELECT l_orderkey, count(*) AS lines FROM (SELECT DISTINCT * FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0) GROUP BY 1")
+def cascade_delete(s, d):
+    orders, lines = T.read(s, d, "orders").select("o_orderkey", "o_custkey"), T.read(s, d, "lineitem").distinct()
+    gone = T.read(s, d, "customer").where("c_custkey % 7 = 0").select("c_custkey")
+    left = O.delete_cascade({"orders": orders, "lines": lines}, gone, [("orders", "o_orderkey", "o_custkey"), ("lines", "l_orderkey", "l_orderkey")])
+    return left["lines"].groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+
+
+@query("SELECT accord, family, family_group, color FROM (SELECT DISTINCT p_type AS accord, 'Other' AS family, 'Other' AS family_group, '#64748b' AS color FROM part)")
+def accord_colors(s, d):
+    return C.with_family(T.read(s, d, "part").select(F.col("p_type").alias("accord")).distinct())
+
+
+@query("SELECT a, b, percentage, shared FROM (SELECT a.item_id AS a, b.item_id AS b, round_even(CAST(sum(a.strength * b.strength) AS DOUBLE) / (sqrt(max(na)) * sqrt(max(nb))) * 100, 1) AS percentage, array_to_string(list_slice(list(lower(a.accord) ORDER BY a.strength + b.strength DESC, lower(a.accord)), 1, 4), ', ') AS shared FROM (SELECT *, sum(CAST(strength AS DOUBLE) * strength) OVER (PARTITION BY item_id) AS na FROM accords) a JOIN (SELECT *, sum(CAST(strength AS DOUBLE) * strength) OVER (PARTITION BY item_id) AS nb FROM accords) b ON a.accord = b.accord AND a.item_id < b.item_id GROUP BY 1, 2) WHERE percentage >= 72 ORDER BY percentage DESC, a, b LIMIT 15", "accords")
+def overlap_report(s, d):
+    return V.overlap_report(V.vectors(T.accords(s, d))).select("a", "b", "percentage", "shared")
+
+
+@query("SELECT item_id, accord FROM accords WHERE position <= 3", "accords")
+def first_accords(s, d):
+    return T.accords(s, d).where("position <= 3").select("item_id", "accord")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN CAST(l_extendedprice - 30000 AS DECIMAL(10,2)) > 0 THEN CAST(l_extendedprice - 30000 AS DECIMAL(10,2)) END AS price FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_extendedprice FROM lineitem)")
+def entered_price(s, d):
+    text = F.concat(F.lit(" "), F.replace((F.col("l_extendedprice") - 30000).cast("decimal(10,2)").cast("string"), F.lit("."), F.lit(",")), F.lit(" "))
+    return T.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").distinct().select("l_orderkey", "l_linenumber", M.entered_price(text).alias("price"))
+
+
+@query("SELECT v.brand, v.name, v.variant_id, v.volume_ml, v.concentration, v.tester FROM variants v", "variants")
+def variants_ordered(s, d):
+    return P.variant_order(T.variants(s, d), "brand", "name").select("brand", "name", "variant_id", "volume_ml", "concentration", "tester")
+
+
+@query("SELECT variant_id, store_id FROM offers WHERE variant_id IN (SELECT variant_id FROM alerts WHERE enabled)", "obs offers alerts")
+def offers_with_alerts(s, d):
+    return P.semi_lookup(T.offers(s, d), T.alerts(s, d).where("enabled"), ["variant_id"]).select("variant_id", "store_id")
