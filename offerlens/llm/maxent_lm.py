@@ -18,9 +18,11 @@ from offerlens.llm.words import SPACED, find_words, mix
 #: Classes, and places in each; every token is hashed to one place of one class.
 CLASSES = PLACES = 32
 #: Rows of each of the two weight tables; contexts are hashed to them.
-ROWS = 1 << 15
+ROWS = 1 << 14
 #: Parts of the corpus, each seen once, after each of which the tasks' updates meet; step size; tokens of a step.
 ROUNDS, RATE, STEP = 2, 0.4, 8192
+#: Tokens of the corpus for each task of a round.
+TASK_TOKENS = 8_000_000
 #: Most tokens whose counts every task holds, and the longest of them in bytes; the counts of the others are joined.
 HEAD_TOKENS, HEAD_BYTES = 1 << 17, 64
 ADDED = 0.1
@@ -84,31 +86,30 @@ class Model:
         """Log probability of each slot after its context; with `seen` (visits of each row) the weights are updated too."""
         total = np.zeros(len(slots))
         classes, places = slots // PLACES, slots % PLACES
-        n = np.arange(len(slots))
+        n, ones, columns = np.arange(len(slots)), np.ones(PLACES, np.float32), np.arange(PLACES)
         for level, target in ((0, classes), (1, places)):
             keys = contexts if level == 0 else mix(contexts + (classes.astype(np.uint64) + np.uint64(1)) * _SEEDS[2])
             rows = (keys & np.uint64(ROWS - 1)).astype(np.int64)
             table_ = self.weights[level]
-            z = table_[rows[0]]
-            z += table_[rows[1]]
-            z += table_[rows[2]]
-            z += self.bias[0] if level == 0 else self.bias[1][classes]
-            z -= z.max(axis=1, keepdims=True)
+            z = table_.take(rows[0], axis=0)
+            z += table_.take(rows[1], axis=0)
+            z += table_.take(rows[2], axis=0)
+            z += self.bias[0] if level == 0 else self.bias[1].take(classes, axis=0)
+            np.minimum(z, 80, out=z)  # no overflow
             right = z[n, target].astype(np.float64)
             np.exp(z, out=z)
-            sums = z.sum(axis=1)
+            sums = z @ ones
             total += right - np.log(sums)
             if seen is not None:
                 z /= -sums[:, None]
                 z[n, target] += 1
+                flat = table_.reshape(-1)
                 for i in range(3):
-                    order = np.argsort(rows[i], kind="stable")
-                    sorted_ = rows[i][order]
-                    heads = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-                    times = np.diff(np.append(heads, len(order)))
-                    at = sorted_[heads]
-                    seen[level, at] += times
-                    table_[at] += np.add.reduceat(z[order], heads) * (RATE / (times + np.sqrt(seen[level, at])))[:, None].astype(np.float32)
+                    times = np.bincount(rows[i], minlength=ROWS)
+                    seen[level] += times
+                    rate = RATE / np.maximum(times + np.sqrt(seen[level]), 1)
+                    change = z * rate.astype(np.float32).take(rows[i])[:, None]
+                    np.add.at(flat, (rows[i][:, None] * PLACES + columns).reshape(-1), change.reshape(-1))
         return total
 
     def score(self, t: Tokens) -> np.ndarray:
@@ -135,13 +136,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token string, slot int, n long").groupBy("token", "slot").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, mass: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def train(docs: DataFrame, mass: np.ndarray, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after `rounds` rounds, each over another part of `docs` (keyed), so that every text is seen once.
 
     Within a round each task starts from the shared weights and takes gradient steps over its own texts; the changes of
-    each row are then averaged by the visits it had. What a task sends has at most the size of the weights.
+    each row are then averaged by the visits it had. A task sends at most the size of the weights, so small partitions share
+    one: there is a task for each TASK_TOKENS of the `tokens`, or for each core.
     """
     spark = docs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS))
     weights = np.zeros((2, ROWS, PLACES), np.float32)
     schema = pa.schema([("row", pa.int32()), ("visits", pa.float64()), ("change", pa.binary())])
     for turn in range(rounds):
@@ -156,7 +159,7 @@ def train(docs: DataFrame, mass: np.ndarray, rounds: int = ROUNDS) -> np.ndarray
                     for i in range(0, len(slots), STEP):
                         model.step(contexts[:, i : i + STEP], slots[i : i + STEP], seen)
             at = np.flatnonzero(seen.reshape(-1))
-            change = (model.weights - shared.value).reshape(-1, PLACES)[at] * seen.reshape(-1)[at, None].astype(np.float32)
+            change = (model.weights - shared.value).reshape(-1, PLACES)[at].astype(np.float16)
             for i in range(0, len(at), 4096):
                 yield arrow_batch(schema, at[i : i + 4096], seen.reshape(-1)[at[i : i + 4096]], [x.tobytes() for x in change[i : i + 4096]])
 
@@ -166,11 +169,11 @@ def train(docs: DataFrame, mass: np.ndarray, rounds: int = ROUNDS) -> np.ndarray
                 for row, visits, change in zip(batch["row"].to_pylist(), batch["visits"].to_pylist(), batch["change"].to_pylist(), strict=True):
                     own = sums.setdefault(row, [0.0, np.zeros(PLACES, np.float64)])
                     own[0] += visits
-                    own[1] += np.frombuffer(change, np.float32)
+                    own[1] += visits * np.frombuffer(change, np.float16).astype(np.float64)
             rows = list(sums)
             yield arrow_batch(schema, rows, [sums[r][0] for r in rows], [(sums[r][1] / sums[r][0]).astype(np.float32).tobytes() for r in rows])
 
-        part = docs.where(F.pmod(F.xxhash64("k", "t"), F.lit(rounds)) == turn).select("text")
+        part = docs.where(F.pmod(F.xxhash64("k", "t"), F.lit(rounds)) == turn).select("text").coalesce(tasks)
         changes = part.mapInArrow(learn, "row int, visits double, change binary").repartition("row").mapInArrow(meet, "row int, visits double, change binary")
         weights = weights.copy()
         flat = weights.reshape(-1, PLACES)
@@ -242,7 +245,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for slot, value in counts.groupBy("slot").agg(F.sum(F.col("n") + ADDED)).collect():  # one row for each slot
         mass[slot] += value
     head = spark.sparkContext.broadcast(_head(counts))
-    trained = spark.sparkContext.broadcast(train(learnt, mass, rounds))
+    trained = spark.sparkContext.broadcast(train(learnt, mass, int(total), rounds))
     schema = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known", pa.float64()), ("model", pa.float64()), ("token", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
