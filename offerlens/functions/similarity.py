@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ def sorted_words(text: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")), " ")
 
 
+@lru_cache(maxsize=200_000)
 def _common(a: str, b: str) -> int:
     """Length of the longest common subsequence, one bit for each character of `a`."""
     if not a or not b:
@@ -33,21 +36,28 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def token_sort_ratio(a: Column, b: Column) -> Column:
+def token_sort_ratio(a: Column, b: Column, are_sorted: bool = False) -> Column:
     """200 times the common subsequence of the sorted words over both lengths."""
-    return _ratio(sorted_words(a), sorted_words(b))
+    return _ratio(a, b) if are_sorted else _ratio(sorted_words(a), sorted_words(b))
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
+def ratio_bound(a: Column, b: Column, are_sorted: bool = False) -> Column:
     """What token_sort_ratio cannot exceed, by lengths alone; native, for use before it."""
-    x, y = F.length(sorted_words(a)), F.length(sorted_words(b))
+    x, y = (F.length(c if are_sorted else sorted_words(c)) for c in (a, b))
     return F.when(x + y == 0, 100.0).otherwise(F.try_divide(200.0 * F.least(x, y), (x + y).cast("double")))
 
 
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+
+
 def words_within(target: Column, candidate: Column) -> Column:
     """All words of the target, at least one, are words of the candidate."""
-    words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")
-    return (F.size(words(target)) > 0) & (F.size(F.array_except(words(target), words(candidate))) == 0)
+    return arrays_within(words(target), words(candidate))
+
+
+def arrays_within(target: Column, candidate: Column) -> Column:
+    return (F.size(target) > 0) & (F.size(F.array_except(target, candidate)) == 0)
 
 
 def register(spark: SparkSession) -> None:

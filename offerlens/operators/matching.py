@@ -11,12 +11,22 @@ from offerlens.functions import text as T
 HIGH, AMBIGUOUS = 90, 70
 
 
+def _prepared(df: DataFrame, side: str) -> DataFrame:
+    """Normalised and sorted names of the catalog or candidate side, once for each row instead of each pair."""
+    name = "candidate_name" if side == "c" else "name"
+    out = df.withColumn(f"__{side}", T.normalize(F.col(name)))
+    out = out.withColumn(f"__{side}w", S.words(F.col(f"__{side}"))).withColumn(f"__{side}s", F.array_join(F.array_sort(f"__{side}w"), " "))
+    return out.withColumn("__x", T.exclusion(F.col("raw_title"))) if side == "c" else out
+
+
 def candidate_pairs(catalog: DataFrame, candidates: DataFrame) -> DataFrame:
     """Catalog rows (perfume_id, brand, name) with candidates of their brand under any of its names.
 
     An equi-join on the brand: a brand with very many candidates is split by Spark's skew handling, the catalog side being small.
     """
-    forms = catalog.withColumn("__brand", F.explode(F.array_distinct(T.brand_forms(F.col("brand")))))
+    forms = _prepared(catalog, "t").withColumn("__brand", F.explode(F.array_distinct(T.brand_forms(F.col("brand")))))
+    if {"candidate_name", "raw_title"} <= set(candidates.columns):
+        candidates = _prepared(candidates, "c")
     return candidates.withColumn("__brand", T.normalize(F.col("candidate_brand"))).join(forms, "__brand").drop("__brand")
 
 
@@ -28,13 +38,14 @@ def decide(pairs: DataFrame, high: int = HIGH, ambiguous: int = AMBIGUOUS, brand
     hold for it as it is. The score returned is in whole numbers, halves to even, and null where the names were not the reason.
     """
     brand_ok = F.lit(True) if brand_checked else F.array_contains(T.brand_forms(F.col("candidate_brand")), T.normalize(F.col("brand")))
-    a, b = T.normalize(F.col("candidate_name")), T.normalize(F.col("name"))
-    out = pairs.withColumns({"__x": T.exclusion(F.col("raw_title")), "__b": brand_ok, "__c": a, "__t": b})
-    a, b = F.col("__c"), F.col("__t")
-    inside = S.words_within(b, a)
-    asked = F.col("__x").isNull() & F.col("__b") & (a != b) & ((S.ratio_bound(a, b) >= ambiguous) | inside)
+    for side in ("c", "t"):
+        if f"__{side}" not in pairs.columns:
+            pairs = _prepared(pairs, side)
+    out = pairs.withColumns({"__b": brand_ok, "__in": S.arrays_within(F.col("__tw"), F.col("__cw"))})
+    a, b, x, y, inside = F.col("__c"), F.col("__t"), F.col("__cs"), F.col("__ts"), F.col("__in")
+    asked = F.col("__x").isNull() & F.col("__b") & (a != b) & ((S.ratio_bound(x, y, True) >= ambiguous) | inside)
     # the Python function gets nulls, and does nothing, for all pairs that cannot reach the threshold
-    out = out.withColumn("__s", S.token_sort_ratio(F.when(asked, a), F.when(asked, b)))
+    out = out.withColumn("__s", S.token_sort_ratio(F.when(asked, x), F.when(asked, y), True))
     s = F.coalesce("__s", F.lit(0.0))
     whole = F.bround("__s", 0).cast("int")
     known = F.coalesce(F.array_contains("aliases", a), F.lit(False))
@@ -53,7 +64,7 @@ def decide(pairs: DataFrame, high: int = HIGH, ambiguous: int = AMBIGUOUS, brand
         confidence, reason = F.when(test, level).otherwise(confidence), F.when(test, why).otherwise(reason)
     out = out.withColumns({"confidence": confidence, "reason": reason})
     by_name = F.coalesce(F.col("reason").rlike("^name_(fuzzy|containment)_score="), F.lit(False))
-    return out.withColumn("score", F.when(by_name, whole)).drop("__x", "__b", "__c", "__t", "__s")
+    return out.withColumn("score", F.when(by_name, whole)).drop("__x", "__b", "__c", "__t", "__cs", "__ts", "__cw", "__tw", "__in", "__s")
 
 
 def usable(confidence: str = "confidence"):

@@ -336,7 +336,7 @@ def _candidates(s, d):
 @query(None)
 def match_ladder(s, d):
     catalog = T.variants(s, d).select("brand", "name").distinct().withColumns({"perfume_id": F.xxhash64("brand", "name"), "aliases": F.lit(None).cast("array<string>")})
-    pairs = MA.candidate_pairs(catalog, _candidates(s, d))
+    pairs = MA.candidate_pairs(catalog, _candidates(s, d).repartition("candidate_id"))  # the given table is one file
     out = MA.decide(pairs, brand_checked=True)
     return out.select("candidate_id", "brand", "name", "confidence", "reason", "score")
 
