@@ -17,8 +17,8 @@ from offerlens.llm.words import SPACED, find_words, mix
 
 #: Classes, and places in each; every token is hashed to one place of one class.
 CLASSES = PLACES = 32
-#: Rows of each of the two weight tables; contexts are hashed to them.
-ROWS = 1 << 14
+#: Least rows of each of the two weight tables, to which contexts are hashed, and tokens of the corpus for each further row.
+LEAST_ROWS, ROW_TOKENS = 1 << 15, 1 << 16
 #: Parts of the corpus, each seen once, after each of which the tasks' updates meet; step size; tokens of a step.
 ROUNDS, RATE, STEP = 2, 0.4, 8192
 #: Tokens of the corpus for each task of a round.
@@ -73,6 +73,11 @@ def _contexts(t: Tokens) -> np.ndarray:
     return np.stack([mix(t.before ^ _SEEDS[0]), mix(t.before * _SEEDS[1] + t.skip), mix(t.skip ^ _SEEDS[2])])
 
 
+def table_rows(tokens: int) -> int:
+    """Rows of a weight table for a corpus of `tokens`: a power of two that grows with the corpus."""
+    return max(LEAST_ROWS, 1 << (max(tokens, 1) // ROW_TOKENS).bit_length())
+
+
 class Model:
     """Weights of both levels, and log shares of classes and of places in them, from which training starts."""
 
@@ -80,16 +85,16 @@ class Model:
         by_class = mass.reshape(CLASSES, PLACES)
         self.mass = mass
         self.bias = np.log(by_class.sum(axis=1) / mass.sum()).astype(np.float32), np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32)
-        self.weights = weights  # (2, ROWS, 32)
+        self.weights = weights  # (2, rows, 32)
 
     def step(self, contexts: np.ndarray, slots: np.ndarray, seen: np.ndarray | None) -> np.ndarray:
         """Log probability of each slot after its context; with `seen` (visits of each row) the weights are updated too."""
-        total = np.zeros(len(slots))
+        total, size = np.zeros(len(slots)), self.weights.shape[1]
         classes, places = slots // PLACES, slots % PLACES
         n, ones, columns = np.arange(len(slots)), np.ones(PLACES, np.float32), np.arange(PLACES)
         for level, target in ((0, classes), (1, places)):
             keys = contexts if level == 0 else mix(contexts + (classes.astype(np.uint64) + np.uint64(1)) * _SEEDS[2])
-            rows = (keys & np.uint64(ROWS - 1)).astype(np.int64)
+            rows = (keys & np.uint64(size - 1)).astype(np.int64)
             table_ = self.weights[level]
             z = table_.take(rows[0], axis=0)
             z += table_.take(rows[1], axis=0)
@@ -105,7 +110,7 @@ class Model:
                 z[n, target] += 1
                 flat = table_.reshape(-1)
                 for i in range(3):
-                    times = np.bincount(rows[i], minlength=ROWS)
+                    times = np.bincount(rows[i], minlength=size)
                     seen[level] += times
                     rate = RATE / np.maximum(times + np.sqrt(seen[level]), 1)
                     change = z * rate.astype(np.float32).take(rows[i])[:, None]
@@ -145,13 +150,13 @@ def train(docs: DataFrame, mass: np.ndarray, tokens: int, rounds: int = ROUNDS)
     """
     spark = docs.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS))
-    weights = np.zeros((2, ROWS, PLACES), np.float32)
+    weights = np.zeros((2, table_rows(tokens), PLACES), np.float32)
     schema = pa.schema([("row", pa.int32()), ("visits", pa.float64()), ("change", pa.binary())])
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model, seen = Model(mass, shared.value.copy()), np.zeros((2, ROWS))
+            model, seen = Model(mass, shared.value.copy()), np.zeros(shared.value.shape[:2])
             for batch in batches:
                 for part in slices(batch):
                     _, _, t = _tokens(part["text"])
