@@ -92,7 +92,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             ((F.col("x") + PRIOR_WEIGHT * F.col("host_share")) / (F.col("y") + PRIOR_WEIGHT)).alias("block_share"),
         )
     )
-    templates = general.join(judged, ["host", "general"]).select("host", "head", "rest", "template", "block_share")
+    # from the paths that exist: a wildcard's first segments never meet rests of each other
+    paths = counts.select("host", "head", "rest").join(general, ["host", "head"])
+    templates = paths.join(judged, ["host", "general", "rest"]).select("host", "head", "rest", "template", "block_share")
     verdict = F.coalesce("label", F.when(F.col("block_share") >= BLOCK_SHARE, "block").otherwise("allow"))
     return rows.join(templates, ["host", "head", "rest"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("block_share", 6).alias("block_share"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from offerlens.llm import maxent_lm
+from offerlens.llm import maxent_lm, url_filters
 
 
 def test_weight_tables_grow_with_the_corpus(docs):
@@ -13,3 +13,20 @@ def test_weight_tables_grow_with_the_corpus(docs):
     mass = np.ones(maxent_lm.CLASSES * maxent_lm.PLACES)
     assert maxent_lm.train(learnt, mass, 10_000, rounds=1).shape == (2, 1 << 15, 32)
     assert maxent_lm.train(learnt, mass, 3_000_000_000, rounds=1).shape == (2, 1 << 16, 32)
+
+
+def test_wildcard_segments_meet_only_their_own_rests(spark, tmp_path):
+    """300 rare first segments with a rest each: 300 paths, not 90,000 pairs."""
+    frame = spark.createDataFrame([(i, f"http://hot.test/user{i}/post-{chr(97 + i % 26)}{i}") for i in range(300)], "page_id long, url string")
+    got = url_filters.judge_urls(frame)
+    assert got.count() == 300
+    got.collect()
+    made, todo = [], [got._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        while (name := plan.getClass().getSimpleName()) == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            plan = plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan()
+        rows = plan.metrics().get("numOutputRows")
+        made += [rows.get().value()] if rows.isDefined() else []
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert made and max(made) <= 300
