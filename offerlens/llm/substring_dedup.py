@@ -48,7 +48,7 @@ def _edges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
         for part in slices(batch):
             words = find_words(part["text"], SPACED, lower=False)
             hashes, at = grams(words.hash, words.row, GRAM)
-            first, second = (grams(words.hash, words.row, window, seed=s)[0] for s in (1, 2))
+            first, second = (grams(words.hash, words.row, window, seed=s, mixed=True)[0] for s in (1, 2))
             starts = grams(words.hash, words.row, window)[1]
             if not len(starts):
                 continue
@@ -62,7 +62,7 @@ def _edges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
             for r in range(part.num_rows):
                 maybe[bounds[r] : bounds[r + 1]] = np.isin(least[bounds[r] : bounds[r + 1]], repeated[r].values.to_numpy(zero_copy_only=False))
             row, k, t = row[maybe], part["k"].to_numpy(), part["t"].to_numpy()
-            yield arrow_batch(_EDGES, first[maybe].view(np.int64), (second[maybe] >> np.uint64(33)).astype(np.int32), k[row], t[row], (starts[maybe] - words.first[row]).astype(np.int32))
+            yield arrow_batch(_EDGES, first[maybe].view(np.int64), (second[maybe] >> np.uint64(32)).astype(np.uint32).view(np.int32), k[row], t[row], (starts[maybe] - words.first[row]).astype(np.int32))
 
 
 def _compact(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:

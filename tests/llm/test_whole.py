@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from offerlens.llm import maxent_lm, url_filters
+from offerlens.llm import maxent_lm, url_filters, words
 
 
 def test_weight_tables_grow_with_the_corpus(docs):
@@ -30,3 +30,12 @@ def test_wildcard_segments_meet_only_their_own_rests(spark, tmp_path):
         made += [rows.get().value()] if rows.isDefined() else []
         todo += [plan.children().apply(i) for i in range(plan.children().size())]
     assert made and max(made) <= 300
+
+
+def test_seeds_of_grams_are_independent():
+    """Two windows with the same sum under the multiplier that unmixed seeds share."""
+    by = 0xD6E8FEB86659FD93
+    one, other = np.array([5, 7], np.uint64), np.array([6, (7 - by) % 2**64], np.uint64)
+    row = np.zeros(2, np.int64)
+    same = lambda s, **how: words.grams(one, row, 2, seed=s, **how)[0][0] == words.grams(other, row, 2, seed=s, **how)[0][0]
+    assert same(1) and same(2) and not same(1, mixed=True) and not same(2, mixed=True)
