@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from offerlens.llm.frames import arrow_batch, keyed, slices, table, written
 
 UNKNOWN = "und"
-#: Labelled rows of each language that the text model is fitted on (as expected from a hash), and the most languages.
-TRAIN_ROWS, MAX_LANGUAGES = 3_000, 64
+#: Labelled rows of each language that the text model is fitted on (as expected from a hash), and languages from which on `fit` raises an error.
+TRAIN_ROWS, MAX_LANGUAGES = 3_000, 1_024
 BUCKETS = 1 << 14
 #: Added to each count; grams that a text's mean log likelihood counts for at most; prior weights of host levels and of declarations.
 SMOOTHING, TEXT_WEIGHT, LEVEL_WEIGHT, DECLARED_WEIGHT, DECLARED_TRUST = 0.5, 200, 20.0, 20.0, 0.9
@@ -49,15 +49,19 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     """Languages and the log probability of each gram bucket under each, the last being the unknown language's (all alike).
 
     Fitted on about `train_rows` labelled rows of each language, chosen by a hash of id and text; the size of the result is
-    fixed. Rows without a label or text teach nothing.
+    fixed for each language (64 KB). All languages are fitted; more than MAX_LANGUAGES raise a ValueError, none is left out.
+    Rows without a label or text teach nothing.
     """
     lang, text = F.col(lang_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     labelled = docs.select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("h")).where("lang <> '' AND lang <> 'und' AND text <> ''")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labelled languages in {lang_col}")
     languages = sorted(r["lang"] for r in sizes)
     share = F.lit(None)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(train_rows / r["count"])).otherwise(share)
+    if sizes:
+        shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(train_rows / r["count"]))])
+        share = F.try_element_at(shares, F.col("lang"))
     sample = labelled.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
@@ -73,9 +77,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
                     yield arrow_batch(schema, [name] * len(at), at, counts[at])
 
     sums = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    counts = np.full((len(languages), BUCKETS), SMOOTHING)
+    counts, place = np.full((len(languages), BUCKETS), SMOOTHING), {x: i for i, x in enumerate(languages)}
     for r in sums:
-        counts[languages.index(r["lang"]), r["bucket"]] += r["n"]
+        counts[place[r["lang"]], r["bucket"]] += r["n"]
     model = np.vstack([np.log(counts / counts.sum(axis=1, keepdims=True)), np.full(BUCKETS, -np.log(BUCKETS))])
     return languages, np.hstack([model, np.zeros((len(model), 1))]).astype(np.float32)
 
@@ -165,11 +169,12 @@ def _declarations(told: DataFrame, names: list[str]) -> DataFrame:
     """(declared, weights): log of how likely the declaration is under each language, by all rows; declarations of other languages have none."""
     n = len(names)
     counts = told.where(F.col("declared").isin(names[:-1])).groupBy("declared").agg(*[F.sum(F.element_at("posterior", i + 1)).alias(f"s{i}") for i in range(n)])
+    total = F.aggregate(F.array(*[F.col(f"s{j}") for j in range(n)]), F.lit(0.0), lambda a, x: a + x)
+    counts = counts.withColumn("total", total)
     weights = []
     for i, name in enumerate(names):
         prior = F.when(F.col("declared") == name, DECLARED_TRUST).otherwise((1 - DECLARED_TRUST) / max(1, n - 1))
-        total = sum((F.col(f"s{j}") for j in range(n)), F.lit(0.0))
-        weights.append(F.ln((F.col(f"s{i}") + DECLARED_WEIGHT * prior) / (total + DECLARED_WEIGHT)))
+        weights.append(F.ln((F.col(f"s{i}") + DECLARED_WEIGHT * prior) / (F.col("total") + DECLARED_WEIGHT)))
     return counts.select("declared", F.array(*weights).alias("weights"))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
-from offerlens.llm import maxent_lm, url_filters, words
+from offerlens.llm import language_id, maxent_lm, url_filters, words
 
 
 def test_weight_tables_grow_with_the_corpus(docs):
@@ -39,3 +40,18 @@ def test_seeds_of_grams_are_independent():
     row = np.zeros(2, np.int64)
     same = lambda s, **how: words.grams(one, row, 2, seed=s, **how)[0][0] == words.grams(other, row, 2, seed=s, **how)[0][0]
     assert same(1) and same(2) and not same(1, mixed=True) and not same(2, mixed=True)
+
+
+def test_all_labelled_languages_are_fitted(spark):
+    text = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}q" for x in "aeiouy" * 8)
+    frame = spark.createDataFrame([(i, text(i // 2), f"l{i // 2:02}") for i in range(140)], "doc_id long, text string, lang string")
+    model = language_id.fit(frame)
+    assert model[0] == [f"l{i:02}" for i in range(70)] and model[1].shape[0] == 71
+    got = {r["doc_id"]: (r["lang"], r["rejected"]) for r in language_id.identify(frame, model).collect()}
+    assert all(got[i] == (f"l{i // 2:02}", False) for i in range(140))
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        language_id.fit(spark.createDataFrame([(i, "text", f"l{i}") for i in range(3)], "doc_id long, text string, lang string"))
