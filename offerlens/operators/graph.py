@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerlens.functions.text import url_key
-from offerlens.sources.storage import written
+from offerlens.operators.skew import join_once
+from offerlens.sources.storage import discard, written_with_state
 
 
 def owned_edges(similar: DataFrame, items: DataFrame, item: str = "item_id", url: str = "url") -> DataFrame:
@@ -32,35 +33,37 @@ def cluster_edges(edges: DataFrame) -> DataFrame:
     return both.unionByName(all_).withColumn("__k", F.lit(1)).join(F.broadcast(flag), "__k").where("mutual = __any").select("a", "b")
 
 
-def _stars(edges: DataFrame, small: bool) -> DataFrame:
+#: Edges up to which one node may have them all: a task sorts so many pairs of numbers with ease.
+HUB_EDGES = 1_000_000
+
+
+def _stars(edges: DataFrame, small: bool, hubs: bool) -> DataFrame:
     """Each node's neighbours (small: the smaller ones and itself; else the larger ones) get linked to the least of all."""
+    meet = (lambda x, y: join_once(x, y, ["a"])) if hubs else (lambda x, y: x.join(y.drop("n"), "a"))
     ends = edges.select("a", "b") if small else edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if small:  # a > b: the least neighbour takes the others and the node itself
-        least = ends.groupBy("a").agg(F.min("b").alias("m"))
-        moved = ends.join(least, "a").select(F.col("b").alias("x"), "m").unionAll(least.select(F.col("a").alias("x"), "m"))
+        least = ends.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        moved = meet(ends, least).select(F.col("b").alias("x"), "m").unionAll(least.select(F.col("a").alias("x"), "m"))
     else:
-        least = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        moved = ends.where("b > a").join(least, "a").select(F.col("b").alias("x"), "m")
+        least = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        moved = meet(ends.where("b > a"), least).select(F.col("b").alias("x"), "m")
     return moved.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
-    Alternating large and small stars: only minima and joins on unique sides, so a node with very many edges never meets in
-    one group. Rows with a null end and loops are ignored; an edge repeated or turned round counts once. Every round is
-    written to the shared folder, and rounds end when the edges no longer change.
+    Alternating large and small stars: only minima and joins on unique sides; where there are more than HUB_EDGES edges, the
+    rows of a node with very many of them are not brought together (`join_once`). Rows with a null end and loops are ignored; an edge repeated or turned round counts
+    once. Every round is written to the shared folder, the one before it deleted, and rounds end when the edges no longer change.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    edges = written(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
-
-    def state(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    was = state(edges)
+    first = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+    edges, was = written_with_state(first, "a", "b")
     while was[0]:
-        edges = written(_stars(_stars(edges, small=False), small=True))
-        now = state(edges)
+        before, hubs = edges, was[0] > HUB_EDGES
+        edges, now = written_with_state(_stars(_stars(edges, False, hubs), True, hubs), "a", "b")
+        discard(before)
         if now == was:
             break
         was = now

@@ -162,6 +162,26 @@ def test_long_chain_is_one_component(spark):
     assert {r["component"] for r in graph.connected_components(edges).collect()} == {0}
 
 
+def test_hubs_do_not_change_components(spark, monkeypatch):
+    from offerlens.operators import skew
+
+    monkeypatch.setattr(graph, "HUB_EDGES", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    edges = spark.createDataFrame([(i, 0) for i in range(1, 60)] + [(i, 100) for i in range(101, 130)] + [(59, 60)], "a long, b long")
+    parts = graph.connected_components(edges).groupBy("component").count().collect()
+    assert {tuple(r) for r in parts} == {(0, 61), (100, 30)}
+
+
+def test_join_once_is_a_join(spark):
+    from offerlens.operators.skew import join_once
+
+    rows = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 1), (3, 1), (None, 1)], "k int, x int")
+    sums = spark.createDataFrame([(1, "a", 100), (2, "b", 1)], "k int, v string, n int")
+    for how in ("inner", "left", "left_semi"):
+        want = rows.join(sums.drop("n"), "k", how)
+        assert sorted(map(str, join_once(rows, sums, ["k"], how=how).collect())) == sorted(map(str, want.collect()))
+
+
 def test_overlap(spark):
     a = spark.createDataFrame([(1, "x", 3, 0), (1, "y", 4, 1), (2, "X", 6, 0), (2, "y ", 8, 1), (3, "z", 5, 0), (4, "x", 9, 0), (4, "x", 1, 1), (4, "z", 1, 2)], "item_id long, accord string, strength int, position int")
     got = overlap.overlap_report(overlap.vectors(a)).collect()
