@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm.components import connected_components
+from offerlens.operators.graph import connected_components
 from offerlens.llm.frames import arrow_batch, table, written
 
 COSINE = 0.9

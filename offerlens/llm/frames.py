@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,45 +9,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerlens.operators.skew import join_once  # noqa: F401
+from offerlens.sources.storage import discard, written  # noqa: F401
+
 #: Text that a Python task holds in numpy form at a time, in bytes; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 NULL_ID = -(2**63)
 
-_own_dirs: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        app = spark.sparkContext.applicationId
-        named = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="offerlens-"))
-    return named.rstrip("/")
-
-
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write `df` as a table in the shared folder and read it back.
-
-    The write's own shuffle files, which nothing reads again, go when it ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/offerlens-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """id, text, the columns in `more`, and the two columns that tell rows apart: k (the id, the smallest long for null) and t (a hash of the text).
 

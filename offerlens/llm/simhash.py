@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm.components import connected_components
+from offerlens.operators.graph import connected_components
 from offerlens.llm.frames import arrow_batch, keyed, slices, table, written
 from offerlens.llm.words import mix
 

@@ -79,21 +79,14 @@ def find_words(texts: pa.Array, is_word: np.ndarray, lower: bool = True) -> Word
     return Words(data, np.repeat(np.arange(len(texts)), np.diff(first)), start, end, hashed, first)
 
 
-def grams(hashes: np.ndarray, row: np.ndarray, k: int, seed: int = 0, mixed: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each k consecutive words of one row, and the number of the first.
-
-    With `mixed`, each seed has words mixed and multiplied in its own way, so that what is equal by chance under one seed differs under others.
-    """
+def grams(hashes: np.ndarray, row: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each k consecutive words of one row, and the number of the first. Hashes of two seeds are not independent of each other."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.full(n, np.uint64(seed * 2 + 1), dtype=np.uint64)
-    by = np.uint64(0xD6E8FEB86659FD93)
-    if mixed:
-        own = mix(np.array([seed + 1], np.uint64) * _BASE)
-        hashes, by = mix(hashes ^ own), mix(own)[0] | np.uint64(1)
     for j in range(k):
-        h = h * by + hashes[j : j + n]
+        h = h * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + n]
     at = np.flatnonzero(row[:n] == row[k - 1 :])
     return mix(h[at]), at
 

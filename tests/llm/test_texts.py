@@ -189,7 +189,9 @@ def test_sentencepiece(docs, rows, none):
     assert sentencepiece_bpe.encode_digests(none, path).count() == 0
 
 
-def test_substring_dedup(docs, rows, none):
+@pytest.mark.parametrize("bits", [64, 5])
+def test_substring_dedup(docs, rows, none, bits):
+    """Five bits: nodes collide all the time, and the words at both coordinates decide."""
     words = [SPACED.findall(t or "") for _, t in rows]
     first: dict[tuple, tuple] = {}
     for (i, _), ws in zip(rows, words, strict=True):
@@ -200,7 +202,7 @@ def test_substring_dedup(docs, rows, none):
     for (i, _), ws in zip(rows, words, strict=True):
         gone = {x for j in range(len(ws) - 19) if first[tuple(ws[j : j + 20])] < (low(i), j) for x in range(j, j + 20)}
         want[(i, len(ws), len(gone), " ".join(w for x, w in enumerate(ws) if x not in gone))] += 1
-    paths = substring_dedup.repeated_paths(docs)
+    paths = substring_dedup.repeated_paths(docs, bits=bits)
     from offerlens.llm.frames import keyed
 
     got = Counter((r["doc_id"], *substring_dedup.without_paths(r["text"], r["paths"])) for r in keyed(docs).join(paths, ["k", "t"], "left").collect())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from offerlens.llm import language_id, maxent_lm, url_filters, words
+from offerlens.llm import language_id, maxent_lm, url_filters
 
 
 def test_weight_tables_grow_with_the_corpus(docs):
@@ -33,15 +33,6 @@ def test_wildcard_segments_meet_only_their_own_rests(spark, tmp_path):
     assert made and max(made) <= 300
 
 
-def test_seeds_of_grams_are_independent():
-    """Two windows with the same sum under the multiplier that unmixed seeds share."""
-    by = 0xD6E8FEB86659FD93
-    one, other = np.array([5, 7], np.uint64), np.array([6, (7 - by) % 2**64], np.uint64)
-    row = np.zeros(2, np.int64)
-    same = lambda s, **how: words.grams(one, row, 2, seed=s, **how)[0][0] == words.grams(other, row, 2, seed=s, **how)[0][0]
-    assert same(1) and same(2) and not same(1, mixed=True) and not same(2, mixed=True)
-
-
 def test_all_labelled_languages_are_fitted(spark):
     text = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}q" for x in "aeiouy" * 8)
     frame = spark.createDataFrame([(i, text(i // 2), f"l{i // 2:02}") for i in range(140)], "doc_id long, text string, lang string")
