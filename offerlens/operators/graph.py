@@ -51,13 +51,13 @@ def _stars(edges: DataFrame, small: bool, hubs: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable from each node that has an edge.
+    """(node, component): the smallest node reachable from each node that has an edge. Nodes are whole numbers, strings or bytes.
 
     Alternating large and small stars: only minima and joins on unique sides; where there are more than HUB_EDGES edges, the
     rows of a node with very many of them are not brought together (`join_once`). Rows with a null end and loops are ignored; an edge repeated or turned round counts
     once. Every round is written to the shared folder, the one before it deleted, and rounds end when the edges no longer change.
     """
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
+    x, y = (F.col(c) if edges.schema[c].dataType.typeName() in ("binary", "string") else F.col(c).cast("long") for c in (a, b))
     first = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
     edges, was = written_with_state(first, "a", "b")
     while was[0]:
