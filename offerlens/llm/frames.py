@@ -21,19 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_keys(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """What tells rows apart: the id (the smallest long for null), and a hash of the text (null counts as empty)."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names of columns that `df` does not have, in any case of letters."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
-    """id, text, the columns in `more`, and the two columns that tell rows apart: k (the id, the smallest long for null) and t (a hash of the text).
+    """id, text, the columns in `more`, and the two columns that tell rows apart, k and t: see `row_keys`.
 
     Rows that share an id are told apart by their text; rows that share both get the same result each.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        text.alias("text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"),
-        F.xxhash64(text).alias("t"),
-        *more,
-    )
+    k, t = row_keys(id_col, text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), k.alias("k"), t.alias("t"), *more)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm.frames import arrow_batch, keyed, slices, table, written
+from offerlens.llm.frames import arrow_batch, free_names, join_once, keyed, row_keys, slices, table, written
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 40
@@ -124,9 +124,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = [F.col("h1"), F.col("h2"), F.col("k").desc(), F.col("t")]
     found = written(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _stream(b, min_docs), _FOUND))
     loose = found.where("is_open")
-    totals = loose.select("h1", "h2", "k").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("k").alias("last")).where(F.col("docs") >= min_docs)
+    totals = loose.select("h1", "h2", "k").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("k").alias("last")).where(F.col("n") >= min_docs)
     lost = found.where("NOT is_open").select("k", "t", "n_lines", "places").unionAll(
-        loose.join(totals, ["h1", "h2"]).where("k <> last").select("k", "t", "n_lines", "places")
+        join_once(loose, written(totals), ["h1", "h2"]).where("k <> last").select("k", "t", "n_lines", "places")
     )
     marks = lost.groupBy("k", "t").agg(F.max("n_lines").alias("n_lines"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
@@ -153,21 +153,20 @@ def kept_lines(text: str, keep: bytes | None) -> tuple[str, int, int]:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """`docs` with the lines dropped from its text; other columns stay."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    k, t = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(text)
-    maps = bitmaps.select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("keep").alias("__keep")).hint("shuffle_hash")
-    joined = docs.withColumns({"__k": k, "__t": t}).join(maps, ["__k", "__t"], "left").drop("__k", "__t")
+    """`docs` with the lines dropped from its text; other columns stay, whatever their names."""
+    names = free_names(docs, "k", "t", "keep")
+    maps = bitmaps.select(*[F.col(c).alias(n) for c, n in zip(("k", "t", "keep"), names, strict=True)]).hint("shuffle_hash")
+    joined = docs.withColumns(dict(zip(names[:2], row_keys(id_col, text_col), strict=True))).join(maps, names[:2], "left")
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x if m is None else kept_lines(x or "", m)[0] for x, m in zip(batch[text_col].to_pylist(), batch["__keep"].to_pylist(), strict=True)]
+            texts = [x if m is None else kept_lines(x or "", m)[0] for x, m in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
             columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, batch.schema.field(text_col).type)
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.select(*docs.columns, "__keep").mapInArrow(cut, docs.schema)
+    return joined.select(*docs.columns, names[2]).mapInArrow(cut, docs.schema)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

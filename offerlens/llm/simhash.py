@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,79 +10,68 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerlens.llm.frames import arrow_batch, join_once, keyed, slices, table, written
+from offerlens.llm.words import SPACED, find_words, grams, mix
 from offerlens.operators.graph import connected_components
-from offerlens.llm.frames import arrow_batch, keyed, slices, table, written
-from offerlens.llm.words import mix
 
-#: Most rows of a strip, the unit that a task gets two of, with and without splitting by population count; rows of the tiles.
-STRIP_ROWS, WIDE_STRIP_ROWS = 32_768, 262_144
+#: Most rows of a strip, the unit that a task gets two of; rows of the tiles.
+STRIP_ROWS = 32_768
 TILE_ROWS = 512
-#: From this radius on the population counts of 64 bits hardly ever differ by more, and strips are not split by them.
-WIDE_RADIUS = 12
+#: Blocks that a set of shingles enters, smallest hashes that name one, and most rows and bytes of sets of a block's strip.
+BLOCKS, BLOCK_HASHES, BLOCK_ROWS, BLOCK_BYTES = 8, 4, 8_192, 1 << 24
 _BLOCK = 1 << 12
 
 
-def fingerprint(text: str, shingle: int, seed: int = 42, size: int = 1) -> np.ndarray:
-    """SimHash of word shingles in `size` 64-bit words (uint64); see `fingerprints`."""
+def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
+    """SimHash of word shingles; see `fingerprints`."""
     words = text.encode("utf-8", "replace").lower().split()  # both act on ASCII only
     if not words:
-        return np.zeros(size, np.uint64)
+        return 0
     joined, taken = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest, votes, n = xxhash.xxh64_intdigest, np.zeros(64 * size, np.int64), len(words) - taken + 1
+    digest, votes, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(words) - taken + 1
     for i in range(0, n, _BLOCK):
         j = min(n, i + _BLOCK)
         spans = zip(starts[i:j].tolist(), ends[i + taken - 1 : j + taken - 1].tolist(), strict=True)
         hashes = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)[:, None]
-        if size > 1:
-            more = mix(hashes + np.arange(1, size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            hashes = np.concatenate([hashes, more], axis=1)
-        votes += np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * votes > n, bitorder="little").view(np.uint64)
+        votes += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * votes > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, size: int = 1) -> DataFrame:
-    """(doc_id, k, t, fp, more) for each row: the SimHash of all shingles of `shingle` words, repeats included.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
+    """(doc_id, k, t, fp) for each row: the SimHash of all shingles of `shingle` words, repeats included.
 
     A-Z is lower-cased, words are runs without ASCII white space. A bit is 1 if it is set in over half of the
-    shingles' XXH64 (fp, 64 bits) and of hashes derived from it (more, `size` - 1 further words). A text of fewer words is one
-    shingle; null, empty and blank texts have all bits 0.
+    shingles' XXH64. A text of fewer words is one shingle; null, empty and blank texts have all bits 0.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("fp", pa.int64()), ("more", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("fp", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                prints = np.array([fingerprint(x, shingle, seed, size) for x in part["text"].to_pylist()]).view(np.int64)
-                yield arrow_batch(schema, part["doc_id"], part["k"], part["t"], prints[:, 0], list(prints[:, 1:]))
+                yield arrow_batch(schema, part["doc_id"], part["k"], part["t"], [fingerprint(x, shingle, seed) for x in part["text"].to_pylist()])
 
-    return keyed(docs, id_col, text_col).mapInArrow(scan, "doc_id long, k long, t long, fp long, more array<long>")
+    return keyed(docs, id_col, text_col).mapInArrow(scan, "doc_id long, k long, t long, fp long")
 
 
-def near_pairs(prints: DataFrame, radius: int = 4, total: int | None = None, strip_rows: int | None = None) -> DataFrame:
-    """Links (a, b) of the nodes of `prints` (node, fp, more) such that those that are near are connected, directly or by others.
+def near_pairs(prints: DataFrame, radius: int = 4, strip_rows: int = STRIP_ROWS) -> DataFrame:
+    """Links (a, b) of the distinct fingerprints `fp` of `prints` such that those that differ by at most `radius` bits are connected, directly or by others.
 
-    Near are nodes with at most `radius` different bits in fp, and at most `total` in fp and more if that is given. Every
-    pair of strips whose population counts differ by at most `radius` is compared in full, tile by tile; a tile pair
+    Every pair of strips whose population counts differ by at most `radius` is compared in full, tile by tile; a tile pair
     is skipped when the counts of its quarters alone differ by more. Each strip pair returns a spanning forest of its links, so
     a large group of near copies yields as many rows as it has members, not pairs. No link between components is lost.
     """
     spark = prints.sparkSession
-    wide = radius >= WIDE_RADIUS
-    most = strip_rows or (WIDE_STRIP_ROWS if wide else STRIP_ROWS)
-    ones = written(prints.select(F.lit(0).alias("ones") if wide else F.bit_count("fp").cast("int").alias("ones"), "node", "fp", "more").distinct())
-    sizes = ones.groupBy("ones").agg(F.count("*").alias("n"))  # 65 rows at most
-    spread = int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism))) if wide else 1
-    parts = F.greatest(F.ceil(F.col("n") / most), F.least(F.lit(spread), F.ceil(F.col("n") / 2048))).cast("int")
-    sizes = sizes.withColumn("parts", parts)
+    ones = written(prints.select(F.bit_count("fp").cast("int").alias("ones"), "fp").distinct())
+    sizes = ones.groupBy("ones").agg(F.ceil(F.count("*") / strip_rows).cast("int").alias("parts"))  # 65 rows at most
     strips = written(
         ones.join(F.broadcast(sizes), "ones")
-        .groupBy("ones", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-        .agg(F.collect_list(F.struct("node", "fp", "more")).alias("rows"))
+        .groupBy("ones", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
+        .agg(F.collect_list("fp").alias("rows"))
     )
     names = strips.select("ones", "part")
-    near = names.select(F.col("ones").alias("a_ones"), F.col("part").alias("a_part"), F.explode(F.sequence(F.col("ones"), F.col("ones") + (0 if wide else radius))).alias("b_ones"))
+    near = names.select(F.col("ones").alias("a_ones"), F.col("part").alias("a_part"), F.explode(F.sequence(F.col("ones"), F.col("ones") + radius)).alias("b_ones"))
     cells = near.join(names.select(F.col("ones").alias("b_ones"), F.col("part").alias("b_part")), "b_ones").where("a_ones < b_ones OR a_part <= b_part")
     n_cells, rows = strips.groupBy("ones").agg(F.count("*").alias("parts"), F.sum(F.size("rows")).alias("n")).agg(F.coalesce(F.sum(F.col("parts") * F.col("parts")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     tasks = max(1, min(n_cells * (radius + 1), max(2 * spark.sparkContext.defaultParallelism, rows // 500), 8192))
@@ -90,39 +79,35 @@ def near_pairs(prints: DataFrame, radius: int = 4, total: int | None = None, str
     right = strips.select(F.col("ones").alias("b_ones"), F.col("part").alias("b_part"), F.col("rows").alias("b"))
     work = cells.join(left, ["a_ones", "a_part"]).join(right, ["b_ones", "b_part"]).repartition(tasks)
 
-    def unpack(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-        values = rows.values
-        fp = values.field("fp").to_numpy()
-        more = values.field("more").flatten().to_numpy().reshape(len(fp), -1) if total is not None else np.zeros((len(fp), 0), np.int64)
-        return values.field("node").to_numpy(), np.concatenate([fp[:, None], more], axis=1).view(np.uint64)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 same = all(batch[f"a_{c}"][i] == batch[f"b_{c}"][i] for c in ("ones", "part"))
-                nodes, bits = unpack(batch["a"][i])
-                others, other_bits = (nodes, None) if same else unpack(batch["b"][i])
-                x, y = linked(bits, other_bits, radius, total)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(others[y])], names=["a", "b"])
+                bits = batch["a"][i].values.to_numpy()
+                others = bits if same else batch["b"][i].values.to_numpy()
+                x, y = linked(bits.view(np.uint64), None if same else others.view(np.uint64), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(bits[x]), pa.array(others[y])], names=["a", "b"])
 
     return work.select("a_ones", "a_part", "b_ones", "b_part", "a", "b").mapInArrow(compare, "a long, b long")
 
 
 class _Tiled:
-    """Fingerprints ordered by the population counts of the first word's quarters; tiles with the least and greatest of each."""
+    """Fingerprints ordered by the population counts of their quarters; tiles with the least and greatest of each."""
 
     def __init__(self, bits: np.ndarray):
-        quarters = np.bitwise_count(np.ascontiguousarray(bits[:, 0]).view(np.uint16).reshape(-1, 4)).astype(np.int16)
+        quarters = np.bitwise_count(np.ascontiguousarray(bits).view(np.uint16).reshape(-1, 4)).astype(np.int16)
         self.order = np.lexsort(quarters.T)
         quarters, self.bits = quarters[self.order], bits[self.order]
-        self.first = np.ascontiguousarray(self.bits[:, 0])
         self.spans = [(i, min(len(bits), i + TILE_ROWS)) for i in range(0, len(bits), TILE_ROWS)]
         self.low = np.array([quarters[i:j].min(axis=0) for i, j in self.spans])
         self.high = np.array([quarters[i:j].max(axis=0) for i, j in self.spans])
 
 
-def linked(bits: np.ndarray, others: np.ndarray | None, radius: int, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of a spanning forest of the near pairs of two sets of fingerprints (rows of uint64 words), or within one if `others` is None."""
+def linked(bits: np.ndarray, others: np.ndarray | None, radius: int, test: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of a spanning forest of the near pairs of two sets of fingerprints (uint64), or within one if `others` is None.
+
+    With `test`, pairs within the radius are links only if it holds for their row numbers; it is asked only about pairs not connected yet.
+    """
     if not len(bits) or (others is not None and not len(others)):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a = _Tiled(bits)
@@ -138,7 +123,7 @@ def linked(bits: np.ndarray, others: np.ndarray | None, radius: int, total: int
                 continue
             p, q = b.spans[n]
             xor, count = xors[: j - i, : q - p], counts[: j - i, : q - p]
-            np.bitwise_xor(a.first[i:j, None], b.first[None, p:q], out=xor)
+            np.bitwise_xor(a.bits[i:j, None], b.bits[None, p:q], out=xor)
             np.bitwise_count(xor, out=count)
             hits = count <= radius
             if others is None and n == m:
@@ -147,59 +132,185 @@ def linked(bits: np.ndarray, others: np.ndarray | None, radius: int, total: int
             if not len(x):
                 continue
             x, y = x + i, y + p
-            if total is not None:
-                apart = root[x] != root[y + shift]
-                x, y = x[apart], y[apart]
-                near = np.bitwise_count(a.bits[x] ^ b.bits[y]).sum(axis=1, dtype=np.int32) <= total
-                x, y = x[near], y[near]
             while len(x):  # join roots, one edge for each that is hooked
                 rx, ry = root[x], root[y + shift]
                 apart = rx != ry
                 x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
                 if not len(x):
                     break
-                high, at = np.unique(np.maximum(rx, ry), return_index=True)
+                _, at = np.unique(np.maximum(rx, ry), return_index=True)
+                tried = at
+                if test is not None:
+                    at = at[[test(int(a.order[u]), int(b.order[v])) for u, v in zip(x[at], y[at], strict=True)]]
                 out_x.append(x[at])
                 out_y.append(y[at])
-                root[high] = np.minimum(rx, ry)[at]
+                root[np.maximum(rx, ry)[at]] = np.minimum(rx, ry)[at]
                 while not np.array_equal(up := root[root], root):
                     root = up
+                x, y = np.delete(x, tried), np.delete(y, tried)
     x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_x, out_y))
     return a.order[x], b.order[y]
 
 
-def bits_at(similarity: float, bits: int, errors: float = 1.0) -> int:
+def bits_at(similarity: float, bits: int = 64, errors: float = 3.0) -> int:
     """Different bits of SimHash that two sets of equal size and Jaccard `similarity` have, plus so many standard errors."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(round(bits * share + errors * np.sqrt(bits * share * (1 - share))))
 
 
-def simhash_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, similarity: float | None = None, size: int = 8, strip_rows: int | None = None
-) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, strip_rows: int = STRIP_ROWS) -> DataFrame:
     """(doc_id, k, t, fp, component_id) for each row of `docs`: component_id is the smallest id reachable over links.
 
-    Documents whose 64-bit fingerprints differ by at most `radius` bits are linked; equal ones always are, those of
-    empty texts (0) included. With `similarity`, fingerprints have `size` words of 64 bits, and linked are those that differ by no more
-    bits than texts with that Jaccard similarity of shingles do, plus a standard error (three in the first 64). Null
-    ids are allowed; a component of only null ids has a null component_id.
+    Documents whose fingerprints differ by at most `radius` bits are linked; equal ones always are, those of empty texts (0)
+    included. Null ids are allowed; a component of only null ids has a null component_id. Repeated rows stay, an empty table gives an
+    empty one; other columns of `docs` are not read, whatever their names. Texts may be of any length.
+    """
+    prints = written(fingerprints(docs, id_col, text_col, shingle))
+    parts = connected_components(near_pairs(prints, radius, strip_rows))
+    first = prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    of = written(first.join(parts, "node", "left").select("node", "low", "n", F.coalesce("component", "node").alias("component")))
+    lowest = of.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("m"))
+    groups = join_once(of, lowest, ["component"], n="m").select(F.col("node").alias("fp"), "component_id", "n")
+    return join_once(prints, groups, ["fp"]).select("doc_id", "k", "t", "fp", "component_id")
+
+
+# -- similarity of shingle sets -------------------------------------------------------------------------------------
+
+
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's word shingles, sorted, and the texts' bounds in them; a text of fewer words is one shingle."""
+    words = find_words(texts, SPACED)
+    counts = words.counts()
+    hashes, at = grams(words.hash, words.row, shingle)
+    row = words.row[at]
+    for size in np.unique(counts[(counts > 0) & (counts < shingle)]):
+        few, first = grams(words.hash, words.row, int(size))
+        own = counts[words.row[first]] == size
+        hashes, row = np.concatenate([hashes, few[own]]), np.concatenate([row, words.row[first[own]]])
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    hashes, row = hashes[new], row[new]
+    return hashes, np.searchsorted(row, np.arange(len(texts) + 1))
+
+
+def set_prints(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash (int64) of each set, 0 for an empty one, and the names of the blocks it enters (rows, BLOCKS): hashes of its smallest hashes under several orders."""
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    votes, blocks = np.zeros((len(bounds) - 1, 64), np.int32), np.zeros((len(bounds) - 1, BLOCKS), np.uint64)
+    starts = bounds[:-1][full]
+    if not len(full):
+        return np.zeros(len(bounds) - 1, np.int64), blocks.view(np.int64)
+    for bit in range(64):
+        votes[full, bit] = np.add.reduceat((hashes >> np.uint64(bit) & np.uint64(1)).astype(np.int32), starts)
+    fp = np.packbits(2 * votes > np.diff(bounds)[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
+    turns = mix(np.arange(1, 2 * BLOCKS * BLOCK_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, BLOCKS, BLOCK_HASHES)
+    for i in range(BLOCKS):
+        name = np.full(len(full), np.uint64(i + 1))
+        for j in range(BLOCK_HASHES):
+            least = np.minimum.reduceat(hashes * (turns[0, i, j] | np.uint64(1)) + turns[1, i, j], starts)
+            name = mix(name * np.uint64(0xD6E8FEB86659FD93) + least)
+        blocks[full, i] = name
+    return fp, blocks.view(np.int64)
+
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("node", pa.binary()), ("size", pa.int64()), ("fp", pa.int64()), ("blocks", pa.list_(pa.int64()))])
+
+
+def _set_scan(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            hashes, bounds = shingle_sets(part["text"], shingle)
+            fp, blocks = set_prints(hashes, bounds)
+            nodes = [xxhash.xxh3_128_digest(hashes[i:j].tobytes()) for i, j in zip(bounds, bounds[1:], strict=False)]
+            sizes = np.diff(bounds)
+            yield arrow_batch(_SETS, part["doc_id"], part["k"], part["t"], nodes, sizes, fp, [x if n else [] for x, n in zip(blocks.tolist(), sizes.tolist(), strict=True)])
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity or more."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block and pair of strips: a spanning forest of the similar pairs of each."""
+    schema, radius = pa.schema([("a", pa.binary()), ("b", pa.binary())]), bits_at(similarity)
+
+    def links(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        strip, low, high = rows["strip"].to_numpy(), rows["low"][0].as_py(), rows["high"][0].as_py()
+        own = np.flatnonzero(strip == low)
+        other = own if low == high else np.flatnonzero(strip == high)
+        fp, sets = rows["fp"].to_numpy().view(np.uint64), [np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()]
+        x, y = linked(fp[own], None if low == high else fp[other], radius, lambda u, v: similar(sets[own[u]], sets[other[v]], similarity))
+        if len(x):
+            nodes = rows["node"]
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(own[x])), nodes.take(pa.array(other[y]))], schema=schema)
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = list(zip(*(batch[c].to_pylist() for c in ("block", "low", "high")), strict=True))
+        begin = 0
+        for i, key in enumerate([*keys, None]):
+            if i == len(keys) or key != last:
+                if i > begin:
+                    held.append(batch.slice(begin, i - begin))
+                if i < len(keys):
+                    if sum(x.num_rows for x in held) > 1:
+                        yield from links(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held, begin, last = [], i, key
+    if sum(x.num_rows for x in held) > 1:
+        yield from links(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, k, t, node) of `docs`, and for each node (node, component_id, first_k, first_t): the group of near copies it is in.
+
+    Links are between texts whose sets of distinct shingles have a Jaccard similarity of at least `similarity`, as counted on the sets
+    themselves; groups are what links connect, and (first_k, first_t) is the row of the smallest id (null is the largest), then of the
+    least text hash. Equal sets, empty ones included, are one node, told by a 128-bit digest. At this similarity about ten bits of a SimHash differ, so
+    comparing all fingerprints would skip no tiles; sets meet in blocks instead, each named by the smallest shingle hashes under
+    BLOCK_HASHES orders. In a block, strips are compared in tiles as in `near_pairs`, within the bits that the similarity
+    stands for plus three standard errors, and what is within them by its sets. Of pairs at a similarity of exactly 0.8, 98.5 % share a block, of
+    those at 0.9 all but 1 in 3,000. A block of many or long texts is cut into strips, and each two strips are a piece of work of their own.
+    Null ids and texts, repeated rows, empty tables and other columns of any name are allowed.
     """
-    total = None
-    if similarity is None:
-        size = 1
-    else:
-        radius, total = bits_at(similarity, 64, 3.0), bits_at(similarity, 64 * size)
-    prints = fingerprints(docs, id_col, text_col, shingle, size=size)
-    node = F.col("fp") if similarity is None else F.xxhash64("fp", "more")
-    prints = written(prints.withColumn("node", node))
-    parts = connected_components(near_pairs(prints, radius, total, strip_rows))
-    first = prints.groupBy("node").agg(F.min("doc_id").alias("low"))
-    of = first.join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    lowest = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    groups = of.join(lowest, "component").select("node", "component_id")
-    return prints.join(groups, "node").select("doc_id", "k", "t", "fp", "component_id")
+    rows = keyed(docs, id_col, text_col)
+    prints = written(rows.mapInArrow(lambda b: _set_scan(b, shingle), "doc_id long, k long, t long, node binary, size long, fp long, blocks array<long>"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "k", "t")
+    nodes = written(prints.groupBy("node", "size", "fp", "blocks").agg(F.min(order).alias("x")).select("node", "size", "fp", "blocks", "x.none", "x.k", "x.t"))
+    entries = nodes.select("node", "size", F.explode("blocks").alias("block"))
+    strips = F.greatest(F.ceil(F.sum("size") * 8 / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
+    crowds = written(entries.groupBy("block").agg(F.count("*").alias("n"), strips.alias("strips")).where("n > 1"))
+    placed = written(join_once(entries, crowds, ["block"]).select("node", "block", "strips", F.pmod(F.xxhash64("node"), F.col("strips")).cast("int").alias("strip")))
+    wanted = placed.select("node").distinct().join(nodes.select("node", "fp", "k", "t"), "node")
+    schema = pa.schema([("node", pa.binary()), ("fp", pa.int64()), ("hashes", pa.binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                hashes, bounds = shingle_sets(part["text"], shingle)
+                yield arrow_batch(schema, part["node"], part["fp"], [hashes[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)])
+
+    found = rows.select("k", "t", "text").join(wanted, ["k", "t"]).select("node", "fp", "text").mapInArrow(sets, "node binary, fp long, hashes binary").dropDuplicates(["node"])
+    dealt = placed.select("node", "block", "strip", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("other")).select(
+        "node", "block", "strip", F.least("strip", "other").alias("low"), F.greatest("strip", "other").alias("high")
+    )
+    keys = ["block", "low", "high"]
+    work = dealt.join(found, "node").select(*keys, "strip", "node", "fp", "hashes").repartition(*keys).sortWithinPartitions(*keys)
+    parts = connected_components(work.mapInArrow(lambda b: _block_links(b, similarity), "a binary, b binary"))
+    of = written(nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "none", "k", "t"))
+    first = of.groupBy("component").agg(F.min(F.struct("none", "k", "t")).alias("x"), F.count("*").alias("n"))
+    groups = join_once(of, first, ["component"]).select("node", F.when(~F.col("x.none"), F.col("x.k")).alias("component_id"), F.col("x.k").alias("first_k"), F.col("x.t").alias("first_t"))
+    return prints.select("doc_id", "k", "t", "node"), groups
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; see `simhash_groups` for nulls, empty texts, repeated rows and empty tables."""
     groups = simhash_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -80,13 +80,14 @@ def test_url_templates_follow_their_labels(spark):
 
 def test_pipeline(spark, docs, rows, tmp_path):
     import corpus_pipeline as P
+    from offerlens.llm.frames import written
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     items = spark.createDataFrame([(1, " ".join(f"passage{i}" for i in range(60)))], "item_id long, text string")
     items.write.parquet(str(tmp_path / "benchmark.parquet"))
     kept, frames = docs, []
     for _, stage in P.STAGES[:-1]:
-        kept = P.written(stage(spark, kept, str(tmp_path)))
+        kept = written(stage(spark, kept, str(tmp_path)))
         assert kept.columns == docs.columns
         frames.append({r["doc_id"]: r["text"] for r in kept.collect()})
     language, lines, near, clean = frames

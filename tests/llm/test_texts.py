@@ -95,45 +95,92 @@ def test_simhash(docs, rows, none, shingle):
         parts = [" ".join(words[j : j + shingle]) for j in range(max(1, len(words) - shingle + 1))] if words else []
         hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
         prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
-    n, root = len(prints), list(range(len(prints)))
+    lowest, find = groups_of(rows, [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    want = Counter((rows[a][0], prints[a] - (prints[a] >> 63 << 64), lowest[find(a)]) for a in range(len(rows)))
+    for strip in (simhash.STRIP_ROWS, 3):
+        assert counted(simhash.simhash_groups(docs, shingle=shingle, strip_rows=strip), "doc_id", "fp", "component_id") == want
+    assert simhash.simhash_groups(none).count() == 0
+
+
+def groups_of(rows, links):
+    """Smallest id of each group that links connect, and the function from a row's number to its group."""
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in range(n):
-        for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
-                root[find(a)] = find(b)
+    for a, b in links:
+        root[find(a)] = find(b)
     groups: dict[int, list] = {}
-    for a in range(n):
+    for a in range(len(rows)):
         groups.setdefault(find(a), []).append(rows[a][0])
-    lowest = {r: min((i for i in ids if i is not None), default=None) for r, ids in groups.items()}
-    want = Counter((rows[a][0], prints[a] - (prints[a] >> 63 << 64), lowest[find(a)]) for a in range(n))
-    for strip in (None, 3):
-        assert counted(simhash.simhash_groups(docs, shingle=shingle, strip_rows=strip), "doc_id", "fp", "component_id") == want
-    assert simhash.simhash_groups(none).count() == 0
-
-
-def test_simhash_by_similarity(docs):
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(docs, similarity=0.8).collect()}
-    assert {groups[i] for i in (24, 25, 26, 27, 28)} == {24}
-    assert groups[5] == 5 and groups[36] == 36
+    return {r: min((i for i in ids if i is not None), default=None) for r, ids in groups.items()}, find
+
+
+def shingles(text, size=5):
+    words = SPACED.findall(lower(text))
+    return {tuple(words[j : j + size]) for j in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def near(x, y):
+    return x == y or 5 * len(x & y) >= 4 * len(x | y)
+
+
+@pytest.mark.parametrize("strip", [8192, 3])
+def test_near_duplicates_against_all_pairs(docs, rows, none, strip, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", strip)
+    sets = [shingles(t) for _, t in rows]
+    lowest, find = groups_of(rows, [(a, b) for a in range(len(rows)) for b in range(a) if near(sets[a], sets[b])])
+    found, groups = simhash.near_duplicates(docs)
+    got = found.join(groups, "node")
+    assert counted(got, "doc_id", "component_id") == Counter((rows[a][0], lowest[find(a)]) for a in range(len(rows)))
+    assert simhash.near_duplicates(none)[1].count() == 0
+
+
+def test_near_duplicates_by_similarity(spark):
+    """Pairs right at the threshold: just above are found, just below never are; repeats of a line do not count, and a hot group is whole."""
+    import random
+
+    rng, texts = random.Random(11), {}
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    for i in range(300):
+        words = [word() for _ in range(224)]  # 220 shingles; those of a new tail of m words are m
+        for j, m in ((1, 24), (2, 25)):  # 196 of 244 shingles shared: 0.803; 195 of 245: 0.796
+            texts[i * 10 + j] = " ".join(words[:-m] + [word() for _ in range(m)])
+        texts[i * 10] = " ".join(words)
+    line = " ".join(word() for _ in range(60))
+    base = " ".join(word() for _ in range(400))
+    texts[90_000], texts[90_001] = base, base + (" " + line) * 200
+    texts[90_002] = " ".join(word() for _ in range(400)) + (" " + line) * 200
+    hot = [word() for _ in range(100)]
+    for i in range(400):
+        texts[100_000 + i] = " ".join([*hot, str(i)])
+    found, groups = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = {r["doc_id"]: r["component_id"] for r in found.join(groups, "node").collect()}
+    assert near(shingles(texts[0]), shingles(texts[1])) and not near(shingles(texts[0]), shingles(texts[2]))
+    assert np.mean([got[i * 10 + 1] == i * 10 for i in range(300)]) > 0.96
+    assert all(got[i * 10 + 2] == i * 10 + 2 for i in range(300))
+    assert (got[90_000], got[90_001], got[90_002]) == (90_000, 90_000 if near(shingles(base), shingles(texts[90_001])) else 90_001, 90_002)
+    assert {got[100_000 + i] for i in range(400)} == {100_000}
 
 
 def test_spanning_forest_connects_what_is_near():
     rng = np.random.default_rng(3)
     heads = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    bits = np.unique(np.concatenate([heads, *[heads ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(30)]]))[:, None]
-    x, y = simhash.linked(bits, None, 4)
-    assert all((np.bitwise_count(bits[x] ^ bits[y]) <= 4).all(axis=1))
-    label = np.arange(len(bits))
-    for a, b in zip(x, y, strict=True):
-        label[label == label[b]] = label[a]
-    for a in range(len(bits)):
-        assert (label[np.bitwise_count(bits[:, 0] ^ bits[a, 0]) <= 4] == label[a]).all()
-    assert len(x) < len(bits)
+    bits = np.unique(np.concatenate([heads, *[heads ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(30)]]))
+    allowed = lambda a, b: (a + b) % 3 > 0
+    for test in (None, allowed):
+        x, y = simhash.linked(bits, None, 4, test)
+        assert (np.bitwise_count(bits[x] ^ bits[y]) <= 4).all() and len(x) < len(bits)
+        label = np.arange(len(bits))
+        for a, b in zip(x, y, strict=True):
+            assert test is None or test(a, b)
+            label[label == label[b]] = label[a]
+        for a in range(len(bits)):
+            close = np.flatnonzero(np.bitwise_count(bits ^ bits[a]) <= 4)
+            assert all(label[b] == label[a] for b in close if b != a and (test is None or test(a, b)))
 
 
 def test_decontamination(spark, docs, rows, none):
