@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm.frames import ascii_lower, table, written
+from offerlens.llm.frames import ascii_lower, join_once, table, written
 
 #: Verdict, host and path of each rule; a rule holds for its host and all subdomains.
 RULES = [
@@ -17,11 +17,13 @@ RULES = [
 ]
 #: Different values under one parent from which rare ones become a wildcard, and the share of the parent that is not rare.
 MAX_CHILDREN, KEPT_SHARE = 8, 0.02
-#: Standard errors that a branch may differ from its siblings and still be merged with them.
+#: Standard errors that a branch may differ from its siblings together and still be merged with those like it.
 MERGE_Z = 2.0
-#: Weight, in labelled urls, of the host's share for a template and of the overall share for a host.
+#: Weight, in labelled urls, of a parent's share for its children, of a host's for its first segments and of the overall share for a host.
 PRIOR_WEIGHT = 4.0
 BLOCK_SHARE = 0.5
+#: Segments that have a level of the tree each; what stands behind them is one segment.
+LEVELS = 32
 
 
 def host_of(url: Column) -> Column:
@@ -51,94 +53,133 @@ def shape_of(segment: Column) -> Column:
     )
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, max_children: int = MAX_CHILDREN, merge_z: float = MERGE_Z) -> DataFrame:
+def _children(paths: DataFrame, level: int, max_children: int, merge_z: float) -> DataFrame:
+    """(host, node, branches, n) for each node with children at `level`: a map from a child's segment to its branch (node, share), {w} for those not in it.
+
+    A child is kept if its node has few of them or it has KEPT_SHARE of the node's urls, so a node keeps 50 at most and its map is small.
+    """
+    keys = ["host", "node"]
+    heads = written(
+        paths.groupBy(*keys, "share", F.get("s", F.lit(level)).alias("seg"))
+        .agg(F.sum("n").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.count("*").alias("paths"))
+    )
+    nodes = heads.groupBy(*keys).agg(
+        F.max("share").alias("share"), F.count("*").alias("n"), F.sum("urls").alias("all_urls"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"), F.sum("paths").alias("paths")
+    )
+    nodes = written(nodes)
+    limits = nodes.select(*keys, "n", F.col("n").alias("children"), "all_urls")
+    kept = join_once(heads.drop("share"), limits, keys).where((F.col("children") <= max_children) | (F.col("urls") >= F.col("all_urls") * KEPT_SHARE))
+    kept = kept.groupBy(*keys).agg(F.collect_list(F.struct("seg", "labelled", "blocked")).alias("kept"), F.sum("labelled").alias("kept_labelled"), F.sum("blocked").alias("kept_blocked"), F.count("*").alias("n_kept"))
+    zero = F.lit(0).cast("long")
+    own = nodes.join(kept, keys, "left")
+    rest = F.when(F.col("n") > F.coalesce("n_kept", zero), F.array(F.struct(F.lit("{w}").alias("seg"), (F.col("all_labelled") - F.coalesce("kept_labelled", zero)).alias("labelled"), (F.col("all_blocked") - F.coalesce("kept_blocked", zero)).alias("blocked"))))
+    none = F.array().cast("array<struct<seg:string,labelled:bigint,blocked:bigint>>")
+    own = own.withColumn("c", F.concat(F.coalesce("kept", none), F.coalesce(rest, none)))
+    p = F.try_divide(F.col("all_blocked").cast("double"), F.col("all_labelled"))
+
+    def alike(x: Column) -> Column:
+        """Two shares, of the branch and of its siblings, that come from one by the usual test; both sides need labels."""
+        labelled, blocked = F.col("all_labelled") - x["labelled"], F.col("all_blocked") - x["blocked"]
+        apart = F.abs(x["blocked"].cast("double") / x["labelled"] - blocked.cast("double") / labelled)
+        error = F.sqrt(p * (1 - p) * (F.lit(1.0) / x["labelled"] + F.lit(1.0) / labelled))
+        return F.when((x["labelled"] > 0) & (labelled > 0), apart <= F.lit(merge_z) * error).otherwise(False)
+
+    own = own.withColumn("c", F.transform("c", lambda x: F.struct(x["seg"].alias("seg"), x["labelled"].alias("labelled"), x["blocked"].alias("blocked"), alike(x).alias("alike"))))
+    own = own.withColumn("merged", F.filter("c", lambda x: x["alike"])).withColumn("several", F.size("merged") > 1)
+    total = lambda field: F.aggregate("merged", zero, lambda a, x: a + x[field])
+    own = own.withColumns({"m_labelled": total("labelled"), "m_blocked": total("blocked")})
+
+    def branch(x: Column) -> Column:
+        together = F.col("several") & x["alike"]
+        labelled, blocked = F.when(together, F.col("m_labelled")).otherwise(x["labelled"]), F.when(together, F.col("m_blocked")).otherwise(x["blocked"])
+        return F.struct(
+            F.concat(F.col("node"), F.lit("/"), F.when(together, F.lit("*")).otherwise(x["seg"])).alias("node"), ((blocked + PRIOR_WEIGHT * F.col("share")) / (labelled + PRIOR_WEIGHT)).alias("share")
+        )
+
+    return own.select(*keys, F.map_from_entries(F.transform("c", lambda x: F.struct(x["seg"], branch(x)))).alias("branches"), F.col("paths").alias("n"))
+
+
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, max_children: int = MAX_CHILDREN, merge_z: float = MERGE_Z, levels: int = LEVELS) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, block_share) for each row of `pages`.
 
-    Urls that a rule fits are labelled. Per host, paths are generalised: numbers and ids at once, and where a parent has more
-    than `max_children` different first segments those with less than KEPT_SHARE of its urls. Branches that differ in one first segment only and whose
-    block share is within `merge_z` standard errors of all of them together share their counts. A template's block share
-    is smoothed towards its host's, and the host's towards that of all urls; from BLOCK_SHARE on it is rejected.
-    Null urls and urls without :// have an empty host and path, and are judged as one host. Without labels the share is 0.5.
+    Urls that a rule fits are labelled. Each host has a tree of its paths' segments, in which numbers and long ids are wildcards at once. Level by
+    level, from the host down: where a node has more than `max_children` different segments, those with less than KEPT_SHARE of its urls
+    become one wildcard {w}; then branches whose share of blocked urls is within `merge_z` standard errors of that of their siblings
+    together merge to one, *, and go on as one node, if there are two or more. A branch without labels is left as it is. Each node's share is
+    smoothed towards its parent's, the host's towards that of all urls; a template, the node where a path ends, is rejected from BLOCK_SHARE on.
+
+    Null urls and urls without :// have an empty host and path, and are judged as one host; a path without segments ends at its host's node. Without
+    labels the share is 0.5. Segments from the `levels`-th on count as one. Empty segments do not count; one that is itself written {w} or * is that
+    wildcard. Repeated rows and ids stay, each judged alike; an empty table gives an empty one; other columns are not read. A host or
+    a node with very many paths is not brought together: its children are counted first, and its map of branches is sent to where its paths are.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, label = rule_of(F.col("host"), F.col("path"), rules)
-    segments = F.transform(F.split(F.regexp_replace("path", "^/+|/+$", ""), "/+"), shape_of)
-    rows = rows.withColumns({"rule": rule, "label": label, "s": segments}).withColumns(
-        {"head": F.element_at("s", 1), "rest": F.array_join(F.slice("s", 2, 1_000_000), "/")}
-    )
-    counts = written(rows.groupBy("host", "head", "rest").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.count_if(F.col("label") == "block").alias("blocked")))
-    # variable first segments of each host
-    heads = counts.groupBy("host", "head").agg(F.sum("n").alias("n"))
-    hosts = heads.groupBy("host").agg(F.count("*").alias("children"), F.sum("n").alias("total"))
-    rare = (F.col("children") > max_children) & (F.col("n") < F.col("total") * KEPT_SHARE)
-    general = heads.join(hosts, "host").select("host", "head", F.when(rare, F.lit("{w}")).otherwise(F.col("head")).alias("general"))
-    tree = counts.join(general, ["host", "head"]).groupBy("host", "general", "rest").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-    # siblings: the same rest under another first segment
-    family = tree.groupBy("host", "rest").agg(F.sum("labelled").alias("f_labelled"), F.sum("blocked").alias("f_blocked"))
-    overall = tree.agg(F.sum("labelled"), F.sum("blocked")).first()
-    prior = float((overall[1] or 0) + 1) / float((overall[0] or 0) + 2)
-    of_host = tree.groupBy("host").agg(((F.sum("blocked") + PRIOR_WEIGHT * prior) / (F.sum("labelled") + PRIOR_WEIGHT)).alias("host_share"))
-    p = F.try_divide("f_blocked", "f_labelled")
-    own = F.try_divide("blocked", "labelled")
-    alike = (F.col("labelled") == 0) | (F.abs(own - p) <= merge_z * F.sqrt(F.try_divide(p * (1 - p), F.col("labelled"))))
-    judged = (
-        tree.join(family, ["host", "rest"]).join(of_host, "host")
-        .withColumn("merged", alike)
-        .withColumns({"x": F.when(F.col("merged"), F.col("f_blocked")).otherwise(F.col("blocked")), "y": F.when(F.col("merged"), F.col("f_labelled")).otherwise(F.col("labelled"))})
-        .select(
-            "host", "general", "rest",
-            F.concat(F.lit("/"), F.concat_ws("/", F.when(F.col("merged"), F.lit("*")).otherwise(F.col("general")), F.when(F.col("rest") != "", F.col("rest")))).alias("template"),
-            ((F.col("x") + PRIOR_WEIGHT * F.col("host_share")) / (F.col("y") + PRIOR_WEIGHT)).alias("block_share"),
-        )
-    )
-    # from the paths that exist: a wildcard's first segments never meet rests of each other
-    paths = counts.select("host", "head", "rest").join(general, ["host", "head"])
-    templates = paths.join(judged, ["host", "general", "rest"]).select("host", "head", "rest", "template", "block_share")
+    segments = F.filter(F.split("path", "/"), lambda x: x != "")
+    tail = F.array_join(F.slice(segments, levels, 1_000_000), "/")
+    segments = F.when(F.size(segments) < levels, segments).otherwise(F.concat(F.slice(segments, 1, levels - 1), F.array(tail)))
+    rows = rows.withColumns({"rule": rule, "label": label, "s": F.transform(segments, shape_of)})
+    counts = written(rows.groupBy("host", "s").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.count_if(F.col("label") == "block").alias("blocked")))
+    hosts = written(counts.groupBy("host").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.count("*").alias("n"), F.max(F.size("s")).alias("depth")))
+    overall = hosts.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.max("depth"), F.lit(0))).first()
+    prior = float(overall[1] + 1) / float(overall[0] + 2)
+    shares = hosts.select("host", ((F.col("blocked") + PRIOR_WEIGHT * prior) / (F.col("labelled") + PRIOR_WEIGHT)).alias("share"), "n")
+    paths = written(join_once(counts, shares, ["host"]).withColumn("node", F.lit("")))
+    ended = paths.where(F.size("s") == 0)
+    for level in range(overall[2]):
+        going = paths.where(F.size("s") > level)
+        branches = written(_children(going, level, max_children, merge_z))
+        found = F.coalesce(F.try_element_at("branches", F.get("s", F.lit(level))), F.try_element_at("branches", F.lit("{w}")))
+        paths = written(join_once(going.drop("share"), branches, ["host", "node"]).withColumn("to", found).select("host", "s", "n", "labelled", "blocked", F.col("to.share").alias("share"), F.col("to.node").alias("node")))
+        ended = ended.unionByName(paths.where(F.size("s") == level + 1))
+    # every path with its template; as many rows as there are different paths
+    templates = ended.select("host", "s", "n", F.when(F.col("node") == "", "/").otherwise(F.col("node")).alias("template"), F.col("share").alias("block_share"))
     verdict = F.coalesce("label", F.when(F.col("block_share") >= BLOCK_SHARE, "block").otherwise("allow"))
-    return rows.join(templates, ["host", "head", "rest"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("block_share", 6).alias("block_share"))
+    return join_once(rows, templates, ["host", "s"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("block_share", 6).alias("block_share"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict, template, block_share) of every page; see `judge_urls` for null urls, repeated rows and empty tables."""
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
 OP7_SQL = rf"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages
 ), ru AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{h}', '{p}')" for k, h, p in RULES)}) v(kind, at_host, start)),
 m AS (
-  SELECT u.page_id, u.host, u.path, arg_max(at_host || start, length(at_host || start)) AS rule, arg_max(kind, length(at_host || start)) AS label
-  FROM (SELECT DISTINCT * FROM u) u JOIN ru ON (u.host = at_host OR ends_with(u.host, '.' || at_host)) AND starts_with(u.path, start)
+  SELECT u.host, u.path, arg_max(at_host || start, length(at_host || start)) AS rule, arg_max(kind, length(at_host || start)) AS label
+  FROM (SELECT DISTINCT host, path FROM u) u JOIN ru ON (u.host = at_host OR ends_with(u.host, '.' || at_host)) AND starts_with(u.path, start)
   GROUP BY ALL
 ), r AS (
   SELECT u.page_id, u.host, u.path, m.rule, m.label,
-    list_transform(regexp_split_to_array(regexp_replace(u.path, '^/+|/+$', '', 'g'), '/+'), lambda s:
+    list_transform(list_filter(string_split(u.path, '/'), lambda x: x <> ''), lambda s:
       CASE WHEN regexp_full_match(s, '[0-9]+') THEN '{{n}}'
         WHEN regexp_full_match(s, '[0-9]+\.[a-zA-Z0-9]+') THEN '{{n}}' || regexp_extract(s, '(\.[a-zA-Z0-9]+)$', 1)
         WHEN length(s) >= 16 AND regexp_matches(s, '[0-9]') THEN '{{id}}' ELSE s END) AS s
-  FROM u LEFT JOIN m ON u.page_id IS NOT DISTINCT FROM m.page_id AND u.host = m.host AND u.path = m.path
-), q AS (SELECT *, s[1] AS head, array_to_string(s[2:], '/') AS rest FROM r),
-h AS (SELECT host, head, count(*) AS n FROM q GROUP BY 1, 2),
-g AS (
-  SELECT host, head, CASE WHEN count(*) OVER (PARTITION BY host) > {MAX_CHILDREN} AND n < sum(n) OVER (PARTITION BY host) * {KEPT_SHARE} THEN '{{w}}' ELSE head END AS general FROM h
-), tr AS (
-  SELECT host, general, rest, count(label) AS labelled, count(*) FILTER (WHERE label = 'block') AS blocked
-  FROM q JOIN g USING (host, head) GROUP BY 1, 2, 3
-), pr AS (SELECT (sum(blocked) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS prior FROM tr),
-hs AS (SELECT host, (sum(blocked) + {PRIOR_WEIGHT}::DOUBLE * any_value(prior)) / (sum(labelled) + {PRIOR_WEIGHT}::DOUBLE) AS host_share FROM tr, pr GROUP BY 1),
-f AS (SELECT host, rest, sum(labelled)::DOUBLE AS fl, sum(blocked)::DOUBLE AS fb FROM tr GROUP BY 1, 2),
-a AS (
-  SELECT tr.*, fl, fb, host_share, labelled = 0 OR abs(blocked::DOUBLE / labelled - fb / fl) <= {MERGE_Z}::DOUBLE * sqrt((fb / fl) * (1 - fb / fl) / labelled) AS merged
-  FROM tr JOIN f USING (host, rest) JOIN hs USING (host)
-), j AS (
-  SELECT host, general, rest, '/' || CASE WHEN merged THEN '*' ELSE general END || CASE WHEN rest <> '' THEN '/' || rest ELSE '' END AS template,
-    (CASE WHEN merged THEN fb ELSE blocked END + {PRIOR_WEIGHT}::DOUBLE * host_share) / (CASE WHEN merged THEN fl ELSE labelled END + {PRIOR_WEIGHT}::DOUBLE) AS block_share
-  FROM a
+  FROM u LEFT JOIN m ON u.host = m.host AND u.path = m.path
+), c AS (SELECT host, s, count(*) AS n, count(label) AS l, count(*) FILTER (WHERE label = 'block') AS b FROM r GROUP BY 1, 2),
+pr AS (SELECT (sum(b) + 1)::DOUBLE / (sum(l) + 2)::DOUBLE AS prior FROM c),
+t(host, s, n, l, b, node, share, d) AS (
+  SELECT host, s, n, l, b, '', (sum(b) OVER (PARTITION BY host) + {PRIOR_WEIGHT}::DOUBLE * prior) / (sum(l) OVER (PARTITION BY host) + {PRIOR_WEIGHT}::DOUBLE), 0 FROM c, pr
+  UNION ALL
+  SELECT host, s, n, l, b, node || '/' || CASE WHEN min(general) OVER k <> max(general) OVER k THEN key ELSE general END,
+    (sum(b) OVER k + {PRIOR_WEIGHT}::DOUBLE * share) / (sum(l) OVER k + {PRIOR_WEIGHT}::DOUBLE), d + 1
+  FROM (
+    SELECT *, CASE WHEN gl > 0 AND pl - gl > 0 AND abs(gb::DOUBLE / gl - (pb - gb)::DOUBLE / (pl - gl)) <= {MERGE_Z}::DOUBLE * sqrt(pb::DOUBLE / pl * (1 - pb::DOUBLE / pl) * (1.0::DOUBLE / gl + 1.0::DOUBLE / (pl - gl))) THEN '*' ELSE general END AS key
+    FROM (
+      SELECT *, sum(l) OVER g AS gl, sum(b) OVER g AS gb, sum(l) OVER p AS pl, sum(b) OVER p AS pb
+      FROM (
+        SELECT *, CASE WHEN max(rank) OVER (PARTITION BY host, node) > {MAX_CHILDREN} AND sum(n) OVER (PARTITION BY host, node, seg) < sum(n) OVER (PARTITION BY host, node) * {KEPT_SHARE}::DOUBLE THEN '{{w}}' ELSE seg END AS general
+        FROM (SELECT *, s[d + 1] AS seg, dense_rank() OVER (PARTITION BY host, node ORDER BY s[d + 1]) AS rank FROM t WHERE len(s) > d)
+      ) WINDOW g AS (PARTITION BY host, node, general), p AS (PARTITION BY host, node)
+    )
+  ) WINDOW k AS (PARTITION BY host, node, key)
 )
-SELECT page_id, host, path, rule, coalesce(label, CASE WHEN block_share >= {BLOCK_SHARE} THEN 'block' ELSE 'allow' END) AS verdict, template, round(block_share, 6) AS block_share
-FROM q JOIN g USING (host, head) JOIN j USING (host, general, rest)
+SELECT page_id, host, path, rule, coalesce(label, CASE WHEN share >= {BLOCK_SHARE} THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN node = '' THEN '/' ELSE node END AS template, round(share, 6) AS block_share
+FROM r JOIN t USING (host, s) WHERE t.d = len(s)
 """
