@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,14 @@ def join_once(rows: DataFrame, sums: DataFrame, keys: list[str], n: str = "n", h
     """`rows` joined (inner, left or left_semi) with `sums`: one row for each key, with the number of its rows in column `n`.
 
     Rows of the most frequent keys stay where they are and meet a broadcast of `hot_keys` rows at most; the others are
-    shuffled. Keys must not be null for a match; `n` is dropped. `rows` and `sums` are read more than once.
+    shuffled. Rows with a null key match nothing and, in a left join, stay where they are; `n` is dropped. `rows` and `sums` are read more than once.
     """
+    if how == "left":
+        whole, more = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), [f for f in sums.schema if f.name not in (*keys, n)]
+        odd = rows.where(~whole).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in more])
+        rows = rows.where(whole)
     top = sums.where(F.col(n) >= HOT_ROWS).orderBy(F.desc(n), *keys).limit(hot_keys)
     rest = rows.join(F.broadcast(top.select(*keys)), keys, "left_anti").join(sums.drop(n), keys, how)
     hot = rows.join(F.broadcast(top.drop(n)), keys, "inner" if how == "left" else how)
-    return hot.unionByName(rest)
+    both = hot.unionByName(rest)
+    return both.unionByName(odd) if how == "left" else both
