@@ -20,7 +20,7 @@ WINDOW = 20
 GRAM = 6
 
 _SCAN = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("n_words", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("grams", pa.list_(pa.int64())), ("twice", pa.list_(pa.int64()))])
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("place", pa.int32())])
+_RUNS = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("place", pa.int32()), ("nodes", pa.list_(pa.int64()))])
 _DIGESTS = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())])
 _PATHS = "array<struct<start:int,end:int,source:long,source_t:long,source_start:int>>"
 
@@ -45,8 +45,8 @@ def _scan(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             yield arrow_batch(_SCAN, *out)
 
 
-def _edges(batches: Iterator[pa.RecordBatch], window: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """The windows that may be repeated, those whose small gram is: an edge from the node of its first words to that of its last."""
+def _runs(batches: Iterator[pa.RecordBatch], window: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The windows that may be repeated, those whose small gram is, as runs of them: the nodes from the first edge's first to the last one's last."""
     mask = np.uint64((1 << bits) - 1)
     for batch in batches:
         for part in slices(batch):
@@ -68,7 +68,19 @@ def _edges(batches: Iterator[pa.RecordBatch], window: int, bits: int) -> Iterato
             for r in range(part.num_rows):
                 maybe[bounds[r] : bounds[r + 1]] = np.isin(least[bounds[r] : bounds[r + 1]], repeated[r].values.to_numpy(zero_copy_only=False))
             row, starts, k, t = row[maybe], starts[maybe], part["k"].to_numpy(), part["t"].to_numpy()
-            yield arrow_batch(_EDGES, node[starts].view(np.int64), node[starts + 1].view(np.int64), k[row], t[row], (starts - words.first[row]).astype(np.int32))
+            heads = np.flatnonzero(np.diff(starts, prepend=-2) != 1) if len(starts) else starts
+            heads = np.union1d(heads, np.flatnonzero(np.diff(row, prepend=-1)))
+            sizes = np.diff(np.append(heads, len(starts))) + 1  # nodes of each run: one more than it has edges
+            ends = np.cumsum(sizes)
+            index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[heads] - (ends - sizes), sizes)
+            nodes = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(node[index].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(k[row[heads]]), pa.array(t[row[heads]]), pa.array((starts - words.first[row])[heads].astype(np.int32)), nodes], schema=_RUNS)
+
+
+def _edges(runs: DataFrame) -> DataFrame:
+    """(a, b, k, t, place) of each edge of the runs."""
+    each = runs.select("k", "t", "place", "nodes", F.posexplode("nodes").alias("i", "a"))
+    return each.select("a", F.get("nodes", F.col("i") + 1).alias("b"), "k", "t", (F.col("place") + F.col("i")).alias("place")).where("b IS NOT NULL")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +152,6 @@ def _compared(rows: DataFrame, spans: DataFrame) -> DataFrame:
 
 def _by_words(rows: DataFrame, edges: DataFrame, wrong: DataFrame, window: int) -> DataFrame:
     """Spans, one for each window, for the windows of `wrong` spans: those windows met others of the same hash, and are now told apart by their words."""
-    edges = written(edges)
     met = edges.join(wrong.select("k", "t", "start", "end"), ["k", "t"]).where(F.col("place").between(F.col("start"), F.col("end") - window)).select("a", "b").distinct()
     places = edges.join(met, ["a", "b"], "left_semi").select("k", "t", F.col("place").alias("start"), (F.col("place") + window).alias("end")).distinct()
     found = written(_digests(rows, places).withColumnRenamed("start", "place"))
@@ -170,21 +181,22 @@ def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = written(join_once(scanned, heads, ["c1", "c2"]).select("k", "t", "n_words", "head", F.when(own, F.col("grams")).alias("grams"), F.when(own, F.col("twice")).alias("twice")))
     discard(scanned)
     one = F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"), F.col("head").alias("source"), F.lit(None).cast("long").alias("source_t"), F.lit(0).alias("source_start"))
-    copies = marked.where("k > head").select("k", "t", F.array(one).cast(_PATHS).alias("paths")).distinct()
+    copies = written(marked.where("k > head").select("k", "t", F.array(one).cast(_PATHS).alias("paths")).distinct())
     mins = marked.select("k", "t", F.explode("grams").alias("gram"))
-    often = mins.select("gram").unionAll(marked.select(F.explode("twice"))).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    maybe = written(join_once(mins, written(often), ["gram"], how="left_semi").groupBy("k", "t").agg(F.collect_set("gram").alias("grams")))
+    often = written(mins.select("gram").unionAll(marked.select(F.explode("twice"))).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    maybe = written(join_once(mins, often, ["gram"], how="left_semi").groupBy("k", "t").agg(F.collect_set("gram").alias("grams")))
+    discard(marked, often)
     texts = rows.select("k", "t", "text").join(maybe.hint("shuffle_hash"), ["k", "t"])
-    scan = texts.mapInArrow(lambda b: _edges(b, window, bits), "a long, b long, k long, t long, place int")
-    edges = written(scan)
-    paths = _paths(edges)
-    spans = written(_spans(join_once(edges, paths, ["a", "b"]).where(_earlier()), window))
-    discard(edges, paths)
+    scan = texts.mapInArrow(lambda b: _runs(b, window, bits), "k long, t long, place int, nodes array<long>")
+    runs = written(scan)
+    paths = _paths(_edges(runs))
+    spans = written(_spans(join_once(_edges(runs), paths, ["a", "b"]).where(_earlier()), window))
+    discard(runs, paths)
     compared = _compared(rows, spans)
     discard(spans)
     good, wrong = compared.where("same").drop("same"), compared.where("NOT same")
     if wrong.take(1):
-        good = good.unionByName(written(_by_words(rows, scan, wrong, window)))
+        good = good.unionByName(written(_by_words(rows, _edges(written(scan)), wrong, window)))
     parts = good.groupBy("k", "t").agg(F.collect_set(F.struct("start", "end", "source", "source_t", "source_start")).alias("paths"))
     return parts.select("k", "t", F.col("paths").cast(_PATHS)).unionByName(copies)
 

@@ -297,3 +297,80 @@ def test_language_evidence(spark):
     got = {r["doc_id"]: r["lang"] for r in language_id.identify(frame, language_id.fit(frame), host=F.col("host"), declared=F.col("said")).collect()}
     plain = {r["doc_id"]: r["confidence"] for r in language_id.identify(frame, language_id.fit(frame)).where("doc_id = 902").collect()}
     assert got[900] == "de" and got[902] == "de" and plain[902] > 0.9
+
+
+def plain_fusion(rows, model):
+    """`identify` by loops: rows are (text, host, declared); (lang, confidence) of each."""
+    languages, table = model
+    names = [*languages, "und"]
+    n, logs, posts = len(names), [], []
+    softmax = lambda x: [math.exp(v - max(x)) / sum(math.exp(w - max(x)) for w in x) for v in x]
+    for text, _, _ in rows:
+        data = [b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()]
+        codes = [data[i] << 16 | data[i + 1] << 8 | data[i + 2] for i in range(len(data) - 2)]
+        grams = [(c * 2654435761 & 0xFFFFFFFF) >> 18 for c in codes if c != 0x202020]
+        share = min(len(grams), language_id.TEXT_WEIGHT) / max(len(grams), 1)
+        logs.append([sum(float(table[i][g]) for g in grams) * share for i in range(n)] if grams else None)
+        posts.append(softmax(logs[-1]) if grams else None)
+
+    def sums(key, skip):
+        found = [p for j, (p, r) in enumerate(zip(posts, rows, strict=True)) if p and j != skip and key(r[1])]
+        return [sum(p[i] for p in found) for i in range(n)], len(found)
+
+    out = []
+    for j, (_, host, declared) in enumerate(rows):
+        if not posts[j]:
+            out.append(("und", 0.0))
+            continue
+        domain = lambda h: ".".join(h.split(".")[-2:]) if h and "." in h else None
+        suffix = lambda h: h.split(".")[-1] if h and "." in h else None
+        tests = [lambda h: True] + ([lambda h: suffix(h) == suffix(host), lambda h: domain(h) == domain(host)] if suffix(host) else []) + ([lambda h: h == host] if host else [])
+        prior = [1 / n] * n
+        for test in tests:
+            s, count = sums(test, j)
+            prior = [(s[i] + language_id.LEVEL_WEIGHT * prior[i]) / (count + language_id.LEVEL_WEIGHT) for i in range(n)]
+        score = [logs[j][i] + math.log(prior[i]) for i in range(n)]
+        lang = language_id.SUFFIXES.get(suffix(host))
+        if lang in languages:
+            score[names.index(lang)] += math.log(language_id.SUFFIX_ODDS)
+        if declared in languages:
+            d = lambda x, i, j=j: sum(posts[m][i] for m in range(len(rows)) if m != j and posts[m] and rows[m][2] == x)
+            for i in range(n):
+                trust = language_id.DECLARED_TRUST if names[i] == declared else (1 - language_id.DECLARED_TRUST) / (n - 1)
+                # the own row declares `declared` only, so it is out of that sum alone
+                score[i] += math.log((d(declared, i) + language_id.DECLARED_WEIGHT * trust) / (sum(d(x, i) for x in languages) + language_id.DECLARED_WEIGHT))
+        p = softmax(score)
+        out.append((names[p.index(max(p))], max(p)))
+    return out
+
+
+def test_language_fusion_against_loops(spark):
+    import random
+
+    rng = random.Random(8)
+    words = {"en": ["the", "of", "and", "thing", "with"], "de": ["der", "und", "nicht", "zeit", "haus"], "fr": ["le", "est", "dans", "une", "pour"]}
+    hosts = ["a.example.de", "b.example.de", "www.site.fr", "x.site.fr", "blog.com", "plain", None, "shop.example.de"]
+    rows = []
+    for i in range(180):
+        lang = rng.choice(list(words))
+        text = rng.choice([None, "", "12 34"]) if i % 30 == 0 else " ".join(rng.choice(words[lang]) for _ in range(rng.choice([1, 2, 3, 30])))
+        rows.append((text, rng.choice(hosts), rng.choice([lang, "en", "xx", None]), lang))
+    frame = spark.createDataFrame([(i, *r, "x", 1) for i, r in enumerate(rows)], "doc_id long, text string, host string, said string, lang string, domain string, hosts int")
+    model = language_id.fit(frame)
+    got = {r["doc_id"]: (r["lang"], r["confidence"]) for r in language_id.identify(frame, model, host=F.col("host"), declared=F.col("said")).collect()}
+    want = plain_fusion([r[:3] for r in rows], model)
+    assert all(got[i][0] == w[0] and abs(got[i][1] - w[1]) < 1e-6 for i, w in enumerate(want))
+
+
+def test_page_language(spark, tmp_path):
+    """Declaration, address and text of pages, one of a megabyte among them."""
+    words = {"en": "the thing of and with ", "de": "der nicht zeit und haus "}
+    docs = [(i, words[x] * 6, x) for i, x in enumerate(["en", "de"] * 100)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    page = lambda body, lang: f'<html lang="{lang}"><head><style>p {{ }}</style><script>{"var der = 1;" * 20}</script></head><body><!-- der der --><p>{body}</p></body></html>'
+    pages = [(i, f"https://h{i % 4}.{'de' if x == 'de' else 'com'}/p/{i}", page(words[x] * 4, x)) for i, x in enumerate(["en", "de"] * 40)]
+    pages += [(900, "https://h9.de/x", page(words["en"] * 8, "de")), (901, "https://h9.de/y", page("zq", "de-AT")), (902, None, None), (903, "https://h1.de/z", page(words["de"] * 40_000, "de"))]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in language_id.page_language(spark, str(tmp_path)).collect()}
+    assert all(got[i]["lang"] == x for i, x in enumerate(["en", "de"] * 40))
+    assert got[900]["lang"] == "en" and got[901]["lang"] == "de" and got[902]["rejected"] and got[903]["lang"] == "de"
