@@ -9,20 +9,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm.frames import arrow_batch, keyed, slices, table, written
+from offerlens.llm.frames import SLICE_BYTES, arrow_batch, keyed, slices, table, written
 from offerlens.llm.words import SPACED, find_words, mix
 
-#: Classes, and places in each; every token is hashed to one place of one class.
+#: Classes, and places in each. The OWN most frequent tokens have a place of their own, in order, so that classes go by frequency; the others are hashed to the rest.
 CLASSES = PLACES = 32
+OWN = 768
 #: Least rows of each of the two weight tables, to which contexts are hashed, and tokens of the corpus for each further row.
 LEAST_ROWS, ROW_TOKENS = 1 << 15, 1 << 16
-#: Parts of the corpus, each seen once, after each of which the tasks' updates meet; step size; tokens of a step.
-ROUNDS, RATE, STEP = 2, 0.4, 8192
-#: Tokens of the corpus for each task of a round.
-TASK_TOKENS = 8_000_000
+#: Parts of the corpus, each seen once, after each of which the shards' updates meet; step size; tokens of a step.
+ROUNDS, RATE, STEP = 3, 0.4, 8192
+#: Shards of a round: a fixed number, or one for so many tokens of the corpus.
+LEAST_SHARDS, SHARD_TOKENS = 16, 8_000_000
 #: Most tokens whose counts every task holds, and the longest of them in bytes; the counts of the others are joined.
 HEAD_TOKENS, HEAD_BYTES = 1 << 17, 64
 ADDED = 0.1
@@ -36,8 +38,19 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(40)).astype(np.int64) & (CLASSES * PLACES - 1)
+def _tail(hashes: np.ndarray) -> np.ndarray:
+    return OWN + ((hashes >> np.uint64(40)) % np.uint64(CLASSES * PLACES - OWN)).astype(np.int64)
+
+
+def slots_of(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Place of each token: its number among `own` (hashes of frequent tokens, most frequent first), or that of its hash."""
+    out = _tail(hashes)
+    if len(own):
+        order = np.argsort(own)
+        at = np.minimum(np.searchsorted(own, hashes, sorter=order), len(own) - 1)
+        hit = own[order[at]] == hashes
+        out[hit] = order[at[hit]]
+    return out
 
 
 @dataclass
@@ -81,9 +94,9 @@ def table_rows(tokens: int) -> int:
 class Model:
     """Weights of both levels, and log shares of classes and of places in them, from which training starts."""
 
-    def __init__(self, mass: np.ndarray, weights: np.ndarray):
+    def __init__(self, mass: np.ndarray, weights: np.ndarray, own: np.ndarray):
         by_class = mass.reshape(CLASSES, PLACES)
-        self.mass = mass
+        self.mass, self.own = mass, own
         self.bias = np.log(by_class.sum(axis=1) / mass.sum()).astype(np.float32), np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32)
         self.weights = weights  # (2, rows, 32)
 
@@ -119,14 +132,14 @@ class Model:
 
     def score(self, t: Tokens) -> np.ndarray:
         """log10 of each token's slot probability over the slot's mass: times (count + ADDED) it is the token's probability."""
-        slots, contexts = _slots(t.hash), _contexts(t)
+        slots, contexts = slots_of(t.hash, self.own), _contexts(t)
         logs = np.concatenate([self.step(contexts[:, i : i + STEP], slots[i : i + STEP], None) for i in range(0, len(slots), STEP)])
         return logs / np.log(10) - np.log10(self.mass)[slots]
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, slot, n) over all texts of `docs` (keyed): words with A-Z lower-cased, and '' for each text's end."""
-    schema = pa.schema([("token", pa.string()), ("slot", pa.int32()), ("n", pa.int64())])
+    """(token, tail, n) over all texts of `docs` (keyed): words with A-Z lower-cased, and '' for each text's end; tail is the place by hash."""
+    schema = pa.schema([("token", pa.string()), ("tail", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,56 +147,90 @@ def token_counts(docs: DataFrame) -> DataFrame:
             for text in batch["text"].to_pylist():
                 sums.update(text.encode("utf-8", "replace").lower().split())
             tokens = pa.array([x.decode() for x in sums], pa.string())
-            slots = _slots(find_words(tokens, np.ones(256, bool)).hash)
-            yield arrow_batch(schema, tokens, slots, list(sums.values()))
-            yield arrow_batch(schema, [""], _slots(np.array([_END])), [batch.num_rows])
-
-    return docs.select("text").mapInArrow(count, "token string, slot int, n long").groupBy("token", "slot").agg(F.sum("n").alias("n"))
-
-
-def train(docs: DataFrame, mass: np.ndarray, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after `rounds` rounds, each over another part of `docs` (keyed), so that every text is seen once.
-
-    Within a round each task starts from the shared weights and takes gradient steps over its own texts; the changes of
-    each row are then averaged by the visits it had. A task sends at most the size of the weights, so small partitions share
-    one: there is a task for each TASK_TOKENS of the `tokens`, or for each core.
+            yield arrow_batch(schema, tokens, _tail(find_words(tokens, np.ones(256, bool)).hash), list(sums.values()))
+            yield arrow_batch(schema, [""], _tail(np.array([_END])), [batch.num_rows])
+
+    return docs.select("text").mapInArrow(count, "token string, tail int, n long").groupBy("token", "tail").agg(F.sum("n").alias("n"))
+
+
+def outputs(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the OWN most frequent tokens (of equals, the first by name), and the mass of each place: counts of its tokens, ADDED for each and for what is unknown there."""
+    top = counts.orderBy(F.desc("n"), "token").limit(OWN).collect()
+    mass = np.zeros(CLASSES * PLACES)
+    for slot, value in counts.groupBy("tail").agg(F.sum(F.col("n") + ADDED)).collect():  # one row for each place
+        mass[slot] = value
+    for i, r in enumerate(top):
+        mass[i] = r["n"] + ADDED
+        mass[r["tail"]] -= r["n"] + ADDED
+    mass[OWN:] = np.maximum(mass[OWN:], 0) + ADDED
+    mass[len(top) : OWN] = 1e-9  # places that no token has
+    own = np.array([_END if not r["token"] else find_words(pa.array([r["token"]]), np.ones(256, bool)).hash[0] for r in top], np.uint64)
+    return own, mass
+
+
+def _whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """Texts in slices that do not depend on where batches end."""
+    held: list[pa.Array] = []
+    total = 0
+    for batch in batches:
+        texts, begin = batch["text"], 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            if total + size > SLICE_BYTES and total:
+                yield pa.concat_arrays([*held, texts.slice(begin, i - begin)])
+                held, total, begin = [], 0, i
+            total += size
+        held.append(texts.slice(begin))
+    if held:
+        yield pa.concat_arrays(held)
+
+
+def train(docs: DataFrame, mass: np.ndarray, tokens: int, rounds: int = ROUNDS, own: np.ndarray | None = None, rows: int | None = None) -> np.ndarray:
+    """Weights after `rounds` rounds, each over another part of `docs` (keyed), so that every text is seen once; `rows` of each table, or as many as the corpus asks for.
+
+    A round's texts are dealt to shards and ordered in them by hashes of id and text, and shards are as many as the `tokens` ask for, so the result
+    does not depend on partitions or cores. In each, a task starts from the shared weights and takes gradient steps; the
+    changes of each row are then averaged by the visits it had. A task sends at most the size of the weights.
     """
     spark = docs.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS))
-    weights = np.zeros((2, table_rows(tokens), PLACES), np.float32)
-    schema = pa.schema([("row", pa.int32()), ("visits", pa.float64()), ("change", pa.binary())])
+    shards, own = max(LEAST_SHARDS, -(-tokens // SHARD_TOKENS)), np.zeros(0, np.uint64) if own is None else own
+    weights = np.zeros((2, rows or table_rows(tokens), PLACES), np.float32)
+    sent = pa.schema([("row", pa.int32()), ("shard", pa.int32()), ("visits", pa.float64()), ("change", pa.binary())])
+    met = pa.schema([("rows", pa.binary()), ("changes", pa.binary())])
+    places = weights.shape[0] * weights.shape[1]
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model, seen = Model(mass, shared.value.copy()), np.zeros(shared.value.shape[:2])
-            for batch in batches:
-                for part in slices(batch):
-                    _, _, t = _tokens(part["text"])
-                    slots, contexts = _slots(t.hash), _contexts(t)
-                    for i in range(0, len(slots), STEP):
-                        model.step(contexts[:, i : i + STEP], slots[i : i + STEP], seen)
+            model, seen = Model(mass, shared.value.copy(), own), np.zeros(shared.value.shape[:2])
+            for texts in _whole_slices(batches):
+                _, _, t = _tokens(texts)
+                slots, contexts = slots_of(t.hash, own), _contexts(t)
+                for i in range(0, len(slots), STEP):
+                    model.step(contexts[:, i : i + STEP], slots[i : i + STEP], seen)
             at = np.flatnonzero(seen.reshape(-1))
             change = (model.weights - shared.value).reshape(-1, PLACES)[at].astype(np.float16)
+            shard = TaskContext.get().partitionId()
             for i in range(0, len(at), 4096):
-                yield arrow_batch(schema, at[i : i + 4096], seen.reshape(-1)[at[i : i + 4096]], [x.tobytes() for x in change[i : i + 4096]])
+                yield arrow_batch(sent, at[i : i + 4096], np.full(len(at[i : i + 4096]), shard), seen.reshape(-1)[at[i : i + 4096]], [x.tobytes() for x in change[i : i + 4096]])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}  # at most as many as there are rows
+            sums, visits = np.zeros((places, PLACES)), np.zeros(places)
             for batch in batches:
-                for row, visits, change in zip(batch["row"].to_pylist(), batch["visits"].to_pylist(), batch["change"].to_pylist(), strict=True):
-                    own = sums.setdefault(row, [0.0, np.zeros(PLACES, np.float64)])
-                    own[0] += visits
-                    own[1] += visits * np.frombuffer(change, np.float16).astype(np.float64)
-            rows = list(sums)
-            yield arrow_batch(schema, rows, [sums[r][0] for r in rows], [(sums[r][1] / sums[r][0]).astype(np.float32).tobytes() for r in rows])
-
-        part = docs.where(F.pmod(F.xxhash64("k", "t"), F.lit(rounds)) == turn).select("text").coalesce(tasks)
-        changes = part.mapInArrow(learn, "row int, visits double, change binary").repartition("row").mapInArrow(meet, "row int, visits double, change binary")
+                if batch.num_rows:
+                    row, times = batch["row"].to_numpy(), batch["visits"].to_numpy()
+                    change = np.frombuffer(b"".join(batch["change"].to_pylist()), np.float16).reshape(-1, PLACES).astype(np.float64)
+                    np.add.at(visits, row, times)
+                    np.add.at(sums, row, change * times[:, None])
+            at = np.flatnonzero(visits)
+            yield arrow_batch(met, [at.astype(np.int32).tobytes()], [(sums[at] / visits[at, None]).astype(np.float32).tobytes()])
+
+        part = docs.where(F.pmod(F.xxhash64("k", "t"), F.lit(rounds)) == turn).select("text", F.xxhash64("t", "k").alias("order"), "t")
+        dealt = part.repartition(shards, "order").sortWithinPartitions("order", "t").select("text")
+        changes = dealt.mapInArrow(learn, "row int, shard int, visits double, change binary").repartition("row").sortWithinPartitions("row", "shard").mapInArrow(meet, "rows binary, changes binary")
         weights = weights.copy()
         flat = weights.reshape(-1, PLACES)
-        for r in changes.toLocalIterator():  # as many rows as the weights have at most
-            flat[r["row"]] += np.frombuffer(r["change"], np.float32)
+        for r in changes.toLocalIterator():  # the size of the weights at most
+            flat[np.frombuffer(r["rows"], np.int32)] += np.frombuffer(r["changes"], np.float32).reshape(-1, PLACES)
     return weights
 
 
@@ -233,28 +280,30 @@ def _head(counts: DataFrame) -> list:
     return counts.where((F.col("n") >= F.lit(2.0) ** least) & (F.octet_length("token") <= HEAD_BYTES)).select("token", "n").collect()
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, table_size: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs`.
 
     Tokens are words without ASCII white space, A-Z lower-cased, and each text's end; null and empty texts have their end
     only. Counts and the model learn from all rows that are not held out. base_score is the log10 probability by
     smoothed counts. The model gives each token's class, then its place in the class, after the words before it (one, two, and the one before the
-    last), times the token's share of the place by smoothed counts.
+    last), times the token's share of the place by smoothed counts; frequent tokens have a place of their own. Over all known tokens, and one unknown one
+    for each other place, the probabilities after any words sum to 1. Scores do not depend on how the rows are partitioned.
+
+    Repeated rows count each time and get the same scores, null ids count as an empty text for the fold, texts may be of any length, other columns are not
+    read. An empty table gives an empty one; without training rows, every token has the probability of an unknown one.
     """
     spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col).withColumn("held_out", held_out())
+    rows = keyed(docs, id_col, text_col).withColumn("held_out", held_out(id_col="doc_id"))
     learnt = rows.where("NOT held_out")
     counts = written(token_counts(learnt))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    mass = np.full(CLASSES * PLACES, ADDED)
-    for slot, value in counts.groupBy("slot").agg(F.sum(F.col("n") + ADDED)).collect():  # one row for each slot
-        mass[slot] += value
+    own, mass = outputs(counts)
     head = spark.sparkContext.broadcast(_head(counts))
-    trained = spark.sparkContext.broadcast(train(learnt, mass, int(total), rounds))
+    trained = spark.sparkContext.broadcast(train(learnt, mass, int(total), rounds, own, table_size))
     schema = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known", pa.float64()), ("model", pa.float64()), ("token", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(mass, trained.value)
+        model = Model(mass, trained.value, own)
         names = pa.array([r["token"] for r in head.value], pa.string())
         hashes = find_words(names.filter(pc.not_equal(names, "")), np.ones(256, bool)).hash
         frequent = np.array([r["n"] for r in head.value if r["token"]], np.int64)
@@ -299,4 +348,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`score_texts` of every document; see there for nulls, empty texts, repeated rows and empty tables."""
     return score_texts(table(spark, sf_dir, "documents"))

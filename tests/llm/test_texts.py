@@ -269,6 +269,51 @@ def test_language_model(docs, rows, none):
     assert maxent_lm.score_texts(none).count() == 0
 
 
+def test_language_model_score_by_loops(docs, rows):
+    """Probabilities of all outcomes sum to 1, scores are sums of their logarithms, and partitions do not matter."""
+    M = maxent_lm
+    learnt = M.keyed(docs).where(~M.held_out())
+    counts = {r["token"]: r for r in M.token_counts(learnt).collect()}
+    total = sum(r["n"] for r in counts.values())
+    own, mass = M.outputs(M.token_counts(learnt))
+    weights = M.train(learnt, mass, total, own=own)
+    size, names = weights.shape[1], {}
+    for token in counts:
+        names[token] = M._END if not token else M.find_words(M.pa.array([token]), np.ones(256, bool)).hash[0]
+    place = {token: int(M.slots_of(np.array([h]), own)[0]) for token, h in names.items()}
+    one = lambda x: np.array([x], np.uint64)
+
+    def chances(before, skip):
+        """Probability of each place after two words (hashes)."""
+        keys = [M.mix(one(before) ^ M._SEEDS[0]), M.mix(one(before) * M._SEEDS[1] + one(skip)), M.mix(one(skip) ^ M._SEEDS[2])]
+        softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        by_class = mass.reshape(M.CLASSES, M.PLACES)
+        logits = np.log(by_class.sum(axis=1) / mass.sum()) + sum(weights[0][int(k[0]) & size - 1] for k in keys).astype(float)
+        p = softmax(logits)
+        out = []
+        for c in range(M.CLASSES):
+            row = [int(M.mix(k + one(c + 1) * M._SEEDS[2])[0]) & size - 1 for k in keys]
+            out += (p[c] * softmax(np.log(by_class[c] / by_class[c].sum()) + sum(weights[1][r] for r in row).astype(float))).tolist()
+        return np.array(out)
+
+    p = chances(names["the"], names["of"])
+    assert abs(p.sum() - 1) < 1e-6
+    known = sum(p[place[x]] * (r["n"] + 0.1) / mass[place[x]] for x, r in counts.items())
+    assert abs(known + (p[M.OWN :] * 0.1 / mass[M.OWN :]).sum() - 1) < 1e-6
+    got = {r["doc_id"]: r["score"] for r in M.score_texts(docs.repartition(7)).collect()}
+    again = {r["doc_id"]: r["score"] for r in M.score_texts(docs.coalesce(1)).collect()}
+    assert got.keys() == again.keys() and all(abs(got[i] - again[i]) < 1e-6 for i in got)  # but for the order of sums
+    for i, t in rows[:3] + rows[41:46]:
+        want, before, skip = 0.0, M._END, M._END
+        for token in [*SPACED.findall(lower(t)), ""]:
+            h = M._END if not token else M.find_words(M.pa.array([token]), np.ones(256, bool)).hash[0]
+            slot = int(M.slots_of(one(h), own)[0])
+            n = counts[token]["n"] if token in counts else 0
+            want += math.log10(chances(before, skip)[slot] * (n + 0.1) / mass[slot])
+            before, skip = h, before
+        assert abs(got[i] - want) < 1e-3 * abs(want), i
+
+
 def test_language_model_learns_order(spark):
     """Texts whose next word follows from the one before: the model beats counts on texts it has not seen."""
     rows = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(80))) for i in range(400)]
