@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm.frames import arrow_batch, keyed, slices, table, written
+from offerlens.llm.frames import arrow_batch, join_once, keyed, slices, table, written
 from offerlens.llm.words import ALNUM, Words, find_words, grams, winnow
 
 WINDOW = 10
@@ -62,15 +62,26 @@ def _bit(fp, bits: int, turn: int):
 
 
 def _filter(prints: DataFrame) -> np.ndarray:
-    """A bit field of the fingerprints, put together by the executors: at most FILTER_BITS bits, whatever their number."""
+    """A bit field of the fingerprints, packed by the executors in parts of 8 KB: at most FILTER_BITS bits, whatever their number."""
     n = prints.count()
     bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (n * FILTER_BITS_EACH).bit_length()))
     fp = F.col("fp")
-    at = prints.select(F.explode(F.array(_bit(fp, bits, 0), _bit(fp, bits, 33))).alias("bit"))
-    sums = at.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("set"))
-    field = np.zeros(bits // 64, np.int64)
-    for i, value in sums.collect():
-        field[i] = value
+    at = prints.select(F.explode(F.array(_bit(fp, bits, 0), _bit(fp, bits, 33))).alias("bit")).select(F.shiftright("bit", 16).cast("int").alias("part"), "bit")
+    schema = pa.schema([("part", pa.int32()), ("set", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}  # 2,048 of 8 KB at most
+        for batch in batches:
+            part, bit = batch["part"].to_numpy(), batch["bit"].to_numpy() & 0xFFFF
+            for x in np.unique(part):
+                field = parts.setdefault(int(x), np.zeros(8192, np.uint8))
+                own = bit[part == x]
+                np.bitwise_or.at(field, own >> 3, (1 << (own & 7)).astype(np.uint8))
+        yield arrow_batch(schema, list(parts), [x.tobytes() for x in parts.values()])
+
+    field = np.zeros(bits // 8, np.uint8)
+    for i, value in at.repartition("part").mapInArrow(pack, "part int, set binary").collect():
+        field[i * 8192 : (i + 1) * 8192] = np.frombuffer(value, np.uint8)
     return field.view(np.uint64)
 
 
@@ -86,11 +97,11 @@ def _passes(field: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def shared_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents' words, and the windows that each shares with the benchmark.
 
-    First table: (doc_id, k, t, n_words) for each row of `docs`. Second: (k, t, start, size, item). Words are runs of letters
+    First table: (doc_id, k, t, n_words) for each row of `docs`. Second: (k, t, start, size, items), with the items that hold the window. Words are runs of letters
     and digits, A-Z lower-cased. A window is `window` consecutive words of an item, or a shorter item as a whole. Both sides
     keep the smallest gram hash of each run of neighbours, which every shared window has in common. Documents' fingerprints
     first pass a filter of fixed size, then join with the benchmark's; each that joins is extended to the windows around it,
-    which join by their text. Null and empty texts have no words; null item ids are no items' ids, but hits all the same.
+    which join by their text; items with the same window join as one. Null and empty texts have no words; null item ids are no items' ids, but hits all the same.
     """
     spark = docs.sparkSession
     bench = written(benchmark_windows(items, item_id, item_text, window))
@@ -121,13 +132,19 @@ def shared_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_
         keyed(docs, doc_id, doc_text).mapInArrow(scan, "k long, t long, doc_id long, n_words long, fp long, size int, starts array<int>, windows array<string>")
     )
     hits = scanned.where("fp IS NOT NULL").join(prints, "fp", "left_semi")
-    around = hits.select("k", "t", "size", F.explode(F.arrays_zip("starts", "windows")).alias("x")).select("k", "t", "size", F.col("x.starts").alias("start"), F.col("x.windows").alias("text")).distinct()
-    windows = bench.where("text IS NOT NULL").select("item", "size", "text")
-    return scanned.where("fp IS NULL").select("doc_id", "k", "t", "n_words"), around.join(windows, ["size", "text"]).select("k", "t", "start", "size", "item")
+    around = hits.select("k", "t", "size", F.explode(F.arrays_zip("starts", "windows")).alias("x")).select("k", "t", "size", F.col("x.starts").alias("start"), F.col("x.windows").alias("text"))
+    around = written(around.distinct())
+    windows = bench.where("text IS NOT NULL").groupBy("size", "text").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    often = around.groupBy("size", "text").agg(F.count("*").alias("n")).join(windows, ["size", "text"])
+    return scanned.where("fp IS NULL").select("doc_id", "k", "t", "n_words"), join_once(around, written(often), ["size", "text"]).select("k", "t", "start", "size", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, **names: str) -> DataFrame:
-    """(doc_id, k, t, n_words, n_hit, items) for each row: hit words and the sorted ids, as strings, of the items found in it."""
+    """(doc_id, k, t, n_words, n_hit, items) for each row: hit words and the sorted ids, as strings, of the items found in it.
+
+    See `shared_windows` for nulls and empty texts. Repeated rows get the same result each, ids may be null or repeated, an empty table on either side is
+    allowed, and columns but the named ones are not read.
+    """
     words, found = shared_windows(docs, items, window, **names)
     found = written(found)
     spans = found.select("k", "t", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size")).distinct()
@@ -139,12 +156,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, **nam
             "'n', a.n + greatest(0L, x.start + x.size - greatest(a.end, x.start)), 'end', greatest(a.end, x.start + x.size)), a -> a.n)"
         ).alias("n_hit"),
     )
-    ids = found.select("k", "t", "item").distinct().groupBy("k", "t").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    ids = found.groupBy("k", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     none = F.array().cast("array<string>")
     return words.join(covered.join(ids, ["k", "t"]), ["k", "t"], "left").select("doc_id", "k", "t", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document; see `contamination` for nulls, repeated rows and empty tables."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -6,21 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.operators.graph import connected_components
-from offerlens.llm.frames import arrow_batch, table, written
+from offerlens.llm.frames import arrow_batch, join_once, table, written
 
 COSINE = 0.9
 #: Lattice tables, cells of each that a vector enters (its own and the nearest others), and length of a projection at distance 1.
 TABLES, CELLS, SCALE = 10, 4, 3.0
-#: Rows of a block of a crowded cell; blocks are compared two by two.
-BLOCK = 1024
+#: Rows of a block of a crowded cell; blocks are compared two by two, so many rows of one at a time.
+BLOCK, BLOCK_STEP = 4096, 512
 
 #: Rows of a cell up to which its pairs are taken together with those of other cells.
 _FEW = 32
-_VECTORS = pa.schema([("size", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("cells", pa.list_(pa.int64())), ("vector", pa.binary())])
+_VECTORS = pa.schema([("size", pa.int32()), ("node", pa.binary()), ("copies", pa.int64()), ("cells", pa.list_(pa.int64())), ("vector", pa.binary())])
 
 
 def _half(x: np.ndarray, odd: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +88,14 @@ def _units(column: pa.Array) -> tuple[np.ndarray, list]:
     return ok, units
 
 
+def _node(vector: str) -> Column:
+    """128 bits that stand for a vector, equal ones having equal ones: two hashes with seeds of their own."""
+    part = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    return F.unhex(F.concat(part(F.col(vector)), part(F.lit(7), F.col(vector))))
+
+
 def near_links(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, cells: int = CELLS, scale: float = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(node, n_links) and links (a, b) that connect all that are linked; node is a hash of the vector, so equal ones are one.
+    """(node, n_links) and links (a, b) that connect all that are linked; node stands for the vector, so equal ones are one.
 
     A pair is found if both vectors enter one cell of a table, and linked if its cosine, in double precision, is at least `cosine`. A pair in
     several cells counts in the least of them. A crowded cell is cut into blocks, and each two blocks are a piece of work
@@ -102,25 +108,25 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES,
             for begin in range(0, batch.num_rows, 2048):
                 part = batch.slice(begin, 2048)
                 ok, units = _units(part["vector"])
-                nodes, copies = part["node"].to_numpy()[ok], part["copies"].to_numpy()[ok]
+                nodes, copies = np.array(part["node"].to_pylist(), object)[ok], part["copies"].to_numpy()[ok]
                 raw = [x.values.to_numpy(zero_copy_only=False).astype(wide).tobytes() for x, good in zip(part["vector"], ok, strict=True) if good]
                 for size in {len(x) for x in units}:
                     own = [i for i, x in enumerate(units) if len(x) == size]
                     cell = lattice_cells(np.array([units[i] for i in own]), tables, cells, scale)
                     yield arrow_batch(_VECTORS, np.full(len(own), size), nodes[own], copies[own], list(cell), [raw[i] for i in own])
 
-    distinct = vectors.select(F.xxhash64(vector_col).alias("node"), F.col(vector_col).alias("vector")).groupBy("node").agg(F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    units = written(distinct.mapInArrow(scan, "size int, node long, copies long, cells array<long>, vector binary"))
+    distinct = vectors.select(_node(vector_col).alias("node"), F.col(vector_col).alias("vector")).groupBy("node").agg(F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    units = written(distinct.mapInArrow(scan, "size int, node binary, copies long, cells array<long>, vector binary"))
     entries = units.select("size", "node", F.explode(F.array_distinct("cells")).alias("cell"))
-    crowds = entries.groupBy("size", "cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = entries.join(crowds, ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    crowds = written(entries.groupBy("size", "cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    placed = join_once(entries, crowds, ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # every block meets every other once: block x goes to (x, y) for y >= x and to (y, x) for y < x
     dealt = placed.select("size", "cell", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "size", "cell", "node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block"
     )
     work = dealt.join(units.drop("size"), "node").select("size", "cell", "low", "high", "block", "node", "copies", "cells", "vector")
     keys = ["size", "cell", "low", "high"]
-    found = written(work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _compare(b, cosine, wide, tables), "node long, n_links long, other long"))
+    found = written(work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _compare(b, cosine, wide, tables), "node binary, n_links long, other binary"))
     return found.where("other IS NULL").groupBy("node").agg(F.sum("n_links").alias("n_links")), found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
@@ -138,22 +144,24 @@ def _pairs(unit: np.ndarray, heads: np.ndarray, block: np.ndarray, low: np.ndarr
     for p in np.flatnonzero(~few[heads[:-1]] & (sizes > 1)):
         rows = np.arange(heads[p], heads[p + 1])
         own, others = rows[block[rows] == low[rows[0]]], rows[block[rows] == high[rows[0]]]
-        x, y = np.nonzero(unit[own] @ unit[others].T >= cosine)
-        x, y = own[x], others[y]
-        if low[rows[0]] == high[rows[0]]:
-            x, y = x[x < y], y[x < y]
-        yield x, y
+        for i in range(0, len(own), BLOCK_STEP):
+            x, y = np.nonzero(unit[own[i : i + BLOCK_STEP]] @ unit[others].T >= cosine)
+            x, y = own[i + x], others[y]
+            if low[rows[0]] == high[rows[0]]:
+                x, y = x[x < y], y[x < y]
+            yield x, y
 
 
 def _compare(batches: Iterator[pa.RecordBatch], cosine: float, wide: type, tables: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell and pair of blocks: counts of links, and the links that connect."""
-    schema = pa.schema([("node", pa.int64()), ("n_links", pa.int64()), ("other", pa.int64())])
+    schema = pa.schema([("node", pa.binary()), ("n_links", pa.int64()), ("other", pa.binary())])
 
     def pieces(rows: pa.RecordBatch, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
         n = rows.num_rows
         if n < 2:
             return
-        node, block, low, high, cell, copies = (rows[c].to_numpy() for c in ("node", "block", "low", "high", "cell", "copies"))
+        node = np.array(rows["node"].to_pylist(), object)
+        block, low, high, cell, copies = (rows[c].to_numpy() for c in ("block", "low", "high", "cell", "copies"))
         unit = np.frombuffer(b"".join(rows["vector"].to_pylist()), wide).reshape(n, -1).astype(np.float64)
         unit /= np.abs(unit).max(axis=1, keepdims=True)
         unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
@@ -209,10 +217,11 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id, n_links, component_id, kept) for each row of `vectors`.
 
     n_links counts the other vectors linked directly, copies included; component_id is the smallest id reachable by links, the own one included;
-    kept rows are those whose id it is. Null and zero vectors and those with null or non-finite components link with
+    kept rows are those whose id it is (null ids are kept where a component has no other). Null and zero vectors and those with null or non-finite components link with
     nothing, not even with their copies. Vectors of different lengths do not link. Rows of one id are rows of their own.
+    Equal vectors are one node, told by 128 bits. An empty table gives an empty one; other columns are not read, whatever their names.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.xxhash64(vector_col).alias("node"), F.col(vector_col).alias("vector"))
+    rows = vectors.select(F.col(id_col).alias("id"), _node(vector_col).alias("node"), F.col(vector_col).alias("vector"))
     bad = F.col("vector").isNull() | F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("vector", lambda x: x != 0)
     rows = rows.select("id", "node", F.coalesce(bad, F.lit(True)).alias("bad"))
     good = rows.where("NOT bad")
@@ -220,13 +229,15 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links = written(links)
     copies = good.groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("low"))
     parts = connected_components(links)
-    of = copies.join(parts, "node", "left").select("node", "copies", "low", F.coalesce("component", "node").alias("component"))
-    lowest = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    info = of.join(lowest, "component").join(counts, "node", "left").select("node", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = good.join(info, "node").select("id", "n_links", "component_id")
+    of = written(copies.join(parts, "node", "left").select("node", "copies", "low", F.coalesce("component", "node").alias("component")))
+    lowest = of.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    info = join_once(of, lowest, ["component"]).join(counts, "node", "left")
+    info = written(info.select("node", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"))
+    linked = join_once(good, info, ["node"], n="copies").select("id", "n_links", "component_id")
     alone = rows.where("bad").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`embedding_groups` of every vector; see there for odd vectors, repeated rows, null ids and empty tables."""
     return embedding_groups(table(spark, sf_dir, "embeddings"))

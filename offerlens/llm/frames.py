@@ -13,7 +13,7 @@ from offerlens.operators.skew import join_once  # noqa: F401
 from offerlens.sources.storage import discard, written  # noqa: F401
 
 #: Text that a Python task holds in numpy form at a time, in bytes; one longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 NULL_ID = -(2**63)
 
 

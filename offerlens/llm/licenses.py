@@ -36,6 +36,8 @@ TEMPLATES = {
 }
 #: Words of a gram: of long templates, and of the phrases, of which some have two words only.
 LONG_GRAM, SHORT_GRAM = 5, 2
+#: Words of all templates up to which their grams are broadcast; more join by a shuffle.
+BROADCAST_GRAMS = 200_000
 #: Stands for a document itself among the hashes of its grams.
 HEAD = -1
 #: Share of a template's grams that a place must hold, distance of diagonals that are one place, longest place for its template.
@@ -62,9 +64,12 @@ def license_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are runs of letters and digits, A-Z lower-cased; null and empty texts have none. All rolling word grams join with
     the templates' grams by hash and text; votes are counted for each diagonal (the gram's place less its place in the template).
     A phrase needs all its grams on one diagonal. For a template, diagonals at most DRIFT apart are one place, which
-    counts if it is no longer than STRETCH times the template; its coverage is the share of the template's grams it holds.
+    counts if it is no longer than STRETCH times the template; its coverage is the share of the template's grams it holds. Repeated rows share
+    their places, null ids are allowed, an empty table gives none, and columns but the named ones are not read.
     """
     grams, about = _template_grams(docs.sparkSession, phrases, templates)
+    n_words = sum(len(x.split()) for x in [*phrases, *templates])  # no fewer than there are grams
+    sent = F.broadcast if n_words <= BROADCAST_GRAMS else (lambda x: x)
     rows = keyed(docs, id_col, text_col).select("doc_id", "k", "t", F.filter(F.split(ascii_lower(F.col("text")), SPLIT), lambda x: x != "").alias("w"))
     hashes = F.transform("w", lambda x: F.xxhash64(x))
     rows = rows.withColumns({"n": F.size("w"), "h": hashes})
@@ -81,17 +86,18 @@ def license_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hash_ = F.when(F.col("template") < 0, F.lit(HEAD))
     for size in (SHORT_GRAM, LONG_GRAM):
         hash_ = hash_.when(F.size(words) == size, F.xxhash64(*[F.xxhash64(F.get(words, F.lit(j))) for j in range(size)]))
-    grams = grams.select("gram", "template", "at", hash_.alias("hash"), F.size(words).alias("size"))
+    grams = sent(grams.select("gram", "template", "at", hash_.alias("hash"), F.size(words).alias("size")))
     votes = (
         rows.select("doc_id", "k", "t", "w", "n", F.posexplode_outer("grams").alias("pos", "hash"))
-        .join(F.broadcast(grams), "hash")
+        .join(grams, "hash")
+        .where((F.col("pos") == 0) == (F.col("template") < 0))
         .withColumn("place", place)
         .where((F.col("template") < 0) | (F.array_join(F.slice("w", F.col("place") + 1, F.col("size")), " ") == F.col("gram")))
         .select("doc_id", "k", "t", "place", "template", "at")
     )
     votes = written(votes)
     heads = votes.where("template = -1").select("doc_id", "k", "t", F.col("place").cast("long").alias("n_words"))
-    placed = votes.where("template >= 0").select("k", "t", "template", "at", "place", (F.col("place") - F.col("at")).alias("diagonal")).distinct().join(F.broadcast(about), "template")
+    placed = votes.where("template >= 0").select("k", "t", "template", "at", "place", (F.col("place") - F.col("at")).alias("diagonal")).distinct().join(sent(about), "template")
     whole = (
         placed.where("exact").groupBy("k", "t", "label", "diagonal", "size", "n_grams").agg(F.count("*").alias("votes")).where("votes = n_grams")
         .select("k", "t", "label", F.lit(True).alias("exact"), F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("size")).alias("end"), F.lit(1.0).alias("coverage"))
@@ -114,7 +120,8 @@ def license_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def license_labels(docs: DataFrame, coverage: float = COVERAGE, **parameters) -> DataFrame:
     """(doc_id, k, t, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of `docs`.
 
-    score is the largest coverage of any place (1 for a phrase, 0 for none); a template's label needs `coverage` of it.
+    score is the largest coverage of any place (1 for a phrase, 0 for none); a template's label needs `coverage` of it. Null and empty texts have no
+    words, labels and score; repeated rows get the same result each, an empty table gives an empty one.
     """
     heads, places = license_places(docs, **parameters)
     exact = F.col("exact")
@@ -130,6 +137,7 @@ def license_labels(docs: DataFrame, coverage: float = COVERAGE, **parameters) ->
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`license_labels` of every document; see there for nulls, empty texts, repeated rows and empty tables."""
     return license_labels(table(spark, sf_dir, "documents")).drop("k", "t")
 
 

@@ -170,6 +170,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text_col: str = "text", i
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_sha256) of every document; see `keep_bitmaps` for nulls, empty texts and rows that share an id. Repeated rows stay, an empty table gives an empty one."""
     docs = keyed(table(spark, sf_dir, "documents"))
     joined = docs.join(keep_bitmaps(docs).select("k", "t", "keep").hint("shuffle_hash"), ["k", "t"], "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])

@@ -24,7 +24,7 @@ LEAST_ROWS, ROW_TOKENS = 1 << 15, 1 << 16
 #: Parts of the corpus, each seen once, after each of which the shards' updates meet; step size; tokens of a step.
 ROUNDS, RATE, STEP = 3, 0.4, 8192
 #: Shards of a round: a fixed number, or one for so many tokens of the corpus.
-LEAST_SHARDS, SHARD_TOKENS = 16, 8_000_000
+LEAST_SHARDS, SHARD_TOKENS = 4, 8_000_000
 #: Most tokens whose counts every task holds, and the longest of them in bytes; the counts of the others are joined.
 HEAD_TOKENS, HEAD_BYTES = 1 << 17, 64
 ADDED = 0.1

@@ -230,4 +230,5 @@ def default_model() -> str:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`encode_digests` of every document: null and empty texts have no ids, repeated rows and null ids stay, an empty table gives an empty one."""
     return encode_digests(table(spark, sf_dir, "documents"), default_model())

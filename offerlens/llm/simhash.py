@@ -18,7 +18,7 @@ from offerlens.operators.graph import connected_components
 STRIP_ROWS = 32_768
 TILE_ROWS = 512
 #: Blocks that a set of shingles enters, smallest hashes that name one, and most rows and bytes of sets of a block's strip.
-BLOCKS, BLOCK_HASHES, BLOCK_ROWS, BLOCK_BYTES = 8, 4, 8_192, 1 << 24
+BLOCKS, BLOCK_HASHES, BLOCK_ROWS, BLOCK_BYTES = 8, 4, 8_192, 1 << 22
 _BLOCK = 1 << 12
 
 
