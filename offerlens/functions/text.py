@@ -95,8 +95,8 @@ def normalize(text: Column) -> Column:
 
 def first_label(text: Column, patterns: list[tuple[str, str]]) -> Column:
     """The label of the first pattern found in the plain, lower-cased text, else null."""
-    plain = F.lower(strip_diacritics(text))
-    return reduce(lambda out, p: F.when(plain.rlike(p[0]), p[1]).otherwise(out), reversed(patterns), F.lit(None).cast("string"))
+    label = lambda plain: reduce(lambda out, p: F.when(plain.rlike(p[0]), p[1]).otherwise(out), reversed(patterns), F.lit(None).cast("string"))
+    return F.get(F.transform(F.array(F.lower(strip_diacritics(text))), label), F.lit(0))  # the plain text is made once, not for each pattern
 
 
 def concentration(text: Column) -> Column:

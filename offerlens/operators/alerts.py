@@ -19,11 +19,16 @@ def triggered(alerts: DataFrame, offers: DataFrame) -> DataFrame:
     return firing(alerts, offers).groupBy("alert_id").agg(F.min("price").alias("best_price"), F.count("*").alias("n_offers"))
 
 
+def overview_keys() -> list:
+    """Order of the overview: alerts that fire first, then by brand and name."""
+    return [F.desc("fires"), F.lower("brand"), F.lower("name"), "alert_id"]
+
+
 def overview(alerts: DataFrame, offers: DataFrame, variants: DataFrame) -> DataFrame:
     """Every enabled alert, those that fire first, then by brand and name."""
     out = alerts.where("enabled").join(triggered(alerts, offers), "alert_id", "left").join(variants, "variant_id")
     out = out.withColumn("fires", F.col("best_price").isNotNull())
-    return out.orderBy(F.desc("fires"), F.lower("brand"), F.lower("name"), "alert_id")
+    return out.orderBy(*overview_keys())
 
 
 def live(alerts: DataFrame, offers: DataFrame) -> DataFrame:

@@ -102,6 +102,26 @@ def note_lists(notes: DataFrame, item: str = "item_id") -> DataFrame:
     return notes.groupBy(item, "tier").agg(F.array_join(names, ", ").alias("notes"))
 
 
+def first_attributes(rows: DataFrame, item: str = "item_id", name: str = "accord", limit: int = 3) -> DataFrame:
+    """(item, names): each item's first `limit` attributes by position, joined by ", "."""
+    w = W.partitionBy(item).orderBy("position")
+    few = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit)
+    return few.groupBy(item).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__n", name))), lambda x: x[name]), ", ").alias("names"))
+
+
+def insights(items: DataFrame, accords: DataFrame, notes: DataFrame, edges: DataFrame, item: str = "item_id", brand: str = "brand", families: dict[str, list[str]] = FAMILIES) -> dict[str, DataFrame]:
+    """All parts of the collection report: counts, dna (shares with offsets), contributors, accords and notes in order, edges of the clusters."""
+    known = with_family(accords, families=families)
+    n = items.count() if item not in items.columns else items.select(item).distinct().count()
+    return {
+        "counts": insight_counts(items, edges, brand),
+        "dna": offsets(family_shares(known)),
+        "contributors": family_contributors(known),
+        "accords": rank_attributes(accords, n, "accord", strength="strength", order=["item_id", "position"]),
+        "notes": rank_attributes(notes, n, "name", order=["item_id", "name"]),
+    }
+
+
 def import_items(existing: DataFrame, found: DataFrame, key: str = "url") -> tuple[DataFrame, DataFrame]:
     """Items of an import that are new, and its counts. `found`: key, ordinal, parsed (null where parsing failed)."""
     first = found.groupBy(key).agg(F.min_by(F.struct(*[c for c in found.columns if c != key]), "ordinal").alias("x")).select(key, "x.*")

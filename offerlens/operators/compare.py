@@ -62,8 +62,8 @@ def by_availability(df: DataFrame, state: str, price: str = "price", checked: st
     return df.where(AVAILABILITY[state](price, checked)) if state in AVAILABILITY else df
 
 
-def dashboard_order(df: DataFrame, sort: str = "name", direction: str = "asc", price: str = "price", checked: str = "last_checked_at") -> DataFrame:
-    """Sorted by name, best_price (those without last either way) or last_checked (never is the least); others mean name."""
+def dashboard_keys(sort: str = "name", direction: str = "asc", price: str = "price", checked: str = "last_checked_at") -> list:
+    """By name, best_price (those without last either way) or last_checked (never is the least); others mean name."""
     down = direction == "desc"
     names = [F.lower("brand"), F.lower("name")]
     if sort == "best_price":
@@ -72,7 +72,12 @@ def dashboard_order(df: DataFrame, sort: str = "name", direction: str = "asc", p
         keys = [F.desc_nulls_last(checked) if down else F.asc_nulls_first(checked)]
     else:
         keys = [x.desc() if down else x for x in names]
-    return df.orderBy(*keys, "brand", "name")
+    return [*keys, "brand", "name"]
+
+
+def dashboard_order(df: DataFrame, sort: str = "name", direction: str = "asc", price: str = "price", checked: str = "last_checked_at") -> DataFrame:
+    """Sorted by `dashboard_keys`."""
+    return df.orderBy(*dashboard_keys(sort, direction, price, checked))
 
 
 def store_catalog(stores: DataFrame, offers: DataFrame, store: str = "store_id", perfume: tuple[str, ...] = ("brand", "name")) -> DataFrame:
@@ -82,8 +87,13 @@ def store_catalog(stores: DataFrame, offers: DataFrame, store: str = "store_id",
     return stores.join(by_perfume, store, "left").orderBy(store, *[F.lower(c) for c in perfume], *perfume)
 
 
+def variant_keys() -> list:
+    """Order of a perfume's variants: larger ones first."""
+    return [F.desc("volume_ml"), "concentration", "tester"]
+
+
 def variant_order(df: DataFrame, *first: str) -> DataFrame:
-    return df.orderBy(*first, F.desc("volume_ml"), "concentration", "tester")
+    return df.orderBy(*first, *variant_keys())
 
 
 def detail(best: DataFrame, statuses: DataFrame, drops: DataFrame, stats: DataFrame, variant: str = "variant_id") -> DataFrame:

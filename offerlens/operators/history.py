@@ -39,11 +39,16 @@ def moves(obs: DataFrame, series: list[str], id_col: list[str], price: str = "pr
 
 
 def moves_of_run(obs: DataFrame, series: list[str], id_col: list[str], run_col: str, run: Column | None = None) -> DataFrame:
-    """The moves of one run, by default the last, largest first."""
-    last = obs.agg(F.max(run_col).alias("__run")) if run is None else None
-    out = moves(obs, series, id_col)
-    out = out.join(F.broadcast(last), F.col(run_col) == F.col("__run")).drop("__run") if last is not None else out.where(F.col(run_col) == run)
-    return out.orderBy(F.desc(F.abs("delta")), *series, *id_col)
+    """The moves of one run, by default the last; only the series that the run has rows of are looked at."""
+    run = obs.agg(F.max(run_col)).scalar() if run is None else run
+    touched = obs.where(F.col(run_col) == run).select(*series).distinct()
+    return moves(obs.join(touched, series, "left_semi"), series, id_col).where(F.col(run_col) == run)
+
+
+def series_history(history: DataFrame, wanted: DataFrame, series: list[str], order: list[str]) -> DataFrame:
+    """All entries of the wanted series with recency 1, 2, ... from the newest."""
+    w = W.partitionBy(*series).orderBy(*[F.desc(c) for c in order])
+    return history.join(wanted.select(*series).distinct(), series, "left_semi").withColumn("recency", F.row_number().over(w))
 
 
 def real_drop(obs: DataFrame, series: list[str], order: list[str], price: str = "price") -> DataFrame:

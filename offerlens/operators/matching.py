@@ -30,6 +30,30 @@ def candidate_pairs(catalog: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("__brand", T.normalize(F.col("candidate_brand"))).join(forms, "__brand").drop("__brand")
 
 
+def targeted_pairs(catalog: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates with the perfume (perfume_id) that they were found for, whatever their brand; one without a brand has the perfume's."""
+    pairs = _prepared(candidates, "c").join(_prepared(catalog, "t"), "perfume_id")
+    return pairs.withColumn("candidate_brand", F.coalesce(F.nullif(F.col("candidate_brand"), F.lit("")), F.col("brand")))
+
+
+def with_aliases(catalog: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The catalog with each perfume's confirmed names as an array, null where it has none."""
+    names = aliases.groupBy("perfume_id").agg(F.array_sort(F.collect_set("normalized_alias")).alias("aliases"))
+    return catalog.drop("aliases").join(names, "perfume_id", "left")
+
+
+def normalised_catalog(catalog: DataFrame) -> DataFrame:
+    """Brand and name without white space at their ends, and their normalised forms."""
+    brand, name = F.trim("brand"), F.trim("name")
+    return catalog.withColumns({"brand": brand, "name": name, "normalized_brand": T.normalize(brand), "normalized_name": T.normalize(name)})
+
+
+def names_brand(title, brand):
+    """Whether the title holds one of the brand's names."""
+    plain = T.normalize(title)
+    return F.exists(T.brand_forms(brand), lambda x: F.contains(plain, x))
+
+
 def decide(pairs: DataFrame, high: int = HIGH, ambiguous: int = AMBIGUOUS, brand_checked: bool = False) -> DataFrame:
     """confidence, reason and score of each pair.
 

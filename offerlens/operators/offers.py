@@ -12,13 +12,13 @@ KEY = ["store_id", "variant_id"]
 
 
 def admit(offers: DataFrame) -> DataFrame:
-    """Offers with a price whose title is no excluded product; missing concentration, volume and name come from the title."""
+    """Offers with a price whose title is no excluded product; a missing concentration and volume come from the title, a missing name is the title."""
     kept = offers.where(T.exclusion(F.col("raw_title")).isNull() & F.col("price").isNotNull())
     return kept.withColumns(
         {
             "concentration": F.coalesce(F.nullif(F.col("concentration"), F.lit("")), T.concentration(F.col("raw_title"))),
             "volume_ml": T.volume_ml(F.col("raw_title"), F.col("volume_ml")),
-            "perfume_name": F.coalesce(F.nullif(F.col("perfume_name"), F.lit("")), T.core_name(F.col("raw_title"), F.col("brand"))),
+            "perfume_name": F.coalesce(F.nullif(F.col("perfume_name"), F.lit("")), F.col("raw_title")),
         }
     )
 
@@ -98,6 +98,22 @@ def delete_cascade(tables: dict[str, DataFrame], deleted: DataFrame, chain: list
     return out
 
 
-def replace_children(children: DataFrame, new: DataFrame, parent: str) -> DataFrame:
-    """Child rows of the parents in `new` are replaced by those in it."""
-    return children.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
+def replace_children(children: DataFrame, new: DataFrame, parent: str, parents: DataFrame | None = None) -> DataFrame:
+    """Child rows of `parents`, by default those in `new`, are replaced by those in `new`; a parent whose new list is empty keeps none."""
+    replaced = new.select(parent) if parents is None else parents.select(parent).unionByName(new.select(parent))
+    return children.join(replaced.distinct(), parent, "left_anti").unionByName(new)
+
+
+def for_pair(offers: DataFrame, variants: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Current offers of each (perfume_id, store_id) among `pairs`."""
+    known = offers if "perfume_id" in offers.columns else offers.join(variants.select("variant_id", "perfume_id"), "variant_id")
+    return known.join(pairs.select("perfume_id", "store_id").distinct(), ["perfume_id", "store_id"], "left_semi")
+
+
+def run_header(outcomes: DataFrame, run_id: int, run_type: str, started: Column, finished: Column) -> DataFrame:
+    """One row for a run: its status by its outcomes, and how many perfumes and stores it checked."""
+    bad = F.coalesce(F.bool_or(F.col("status").isin("scraping_error", "store_unavailable")), F.lit(False))
+    return outcomes.agg(
+        F.lit(run_id).cast("long").alias("run_id"), F.lit(run_type).alias("run_type"), F.when(bad, "completed_with_errors").otherwise("completed").alias("status"),
+        F.first(started).alias("started_at"), F.first(finished).alias("finished_at"), F.count_distinct("perfume_id").cast("int").alias("perfume_count"), F.count_distinct("store_id").cast("int").alias("store_count"),
+    )

@@ -9,11 +9,15 @@ QUEUE_KEY = ["perfume_id", "store_id", "product_url"]
 
 
 def merge_queue(queue: DataFrame, found: DataFrame, now: Column, keys: list[str] = QUEUE_KEY) -> DataFrame:
-    """New rows enter as pending; pending ones get the new fields and keep first_seen_at; decided ones stay as they are."""
+    """New rows enter as pending; pending ones get the new fields and keep first_seen_at; decided ones stay as they are.
+
+    Of several rows of one key, the last by `ordinal` counts, or without that column the greatest by its fields in order.
+    """
     state = ["status", "first_seen_at", "last_seen_at"]
     fields = [c for c in queue.columns if c not in (*keys, *state)]
     have = [c for c in fields if c in found.columns]
-    b = found.select(*keys, *[F.col(c).alias(f"__{c}") for c in have], F.lit(True).alias("__new")).dropDuplicates(keys)
+    order = F.struct(*(["ordinal"] if "ordinal" in found.columns else []), *have)
+    b = found.groupBy(*keys).agg(F.max_by(F.struct(*have), order).alias("x")).select(*keys, *[F.col("x")[c].alias(f"__{c}") for c in have], F.lit(True).alias("__new"))
     both = queue.join(b, keys, "full")
     fresh = F.col("status").isNull()
     touch = F.col("__new").isNotNull() & (fresh | (F.col("status") == "pending"))
@@ -35,8 +39,8 @@ def pending_count(queue: DataFrame) -> DataFrame:
 
 
 def apply_decisions(queue: DataFrame, decisions: DataFrame, now: Column, keys: list[str] = QUEUE_KEY) -> DataFrame:
-    """Pending rows with a decision (confirmed or rejected) get it and resolved_at; others stay."""
-    d = decisions.select(*keys, F.col("decision").alias("__d")).dropDuplicates(keys)
+    """Pending rows with a decision (confirmed or rejected) get it and resolved_at; others stay. A rejection stands against a confirmation of the same row."""
+    d = decisions.groupBy(*keys).agg(F.max("decision").alias("__d"))
     hit = F.col("__d").isNotNull() & (F.col("status") == "pending")
     return queue.join(d, keys, "left").withColumns({"resolved_at": F.when(hit, now).otherwise(F.col("resolved_at")), "status": F.when(hit, F.col("__d")).otherwise(F.col("status"))}).drop("__d")
 

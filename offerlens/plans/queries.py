@@ -18,21 +18,24 @@ from offerlens.operators import health as H
 from offerlens.operators import history as Y
 from offerlens.operators import matching as MA
 from offerlens.operators import offers as O
+from offerlens.operators.order import numbered
 from offerlens.operators import overlap as V
 from offerlens.operators import review as R
+from offerlens.plans import run as RUN
 from offerlens.plans import tables as T
 from offerlens.plans.tables import CTES, sql, stamp
 from offerlens.sources import pages as SP
+from offerlens.sources import schema as SC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(oracle: str | None, ctes: str = ""):
+def query(oracle: str | None, ctes: str = "", more: str = ""):
     def add(f):
         QUERIES[f.__name__] = f
         if oracle:
-            SQL[f.__name__] = sql(ctes, oracle) if ctes else oracle
+            SQL[f.__name__] = sql(ctes, oracle, more) if ctes else oracle
         return f
 
     return add
@@ -77,9 +80,10 @@ def change_only_history(s, d):
     return Y.change_only(T.obs(s, d), ["variant_id"], ["recorded_at", "seq"]).select("variant_id", "seq", "price", "availability")
 
 
-@query("SELECT variant_id, seq, price, previous_price, price - previous_price AS delta FROM (SELECT *, lag(price) OVER (PARTITION BY variant_id ORDER BY seq) AS previous_price FROM obs) WHERE previous_price <> price AND run_id = (SELECT max(run_id) FROM obs)", "obs")
+@query("SELECT variant_id, seq, price, previous_price, price - previous_price AS delta, row_number() OVER (ORDER BY abs(price - previous_price) DESC, variant_id, seq) AS row_number FROM (SELECT *, lag(price) OVER (PARTITION BY variant_id ORDER BY seq) AS previous_price FROM obs) WHERE previous_price <> price AND run_id = (SELECT max(run_id) FROM obs)", "obs")
 def price_changes_last_run(s, d):
-    return Y.moves_of_run(T.obs(s, d), ["variant_id"], ["seq"], "run_id").select("variant_id", "seq", "price", "previous_price", "delta")
+    moved = Y.moves_of_run(T.obs(s, d), ["variant_id"], ["seq"], "run_id").select("variant_id", "seq", "price", "previous_price", "delta")
+    return numbered(moved, F.desc(F.abs("delta")), "variant_id", "seq")
 
 
 @query('SELECT variant_id, a - b AS "drop" FROM (SELECT variant_id, price AS a, lead(price) OVER w AS b, row_number() OVER w AS n FROM obs WINDOW w AS (PARTITION BY variant_id ORDER BY recorded_at DESC, seq DESC)) WHERE n = 1 AND a < b', "obs")
@@ -113,18 +117,16 @@ def dedup_offers_in_run(s, d):
 
 
 TWO_RUNS = "two AS (SELECT max(run_id) AS last, max(run_id) - 6 AS mid FROM obs)"
-_two = CTES["obs"] + ", " + TWO_RUNS + ", snap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant_id, store_id ORDER BY recorded_at DESC, seq DESC) AS n FROM obs, two WHERE run_id <= mid) WHERE n = 1), batch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant_id, store_id ORDER BY availability <> 'in_stock', price, seq) AS n FROM obs, two WHERE run_id > mid) WHERE n = 1)"
+_two = CTES["obs"] + ", " + TWO_RUNS + ", snap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant_id, store_id ORDER BY recorded_at DESC, seq DESC) AS n FROM obs, two WHERE run_id <= mid) WHERE n = 1), runs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, variant_id, store_id ORDER BY availability <> 'in_stock', price, seq) AS n FROM obs, two WHERE run_id > mid) WHERE n = 1), batch AS (SELECT * FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY variant_id, store_id ORDER BY run_id DESC) AS n FROM runs) WHERE n = 1)"
 
 
 def _snapshot_and_batch(s, d):
-    """The snapshot half a year before the last run, and the offers of the runs since, deduplicated."""
-    from offerlens.operators.history import latest
-
+    """The snapshot half a year before the last run, and the latest offers of the runs since, each run's duplicates settled within it."""
     obs = T.obs(s, d)
-    mid = obs.agg((F.max("run_id") - 6).alias("mid"))
-    both = obs.join(F.broadcast(mid), F.lit(True))
-    old = latest(both.where("run_id <= mid").drop("mid"), ["variant_id", "store_id"], ["recorded_at", "seq"])
-    return old, O.dedup_in_run(both.where("run_id > mid").drop("mid"), ["variant_id", "store_id"], ["seq"])
+    mid = obs.agg(F.max("run_id") - 6).scalar()
+    old = Y.latest(obs.where(F.col("run_id") <= mid), ["variant_id", "store_id"], ["recorded_at", "seq"])
+    runs = O.dedup_in_run(obs.where(F.col("run_id") > mid), ["run_id", "variant_id", "store_id"], ["seq"])
+    return old, Y.latest(runs, ["variant_id", "store_id"], ["run_id"])
 
 
 @query(f"WITH {_two} SELECT s.variant_id, s.store_id, s.price, 'out_of_stock' AS availability FROM snap s WHERE availability = 'in_stock' AND store_id IN (SELECT store_id FROM batch) AND NOT EXISTS (SELECT 1 FROM batch b WHERE b.variant_id = s.variant_id AND b.store_id = s.store_id)")
@@ -192,9 +194,10 @@ def triggered_alerts(s, d):
     return A.triggered(T.alerts(s, d), T.offers(s, d))
 
 
-@query("SELECT a.alert_id, a.target_price, best_price, coalesce(n_offers, 0) AS n_offers, brand, name, best_price IS NOT NULL AS fires FROM alerts a JOIN variants USING (variant_id) LEFT JOIN (SELECT alert_id, min(price) AS best_price, count(*) AS n_offers FROM alerts JOIN offers USING (variant_id) WHERE enabled AND availability = 'in_stock' AND price <= target_price GROUP BY 1) t USING (alert_id) WHERE enabled", ALERT)
+@query("SELECT a.alert_id, a.target_price, best_price, coalesce(n_offers, 0) AS n_offers, brand, name, best_price IS NOT NULL AS fires, row_number() OVER (ORDER BY best_price IS NULL, lower(brand), lower(name), a.alert_id) AS row_number FROM alerts a JOIN variants USING (variant_id) LEFT JOIN (SELECT alert_id, min(price) AS best_price, count(*) AS n_offers FROM alerts JOIN offers USING (variant_id) WHERE enabled AND availability = 'in_stock' AND price <= target_price GROUP BY 1) t USING (alert_id) WHERE enabled", ALERT)
 def alert_overview(s, d):
-    return A.overview(T.alerts(s, d), T.offers(s, d), T.variants(s, d)).select("alert_id", "target_price", "best_price", F.coalesce("n_offers", F.lit(0)).alias("n_offers"), "brand", "name", "fires")
+    found = A.overview(T.alerts(s, d), T.offers(s, d), T.variants(s, d)).select("alert_id", "target_price", "best_price", F.coalesce("n_offers", F.lit(0)).alias("n_offers"), "brand", "name", "fires")
+    return numbered(found, *A.overview_keys())
 
 
 @query("SELECT alert_id, string_agg(offer_id || ':' || price, ',' ORDER BY price, offer_id) AS offers FROM alerts JOIN offers USING (variant_id) WHERE enabled AND availability = 'in_stock' AND price <= target_price GROUP BY 1", ALERT)
@@ -218,9 +221,9 @@ def _dashboard(s, d):
     return catalog.join(value, ["brand", "name"], "left").withColumn("last_checked_at", F.lit(None).cast("timestamp"))
 
 
-@query(f"WITH {CTES['obs']}, {CTES['offers']}, {CTES['variants']}, {CTES['best']}, {DASH} SELECT * FROM dash")
+@query(f"WITH {CTES['obs']}, {CTES['offers']}, {CTES['variants']}, {CTES['best']}, {DASH} SELECT *, row_number() OVER (ORDER BY best_price DESC NULLS LAST, brand, name) AS row_number FROM dash")
 def dashboard(s, d):
-    return P.dashboard_order(_dashboard(s, d), "best_price", "desc", price="best_price").drop("last_checked_at")
+    return numbered(_dashboard(s, d).drop("last_checked_at"), *P.dashboard_keys("best_price", "desc", price="best_price"))
 
 
 @query(f"WITH {CTES['obs']}, {CTES['offers']}, {CTES['variants']}, {CTES['best']}, {DASH} SELECT * FROM dash WHERE (contains(lower(brand), 'ring') OR contains(lower(name), 'ring')) AND best_price IS NOT NULL")
@@ -236,12 +239,14 @@ def store_catalog(s, d):
     return P.store_catalog(T.stores(s, d), rows).select("store_id", "store_name", "brand", "name", F.coalesce(listed, F.lit("")).alias("offers"))
 
 
-@query('SELECT b.variant_id, b.price, CAST(b.price AS DOUBLE) / b.volume_ml AS price_per_ml, "drop", min_price, entries FROM best b LEFT JOIN (SELECT variant_id, a - p AS "drop" FROM (SELECT variant_id, price AS a, lead(price) OVER w AS p, row_number() OVER w AS n FROM obs WINDOW w AS (PARTITION BY variant_id ORDER BY recorded_at DESC, seq DESC)) WHERE n = 1 AND a < p) x USING (variant_id) LEFT JOIN (SELECT variant_id, min(price) AS min_price, count(*) AS entries FROM obs GROUP BY 1) y USING (variant_id)', BEST)
+@query('SELECT b.variant_id, b.price, (((CAST(b.price * 100 AS BIGINT) * 20000000 + b.volume_ml) // (2 * b.volume_ml) + 500) // 1000) / 1000000.0 AS price_per_ml, "drop", min_price, entries, coalesce(in_stock_stores, 0) AS in_stock_stores FROM best b LEFT JOIN (SELECT perfume_id, count(DISTINCT CASE WHEN status = \'in_stock\' THEN store_id END) AS in_stock_stores FROM (SELECT *, rank() OVER (PARTITION BY perfume_id, store_id ORDER BY created_at DESC) AS n FROM results) WHERE n = 1 GROUP BY 1) z ON z.perfume_id = b.variant_id % 20 LEFT JOIN (SELECT variant_id, a - p AS "drop" FROM (SELECT variant_id, price AS a, lead(price) OVER w AS p, row_number() OVER w AS n FROM obs WINDOW w AS (PARTITION BY variant_id ORDER BY recorded_at DESC, seq DESC)) WHERE n = 1 AND a < p) x USING (variant_id) LEFT JOIN (SELECT variant_id, min(price) AS min_price, count(*) AS entries FROM obs GROUP BY 1) y USING (variant_id)', BEST + " results")
 def perfume_detail(s, d):
     obs = T.obs(s, d)
-    stores = obs.groupBy("variant_id").agg(F.count_distinct("store_id").alias("stores"))
+    perfume = F.col("variant_id") % 20
+    counts = H.in_stock_stores(H.latest_statuses(T.results(s, d), ["perfume_id", "store_id"]), ["perfume_id"])
+    stores = T.variants(s, d).select("variant_id", perfume.alias("perfume_id")).join(counts, "perfume_id", "left").select("variant_id", F.coalesce("in_stock_stores", F.lit(0)).alias("in_stock_stores"))
     out = P.detail(best(s, d), stores, Y.real_drop(obs, ["variant_id"], ["recorded_at", "seq"]), Y.price_stats(obs, ["variant_id"]))
-    return out.select("variant_id", "price", (F.col("price").cast("double") / F.col("volume_ml")).alias("price_per_ml"), "drop", "min_price", "entries")
+    return out.select("variant_id", "price", F.col("price_per_ml").cast("double").alias("price_per_ml"), "drop", "min_price", "entries", "in_stock_stores")
 
 
 @query("SELECT l_orderkey, l_linenumber, price, old_price, CASE WHEN price < old_price THEN CAST(round(CAST((old_price - price) * 100 AS DOUBLE) / CAST(old_price AS DOUBLE)) AS INTEGER) END AS discount_percentage FROM (SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(10,2)) AS old_price, CAST(CAST(l_extendedprice AS DECIMAL(10,2)) * CAST(1 - l_discount AS DECIMAL(4,2)) AS DECIMAL(10,2)) AS price FROM lineitem)")
@@ -333,18 +338,31 @@ def _candidates(s, d):
     )
 
 
-@query(None)
+_cand = "c AS (SELECT p_partkey AS candidate_id, p_brand AS brand, p_name AS was, CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' intense' WHEN 2 THEN replace(p_name, ' ', '') WHEN 3 THEN 'x' || p_name WHEN 4 THEN 'zzz qqq' ELSE p_name END AS cn, p_partkey % 7 = 5 AS gift, p_partkey % 7 = 6 AS bare FROM part), k AS (SELECT DISTINCT p_brand AS brand, p_name AS name FROM part)"
+
+_scores = (
+    "prs AS (SELECT DISTINCT cn, name FROM c JOIN k USING (brand)), w AS (SELECT cn, name, array_to_string(list_sort(string_split(cn, ' ')), ' ') AS x, array_to_string(list_sort(string_split(name, ' ')), ' ') AS y FROM prs), "
+    "dp(cn, name, x, y, i, v) AS (SELECT cn, name, x, y, 0, list_transform(range(length(y) + 1), lambda q: 0) FROM w UNION ALL SELECT cn, name, x, y, i + 1, list_reduce(range(1, length(y) + 1), lambda acc, j: list_append(acc, CASE WHEN substr(x, i + 1, 1) = substr(y, j, 1) THEN v[j] + 1 ELSE greatest(v[j + 1], acc[j]) END), [0]) FROM dp WHERE i < length(x)), "
+    "sc AS (SELECT cn, name, 200.0::DOUBLE * v[length(y) + 1] / (length(x) + length(y)) AS s, len(list_filter(string_split(name, ' '), lambda q: NOT list_contains(string_split(cn, ' '), q))) = 0 AS inside FROM dp WHERE i = length(x))"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_cand}, {_scores}, l AS (SELECT candidate_id, brand, name, gift, bare, cn, s, inside, CAST(round_even(s, 0) AS INTEGER) AS whole, CASE WHEN gift THEN 1 WHEN bare THEN 2 WHEN cn = name THEN 3 WHEN length(name) % 2 = 0 AND cn = 'x' || name THEN 4 WHEN s >= 90 THEN 5 WHEN s >= 70 THEN 6 WHEN inside THEN 7 ELSE 8 END AS step FROM c JOIN k USING (brand) JOIN sc USING (cn, name)) "
+    "SELECT candidate_id, brand, name, CASE WHEN step IN (3, 4) THEN 'exact' WHEN step = 5 THEN 'high_confidence' WHEN step IN (2, 6, 7) THEN 'ambiguous' ELSE 'rejected' END AS confidence, "
+    "CASE step WHEN 1 THEN 'excluded:gift_set' WHEN 2 THEN 'missing_variant_fields' WHEN 4 THEN 'confirmed_name_alias' WHEN 5 THEN 'name_fuzzy_score=' || whole WHEN 6 THEN 'name_fuzzy_score=' || whole WHEN 7 THEN 'name_containment_score=' || whole WHEN 8 THEN 'name_mismatch' END AS reason, "
+    "CASE WHEN step BETWEEN 5 AND 7 THEN whole END AS score FROM l"
+)
 def match_ladder(s, d):
-    catalog = T.variants(s, d).select("brand", "name").distinct().withColumns({"perfume_id": F.xxhash64("brand", "name"), "aliases": F.lit(None).cast("array<string>")})
+    """Every candidate with every product of its brand; names of even length have x and the name as a confirmed alias."""
+    alias = F.when(F.length("name") % 2 == 0, F.array(F.concat(F.lit("x"), "name")))
+    catalog = T.variants(s, d).select("brand", "name").distinct().withColumns({"perfume_id": F.xxhash64("brand", "name"), "aliases": alias})
     pairs = MA.candidate_pairs(catalog, _candidates(s, d).repartition("candidate_id"))  # the given table is one file
     out = MA.decide(pairs, brand_checked=True)
     return out.select("candidate_id", "brand", "name", "confidence", "reason", "score")
 
 
-_cand = "c AS (SELECT p_partkey AS candidate_id, p_brand AS brand, p_name AS was, CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' intense' WHEN 2 THEN replace(p_name, ' ', '') WHEN 3 THEN 'x' || p_name WHEN 4 THEN 'zzz qqq' ELSE p_name END AS cn, p_partkey % 7 = 5 AS gift, p_partkey % 7 = 6 AS bare FROM part), k AS (SELECT DISTINCT p_brand AS brand, p_name AS name FROM part)"
-
-
-@query(f"WITH {_cand} SELECT candidate_id, name, CASE WHEN gift THEN 'excluded:gift_set' WHEN bare THEN 'missing_variant_fields' END AS reason FROM c JOIN k USING (brand) WHERE gift OR bare OR cn = name")
+@query(f"WITH {_cand} SELECT candidate_id, name, CASE WHEN gift THEN 'excluded:gift_set' WHEN bare THEN 'missing_variant_fields' WHEN cn <> name THEN 'confirmed_name_alias' END AS reason FROM c JOIN k USING (brand) WHERE gift OR bare OR cn = name OR length(name) % 2 = 0 AND cn = 'x' || name")
 def match_certain(s, d):
     """The decisions that need no score."""
     return match_ladder(s, d).where("reason IS NULL OR reason NOT LIKE 'name_%'").select("candidate_id", "name", "reason")
@@ -424,13 +442,13 @@ def dna_offsets(s, d):
 
 @query("SELECT accord AS label, count(DISTINCT item_id) AS item_count, CAST(sum(strength) AS BIGINT) AS score, CAST(round_even(count(DISTINCT item_id) * 100.0 / (SELECT count(*) FROM supplier), 0) AS INTEGER) AS collection_percentage, CAST(round_even(CAST(sum(strength) AS DOUBLE) * 100 / max(sum(strength)) OVER (), 1) AS DECIMAL(5,1)) AS bar_percentage, CAST(round_even(CAST(sum(strength) AS DOUBLE) / count(DISTINCT item_id), 0) AS INTEGER) AS avg_intensity FROM accords GROUP BY 1 ORDER BY score DESC LIMIT 8", "accords")
 def top_accords(s, d):
-    n = T.read(s, d, "supplier").count()
+    n = T.read(s, d, "supplier").agg(F.count("*")).scalar()
     return C.rank_attributes(T.accords(s, d), n, "accord", strength="strength", order=["item_id", "position"]).drop("place")
 
 
 @query("SELECT label, item_count, score, collection_percentage, CAST(round_even(CAST(score AS DOUBLE) * 100 / max(score) OVER (), 1) AS DECIMAL(5,1)) AS bar_percentage FROM (SELECT name AS label, count(*) AS item_count, count(*) AS score, CAST(round_even(count(*) * 100.0 / (SELECT count(*) FROM supplier), 0) AS INTEGER) AS collection_percentage, min(item_id) AS f FROM notes GROUP BY 1 ORDER BY score DESC, f, label LIMIT 8)", "notes")
 def top_notes(s, d):
-    n = T.read(s, d, "supplier").count()
+    n = T.read(s, d, "supplier").agg(F.count("*")).scalar()
     return C.rank_attributes(T.notes(s, d), n, "name", order=["item_id", "name"]).drop("place")
 
 
@@ -501,17 +519,16 @@ def page_headings(s, d):
     return T.read(s, d, "pages").select("page_id", F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1).alias("heading"), F.size(F.regexp_extract_all("html", F.lit(r"(?is)<p\b"), 0)).cast("long").alias("paragraphs"))
 
 
-@query("SELECT regexp_extract(url, '://([^/]*)', 1) AS store_slug, url, 'structure not recognised' AS error FROM pages WHERE NOT regexp_matches(html, '\"@type\":\\s*\"Product\"')")
+@query("SELECT 'all' AS store_slug, url, 'structure not recognised' AS error FROM pages WHERE NOT regexp_matches(html, '\"@type\":\\s*\"Product\"')")
 def page_error_rows(s, d):
-    pages = _pages(s, d)
-    raw = SP.json_ld(pages)
-    found = raw.groupBy("store_slug", "url").agg(F.count("*").alias("n"))
-    return pages.join(found, ["store_slug", "url"], "left_anti").select("store_slug", "url", F.lit("structure not recognised").alias("error"))
+    pages = _pages(s, d).withColumn("store_slug", F.lit("all"))
+    return SP.extract_offers(pages, {"all": SP.json_ld})[1]
 
 
-@query("SELECT regexp_extract(url, '://([^/]*)', 1) AS store_slug, regexp_replace(url, '[?&]page=\\d+.*$', '') AS listing, count(DISTINCT CASE WHEN regexp_extract(url, '[?&]page=(\\d+)', 1) = '' THEN 1 ELSE CAST(regexp_extract(url, '[?&]page=(\\d+)', 1) AS INTEGER) END) AS pages_seen, 2 AS last_page, count(DISTINCT CASE WHEN regexp_extract(url, '[?&]page=(\\d+)', 1) = '' THEN 1 ELSE CAST(regexp_extract(url, '[?&]page=(\\d+)', 1) AS INTEGER) END) >= 2 AS complete FROM pages GROUP BY 1, 2")
+@query("SELECT regexp_extract(url, '://([^/]*)', 1) AS store_slug, regexp_replace(url, '[?&]page=\\d+.*$', '') AS listing, count(DISTINCT CASE WHEN regexp_extract(url, '[?&]page=(\\d+)', 1) = '' THEN 1 ELSE CAST(regexp_extract(url, '[?&]page=(\\d+)', 1) AS INTEGER) END) AS pages_seen, max(len(regexp_extract_all(html, '<a '))) AS last_page, count(DISTINCT CASE WHEN regexp_extract(url, '[?&]page=(\\d+)', 1) = '' THEN 1 ELSE CAST(regexp_extract(url, '[?&]page=(\\d+)', 1) AS INTEGER) END) >= max(len(regexp_extract_all(html, '<a '))) AS complete FROM pages GROUP BY 1, 2")
 def listing_completeness(s, d):
-    return SP.pages_complete(_pages(s, d), F.lit(2), SP.url_page())
+    """The links of a page stand for the number of pages that a listing declares."""
+    return SP.pages_complete(_pages(s, d), F.size(F.regexp_extract_all("html", F.lit("<a "), 0)), SP.url_page())
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
@@ -543,9 +560,15 @@ def cascade_delete(s, d):
     return left["lines"].groupBy("l_orderkey").agg(F.count("*").alias("lines"))
 
 
-@query("SELECT accord, family, family_group, color FROM (SELECT DISTINCT p_type AS accord, 'Other' AS family, 'Other' AS family_group, '#64748b' AS color FROM part)")
+_known = [(a, f, {"Floral": "Floral"}.get(f, "Other")) for f, xs in FAMILY.items() for a in xs]
+
+
+@query(
+    "SELECT DISTINCT p_type AS accord, coalesce(family, 'Other') AS family, coalesce(grp, 'Other') AS family_group, CASE grp WHEN 'Floral' THEN '#ec4899' ELSE '#64748b' END AS color FROM part LEFT JOIN (VALUES "
+    + ", ".join(f"('{a}', '{f}', '{g}')" for a, f, g in _known) + ") v(a, family, grp) ON lower(trim(p_type)) = a"
+)
 def accord_colors(s, d):
-    return C.with_family(T.read(s, d, "part").select(F.col("p_type").alias("accord")).distinct())
+    return C.with_family(T.read(s, d, "part").select(F.col("p_type").alias("accord")).distinct(), families=FAMILY)
 
 
 @query("SELECT a, b, percentage, shared FROM (SELECT a.item_id AS a, b.item_id AS b, round_even(CAST(sum(a.strength * b.strength) AS DOUBLE) / (sqrt(max(na)) * sqrt(max(nb))) * 100, 1) AS percentage, array_to_string(list_slice(list(lower(a.accord) ORDER BY a.strength + b.strength DESC, lower(a.accord)), 1, 4), ', ') AS shared FROM (SELECT *, sum(CAST(strength AS DOUBLE) * strength) OVER (PARTITION BY item_id) AS na FROM accords) a JOIN (SELECT *, sum(CAST(strength AS DOUBLE) * strength) OVER (PARTITION BY item_id) AS nb FROM accords) b ON a.accord = b.accord AND a.item_id < b.item_id GROUP BY 1, 2) WHERE percentage >= 72 ORDER BY percentage DESC, a, b LIMIT 15", "accords")
@@ -553,9 +576,9 @@ def overlap_report(s, d):
     return V.overlap_report(V.vectors(T.accords(s, d))).select("a", "b", "percentage", "shared")
 
 
-@query("SELECT item_id, accord FROM accords WHERE position <= 3", "accords")
+@query("SELECT item_id, string_agg(accord, ', ' ORDER BY position) AS names FROM accords WHERE position <= 3 GROUP BY 1", "accords")
 def first_accords(s, d):
-    return T.accords(s, d).where("position <= 3").select("item_id", "accord")
+    return C.first_attributes(T.accords(s, d))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN CAST(l_extendedprice - 30000 AS DECIMAL(10,2)) > 0 THEN CAST(l_extendedprice - 30000 AS DECIMAL(10,2)) END AS price FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_extendedprice FROM lineitem)")
@@ -564,11 +587,175 @@ def entered_price(s, d):
     return T.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").distinct().select("l_orderkey", "l_linenumber", M.entered_price(text).alias("price"))
 
 
-@query("SELECT v.brand, v.name, v.variant_id, v.volume_ml, v.concentration, v.tester FROM variants v", "variants")
+@query("SELECT v.brand, v.name, v.variant_id, v.volume_ml, v.concentration, v.tester, row_number() OVER (ORDER BY brand, name, volume_ml DESC, concentration, tester, variant_id) AS row_number FROM variants v", "variants")
 def variants_ordered(s, d):
-    return P.variant_order(T.variants(s, d), "brand", "name").select("brand", "name", "variant_id", "volume_ml", "concentration", "tester")
+    return numbered(T.variants(s, d).select("brand", "name", "variant_id", "volume_ml", "concentration", "tester"), "brand", "name", *P.variant_keys(), "variant_id")
 
 
 @query("SELECT variant_id, store_id FROM offers WHERE variant_id IN (SELECT variant_id FROM alerts WHERE enabled)", "obs offers alerts")
 def offers_with_alerts(s, d):
     return P.semi_lookup(T.offers(s, d), T.alerts(s, d).where("enabled"), ["variant_id"]).select("variant_id", "store_id")
+
+
+# -- catalog, runs, decisions --------------------------------------------------------------------------------------
+
+
+@query("SELECT variant_id, store_id, seq, price, row_number() OVER (PARTITION BY variant_id, store_id ORDER BY recorded_at DESC, seq DESC) AS recency FROM obs WHERE (variant_id, store_id) IN (SELECT (variant_id, store_id) FROM offers WHERE availability = 'in_stock')", "obs offers")
+def series_history(s, d):
+    """All entries of the series that are in stock now, newest first."""
+    now = T.offers(s, d).where("availability = 'in_stock'")
+    return Y.series_history(T.obs(s, d), now, ["variant_id", "store_id"], ["recorded_at", "seq"]).select("variant_id", "store_id", "seq", "price", "recency")
+
+
+@query("SELECT s.store_id, store_name, coalesce(total, 0) AS total, coalesce(healthy, 0) AS healthy, coalesce(strip, '') AS strip FROM stores s LEFT JOIN (SELECT store_id, count(*) AS total, count(*) FILTER (WHERE status NOT IN ('scraping_error', 'store_unavailable')) AS healthy, string_agg(status, ',' ORDER BY n) AS strip FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY created_at DESC, result_id DESC) AS n FROM results) WHERE n <= 20 GROUP BY 1) h USING (store_id)", "stores results")
+def store_health_report(s, d):
+    return H.health_report(T.stores(s, d), T.results(s, d)).select("store_id", "store_name", "total", "healthy", F.array_join("strip", ",").alias("strip"))
+
+
+@query("SELECT s_suppkey AS store_id, s_name AS store_name, row_number() OVER (ORDER BY s_name, s_suppkey) AS row_number FROM supplier WHERE s_acctbal >= 0")
+def enabled_stores(s, d):
+    return numbered(T.stores(s, d).where("enabled").select("store_id", "store_name"), "store_name", "store_id")
+
+
+@query("SELECT perfume_id, trim(brand) AS brand, trim(name) AS name, lower(trim(brand)) AS normalized_brand, lower(trim(name)) AS normalized_name FROM perfumes", "perfumes")
+def catalog_columns(s, d):
+    padded = T.perfumes(s, d).select("perfume_id", F.concat(F.lit(" "), "brand").alias("brand"), F.concat("name", F.lit("  ")).alias("name"))
+    return MA.normalised_catalog(padded)
+
+
+@query("SELECT p.perfume_id, coalesce(string_agg(a, ',' ORDER BY a), '') AS aliases FROM perfumes p LEFT JOIN (SELECT DISTINCT perfume_id, p_type AS a FROM perfumes JOIN part ON brand = p_brand AND name = p_name WHERE p_size > 40) x USING (perfume_id) GROUP BY 1", "perfumes")
+def catalog_aliases(s, d):
+    part = T.read(s, d, "part").where("p_size > 40").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("p_type").alias("normalized_alias"))
+    named = T.perfumes(s, d).join(part, ["brand", "name"]).select("perfume_id", "normalized_alias")
+    return MA.with_aliases(T.perfumes(s, d), named).select("perfume_id", F.coalesce(F.array_join("aliases", ","), F.lit("")).alias("aliases"))
+
+
+@query(f"WITH {TITLES} SELECT p_partkey, contains(strip_accents(lower(title)), 'brand#1') AS named FROM titles")
+def title_gate(s, d):
+    """Whether a title holds the name of the brand Brand#1 (which every brand that begins so holds too)."""
+    return _titles(s, d).select("p_partkey", MA.names_brand(F.col("title"), F.lit("Brand#1")).alias("named"))
+
+
+@query("SELECT DISTINCT p_brand || ' ' || p_name AS label FROM part")
+def labels(s, d):
+    return T.perfumes(s, d).select(X.label(F.col("brand"), F.col("name")).alias("label")).distinct()
+
+
+@query("SELECT perfume_id, CASE WHEN perfume_id IN (SELECT perfume_id FROM results) THEN 5 END AS last_checked_at FROM perfumes", "perfumes results")
+def mark_checked(s, d):
+    catalog = T.perfumes(s, d).select("perfume_id", F.lit(None).cast("int").alias("last_checked_at"))
+    return O.mark_checked(catalog, T.results(s, d), F.lit(5))
+
+
+@query("SELECT item_id, accord FROM (SELECT item_id, accord FROM accords WHERE item_id % 4 > 1 UNION ALL SELECT item_id, upper(accord) FROM accords WHERE item_id % 4 = 0)", "accords")
+def replaced_accords(s, d):
+    """Items divisible by four get new accords; those with a rest of one get an empty list."""
+    old = T.accords(s, d).select("item_id", "accord")
+    return O.replace_children(old, old.where("item_id % 4 = 0").withColumn("accord", F.upper("accord")), "item_id", old.where("item_id % 4 = 1").select("item_id").distinct())
+
+
+@query("SELECT src, dst FROM edges", "edges")
+def similar_edges(s, d):
+    """Similar entries name the other item by a url that differs in case, query and slashes."""
+    items = T.read(s, d, "supplier").select(F.col("s_suppkey").alias("item_id"), F.concat(F.lit("https://x.test/Item/"), "s_suppkey", F.lit("/")).alias("url"))
+    similar = T.edges(s, d).select(F.col("src").alias("item_id"), F.concat(F.lit("http://www.x.test/item/"), "dst", F.lit("?a=1")).alias("url"))
+    return G.owned_edges(similar, items)
+
+
+@query("SELECT s_suppkey AS item_id, row_number() OVER (ORDER BY s_name, s_nationkey, s_suppkey) AS row_number FROM supplier")
+def items_sorted(s, d):
+    items = T.read(s, d, "supplier").select(F.col("s_suppkey").alias("item_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("brand"))
+    return numbered(items, *SC.sort_keys("unknown"), "item_id").select("item_id", "row_number")
+
+
+@query("SELECT variant_id, store_id FROM offers WHERE (variant_id % 20, store_id) IN (SELECT (perfume_id, store_id) FROM results)", "obs offers results")
+def offers_of_pairs(s, d):
+    offers = T.offers(s, d).withColumn("perfume_id", F.col("variant_id") % 20)
+    return O.for_pair(offers, offers, T.results(s, d)).select("variant_id", "store_id")
+
+
+@query("SELECT a, b FROM (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON x.p_brand = y.p_brand) WHERE a = b OR len(list_filter(string_split(b, ' '), lambda q: NOT list_contains(string_split(a || ' old', ' '), q))) = 0")
+def contained_names(s, d):
+    """Names of one brand that hold all words of another, by the cheap test alone (threshold above any score)."""
+    names = T.perfumes(s, d).select("brand", "name")
+    pairs = names.select("brand", F.concat("name", F.lit(" old")).alias("x"), F.col("name").alias("a")).join(names.withColumnRenamed("name", "b"), "brand")
+    return pairs.where(MA.plausible(F.col("x"), F.col("b"), 101)).select("a", "b").distinct()
+
+
+_KEYS = "store_id, perfume_id, concentration, volume_ml, tester"
+_RUN = (
+    "m AS (SELECT max(run_id) AS last FROM obs), o AS (SELECT obs.store_id, perfume_id, concentration, volume_ml, tester, obs.price, availability, seq, variant_id, run_id FROM obs JOIN variants USING (variant_id) JOIN perfumes USING (brand, name)), "
+    f"cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY availability <> 'in_stock', price, variant_id, seq) AS n FROM o, m WHERE run_id = last) WHERE n = 1), "
+    f"old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY run_id DESC, availability <> 'in_stock', price, variant_id, seq) AS n FROM o, m WHERE run_id < last) WHERE n = 1)"
+)
+
+
+def _run_rows(s, d):
+    """Observations with their perfume and variant; ordinal is by variant and sequence."""
+    from pyspark.sql import Window as W
+
+    rows = T.obs(s, d).join(T.variants(s, d), "variant_id").join(T.perfumes(s, d), ["brand", "name"])
+    return rows.withColumn("ordinal", F.struct("variant_id", "seq"))
+
+
+def _run_state(s, d) -> tuple[RUN.State, DataFrame]:
+    """The state before the last run, and the raw offers of that run; every fourth tells no brand."""
+    rows = _run_rows(s, d)
+    last = T.obs(s, d).agg(F.max("run_id")).scalar()
+    key = RUN.VARIANT
+    known = rows.select(*key).distinct().withColumn("variant_id", O.variant_id(*[F.col(c) for c in key]))
+    text, money = F.lit(None).cast("string"), F.lit(None).cast("decimal(10,2)")
+    before = O.dedup_in_run(rows.where(F.col("run_id") < last).select("store_id", *key, "run_id", "price", "availability", "ordinal"), ["store_id", *key, "run_id"])
+    before = Y.latest(before, ["store_id", *key], ["run_id"]).join(known, key)
+    snapshot = before.select("store_id", "variant_id", "perfume_id", text.alias("url"), text.alias("identifier"), text.alias("title"), "price", money.alias("old_price"), F.lit("RON").alias("currency"), F.lit(None).cast("int").alias("discount_percentage"), "availability", F.lit("OLD").alias("coupon_code"), money.alias("coupon_price"), F.lit(1).alias("first_seen_at"), F.lit(1).alias("last_seen_at"))
+    history = before.select("store_id", "variant_id", F.lit(1).cast("long").alias("run_id"), F.lit(1).alias("recorded_at"), "price", money.alias("old_price"), F.lit("RON").alias("currency"), F.lit(None).cast("int").alias("discount_percentage"), "availability")
+    catalog = T.perfumes(s, d).withColumn("last_checked_at", F.lit(None).cast("int"))
+    none = lambda kind: s.createDataFrame([], kind)
+    aliases = none("perfume_id long, normalized_alias string, alias string")
+    queue = none(SC.TABLES["review_queue"].replace("timestamp_ntz", "int"))
+    alerts = none(SC.TABLES["alerts"].replace("timestamp_ntz", "int"))
+    raw = rows.where(F.col("run_id") == last).select(
+        F.concat_ws(" ", "brand", "name", F.concat("volume_ml", F.lit(" ml"))).alias("raw_title"), F.concat(F.lit("u/"), "variant_id").alias("product_url"), text.alias("store_product_identifier"), F.when(F.col("variant_id") % 4 > 0, F.col("brand")).alias("brand"),
+        F.col("name").alias("perfume_name"), "concentration", "volume_ml", "tester", "price", (F.col("price") * 2).cast("decimal(10,2)").alias("old_price"), F.lit("RON").alias("currency"), "availability", text.alias("coupon_code"), money.alias("coupon_price"), "perfume_id", "store_id", "ordinal",
+    )
+    return RUN.State(catalog, aliases, known.select("variant_id", *key), snapshot, history, queue, alerts), raw
+
+
+def _after_run(s, d) -> RUN.State:
+    """The state after the last run, in which stores of odd numbers failed where they brought nothing."""
+    state, raw = _run_state(s, d)
+    pairs = state.snapshot.select("perfume_id", "store_id").unionByName(raw.select("perfume_id", "store_id")).distinct()
+    attempts = pairs.withColumn("error_status", F.when(F.col("store_id") % 2 == 1, "scraping_error"))
+    return RUN.apply_run(state, raw, attempts, 2, F.lit(2))[0]
+
+
+@query(f"SELECT {_KEYS}, coalesce(c.price, p.price) AS price, CASE WHEN c.store_id IS NOT NULL THEN c.availability WHEN store_id % 2 = 0 THEN 'out_of_stock' ELSE p.availability END AS availability, CASE WHEN c.store_id IS NOT NULL THEN 'u/' || c.variant_id END AS url, CASE WHEN c.store_id IS NOT NULL THEN 50 END AS discount_percentage, CASE WHEN c.store_id IS NULL THEN 'OLD' END AS coupon_code, CASE WHEN p.store_id IS NULL THEN 2 ELSE 1 END AS first_seen_at, CASE WHEN c.store_id IS NULL THEN 1 ELSE 2 END AS last_seen_at FROM old p FULL JOIN cur c USING ({_KEYS})", "obs variants perfumes", _RUN)
+def run_snapshot(s, d):
+    after = _after_run(s, d)
+    named = after.snapshot.drop("perfume_id").join(after.variants, "variant_id")
+    return named.select("store_id", *RUN.VARIANT, "price", "availability", "url", "discount_percentage", "coupon_code", "first_seen_at", "last_seen_at")
+
+
+@query(f"SELECT {_KEYS}, CASE WHEN c.store_id IS NULL THEN p.price ELSE c.price END AS price, CASE WHEN c.store_id IS NULL THEN 'out_of_stock' ELSE c.availability END AS availability FROM old p FULL JOIN cur c USING ({_KEYS}) WHERE CASE WHEN c.store_id IS NULL THEN store_id % 2 = 0 AND p.availability = 'in_stock' ELSE p.store_id IS NULL OR p.price <> c.price OR p.availability <> c.availability END", "obs variants perfumes", _RUN)
+def run_history(s, d):
+    after = _after_run(s, d)
+    return after.history.join(after.variants, "variant_id").select("store_id", *RUN.VARIANT, "price", "availability")
+
+
+@query("SELECT store_id, perfume_id, price, 'confirmed_name' AS alias, 'in_stock' AS availability FROM (SELECT DISTINCT 1 AS store_id, p_partkey AS perfume_id, CAST(p_retailprice AS DECIMAL(10,2)) AS price FROM part WHERE p_size % 2 = 0)")
+def confirmed_offers(s, d):
+    """Decisions on a queue of one doubtful row for each part: those of even sizes are confirmed, the others rejected."""
+    state, _ = _run_state(s, d)
+    part = T.read(s, d, "part")
+    text = F.lit(None).cast("string")
+    queue = part.select(
+        F.col("p_partkey").alias("perfume_id"), F.lit(1).cast("long").alias("store_id"), F.concat(F.lit("u/"), "p_partkey").alias("product_url"), F.col("p_name").alias("title"), text.alias("candidate_brand"), F.lit("confirmed_name").alias("candidate_name"), F.col("p_type").alias("concentration"),
+        F.col("p_size").alias("volume_ml"), F.lit(False).alias("tester"), F.col("p_retailprice").cast("decimal(10,2)").alias("price"), F.lit(None).cast("decimal(10,2)").alias("old_price"), F.lit("RON").alias("currency"), F.lit("in_stock").alias("availability"), text.alias("identifier"),
+        F.lit(80.0).alias("match_score"), F.lit("pending").alias("status"), F.lit(1).alias("first_seen_at"), F.lit(1).alias("last_seen_at"), F.lit(None).cast("int").alias("resolved_at"),
+    )
+    decisions = queue.select(*R.QUEUE_KEY, F.when(F.col("volume_ml") % 2 == 0, "confirmed").otherwise("rejected").alias("decision"))
+    from dataclasses import replace
+
+    start = replace(state, queue=queue, snapshot=state.snapshot.limit(0), history=state.history.limit(0), variants=state.variants.limit(0))
+    after = RUN.apply_decisions(start, decisions, F.lit(3))
+    return after.snapshot.join(after.aliases, "perfume_id").select("store_id", "perfume_id", "price", F.col("normalized_alias").alias("alias"), "availability")

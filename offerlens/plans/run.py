@@ -1,47 +1,105 @@
-"""One run as a plan: raw offers and the catalog to matches, snapshot, history, review queue and outcomes."""
+"""A run, and decisions on its doubtful matches, as plans: from tables to the next version of each."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerlens.functions.text import normalize
+from offerlens.operators import alerts as alerting
 from offerlens.operators import matching, offers, review
 from offerlens.operators.history import append_changes
 
+VARIANT = ["perfume_id", "concentration", "volume_ml", "tester"]
+#: Fields of a current offer that a new one replaces, null ones too, and those that its history keeps.
+OFFER = ["perfume_id", "url", "identifier", "title", "price", "old_price", "currency", "discount_percentage", "availability", "coupon_code", "coupon_price"]
+ENTRY = ["price", "old_price", "currency", "discount_percentage", "availability"]
+
 
 @dataclass
 class State:
-    """Tables that a run reads and of which it makes the next version."""
+    """Tables that a run reads and of which it makes the next version. `history` of a new state holds the rows to append only."""
 
-    catalog: DataFrame  # perfume_id, brand, name, aliases
+    catalog: DataFrame  # perfume_id, brand, name, last_checked_at
+    aliases: DataFrame  # perfume_id, normalized_alias, alias
     variants: DataFrame  # variant_id, perfume_id, concentration, volume_ml, tester
-    snapshot: DataFrame  # store_id, variant_id, perfume_id, price, old_price, availability, first_seen_at, last_seen_at
-    history: DataFrame  # store_id, variant_id, run_id, recorded_at, seq, price, availability
-    queue: DataFrame  # review.QUEUE_KEY, title, price, match_score, status, first_seen_at, last_seen_at
+    snapshot: DataFrame  # store_id, variant_id, OFFER, first_seen_at, last_seen_at
+    history: DataFrame  # store_id, variant_id, run_id, recorded_at, ENTRY
+    queue: DataFrame  # review.QUEUE_KEY, title, candidate_brand, candidate_name, VARIANT, ENTRY, identifier, match_score, status, first_seen_at, last_seen_at, resolved_at
+    alerts: DataFrame  # alert_id, variant_id, target_price, enabled, last_triggered_at, last_triggered_price
 
 
-def apply_run(state: State, raw: DataFrame, attempts: DataFrame, run_id: int, now: Column) -> tuple[State, DataFrame]:
-    """The next state, and the outcome of each attempted (perfume, store).
+def judge(state: State, raw: DataFrame) -> DataFrame:
+    """Each admitted raw offer (with store_id, ordinal and the perfume_id it was found for, or null) with the perfumes it may be, and the decision.
 
-    `raw` are raw offers with store_id and ordinal; `attempts` (perfume_id, store_id, error_status) tells failed pairs from
-    those without offers. The history of the new state holds the rows to append only.
+    One that was found for a perfume is compared with that one alone and has its brand where it tells none; the others with the perfumes of their brand.
     """
-    candidates = offers.admit(raw).withColumnsRenamed({"brand": "candidate_brand", "perfume_name": "candidate_name"})
-    judged = matching.decide(matching.candidate_pairs(state.catalog, candidates), brand_checked=True)
+    catalog = matching.with_aliases(state.catalog.select("perfume_id", "brand", "name"), state.aliases)
+    found = offers.admit(raw).withColumnsRenamed({"brand": "candidate_brand", "perfume_name": "candidate_name"})
+    aimed = matching.targeted_pairs(catalog, found.where("perfume_id IS NOT NULL"))
+    free = matching.candidate_pairs(catalog, found.where("perfume_id IS NULL").drop("perfume_id"))
+    return matching.decide(aimed).unionByName(matching.decide(free, brand_checked=True))
+
+
+def _offers(rows: DataFrame) -> DataFrame:
+    """Rows of raw offers with their variant as current offers."""
+    named = rows.withColumnsRenamed({"product_url": "url", "store_product_identifier": "identifier", "raw_title": "title"})
+    return offers.with_discount(named).select(*offers.KEY, *OFFER, "ordinal")
+
+
+def _entries(rows: DataFrame, run_id: int | None, now: Column) -> DataFrame:
+    return rows.select(*offers.KEY, F.lit(run_id).cast("long").alias("run_id"), now.alias("recorded_at"), *ENTRY)
+
+
+def apply_run(state: State, raw: DataFrame, attempts: DataFrame, run_id: int, now: Column) -> tuple[State, DataFrame]:
+    """The next state, and the outcome of each attempted (perfume, store). `attempts`: perfume_id, store_id, error_status (null where the store answered)."""
+    judged = judge(state, raw)
     accepted = judged.where(matching.usable())
     variants = offers.resolve_variants(state.variants, accepted)
-    keyed = accepted.join(variants.select("perfume_id", "concentration", "volume_ml", "tester", "variant_id"), ["perfume_id", "concentration", "volume_ml", "tester"])
-    best = offers.dedup_in_run(keyed.select("store_id", "variant_id", "perfume_id", "price", "old_price", "availability", "ordinal")).drop("ordinal")
+    placed = accepted.join(variants.select(*VARIANT, "variant_id"), VARIANT)
+    best = offers.dedup_in_run(_offers(placed)).drop("ordinal").select(*offers.KEY, *OFFER)
     ok = attempts.where("error_status IS NULL")
     gone = offers.delisted(state.snapshot, best, ok, pair=["perfume_id", "store_id"]).select(*best.columns)
     snapshot = offers.upsert_snapshot(state.snapshot, best, now)
     out = gone.select(*offers.KEY, F.lit("out_of_stock").alias("__gone"))
     snapshot = snapshot.join(out, offers.KEY, "left").withColumn("availability", F.coalesce("__gone", "availability")).drop("__gone")
-    seen = best.unionByName(gone).select("store_id", "variant_id", F.lit(run_id).cast("long").alias("run_id"), now.alias("recorded_at"), F.lit(0).cast("long").alias("seq"), "price", "availability")
-    history = append_changes(state.history, seen, offers.KEY, ["recorded_at", "seq"])
-    doubtful = judged.where("confidence = 'ambiguous' AND score IS NOT NULL").select("perfume_id", "store_id", "product_url", F.col("raw_title").alias("title"), "price", F.col("score").alias("match_score"))
-    queue = review.merge_queue(state.queue, doubtful, now)
+    history = append_changes(state.history, _entries(best.unionByName(gone), run_id, now), offers.KEY, ["recorded_at"])
+    doubtful = judged.where("confidence = 'ambiguous' AND score IS NOT NULL").select(
+        *review.QUEUE_KEY, F.col("raw_title").alias("title"), "candidate_brand", "candidate_name", "concentration", "volume_ml", "tester", "price", "old_price", "currency", "availability",
+        F.col("store_product_identifier").alias("identifier"), F.col("score").cast("double").alias("match_score"), "ordinal",
+    )
     outcomes = offers.run_outcomes(attempts, best.select("perfume_id", "store_id", "availability"), ["perfume_id", "store_id"])
-    return State(state.catalog, variants, snapshot, history, queue), outcomes
+    touched = best.select("variant_id").distinct()
+    return replace(
+        state, catalog=offers.mark_checked(state.catalog, attempts, now), variants=variants, snapshot=snapshot, history=history,
+        queue=review.merge_queue(state.queue, doubtful, now), alerts=_alerts(state.alerts, snapshot, touched, now),
+    ), outcomes
+
+
+def _alerts(alerts: DataFrame, snapshot: DataFrame, touched: DataFrame, now: Column) -> DataFrame:
+    """Alerts of touched variants evaluated on the snapshot; the others keep their state."""
+    return alerting.persist_triggers(alerts, snapshot.join(touched, "variant_id", "left_semi"), now)
+
+
+def apply_decisions(state: State, decisions: DataFrame, now: Column) -> State:
+    """The next state after decisions (review.QUEUE_KEY, decision) on pending rows.
+
+    A confirmed row becomes an alias of its perfume, a variant if that is new, a current offer (without a coupon) as it was
+    seen, a history entry without a run if price or availability differ, and its variant's alerts are evaluated. Of two confirmed
+    rows of one store and variant, the one seen last counts, then the greater url. Rejected rows are only marked.
+    """
+    chosen = decisions.groupBy(*review.QUEUE_KEY).agg(F.max("decision").alias("decision")).where("decision = 'confirmed'")
+    hits = state.queue.where("status = 'pending'").join(chosen.select(*review.QUEUE_KEY), review.QUEUE_KEY, "left_semi")
+    named = hits.select("perfume_id", normalize(F.col("candidate_name")).alias("normalized_alias"), F.col("candidate_name").alias("alias"))
+    variants = offers.resolve_variants(state.variants, hits)
+    rows = hits.join(variants.select(*VARIANT, "variant_id"), VARIANT).withColumn("url", F.col("product_url"))
+    rows = offers.with_discount(rows).withColumns({"coupon_code": F.lit(None).cast("string"), "coupon_price": F.lit(None).cast("decimal(10,2)")})
+    rest = [c for c in OFFER]
+    best = rows.groupBy(*offers.KEY).agg(F.max_by(F.struct(*rest), F.struct("last_seen_at", "url")).alias("x")).select(*offers.KEY, "x.*")
+    snapshot = offers.upsert_snapshot(state.snapshot, best, now)
+    return replace(
+        state, aliases=review.merge_aliases(state.aliases, named), variants=variants, snapshot=snapshot, history=append_changes(state.history, _entries(best, None, now), offers.KEY, ["recorded_at"]),
+        queue=review.apply_decisions(state.queue, decisions, now), alerts=_alerts(state.alerts, snapshot, best.select("variant_id").distinct(), now),
+    )

@@ -27,6 +27,11 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def perfumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each (brand, name), with the least number of its parts as perfume_id."""
+    return read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("perfume_id"))
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("variant_id"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("p_type").alias("concentration"),
@@ -46,7 +51,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(
+    return read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("alert_id"), F.col("p_partkey").alias("variant_id"), (F.col("p_retailprice").cast("decimal(10,2)") * 20).cast("decimal(12,2)").alias("target_price"), (F.col("p_partkey") % 15 != 0).alias("enabled"),
     )
 
@@ -74,11 +79,13 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From each large line's supplier to that of the next line of the same order."""
+    """A supplier's similar ones: the two that stand most often on the line after its own in an order, of all lines."""
     rows = read(spark, sf_dir, "lineitem").distinct()
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", *LINE[2:])
-    nxt = rows.withColumn("dst", F.lead("l_suppkey").over(w)).where("l_quantity >= 49 AND dst IS NOT NULL AND dst <> l_suppkey")
-    return nxt.select(F.col("l_suppkey").alias("src"), "dst").distinct()
+    nxt = rows.withColumn("dst", F.lead("l_suppkey").over(w)).where("dst IS NOT NULL AND dst <> l_suppkey")
+    times = nxt.groupBy(F.col("l_suppkey").alias("src"), "dst").agg(F.count("*").alias("n"))
+    top = F.row_number().over(W.partitionBy("src").orderBy(F.desc("n"), "dst"))
+    return times.withColumn("place", top).where("place <= 2").select("src", "dst")
 
 
 #: The same relations for the oracle, each under the name above.
@@ -88,9 +95,10 @@ CTES = {
       row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS seq
       FROM (SELECT DISTINCT * FROM lineitem))""",
     "variants": "variants AS (SELECT p_partkey AS variant_id, p_brand AS brand, p_name AS name, p_type AS concentration, p_size AS volume_ml, p_partkey % 10 = 0 AS tester FROM part)",
+    "perfumes": "perfumes AS (SELECT p_brand AS brand, p_name AS name, min(p_partkey) AS perfume_id FROM part GROUP BY 1, 2)",
     "stores": "stores AS (SELECT s_suppkey AS store_id, s_name AS store_name, s_acctbal >= 0 AS enabled FROM supplier)",
     "offers": """offers AS (SELECT *, store_id AS offer_id FROM (SELECT *, row_number() OVER (PARTITION BY variant_id, store_id ORDER BY recorded_at DESC, seq DESC) AS rn FROM obs) WHERE rn = 1)""",
-    "alerts": "alerts AS (SELECT p_partkey AS alert_id, p_partkey AS variant_id, CAST(CAST(p_retailprice AS DECIMAL(10,2)) * 20 AS DECIMAL(12,2)) AS target_price, p_partkey % 15 <> 0 AS enabled FROM part WHERE p_partkey % 5 = 0)",
+    "alerts": "alerts AS (SELECT p_partkey AS alert_id, p_partkey AS variant_id, CAST(CAST(p_retailprice AS DECIMAL(10,2)) * 20 AS DECIMAL(12,2)) AS target_price, p_partkey % 15 <> 0 AS enabled FROM part)",
     "results": """results AS (SELECT event_id AS result_id, user_id AS store_id, ts AS created_at, event_id % 20 AS perfume_id,
       CASE event_type WHEN 'error' THEN 'scraping_error' WHEN 'signup' THEN 'store_unavailable' WHEN 'purchase' THEN 'in_stock' WHEN 'click' THEN 'out_of_stock' ELSE 'not_found' END AS status FROM events)""",
     "best": """best AS (SELECT v.*, o.store_id, o.price, o.availability, o.recorded_at FROM variants v LEFT JOIN (
@@ -98,11 +106,11 @@ CTES = {
     "accords": """accords AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY accord) AS position FROM (
       SELECT l_suppkey AS item_id, p_type AS accord, CAST(sum(l_quantity) AS BIGINT) AS strength FROM (SELECT DISTINCT * FROM lineitem) JOIN part ON l_partkey = p_partkey GROUP BY 1, 2))""",
     "notes": "notes AS (SELECT DISTINCT l_suppkey AS item_id, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey)",
-    "edges": """edges AS (SELECT DISTINCT l_suppkey AS src, dst FROM (SELECT *, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS dst
-      FROM (SELECT DISTINCT * FROM lineitem)) WHERE l_quantity >= 49 AND dst IS NOT NULL AND dst <> l_suppkey)""",
+    "edges": """edges AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, dst) AS place FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS dst
+      FROM (SELECT DISTINCT * FROM lineitem)) WHERE dst IS NOT NULL AND dst <> src GROUP BY src, dst) WHERE place <= 2)""",
 }
 
 
-def sql(names: str, query: str) -> str:
-    """A query over some of CTES, in the order given."""
-    return f"WITH RECURSIVE {', '.join(CTES[n] for n in names.split())} {query}"
+def sql(names: str, query: str, more: str = "") -> str:
+    """A query over some of CTES, in the order given, and more of its own."""
+    return f"WITH RECURSIVE {', '.join([*[CTES[n] for n in names.split()], *([more] if more else [])])} {query}"

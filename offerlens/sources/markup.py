@@ -15,15 +15,23 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str | None], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
-    def walk(self) -> Iterator[Node]:
-        for child in self.children:
+    def each(self) -> Iterator[Node | str]:
+        """Nodes and texts below this one in order, however deep: the path down is a list, not a call stack."""
+        ahead = [iter(self.children)]
+        while ahead:
+            child = next(ahead[-1], None)
+            if child is None:
+                ahead.pop()
+                continue
+            yield child
             if isinstance(child, Node):
-                yield child
-                yield from child.walk()
+                ahead.append(iter(child.children))
+
+    def walk(self) -> Iterator[Node]:
+        return (x for x in self.each() if isinstance(x, Node))
 
     def text(self) -> str:
-        parts = [x if isinstance(x, str) else x.text() for x in self.children]
-        return " ".join(" ".join(parts).split())
+        return " ".join(" ".join(x for x in self.each() if isinstance(x, str)).split())
 
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from offerlens.functions import money as M
 from offerlens.functions import text as X
+from offerlens.operators.matching import names_brand, plausible
 from offerlens.sources.markup import Node, each_page
 from offerlens.sources.schema import conform
+from offerlens.sources.storage import written
 
 #: What an extractor yields; prices, volumes and concentrations still as text.
 FIELDS = ["raw_title", "product_url", "identifier", "brand", "name_text", "concentration_text", "volume_text", "tester_text", "price_text", "old_price_text", "price_format", "availability", "currency", "coupon_code", "coupon_text"]
@@ -83,6 +83,12 @@ def sitemap_urls(pages: DataFrame) -> DataFrame:
     return pages.select("store_slug", F.explode(locs).alias("loc")).select("store_slug", unescape(F.col("loc")).alias("loc")).distinct()
 
 
+def product_sitemaps(pages: DataFrame, mark: str = "product") -> DataFrame:
+    """(store_slug, loc) of those sitemaps in an index whose location holds `mark`."""
+    index = pages.where(F.col("html").rlike(r"(?is)<sitemapindex\b"))
+    return sitemap_urls(index).where(F.contains(F.lower("loc"), F.lit(mark)))
+
+
 def sitemap_candidates(urls: DataFrame, catalog: DataFrame) -> DataFrame:
     """Locations /<brand>/<name>/ of the catalog's brands, under any of their names, with name as text."""
     parts = r"^https?://[^/]+/([^/]+)/([^/]+)/?"
@@ -91,6 +97,30 @@ def sitemap_candidates(urls: DataFrame, catalog: DataFrame) -> DataFrame:
     return split.join(brands, "brand_slug")
 
 
+def plausible_locations(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Locations of `sitemap_candidates` with each perfume (perfume_id, name) of their brand that their name could be."""
+    core = candidates.withColumn("core", X.core_name(F.col("name_text"), F.col("brand")))
+    pairs = core.join(catalog.select("brand", "perfume_id", "name"), "brand")
+    return pairs.where(plausible(F.col("core"), X.normalize(F.col("name"))))
+
+
+def search_candidates(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Search results (perfume_id, title) that may be the perfume they were searched for: the title holds one of the brand's names, and the rest could be its name."""
+    title = X.without_brackets(F.col("title"))
+    pairs = rows.join(catalog.select("perfume_id", "brand", "name"), "perfume_id").where(names_brand(F.col("title"), F.col("brand")))
+    return pairs.where(plausible(X.core_name_any_brand(title, F.col("brand")), X.normalize(F.col("name"))))
+
+
+def with_cards(raw: DataFrame, cards: DataFrame) -> DataFrame:
+    """Rows of product pages with the brand, title and type of the listing card that leads to them, where they have none of their own."""
+    known = cards.where("error IS NULL").groupBy("store_slug", X.url_key(F.col("product_url")).alias("__u")).agg(
+        *[F.min_by(c, F.struct("url", "position")).alias(f"__{c}") for c in ("brand", "raw_title", "name_text", "concentration_text")]
+    )
+    out = raw.withColumn("__u", X.url_key(F.coalesce("product_url", "url"))).join(known, ["store_slug", "__u"], "left")
+    filled = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), f"__{c}") for c in ("brand", "raw_title", "name_text", "concentration_text")}
+    return out.withColumns(filled).select(*raw.columns)
+
+
 def pages_complete(pages: DataFrame, declared: Column, page: Column) -> DataFrame:
     """(store_slug, listing, pages_seen, last_page, complete): whether the pages of each listing reach the declared count."""
     listing = F.regexp_replace("url", r"[?&]page=\d+.*$", "")
@@ -149,7 +179,11 @@ def radio_combinations(pages: DataFrame) -> DataFrame:
     return each_page(pages, rule, FIELDS)
 
 
-def variant_list(pages: DataFrame, prefix: str = "Alege opțiunea produsului ") -> DataFrame:
+#: Fixed value: what stands before a variant's title.
+VARIANT_PREFIX = "Alege opțiunea produsului "
+
+
+def variant_list(pages: DataFrame, prefix: str = VARIANT_PREFIX) -> DataFrame:
     """Variants with a title of their own; a disabled class means out of stock."""
 
     def rule(root: Node, url: str) -> list[dict]:
@@ -288,42 +322,26 @@ def pointer_map(pages: DataFrame, base_url: Column) -> DataFrame:
     )
 
 
-@F.pandas_udf(StringType())
-def _bracketed(text: pd.Series, key: pd.Series) -> pd.Series:
-    """The array after `key`, to its matching bracket; brackets within strings do not count."""
-
-    def cut(s, k):
-        if s is None or (at := s.find(k)) < 0 or (begin := s.find("[", at)) < 0:
-            return None
-        depth, quoted, skip = 0, False, False
-        for i in range(begin, len(s)):
-            c = s[i]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "[]":
-                depth += 1 if c == "[" else -1
-                if not depth:
-                    return s[begin : i + 1]
-        return None
+def script_state(html: Column) -> Column:
+    """The JSON text in a quoted string that a script assigns, from its product store on.
 
-    return pd.Series([cut(s, k) for s, k in zip(text, key, strict=True)], dtype=object)
+    Possessive groups: the engine walks the string once and keeps nothing to go back to, however long it is.
+    """
+    text = F.regexp_extract(html, r"(?s)__INITIAL_STATE__state='([^'\\]*+(?:\\.[^'\\]*+)*+)'", 1)
+    text = F.replace(F.replace(text, F.lit("\\'"), F.lit("'")), F.lit("\\\\"), F.lit("\\"))
+    mark = '"productsStore":'
+    return F.when(F.contains(text, F.lit(mark)), F.substring(text, F.locate(mark, text), F.length(text)))
 
 
-def script_state(html: Column) -> Column:
-    """The JSON text in a quoted string that a script assigns, from its product store on."""
-    text = F.regexp_extract(html, r"(?s)__INITIAL_STATE__state='((?:[^'\\]|\\.)*)'", 1)
-    text = F.replace(F.replace(text, F.lit("\\'"), F.lit("'")), F.lit("\\\\"), F.lit("\\"))
-    return F.when(F.contains(text, F.lit('"productsStore":')), F.concat(F.lit('"productsStore":'), F.split_part(text, F.lit('"productsStore":'), F.lit(2))))
+def array_after(text: Column, key: str) -> Column:
+    """What stands from the bracket after `key` on; JSON readers stop at the array's end by themselves."""
+    return F.nullif(F.regexp_extract(text, rf'(?s)"{key}":\s*+(\[.*)', 1), F.lit(""))
 
 
 def escaped_state(pages: DataFrame, base_url: Column) -> DataFrame:
     """Sizes of the items in a state that a script holds as a quoted string."""
     kind = "array<struct<name:string,urlRelative:string,brands:array<struct<name:string>>,pars:array<struct<code:string,value:string,online:int,price:struct<withVat:struct<decimal:string>,rrpWithVat:struct<decimal:string>>,priceAction:struct<sale:boolean>>>>>"
-    items = F.from_json(_bracketed(script_state(F.col("html")), F.lit('"items":')), kind)
+    items = F.from_json(array_after(script_state(F.col("html")), "items"), kind)
     rows = pages.select("store_slug", "url", base_url.alias("base"), F.explode(items).alias("i")).select("store_slug", "url", "base", "i", F.posexplode("i.pars").alias("position", "p"))
     rows = rows.where("p.code IS NOT NULL AND p.value IS NOT NULL AND p.price.withVat.decimal IS NOT NULL AND i.urlRelative IS NOT NULL")
     return _fields(
@@ -336,7 +354,8 @@ def escaped_state(pages: DataFrame, base_url: Column) -> DataFrame:
 def detail_concentration(offers: DataFrame, details: DataFrame) -> DataFrame:
     """Offers whose title tells no concentration take it from their detail page's product description."""
     data = F.from_json(unescape(F.regexp_extract("html", r'(?s)data-product="([^"]*)"', 1)), "struct<description:string,description_short:string>")
-    known = details.select(F.col("url").alias("product_url"), X.concentration(F.concat_ws(" ", data["description"], data["description_short"])).alias("__c")).where("__c IS NOT NULL").dropDuplicates(["product_url"])
+    known = details.select(F.col("url").alias("product_url"), X.concentration(F.concat_ws(" ", data["description"], data["description_short"])).alias("__c")).where("__c IS NOT NULL")
+    known = known.groupBy("product_url").agg(F.min("__c").alias("__c"))
     missing = offers.where("concentration IS NULL").join(known, "product_url", "left").withColumn("concentration", F.col("__c")).select(*offers.columns)
     return offers.where("concentration IS NOT NULL").unionByName(missing)
 
@@ -386,7 +405,17 @@ def owned_json(payloads: DataFrame, hosts: list[str], host: str) -> DataFrame:
 
 
 def owned_html(pages: DataFrame, hosts: list[str], host: str, labels: tuple[str, ...] = ("perfumes i have", "i have", "have", "owned"), most: int = 10) -> DataFrame:
-    """The same from a rendered page: the nearest ancestor, up to `most` levels, of the shelf's label that holds item links."""
+    """The same from a rendered page: the nearest ancestor, up to `most` levels, of the shelf's label that holds item links. Pages without one: `owned_errors`."""
+    found = _shelves(pages, labels, most)
+    return _canonical(found.where("error IS NULL").select("url", "position", "raw"), hosts, host)
+
+
+def owned_errors(pages: DataFrame, labels: tuple[str, ...] = ("perfumes i have", "i have", "have", "owned"), most: int = 10) -> DataFrame:
+    """(store_slug, url, error) of pages on which no shelf of owned items was found."""
+    return _shelves(pages, labels, most).where("error IS NOT NULL").select("store_slug", "url", "error")
+
+
+def _shelves(pages: DataFrame, labels: tuple[str, ...], most: int) -> DataFrame:
     wanted = set(labels)
 
     def rule(root: Node, url: str) -> list[dict]:
@@ -404,8 +433,7 @@ def owned_html(pages: DataFrame, hosts: list[str], host: str, labels: tuple[str,
                 at = at.parent
         raise ValueError("no shelf of owned items")
 
-    found = each_page(pages, rule, ["raw"])
-    return _canonical(found.where("error IS NULL").select("url", "position", "raw"), hosts, host)
+    return each_page(pages, rule, ["raw"])
 
 
 def _canonical(rows: DataFrame, hosts: list[str], host: str) -> DataFrame:
@@ -419,9 +447,14 @@ def _canonical(rows: DataFrame, hosts: list[str], host: str) -> DataFrame:
 Extractor = Callable[[DataFrame], DataFrame]
 
 
-def extract_offers(pages: DataFrame, extractors: dict[str, Extractor]) -> tuple[DataFrame, DataFrame]:
-    """Raw offers of all pages, each by its store's extractor, and (store_slug, url, error) of pages that gave none."""
-    raw = reduce(lambda a, b: a.unionByName(b), [f(pages.where(F.col("store_slug") == slug)) for slug, f in extractors.items()])
+def extract_offers(pages: DataFrame, extractors: dict[str, Extractor], cards: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Raw offers of all pages, each by its store's extractor, and (store_slug, url, error) of pages that gave none.
+
+    With `cards`, offers take the brand and title that their page does not tell from their listing card. What the extractors
+    find is written once, and each reads its own store's pages only where the table is laid out by store.
+    """
+    raw = written(reduce(lambda a, b: a.unionByName(b), [f(pages.where(F.col("store_slug") == slug)) for slug, f in extractors.items()]))
     found = raw.groupBy("store_slug", "url").agg(F.max("error").alias("e"), F.count_if(F.col("error").isNull()).alias("n"))
     errors = pages.select("store_slug", "url").join(found, ["store_slug", "url"], "left").where("n IS NULL OR n = 0")
-    return to_offers(raw), errors.select("store_slug", "url", F.coalesce("e", F.lit("structure not recognised")).alias("error"))
+    offers = to_offers(raw if cards is None else with_cards(raw, cards))
+    return offers, errors.select("store_slug", "url", F.coalesce("e", F.lit("structure not recognised")).alias("error"))

@@ -17,13 +17,13 @@ TABLES = {
     "check_results": "result_id long, run_id long, perfume_id long, store_id long, status string, offers_found int, error_message string, created_at timestamp_ntz",
     "alerts": f"alert_id long, variant_id long, target_price {MONEY}, currency string, enabled boolean, last_triggered_at timestamp_ntz, last_triggered_price {MONEY}",
     "aliases": "perfume_id long, normalized_alias string, alias string",
-    "review_queue": f"perfume_id long, store_id long, product_url string, title string, concentration string, volume_ml int, tester boolean, price {MONEY}, match_score double, status string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, resolved_at timestamp_ntz",
+    "review_queue": f"perfume_id long, store_id long, product_url string, title string, candidate_brand string, candidate_name string, concentration string, volume_ml int, tester boolean, price {MONEY}, old_price {MONEY}, currency string, availability string, identifier string, match_score double, status string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, resolved_at timestamp_ntz",
     "items": f"item_id long, url string, brand string, name string, price {MONEY}, currency string, volume_ml int",
     "item_accords": "item_id long, accord string, strength int, position int",
     "item_notes": "item_id long, tier string, name string, position int",
     "item_similar": "item_id long, brand string, name string, url string, position int",
     "raw_pages": "store_slug string, page_kind string, url string, html string, fetched_at timestamp_ntz",
-    "raw_offers": f"store_slug string, raw_title string, product_url string, store_product_identifier string, brand string, perfume_name string, concentration string, volume_ml int, tester boolean, price {MONEY}, old_price {MONEY}, currency string, availability string, coupon_code string, coupon_price {MONEY}, scraped_at timestamp_ntz",
+    "raw_offers": f"store_slug string, perfume_id long, raw_title string, product_url string, store_product_identifier string, brand string, perfume_name string, concentration string, volume_ml int, tester boolean, price {MONEY}, old_price {MONEY}, currency string, availability string, coupon_code string, coupon_price {MONEY}, scraped_at timestamp_ntz",
 }
 SORTS = {"name": ["name", "brand"], "brand": ["brand", "name"]}
 
@@ -37,12 +37,26 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(schema(name)).parquet(path)
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, "raw_pages")
+
+
+def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The same table as a stream of the files that arrive."""
+    return spark.readStream.schema(schema("raw_pages")).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """The table's columns in order, cast; missing ones are null."""
     have = set(df.columns)
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)])
 
 
+def sort_keys(key: str) -> list[str]:
+    """By name, or by brand and name; other keys mean name."""
+    return SORTS.get(key, SORTS["name"])
+
+
 def items_sorted(items: DataFrame, key: str) -> DataFrame:
-    """The collection by name, or by brand and name; other keys mean name."""
-    return items.orderBy(*SORTS.get(key, SORTS["name"]))
+    """The collection in the order of `sort_keys`."""
+    return items.orderBy(*sort_keys(key))

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from offerlens.operators.alerts import firing
 from offerlens.operators.health import UNHEALTHY
+from offerlens.operators.history import latest
 from offerlens.operators.offers import KEY, dedup_in_run, upsert_snapshot
 
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -76,11 +77,15 @@ def alert_stream(offers: DataFrame, alerts: DataFrame) -> DataFrame:
     return firing(alerts, offers)
 
 
-def snapshot_writer(obs: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
-    """Applies each micro-batch to the current snapshot: `read` gives the last version, `write` stores the next."""
+def snapshot_writer(obs: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], run: str = "run_id") -> DataStreamWriter:
+    """Applies each micro-batch to the current snapshot: `read` gives the last version, `write` stores the next.
+
+    A micro-batch may hold several runs: each run's duplicates are settled within it (in stock, then cheaper, then first seen), and
+    then the latest run's row of each key counts, so the result does not depend on where micro-batches end, if no run is split.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        rows = dedup_in_run(batch, KEY, ["seq"]).drop("seq")
+        rows = latest(dedup_in_run(batch, [*KEY, run], ["seq"]), KEY, [run]).drop("seq", run)
         old, now = read(), F.current_timestamp()
         if old is None:
             new = rows.withColumns({"first_seen_at": now, "last_seen_at": now})

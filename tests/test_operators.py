@@ -26,6 +26,7 @@ def test_change_only_and_append(spark):
 def test_moves_and_drops(spark):
     h = obs(spark, [(1, 5, 1, "799", "in_stock", 1), (1, 4, 2, "749", "in_stock", 2), (2, 1, 1, "10", "in_stock", 2), (3, 1, 1, "5", "in_stock", 1), (3, 2, 2, "5", "out_of_stock", 2)])
     moved = history.moves_of_run(h, ["series"], ["seq"], "run_id").collect()
+    assert [(r["seq"], r["recency"]) for r in history.series_history(h, h.where("series = 3"), ["series"], ["recorded_at", "seq"]).orderBy("recency").collect()] == [(2, 1), (1, 2)]
     assert [(r["series"], r["delta"]) for r in moved] == [(1, D("-50.00"))]
     assert history.real_drop(h, ["series"], ["recorded_at", "seq"]).count() == 0  # by time the price rose
     s = history.price_stats(obs(spark, [(1, 1, 1, "799", "", 1), (1, 2, 2, "749", "", 1), (1, 3, 3, "699", "", 1)]), ["series"]).first()
@@ -190,3 +191,57 @@ def test_overlap(spark):
     assert set(pairs) == {(1, 2), (1, 4), (2, 4), (3, 4)}
     assert abs(pairs[(3, 4)] - 1 / 2**0.5) < 1e-12
     assert overlap.overlap_report(overlap.vectors(a.limit(0))).count() == 0
+
+
+def test_rows_are_numbered_in_order(spark):
+    from offerlens.operators.order import numbered
+
+    rows = spark.range(500).select(F.pmod(F.col("id") * 7919, F.lit(500)).alias("x"))
+    got = numbered(rows, F.desc("x")).collect()
+    assert all(r["row_number"] == 500 - r["x"] for r in got) and len(got) == 500
+    assert numbered(rows.limit(0), "x").count() == 0
+
+
+def test_catalog_names(spark):
+    c = spark.createDataFrame([(1, " Dior ", " Sauvage Élixir ")], "perfume_id long, brand string, name string")
+    assert tuple(matching.normalised_catalog(c).first())[1:] == ("Dior", "Sauvage Élixir", "dior", "sauvage elixir")
+    named = spark.createDataFrame([(1, "b", "B"), (1, "a", "A"), (3, "x", "X")], "perfume_id long, normalized_alias string, alias string")
+    assert matching.with_aliases(c, named).first()["aliases"] == ["a", "b"]
+    titles = spark.createDataFrame([("CHRISTIAN DIOR Sauvage", "Dior"), ("Jean P. Gaultier Le Male", "Jean Paul Gaultier"), ("Armani Code", "Dior")], "title string, brand string")
+    assert [r[0] for r in titles.select(matching.names_brand(F.col("title"), F.col("brand"))).collect()] == [True, True, False]
+
+
+def test_replaced_children(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "item_id long, name string")
+    new, parents = spark.createDataFrame([(1, "z")], old.schema), spark.createDataFrame([(1,), (2,)], "item_id long")
+    assert sorted(map(tuple, offers.replace_children(old, new, "item_id", parents).collect())) == [(1, "z"), (3, "c")]
+    assert sorted(map(tuple, offers.replace_children(old, new, "item_id").collect())) == [(1, "z"), (2, "b"), (3, "c")]
+
+
+def test_queue_takes_the_last_of_equal_keys(spark):
+    queue = spark.createDataFrame([], "perfume_id long, store_id long, product_url string, match_score double, status string, first_seen_at int, last_seen_at int")
+    found = spark.createDataFrame([(1, 1, "a", 85.0, 0), (1, 1, "a", 75.0, 1)], "perfume_id long, store_id long, product_url string, match_score double, ordinal int")
+    assert [r["match_score"] for r in review.merge_queue(queue, found, F.lit(2)).collect()] == [75.0]
+
+
+def test_health_report_has_every_store(spark):
+    stores = spark.createDataFrame([(1, "a"), (2, "b")], "store_id long, name string")
+    r = spark.createDataFrame([(1, 1, 1, "in_stock"), (1, 2, 2, "scraping_error")], "store_id long, created_at int, result_id int, status string")
+    got = {x["store_id"]: (x["total"], x["failing_in_a_row"], x["strip"]) for x in health.health_report(stores, r).collect()}
+    assert got == {1: (2, 1, ["scraping_error", "in_stock"]), 2: (0, 0, [])}
+
+
+def test_snapshot_versions(spark, tmp_path):
+    from offerlens.sources import storage
+
+    root, rows = str(tmp_path / "snap"), spark.range(3)
+    assert storage.read_current(spark, root) is None
+    storage.write_snapshot(rows, root, 1)
+    storage.publish(spark, root, 1)
+    storage.write_snapshot(rows.limit(1), root, 2)  # not published: nobody reads it
+    assert storage.read_current(spark, root).count() == 3
+    storage.publish(spark, root, 2)
+    assert storage.read_current(spark, root).count() == 1
+    storage.append_facts(spark.createDataFrame([(1, "a")], "run_id long, status string"), str(tmp_path / "runs"))
+    storage.append_facts(spark.createDataFrame([(2, "b")], "run_id long, status string"), str(tmp_path / "runs"))
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2

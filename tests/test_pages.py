@@ -127,3 +127,46 @@ def test_detail_and_errors(spark):
     good, errors = P.extract_offers(pages(spark, LD % json.dumps({"@type": "Product", "name": "A 30 ml", "offers": {"price": "1"}}), "<p>"), {"shop": P.json_ld})
     assert good.count() == 1
     assert [r["error"] for r in errors.collect()] == ["structure not recognised"]
+
+
+def test_long_and_deep_pages(spark):
+    """A state of a megabyte, and elements nested 5,000 deep."""
+    par = {"code": "c", "value": "100 ml", "online": 1, "price": {"withVat": {"decimal": "9.50"}}}
+    items = [{"name": f"Name {i} it\'s EDP", "urlRelative": f"/m{i}/", "brands": [{"name": "Brand"}], "pars": [par]} for i in range(5000)]
+    state = json.dumps({"x": {"a": [1]}, "productsStore": {"items": items, "more": [[1], "]"]}}).replace("\\", "\\\\").replace("'", "\\'")
+    body = f"<script>window.__INITIAL_STATE__state='{state}';</script>"
+    assert len(body) > 1_000_000
+    assert P.to_offers(P.escaped_state(pages(spark, body), F.lit("https://v.test"))).count() == 5000
+    deep = "<div>" * 5000 + '<article class="product-miniature"><h2><a href="/x">Brand Gold EDP 50 ml</a></h2><span class="price">10,50 lei</span></article>' + "</div>" * 5000
+    assert [(r["price_text"], r["error"]) for r in P.listing_cards(pages(spark, deep)).collect()] == [("10,50 lei", None)]
+
+
+def test_product_pages_take_brand_and_title_from_cards(spark):
+    li = '<li><input class="input-radio" value="1"><span class="variant-price">100,00 lei</span><span class="attr-name">50 ml</span><span class="variant-availability yes">x</span></li>'
+    page = pages(spark, f'<div class="product-variants">{li}</div>', url="https://shop.test/gold.html")
+    card = '<article class="product-miniature"><h2><a href="https://shop.test/gold.html?x">Gold EDP</a></h2><span class="product-brand">Brand</span></article>'
+    cards = P.listing_cards(pages(spark, card, url="https://shop.test/list"))
+    offers, errors = P.extract_offers(page, {"shop": P.radio_combinations}, cards)
+    assert [(r["brand"], r["raw_title"], r["volume_ml"], r["price"]) for r in offers.collect()] == [("Brand", "Gold EDP", 50, D("100.00"))]
+    assert errors.count() == 0
+
+
+def test_search_and_sitemap_candidates(spark):
+    catalog = spark.createDataFrame([(1, "Jean Paul Gaultier", "Le Male"), (2, "Dior", "Sauvage")], "perfume_id long, brand string, name string")
+    found = spark.createDataFrame([(1, "Jean P. Gaultier Le Male (tester)"), (1, "Dior Le Male"), (1, "Jean P. Gaultier Scandal"), (2, "Christian Dior Sauvage EDP 100 ml")], "perfume_id long, title string")
+    assert sorted(r["title"] for r in P.search_candidates(found, catalog).collect()) == ["Christian Dior Sauvage EDP 100 ml", "Jean P. Gaultier Le Male (tester)"]
+    urls = spark.createDataFrame([("s", "https://s.test/dior/sauvage-eau-de-parfum/"), ("s", "https://s.test/dior/addict/"), ("s", "https://s.test/other/sauvage/")], "store_slug string, loc string")
+    kept = P.plausible_locations(P.sitemap_candidates(urls, catalog), catalog).collect()
+    assert [(r["loc"], r["perfume_id"]) for r in kept] == [("https://s.test/dior/sauvage-eau-de-parfum/", 2)]
+    index = pages(spark, "<sitemapindex><sitemap><loc>https://s.test/sitemap-products.xml</loc></sitemap><sitemap><loc>https://s.test/sitemap-pages.xml</loc></sitemap></sitemapindex>")
+    assert [r["loc"] for r in P.product_sitemaps(index).collect()] == ["https://s.test/sitemap-products.xml"]
+
+
+def test_stream_of_pages(spark, tmp_path):
+    from offerlens.sources import schema as S
+
+    S.conform(pages(spark, "<p>x</p>"), "raw_pages").write.parquet(str(tmp_path / "p"))
+    assert S.read_pages(spark, str(tmp_path / "p")).count() == 1
+    query = S.stream_pages(spark, str(tmp_path / "p")).writeStream.format("memory").queryName("pages_in").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert spark.table("pages_in").count() == 1

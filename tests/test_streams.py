@@ -36,21 +36,26 @@ def test_health_stream_equals_batch(spark, tmp_path):
 
 
 def test_snapshot_stream(spark, tmp_path):
-    schema = "store_id long, variant_id long, seq int, price decimal(10,2), availability string"
-    for i, price in enumerate(("5", "4")):
-        spark.createDataFrame([(1, 1, i, D(price), "in_stock")], schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append" if i else "overwrite")
-    versions = []
-
-    def write(df, number):
-        path = str(tmp_path / f"v{number}")
-        df.write.parquet(path)
-        versions.append(path)
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    writer = streams.snapshot_writer(stream, lambda: spark.read.parquet(versions[-1]) if versions else None, write)
-    writer.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(120)
-    last = spark.read.parquet(versions[-1]).collect()
-    assert len(versions) == 2 and len(last) == 1 and last[0]["first_seen_at"] <= last[0]["last_seen_at"]
+    """Two runs in one micro-batch, or in two: the later run's row counts, within a run the one in stock."""
+    schema = "store_id long, variant_id long, run_id long, seq int, price decimal(10,2), availability string"
+    runs = [[(1, 1, 1, 0, D("5"), "in_stock"), (1, 1, 1, 1, D("4"), "out_of_stock")], [(1, 1, 2, 0, D("6"), "out_of_stock"), (1, 2, 2, 1, D("3"), "in_stock")]]
+    for files in (1, 2):
+        source, versions = str(tmp_path / f"in{files}"), []
+        for i, rows in enumerate(runs):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source, mode="append" if i else "overwrite")
+
+        def write(df, number, files=files, versions=versions):
+            path = str(tmp_path / f"v{files}-{number}")
+            df.write.parquet(path)
+            versions.append(path)
+
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+        writer = streams.snapshot_writer(stream, lambda versions=versions: spark.read.parquet(versions[-1]) if versions else None, write)
+        writer.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"cp{files}")).start().awaitTermination(120)
+        last = spark.read.parquet(versions[-1]).orderBy("variant_id").collect()
+        assert len(versions) == 3 - files
+        assert [(r["variant_id"], r["price"], r["availability"]) for r in last] == [(1, D(6), "out_of_stock"), (2, D(3), "in_stock")]
+        assert all(r["first_seen_at"] <= r["last_seen_at"] for r in last)
 
 
 def test_alert_stream(spark, tmp_path):
