@@ -9,7 +9,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,27 +167,28 @@ def outputs(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return own, mass
 
 
-def _whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
-    """Texts in slices that do not depend on where batches end."""
+def _whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:
+    """Texts of rows sorted by shard, with their shard, in slices that do not depend on where batches end."""
     held: list[pa.Array] = []
-    total = 0
+    total, last = 0, None
     for batch in batches:
         texts, begin = batch["text"], 0
-        for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-            if total + size > SLICE_BYTES and total:
-                yield pa.concat_arrays([*held, texts.slice(begin, i - begin)])
-                held, total, begin = [], 0, i
+        for i, (shard, size) in enumerate(zip(batch["shard"].to_pylist(), pc.fill_null(pc.binary_length(texts), 0).to_pylist(), strict=True)):
+            if shard != last or total + size > SLICE_BYTES:
+                if total or i > begin or held:
+                    yield last, pa.concat_arrays([*held, texts.slice(begin, i - begin)])
+                held, total, begin, last = [], 0, i, shard
             total += size
         held.append(texts.slice(begin))
-    if held:
-        yield pa.concat_arrays(held)
+    if sum(map(len, held)):
+        yield last, pa.concat_arrays(held)
 
 
 def train(docs: DataFrame, mass: np.ndarray, tokens: int, rounds: int = ROUNDS, own: np.ndarray | None = None, rows: int | None = None) -> np.ndarray:
     """Weights after `rounds` rounds, each over another part of `docs` (keyed), so that every text is seen once; `rows` of each table, or as many as the corpus asks for.
 
     A round's texts are dealt to shards and ordered in them by hashes of id and text, and shards are as many as the `tokens` ask for, so the result
-    does not depend on partitions or cores. In each, a task starts from the shared weights and takes gradient steps; the
+    does not depend on partitions or cores. For each shard, a task starts from the shared weights and takes gradient steps; the
     changes of each row are then averaged by the visits it had. A task sends at most the size of the weights.
     """
     spark = docs.sparkSession
@@ -201,17 +201,25 @@ def train(docs: DataFrame, mass: np.ndarray, tokens: int, rounds: int = ROUNDS,
         shared = spark.sparkContext.broadcast(weights)
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model, seen = Model(mass, shared.value.copy(), own), np.zeros(shared.value.shape[:2])
-            for texts in _whole_slices(batches):
+            model, seen, last = None, None, None
+
+            def changes() -> Iterator[pa.RecordBatch]:
+                at = np.flatnonzero(seen.reshape(-1))
+                change = (model.weights - shared.value).reshape(-1, PLACES)[at].astype(np.float16)
+                for i in range(0, len(at), 4096):
+                    yield arrow_batch(sent, at[i : i + 4096], np.full(len(at[i : i + 4096]), last), seen.reshape(-1)[at[i : i + 4096]], [x.tobytes() for x in change[i : i + 4096]])
+
+            for shard, texts in _whole_slices(batches):
+                if shard != last:
+                    if model is not None:
+                        yield from changes()
+                    model, seen, last = Model(mass, shared.value.copy(), own), np.zeros(shared.value.shape[:2]), shard
                 _, _, t = _tokens(texts)
                 slots, contexts = slots_of(t.hash, own), _contexts(t)
                 for i in range(0, len(slots), STEP):
                     model.step(contexts[:, i : i + STEP], slots[i : i + STEP], seen)
-            at = np.flatnonzero(seen.reshape(-1))
-            change = (model.weights - shared.value).reshape(-1, PLACES)[at].astype(np.float16)
-            shard = TaskContext.get().partitionId()
-            for i in range(0, len(at), 4096):
-                yield arrow_batch(sent, at[i : i + 4096], np.full(len(at[i : i + 4096]), shard), seen.reshape(-1)[at[i : i + 4096]], [x.tobytes() for x in change[i : i + 4096]])
+            if model is not None:
+                yield from changes()
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, visits = np.zeros((places, PLACES)), np.zeros(places)
@@ -224,8 +232,9 @@ def train(docs: DataFrame, mass: np.ndarray, tokens: int, rounds: int = ROUNDS,
             at = np.flatnonzero(visits)
             yield arrow_batch(met, [at.astype(np.int32).tobytes()], [(sums[at] / visits[at, None]).astype(np.float32).tobytes()])
 
-        part = docs.where(F.pmod(F.xxhash64("k", "t"), F.lit(rounds)) == turn).select("text", F.xxhash64("t", "k").alias("order"), "t")
-        dealt = part.repartition(shards, "order").sortWithinPartitions("order", "t").select("text")
+        order = F.xxhash64("t", "k")
+        part = docs.where(F.pmod(F.xxhash64("k", "t"), F.lit(rounds)) == turn).select("text", F.pmod(order, F.lit(shards)).cast("int").alias("shard"), order.alias("order"), "t")
+        dealt = part.repartition(shards, "shard").sortWithinPartitions("shard", "order", "t").select("shard", "text")
         changes = dealt.mapInArrow(learn, "row int, shard int, visits double, change binary").repartition("row").sortWithinPartitions("row", "shard").mapInArrow(meet, "rows binary, changes binary")
         weights = weights.copy()
         flat = weights.reshape(-1, PLACES)

@@ -46,3 +46,36 @@ def test_too_many_languages_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
     with pytest.raises(ValueError, match="more than 2"):
         language_id.fit(spark.createDataFrame([(i, "text", f"l{i}") for i in range(3)], "doc_id long, text string, lang string"))
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Columns that operators use inside, null and repeated rows, and one row of each group of equals."""
+    from offerlens.llm import stages
+
+    line = "this line stands in many of the documents and is long enough to count"
+    rows = [(i, f"{line}\n" + " ".join(f"w{(i * 31 + j * j) % 97}x{i}" for j in range(30)), "en", "s", 1, "a", "b", "c", "d", "e") for i in range(8)]
+    rows += [rows[3], rows[3][:5] + ("z", "b", "c", "d", "e"), (None, "only null ids here", "en", None, 1, "a", "b", "c", "d", "e"), (None, "only null ids here", "en", None, 1, "a", "b", "c", "d", "e"), (99, None, None, None, 0, "a", "b", "c", "d", "e"), (98, "", "en", "s", 0, "a", "b", "c", "d", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, k string, __k string, T string, keep string, n string")
+    cut = stages.lines(spark, docs, "")
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+    kept = stages.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["k"]) for r in kept.collect()), key=str)
+    assert got == sorted([*[(i, "a") for i in range(8)], (None, "a"), (98, "a")], key=str)
+    assert stages.near_duplicates(spark, docs.limit(0), "").count() == 0 and stages.lines(spark, docs.limit(0), "").count() == 0
+
+
+def test_recall_of_vectors_at_the_threshold(spark):
+    """Pairs at a cosine just above 0.9, in 64 dimensions."""
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = 0.901 * a + np.sqrt(1 - 0.901**2) * b
+    from offerlens.llm import embedding_dedup
+
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.stack([a, c], axis=1).reshape(-1, 64))], "vec_id long, embedding array<double>")
+    got = embedding_dedup.embedding_groups(frame).where("n_links > 0").count()
+    assert got / 3000 > 0.9
