@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(10,2)"
+# The patterns of prices below are fixed values: results must be exactly theirs.
 
 
 def _number(text: Column) -> Column:

@@ -55,6 +55,7 @@ NOISE = [
     r"\baromatix\b",
     "[\"'‘’“”,]|(?<!\\S)-(?!\\S)",
 ]
+# Words after a brand, the form of a volume, words that mean out of stock.
 COMPANY_WORDS = r"(?:perfumes?|parfums?|fragrances?|cosmetics?)"
 VOLUME = r"\b(\d{1,4})\s*ml\b"
 OUT_OF_STOCK_WORDS = ("epuizat", "indisponibil", "nu este")
