@@ -79,13 +79,13 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A supplier's similar ones: the two that stand most often on the line after its own in an order, of all lines."""
+    """A supplier's similar ones: the three that stand most often on the line after its own in an order, of all lines."""
     rows = read(spark, sf_dir, "lineitem").distinct()
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", *LINE[2:])
     nxt = rows.withColumn("dst", F.lead("l_suppkey").over(w)).where("dst IS NOT NULL AND dst <> l_suppkey")
     times = nxt.groupBy(F.col("l_suppkey").alias("src"), "dst").agg(F.count("*").alias("n"))
     top = F.row_number().over(W.partitionBy("src").orderBy(F.desc("n"), "dst"))
-    return times.withColumn("place", top).where("place <= 2").select("src", "dst")
+    return times.withColumn("place", top).where("place <= 3").select("src", "dst")
 
 
 #: The same relations for the oracle, each under the name above.
@@ -107,7 +107,7 @@ CTES = {
       SELECT l_suppkey AS item_id, p_type AS accord, CAST(sum(l_quantity) AS BIGINT) AS strength FROM (SELECT DISTINCT * FROM lineitem) JOIN part ON l_partkey = p_partkey GROUP BY 1, 2))""",
     "notes": "notes AS (SELECT DISTINCT l_suppkey AS item_id, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey)",
     "edges": """edges AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, dst) AS place FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS dst
-      FROM (SELECT DISTINCT * FROM lineitem)) WHERE dst IS NOT NULL AND dst <> src GROUP BY src, dst) WHERE place <= 2)""",
+      FROM (SELECT DISTINCT * FROM lineitem)) WHERE dst IS NOT NULL AND dst <> src GROUP BY src, dst) WHERE place <= 3)""",
 }
 
 

@@ -132,11 +132,11 @@ def test_detail_and_errors(spark):
 def test_long_and_deep_pages(spark):
     """A state of a megabyte, and elements nested 5,000 deep."""
     par = {"code": "c", "value": "100 ml", "online": 1, "price": {"withVat": {"decimal": "9.50"}}}
-    items = [{"name": f"Name {i} it\'s EDP", "urlRelative": f"/m{i}/", "brands": [{"name": "Brand"}], "pars": [par]} for i in range(5000)]
+    items = [{"name": f"Name {i} it\'s EDP", "urlRelative": f"/m{i}/", "brands": [{"name": "Brand"}], "pars": [par]} for i in range(6000)]
     state = json.dumps({"x": {"a": [1]}, "productsStore": {"items": items, "more": [[1], "]"]}}).replace("\\", "\\\\").replace("'", "\\'")
     body = f"<script>window.__INITIAL_STATE__state='{state}';</script>"
     assert len(body) > 1_000_000
-    assert P.to_offers(P.escaped_state(pages(spark, body), F.lit("https://v.test"))).count() == 5000
+    assert P.to_offers(P.escaped_state(pages(spark, body), F.lit("https://v.test"))).count() == 6000
     deep = "<div>" * 5000 + '<article class="product-miniature"><h2><a href="/x">Brand Gold EDP 50 ml</a></h2><span class="price">10,50 lei</span></article>' + "</div>" * 5000
     assert [(r["price_text"], r["error"]) for r in P.listing_cards(pages(spark, deep)).collect()] == [("10,50 lei", None)]
 
