@@ -27,6 +27,8 @@ LEAST_SHARDS, SHARD_TOKENS = 4, 8_000_000
 #: Most tokens whose counts every task holds, and the longest of them in bytes; the counts of the others are joined.
 HEAD_TOKENS, HEAD_BYTES = 1 << 17, 64
 ADDED = 0.1
+#: Different tokens that a task counts before it sends them on.
+COUNTED = 1 << 17
 
 _END = np.uint64(0x51ED270B4D2F1A33)  # hash of the end of a text; also stands before its first words
 _SEEDS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -140,13 +142,20 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """(token, tail, n) over all texts of `docs` (keyed): words with A-Z lower-cased, and '' for each text's end; tail is the place by hash."""
     schema = pa.schema([("token", pa.string()), ("tail", pa.int32()), ("n", pa.int64())])
 
+    def sent(sums: Counter) -> pa.RecordBatch:
+        tokens = pa.array([x.decode() for x in sums], pa.string())
+        return arrow_batch(schema, tokens, _tail(find_words(tokens, np.ones(256, bool)).hash), list(sums.values()))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: Counter = Counter()
-            for text in batch["text"].to_pylist():
-                sums.update(text.encode("utf-8", "replace").lower().split())
-            tokens = pa.array([x.decode() for x in sums], pa.string())
-            yield arrow_batch(schema, tokens, _tail(find_words(tokens, np.ones(256, bool)).hash), list(sums.values()))
+            for part in slices(batch):
+                for text in part["text"].to_pylist():
+                    sums.update(text.encode("utf-8", "replace").lower().split())
+                if len(sums) >= COUNTED:
+                    yield sent(sums)
+                    sums = Counter()
+            yield sent(sums)
             yield arrow_batch(schema, [""], _tail(np.array([_END])), [batch.num_rows])
 
     return docs.select("text").mapInArrow(count, "token string, tail int, n long").groupBy("token", "tail").agg(F.sum("n").alias("n"))
@@ -307,16 +316,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = written(token_counts(learnt))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     own, mass = outputs(counts)
-    head = spark.sparkContext.broadcast(_head(counts))
+    frequent = _head(counts)
+    head = spark.sparkContext.broadcast((pa.array([r["token"] for r in frequent], pa.string()), np.array([r["n"] for r in frequent], np.int64)))
     trained = spark.sparkContext.broadcast(train(learnt, mass, int(total), rounds, own, table_size))
     schema = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known", pa.float64()), ("model", pa.float64()), ("token", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(mass, trained.value, own)
-        names = pa.array([r["token"] for r in head.value], pa.string())
-        hashes = find_words(names.filter(pc.not_equal(names, "")), np.ones(256, bool)).hash
-        frequent = np.array([r["n"] for r in head.value if r["token"]], np.int64)
-        ends = next((r["n"] for r in head.value if not r["token"]), 0)
+        names, times = head.value
+        word = pc.not_equal(names, "").to_numpy(zero_copy_only=False)
+        hashes, ends = find_words(names.filter(pa.array(word)), np.ones(256, bool)).hash, int(times[~word].sum())
+        frequent = times[word]
         tokens = _Head(np.append(hashes, _END) if ends else hashes, np.append(frequent, ends) if ends else frequent)
         for batch in batches:
             for part in slices(batch):
