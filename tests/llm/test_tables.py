@@ -75,7 +75,30 @@ def test_url_templates_follow_their_labels(spark):
     urls = [f"http://{h}/{s}/{i}" for h in ("bad.test", "good.test", "mixed.test") for s in ("a", "b") for i in range(30)]
     frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = url_filters.judge_urls(frame, rules=rules).groupBy("host", "template").agg(F.collect_set("verdict").alias("v")).collect()
-    assert {(r["host"], r["template"]): r["v"] for r in got} == {("bad.test", "/*/{n}"): ["block"], ("good.test", "/*/{n}"): ["allow"], ("mixed.test", "/*/{n}"): got[[x["host"] for x in got].index("mixed.test")]["v"]}
+    seen = {(r["host"], r["template"]): r["v"] for r in got}
+    assert set(seen) == {(h, f"/{s}/{{n}}") for h in ("bad.test", "good.test", "mixed.test") for s in "ab"}
+    assert all(seen["bad.test", f"/{s}/{{n}}"] == ["block"] and seen["good.test", f"/{s}/{{n}}"] == ["allow"] for s in "ab")
+
+
+def test_url_tree_at_every_level(spark):
+    """Wildcards and merges at the second and third segments, a path deeper than the tree, and hosts whose branches differ."""
+    rules = [("block", "x.test", "/shop/bad"), ("allow", "x.test", "/shop/good"), ("block", "y.test", "/a/p/"), ("block", "y.test", "/a/q/"), ("allow", "y.test", "/a/r/")]
+    urls = [f"http://w.test/shop/word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}/item" for i in range(600)]
+    urls += [f"http://v.test/en/news/{chr(97 + i % 26)}{chr(97 + i // 26)}-story" for i in range(300)]
+    urls += [f"http://y.test/a/{s}/{i}" for s in "pqrs" for i in range(40)] + ["http://z.test/" + "/".join("abcdefgh") * 6, "http://z.test/", "http://z.test"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = url_filters.judge_urls(frame, rules=rules, levels=8).collect()
+    of = lambda host: {r["template"] for r in rows if r["host"] == host}
+    assert of("w.test") == {"/shop/{w}/item"} and of("v.test") == {"/en/news/{w}"}
+    assert of("y.test") == {f"/a/{s}/{{n}}" for s in "pqrs"}  # none is like its siblings together
+    assert {r["verdict"] for r in rows if r["template"] == "/a/p/{n}"} == {"block"} and {r["verdict"] for r in rows if r["template"] == "/a/r/{n}"} == {"allow"}
+    assert len(of("z.test")) == 2 and "/" in of("z.test")
+    # branches of one share merge: half of each is blocked
+    mixed = [("block", "m.test", f"/{s}/x") for s in "abc"] + [("allow", "m.test", f"/{s}/y") for s in "abc"]
+    urls = [f"http://m.test/{s}/{c}/{i}" for s in "abc" for c in "xyz" for i in range(20)]
+    got = url_filters.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=mixed).collect()
+    assert {r["template"] for r in got} == {"/*/x/{n}", "/*/y/{n}", "/*/z/{n}"}
+    assert {(r["template"], r["verdict"]) for r in got if "z" not in r["template"]} == {("/*/x/{n}", "block"), ("/*/y/{n}", "allow")}
 
 
 def test_pipeline(spark, docs, rows, tmp_path):
