@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from offerlens.llm import decontaminate, embedding_dedup, language_id, licenses, line_dedup, maxent_lm, sentencepiece_bpe, simhash, substring_dedup, url_filters
+from offerlens.llm import (
+    chat_format, decontaminate, embedding_dedup, hard_negatives, language_id, licenses, line_dedup, maxent_lm, resampling, sentencepiece_bpe, simhash, substring_dedup, url_filters,
+)
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +19,9 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_chat_format": chat_format.op12_chat_format,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +31,6 @@ SQL = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op7_url_filters": url_filters.OP7_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op13_importance_resampling": resampling.OP13_SQL,
 }
