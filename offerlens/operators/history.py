@@ -24,7 +24,15 @@ def latest(obs: DataFrame, series: list[str], order: list[str]) -> DataFrame:
 
 def append_changes(history: DataFrame, batch: DataFrame, series: list[str], order: list[str], watched: tuple[str, ...] = ("price", "availability")) -> DataFrame:
     """Rows of one batch (a row for each series) that are to be appended to a change-only history."""
-    last = latest(history, series, order).select(*series, *[F.col(c).alias(f"__{c}") for c in watched], F.lit(True).alias("__known"))
+    return changed_entries(batch, latest(history, series, order), series, watched)
+
+
+def changed_entries(batch: DataFrame, known: DataFrame, series: list[str], watched: tuple[str, ...] = ("price", "availability")) -> DataFrame:
+    """Rows of a batch (a row for each series) that differ from what is known of their series, or that are its first.
+
+    `known` has one row of a series at most: a snapshot that every change of the history went into tells as much as the history's last entries.
+    """
+    last = known.select(*series, *[F.col(c).alias(f"__{c}") for c in watched], F.lit(True).alias("__known"))
     same = F.col("__known").isNotNull()
     for c in watched:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))

@@ -57,6 +57,21 @@ def upsert_snapshot(old: DataFrame, batch: DataFrame, now: Column, keys: list[st
     )
 
 
+def merge_batch(old: DataFrame, batch: DataFrame, known: DataFrame, now: Column, keys: list[str] = KEY, seen: tuple[str, str] = ("first_seen_at", "last_seen_at")) -> DataFrame:
+    """`upsert_snapshot` for a batch that may be small against the old rows; `known`: the old rows of its keys.
+
+    Each join has the batch or less on its right side, which Spark broadcasts where it is small enough; the old rows then stay where they are.
+    """
+    fields = [c for c in old.columns if c not in (*keys, *seen)]
+    b = batch.select(*keys, *[F.col(c).alias(f"__{c}") for c in fields], F.lit(True).alias("__new"))
+    new = F.col("__new").isNotNull()
+    kept = old.join(b, keys, "left").select(
+        *keys, *[F.when(new, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in fields], F.col(seen[0]), F.when(new, now).otherwise(F.col(seen[1])).alias(seen[1])
+    )
+    fresh = batch.join(known.select(*keys), keys, "left_anti").select(*keys, *fields, now.alias(seen[0]), now.alias(seen[1]))
+    return kept.unionByName(fresh)
+
+
 def delisted(known: DataFrame, touched: DataFrame, succeeded: DataFrame, keys: list[str] = KEY, pair: list[str] | None = None) -> DataFrame:
     """Known in-stock offers of successfully checked pairs that this run did not touch, as out-of-stock rows; prices stay."""
     ok = known.where(F.col("availability") == "in_stock").join(succeeded.select(*(pair or ["store_id"])).distinct(), pair or ["store_id"], "left_semi")

@@ -22,6 +22,7 @@ from offerlens.operators.order import numbered
 from offerlens.operators import overlap as V
 from offerlens.operators import review as R
 from offerlens.plans import run as RUN
+from offerlens.plans import shop as SH
 from offerlens.plans import tables as T
 from offerlens.plans.tables import CTES, sql, stamp
 from offerlens.sources import pages as SP
@@ -759,3 +760,39 @@ def confirmed_offers(s, d):
     start = replace(state, queue=queue, snapshot=state.snapshot.limit(0), history=state.history.limit(0), variants=state.variants.limit(0))
     after = RUN.apply_decisions(start, decisions, F.lit(3))
     return after.snapshot.join(after.aliases, "perfume_id").select("store_id", "perfume_id", "price", F.col("normalized_alias").alias("alias"), "availability")
+
+
+# -- whole runs from pages to stored tables ------------------------------------------------------------------------
+
+
+@query(f"SELECT perfume_id, store_id, status, n::INTEGER AS offers_found, coalesce(message, '') AS error_message FROM st2", SH.CTES, SH.SHOP)
+def pages_run_results(s, d):
+    """Result rows of the second of two runs over pages."""
+    rows = SH.two_runs(s, d).read("results").where("run_id = 2")
+    return rows.select("perfume_id", "store_id", "status", "offers_found", F.coalesce("error_message", F.lit("")).alias("error_message"))
+
+
+@query("SELECT 2 AS run_id, 'all' AS run_type, CASE WHEN bool_or(message IS NOT NULL) THEN 'completed_with_errors' ELSE 'completed' END AS status, count(DISTINCT perfume_id)::INTEGER AS perfume_count, count(DISTINCT store_id)::INTEGER AS store_count FROM st2", SH.CTES, SH.SHOP)
+def pages_run_header(s, d):
+    return SH.two_runs(s, d).read("runs").where("run_id = 2").select("run_id", "run_type", "status", "perfume_count", "store_count")
+
+
+@query("SELECT s.store_id, CASE WHEN z.ok THEN '2024-01-02' WHEN y.store_id IS NOT NULL THEN '2024-01-01' END AS last_successful_check, z.e AS last_error FROM (SELECT store_id FROM stores WHERE enabled) s LEFT JOIN (SELECT store_id, bool_or(message IS NULL) AS ok, arg_max(coalesce(message, ''), perfume_id) AS e FROM r2 GROUP BY 1) z USING (store_id) LEFT JOIN (SELECT DISTINCT store_id FROM p1 WHERE store_id % 10 <> 7) y USING (store_id)", SH.CTES, SH.SHOP)
+def pages_run_stores(s, d):
+    """Enabled stores after both runs; '' stands for no error of a store that was tried."""
+    stores, tried = (SH.two_runs(s, d).read(x) for x in ("stores", "results"))
+    known = tried.select("store_id").distinct().withColumn("tried", F.lit(""))
+    return stores.where("enabled").join(known, "store_id", "left").select("store_id", F.date_format("last_successful_check", "yyyy-MM-dd").alias("last_successful_check"), F.coalesce("last_error", "tried").alias("last_error"))
+
+
+@query(f"SELECT {SH.KEYS}, coalesce(p2, p1) AS price, CASE WHEN gone THEN 'out_of_stock' ELSE coalesce(a2, a1) END AS availability, CASE WHEN a1 IS NULL THEN 2 ELSE 1 END AS first_day, CASE WHEN a2 IS NULL THEN 1 ELSE 2 END AS last_day FROM both_", SH.CTES, SH.SHOP)
+def pages_run_snapshot(s, d):
+    tables = SH.two_runs(s, d)
+    named = tables.read("snapshot").drop("perfume_id").join(tables.read("variants"), "variant_id")
+    return named.select("store_id", *RUN.VARIANT, "price", "availability", F.dayofmonth("first_seen_at").alias("first_day"), F.dayofmonth("last_seen_at").alias("last_day"))
+
+
+@query(f"SELECT 1 AS run_id, {SH.KEYS}, p1 AS price, a1 AS availability FROM both_ WHERE a1 IS NOT NULL UNION ALL SELECT 2, {SH.KEYS}, coalesce(p2, p1), CASE WHEN gone THEN 'out_of_stock' ELSE a2 END FROM both_ WHERE gone OR a2 IS NOT NULL AND (a1 IS NULL OR a1 <> a2 OR p1 <> p2)", SH.CTES, SH.SHOP)
+def pages_run_history(s, d):
+    tables = SH.two_runs(s, d)
+    return tables.read("history").join(tables.read("variants"), "variant_id").select("run_id", "store_id", *RUN.VARIANT, "price", "availability")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from offerlens.functions.text import normalize
 from offerlens.operators import alerts as alerting
 from offerlens.operators import matching, offers, review
-from offerlens.operators.history import append_changes
+from offerlens.operators.history import changed_entries
+from offerlens.sources.storage import written
 
 VARIANT = ["perfume_id", "concentration", "volume_ml", "tester"]
 #: Fields of a current offer that a new one replaces, null ones too, and those that its history keeps.
@@ -54,35 +55,36 @@ def _entries(rows: DataFrame, run_id: int | None, now: Column) -> DataFrame:
 
 
 def apply_run(state: State, raw: DataFrame, attempts: DataFrame, run_id: int, now: Column) -> tuple[State, DataFrame]:
-    """The next state, and the outcome of each attempted (perfume, store). `attempts`: perfume_id, store_id, error_status (null where the store answered)."""
-    judged = judge(state, raw)
+    """The next state, and the outcome of each attempted (perfume, store). `attempts`: perfume_id, store_id, error_status (null where the store answered).
+
+    Offers are judged once: what the tables of the next state are made of (judged and best offers, delisted ones, the old rows of the best ones' keys) is
+    written, each as large as the batch or the offers of the attempted perfumes. Every snapshot row's last change is the last entry of its history, so no history is read. Alerts of
+    the attempted perfumes are evaluated, whether they got new offers or not.
+    """
+    judged = written(judge(state, raw))
     accepted = judged.where(matching.usable())
     variants = offers.resolve_variants(state.variants, accepted)
     placed = accepted.join(variants.select(*VARIANT, "variant_id"), VARIANT)
-    best = offers.dedup_in_run(_offers(placed)).drop("ordinal").select(*offers.KEY, *OFFER)
+    best = written(offers.dedup_in_run(_offers(placed)).drop("ordinal").select(*offers.KEY, *OFFER))
     ok = attempts.where("error_status IS NULL")
-    gone = offers.delisted(state.snapshot, best, ok, pair=["perfume_id", "store_id"]).select(*best.columns)
-    snapshot = offers.upsert_snapshot(state.snapshot, best, now)
+    gone = written(offers.delisted(state.snapshot, best, ok, pair=["perfume_id", "store_id"]).select(*best.columns))
+    known = written(state.snapshot.join(best.select(*offers.KEY), offers.KEY, "left_semi"))
+    snapshot = offers.merge_batch(state.snapshot, best, known, now)
     out = gone.select(*offers.KEY, F.lit("out_of_stock").alias("__gone"))
     snapshot = snapshot.join(out, offers.KEY, "left").withColumn("availability", F.coalesce("__gone", "availability")).drop("__gone")
-    history = append_changes(state.history, _entries(best.unionByName(gone), run_id, now), offers.KEY, ["recorded_at"])
+    history = _entries(changed_entries(best, known, offers.KEY).unionByName(gone), run_id, now)
     doubtful = judged.where("confidence = 'ambiguous' AND score IS NOT NULL").select(
         *review.QUEUE_KEY, F.col("raw_title").alias("title"), "candidate_brand", "candidate_name", "concentration", "volume_ml", "tester", "price", "old_price", "currency", "availability",
         F.col("store_product_identifier").alias("identifier"), F.col("score").cast("double").alias("match_score"), "ordinal",
     )
     outcomes = offers.run_outcomes(attempts, best.select("perfume_id", "store_id", "availability"), ["perfume_id", "store_id"])
-    touched = best.select("variant_id").distinct()
+    checked = snapshot.join(attempts.select("perfume_id").distinct(), "perfume_id", "left_semi")
     return replace(
         state, catalog=offers.mark_checked(state.catalog, attempts, now), variants=variants, snapshot=snapshot, history=history,
-        queue=review.merge_queue(state.queue, doubtful, now), alerts=_alerts(state.alerts, snapshot, touched, now),
+        queue=review.merge_queue(state.queue, doubtful, now), alerts=alerting.persist_triggers(state.alerts, checked, now),
     ), outcomes
 
 
-def _alerts(alerts: DataFrame, snapshot: DataFrame, touched: DataFrame, now: Column) -> DataFrame:
-    """Alerts of touched variants evaluated on the snapshot; the others keep their state."""
-    return alerting.persist_triggers(alerts, snapshot.join(touched, "variant_id", "left_semi"), now)
-
-
 def apply_decisions(state: State, decisions: DataFrame, now: Column) -> State:
     """The next state after decisions (review.QUEUE_KEY, decision) on pending rows.
 
@@ -98,8 +100,11 @@ def apply_decisions(state: State, decisions: DataFrame, now: Column) -> State:
     rows = offers.with_discount(rows).withColumns({"coupon_code": F.lit(None).cast("string"), "coupon_price": F.lit(None).cast("decimal(10,2)")})
     rest = [c for c in OFFER]
     best = rows.groupBy(*offers.KEY).agg(F.max_by(F.struct(*rest), F.struct("last_seen_at", "url")).alias("x")).select(*offers.KEY, "x.*")
-    snapshot = offers.upsert_snapshot(state.snapshot, best, now)
+    best = written(best)
+    known = written(state.snapshot.join(best.select(*offers.KEY), offers.KEY, "left_semi"))
+    snapshot = offers.merge_batch(state.snapshot, best, known, now)
+    touched = snapshot.join(best.select("variant_id").distinct(), "variant_id", "left_semi")
     return replace(
-        state, aliases=review.merge_aliases(state.aliases, named), variants=variants, snapshot=snapshot, history=append_changes(state.history, _entries(best, None, now), offers.KEY, ["recorded_at"]),
-        queue=review.apply_decisions(state.queue, decisions, now), alerts=_alerts(state.alerts, snapshot, best.select("variant_id").distinct(), now),
+        state, aliases=review.merge_aliases(state.aliases, named), variants=variants, snapshot=snapshot, history=_entries(changed_entries(best, known, offers.KEY), None, now),
+        queue=review.apply_decisions(state.queue, decisions, now), alerts=alerting.persist_triggers(state.alerts, touched, now),
     )

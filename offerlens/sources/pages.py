@@ -19,8 +19,11 @@ from offerlens.sources.storage import written
 FIELDS = ["raw_title", "product_url", "identifier", "brand", "name_text", "concentration_text", "volume_text", "tester_text", "price_text", "old_price_text", "price_format", "availability", "currency", "coupon_code", "coupon_text"]
 
 
-def to_offers(raw: DataFrame) -> DataFrame:
-    """Extracted rows as raw offers: numbers, volume, concentration, tester and name by column expressions. Rows without a price go."""
+def to_offers(raw: DataFrame, place: bool = False) -> DataFrame:
+    """Extracted rows as raw offers: numbers, volume, concentration, tester and name by column expressions. Rows without a price go.
+
+    With `place` they have the page (page_url) and the position on it that they come from.
+    """
 
     def price(text: str) -> Column:
         t, kind = F.col(text), F.col("price_format")
@@ -29,11 +32,12 @@ def to_offers(raw: DataFrame) -> DataFrame:
     title, name = F.col("raw_title"), F.coalesce("name_text", "raw_title")
     concentration = F.coalesce(X.concentration(F.col("concentration_text")), X.concentration_or_p(title))
     out = raw.where("error IS NULL").select(
-        "store_slug", "raw_title", "product_url", F.col("identifier").alias("store_product_identifier"), "brand", X.core_name_any_brand(name, F.coalesce("brand", F.lit(""))).alias("perfume_name"),
+        "url", "position", "store_slug", "raw_title", "product_url", F.col("identifier").alias("store_product_identifier"), "brand", X.core_name_any_brand(name, F.coalesce("brand", F.lit(""))).alias("perfume_name"),
         concentration.alias("concentration"), F.coalesce(X.volume_ml(F.col("volume_text")), X.volume_ml(title)).alias("volume_ml"), X.is_tester(F.coalesce(F.concat_ws(" ", "raw_title", "tester_text"), F.lit(""))).alias("tester"),
         price("price_text").alias("price"), price("old_price_text").alias("old_price"), F.coalesce("currency", F.lit("RON")).alias("currency"), "availability", "coupon_code", M.comma_price(F.col("coupon_text")).alias("coupon_price"),
     )
-    return conform(out.where("price IS NOT NULL"), "raw_offers")
+    at = [F.col("url").alias("page_url"), "position"] if place else []
+    return conform(out.where("price IS NOT NULL"), "raw_offers", *at)
 
 
 def _fields(df: DataFrame, **values) -> DataFrame:
@@ -447,14 +451,22 @@ def _canonical(rows: DataFrame, hosts: list[str], host: str) -> DataFrame:
 Extractor = Callable[[DataFrame], DataFrame]
 
 
-def extract_offers(pages: DataFrame, extractors: dict[str, Extractor], cards: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Raw offers of all pages, each by its store's extractor, and (store_slug, url, error) of pages that gave none.
+def extract_offers(pages: DataFrame, extractors: dict[str, Extractor], cards: DataFrame | None = None, place: bool = False, by: str = "store_slug") -> tuple[DataFrame, DataFrame]:
+    """Raw offers of all pages, each by the extractor that the column `by` names, and (store_slug, url, error) of pages that gave none.
 
-    With `cards`, offers take the brand and title that their page does not tell from their listing card. What the extractors
-    find is written once, and each reads its own store's pages only where the table is laid out by store.
+    With `cards`, offers take the brand and title that their page does not tell from their listing card; `place` as in `to_offers`. What the extractors
+    find is written once. Names of one extractor are read in one scan, and where the table is laid out by that column (`write_pages`) each scan reads its own files alone.
     """
-    raw = written(reduce(lambda a, b: a.unionByName(b), [f(pages.where(F.col("store_slug") == slug)) for slug, f in extractors.items()]))
+    names: dict[Extractor, list[str]] = {}
+    for name, extractor in extractors.items():
+        names.setdefault(extractor, []).append(name)
+    raw = written(reduce(lambda a, b: a.unionByName(b), [f(pages.where(F.col(by).isin(own))) for f, own in names.items()]))
     found = raw.groupBy("store_slug", "url").agg(F.max("error").alias("e"), F.count_if(F.col("error").isNull()).alias("n"))
     errors = pages.select("store_slug", "url").join(found, ["store_slug", "url"], "left").where("n IS NULL OR n = 0")
-    offers = to_offers(raw if cards is None else with_cards(raw, cards))
+    offers = to_offers(raw if cards is None else with_cards(raw, cards), place)
     return offers, errors.select("store_slug", "url", F.coalesce("e", F.lit("structure not recognised")).alias("error"))
+
+
+def write_pages(pages: DataFrame, path: str, by: str = "store_slug") -> None:
+    """Raw pages as a table laid out by store, or by extractor; a store with very many pages has several files."""
+    pages.write.partitionBy(by).mode("append").parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -10,7 +10,7 @@ MONEY = "decimal(10,2)"
 TABLES = {
     "catalog": "perfume_id long, brand string, name string, normalized_brand string, normalized_name string, created_at timestamp_ntz, updated_at timestamp_ntz, last_checked_at timestamp_ntz",
     "variants": "variant_id long, perfume_id long, concentration string, volume_ml int, tester boolean",
-    "stores": "store_id long, slug string, name string, base_url string, enabled boolean, last_successful_check timestamp_ntz, last_error string",
+    "stores": "store_id long, slug string, name string, base_url string, extractor string, enabled boolean, last_successful_check timestamp_ntz, last_error string",
     "current_offers": f"store_id long, variant_id long, url string, identifier string, title string, price {MONEY}, old_price {MONEY}, currency string, discount_percentage int, availability string, coupon_code string, coupon_price {MONEY}, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz",
     "price_history": f"id long, store_id long, variant_id long, run_id long, recorded_at timestamp_ntz, price {MONEY}, old_price {MONEY}, currency string, discount_percentage int, availability string",
     "runs": "run_id long, run_type string, status string, started_at timestamp_ntz, finished_at timestamp_ntz, perfume_count int, store_count int",
@@ -46,10 +46,10 @@ def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return spark.readStream.schema(schema("raw_pages")).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """The table's columns in order, cast; missing ones are null."""
+def conform(df: DataFrame, name: str, *more: Column | str) -> DataFrame:
+    """The table's columns in order, cast, and those in `more`; missing ones are null."""
     have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)])
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)], *more)
 
 
 def sort_keys(key: str) -> list[str]:
