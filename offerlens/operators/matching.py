@@ -16,6 +16,8 @@ def _prepared(df: DataFrame, side: str) -> DataFrame:
     name = "candidate_name" if side == "c" else "name"
     out = df.withColumn(f"__{side}", T.normalize(F.col(name)))
     out = out.withColumn(f"__{side}w", S.words(F.col(f"__{side}"))).withColumn(f"__{side}s", F.array_join(F.array_sort(f"__{side}w"), " "))
+    out = out.withColumn(f"__{side}l", S.counted_letters(F.col(f"__{side}s")))
+    out = out.withColumn("__tp", S.places(F.col("__ts"))) if side == "t" else out
     return out.withColumn("__x", T.exclusion(F.col("raw_title"))) if side == "c" else out
 
 
@@ -30,6 +32,27 @@ def candidate_pairs(catalog: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("__brand", T.normalize(F.col("candidate_brand"))).join(forms, "__brand").drop("__brand")
 
 
+def likely_pairs(catalog: DataFrame, candidates: DataFrame, ambiguous: int = AMBIGUOUS) -> DataFrame:
+    """Those of `candidate_pairs` on which `decide` can come to more than a mismatch: names that are equal, known, within each other, or near enough by length and letters.
+
+    The bounds are exact and part of the join, so of a brand's pairs only these become rows. Candidates that no name can help (excluded, or without concentration or volume) are left out.
+    """
+    able = candidates.where(T.exclusion(F.col("raw_title")).isNull() & F.col("concentration").isNotNull() & F.col("volume_ml").isNotNull())
+    near = (S.ratio_bound(F.col("__cs"), F.col("__ts"), True) >= ambiguous) & (S.letters_bound(F.col("__cl"), F.col("__tl")) >= ambiguous)
+    known = F.coalesce(F.array_contains("aliases", F.col("__c")), F.lit(False))
+    return candidate_pairs(catalog, able).where((F.col("__c") == F.col("__t")) | known | near | S.arrays_within(F.col("__tw"), F.col("__cw")))
+
+
+def match_counts(catalog: DataFrame, candidates: DataFrame, found: DataFrame, candidate: str = "candidate_id") -> DataFrame:
+    """(candidate, compared, accepted, doubtful, mismatched) of each candidate, from the rows of `found` (decided likely pairs) and the number of its brand's names alone."""
+    forms = catalog.select("perfume_id", F.explode(F.array_distinct(T.brand_forms(F.col("brand")))).alias("__brand"))
+    names = forms.groupBy("__brand").agg(F.count("*").alias("compared"))
+    level = found.groupBy(candidate).agg(F.count_if(usable()).alias("accepted"), F.count_if((F.col("confidence") == "ambiguous") & F.col("score").isNotNull()).alias("doubtful"))
+    out = candidates.select(candidate, T.normalize(F.col("candidate_brand")).alias("__brand")).join(names, "__brand", "left").join(level, candidate, "left")
+    out = out.fillna(0, ["compared", "accepted", "doubtful"])
+    return out.select(candidate, "compared", "accepted", "doubtful", (F.col("compared") - F.col("accepted") - F.col("doubtful")).alias("mismatched"))
+
+
 def targeted_pairs(catalog: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates with the perfume (perfume_id) that they were found for, whatever their brand; one without a brand has the perfume's."""
     pairs = _prepared(candidates, "c").join(_prepared(catalog, "t"), "perfume_id")
@@ -67,9 +90,9 @@ def decide(pairs: DataFrame, high: int = HIGH, ambiguous: int = AMBIGUOUS, brand
             pairs = _prepared(pairs, side)
     out = pairs.withColumns({"__b": brand_ok, "__in": S.arrays_within(F.col("__tw"), F.col("__cw"))})
     a, b, x, y, inside = F.col("__c"), F.col("__t"), F.col("__cs"), F.col("__ts"), F.col("__in")
-    asked = F.col("__x").isNull() & F.col("__b") & (a != b) & ((S.ratio_bound(x, y, True) >= ambiguous) | inside)
-    # the Python function gets nulls, and does nothing, for all pairs that cannot reach the threshold
-    out = out.withColumn("__s", S.token_sort_ratio(F.when(asked, x), F.when(asked, y), True))
+    reach = (S.ratio_bound(x, y, True) >= ambiguous) & (S.letters_bound(F.col("__cl"), F.col("__tl")) >= ambiguous)
+    asked = F.col("__x").isNull() & F.col("__b") & (a != b) & (reach | inside)
+    out = out.withColumn("__s", F.when(asked, S.token_sort_ratio(y, x, True, F.col("__tp"))))
     s = F.coalesce("__s", F.lit(0.0))
     whole = F.bround("__s", 0).cast("int")
     known = F.coalesce(F.array_contains("aliases", a), F.lit(False))
@@ -88,7 +111,7 @@ def decide(pairs: DataFrame, high: int = HIGH, ambiguous: int = AMBIGUOUS, brand
         confidence, reason = F.when(test, level).otherwise(confidence), F.when(test, why).otherwise(reason)
     out = out.withColumns({"confidence": confidence, "reason": reason})
     by_name = F.coalesce(F.col("reason").rlike("^name_(fuzzy|containment)_score="), F.lit(False))
-    return out.withColumn("score", F.when(by_name, whole)).drop("__x", "__b", "__c", "__t", "__cs", "__ts", "__cw", "__tw", "__in", "__s")
+    return out.withColumn("score", F.when(by_name, whole)).drop("__x", "__b", "__c", "__t", "__cs", "__ts", "__cw", "__tw", "__cl", "__tl", "__tp", "__in", "__s")
 
 
 def usable(confidence: str = "confidence"):
@@ -98,5 +121,5 @@ def usable(confidence: str = "confidence"):
 def plausible(candidate, target, threshold: int = AMBIGUOUS):
     """Cheap test before costly work: equal names, a sufficient score, or all words within."""
     reach = S.ratio_bound(candidate, target) >= threshold
-    score = S.token_sort_ratio(F.when(reach, candidate), F.when(reach, target))
+    score = F.when(reach, S.token_sort_ratio(candidate, target))
     return (candidate == target) | (F.coalesce(score, F.lit(0.0)) >= threshold) | S.words_within(target, candidate)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import money as M
 from offerlens.functions import similarity as S
+from offerlens.functions import sql as SQLF
 from offerlens.functions import text as X
 from offerlens.operators import alerts as A
 from offerlens.operators import collection as C
@@ -291,6 +292,13 @@ def title_fields(s, d):
     return _titles(s, d).select("p_partkey", X.concentration(title).alias("concentration"), X.volume_ml(title).alias("volume_ml"), X.is_tester(title).alias("tester"), X.exclusion(title).alias("exclusion"))
 
 
+@query(SQL["title_fields"])
+def sql_title_fields(s, d):
+    """title_fields as SQL text."""
+    SQLF.register(s)
+    return s.sql("SELECT p_partkey, concentration_of(title) AS concentration, volume_of(title) AS volume_ml, is_tester(title) AS tester, exclusion_of(title) AS exclusion FROM {titles}", titles=_titles(s, d))
+
+
 _stripped = "strip_accents(lower(title))"
 for _p in [*[p for p, _ in X.CONCENTRATIONS], r"\b(\d{1,4})\s*ml\b", r"\btester\b", *X.NOISE[:3]]:
     _stripped = f"regexp_replace({_stripped}, '{_p}', ' ', 'g')"
@@ -324,6 +332,13 @@ def name_similarity(s, d):
     return _name_pairs(s, d).select("a", "b", F.round(S.token_sort_ratio(F.col("a"), F.col("b")), 6).alias("score"))
 
 
+@query(SQL["name_similarity"])
+def sql_similarity(s, d):
+    """name_similarity as SQL text."""
+    SQLF.register(s)
+    return s.sql("SELECT a, b, round(indel_ratio(a, b), 6) AS score FROM {pairs}", pairs=_name_pairs(s, d))
+
+
 @query(f"WITH {NAMES} SELECT x.name AS a, y.name AS b, len(list_filter(string_split(x.name, ' '), lambda q: NOT list_contains(string_split(y.name || ' old', ' '), q))) = 0 AS within FROM names x JOIN names y ON x.name < y.name AND list_has_any(string_split(x.name, ' '), string_split(y.name, ' '))")
 def word_containment(s, d):
     return _name_pairs(s, d).select("a", "b", S.words_within(F.col("a"), F.concat("b", F.lit(" old"))).alias("within"))
@@ -369,6 +384,30 @@ def match_certain(s, d):
     return match_ladder(s, d).where("reason IS NULL OR reason NOT LIKE 'name_%'").select("candidate_id", "name", "reason")
 
 
+_ladder = SQL["match_ladder"]
+_scored = "confidence IN ('exact', 'high_confidence') OR confidence = 'ambiguous' AND score IS NOT NULL"
+
+
+def _found(s, d):
+    alias = F.when(F.length("name") % 2 == 0, F.array(F.concat(F.lit("x"), "name")))
+    catalog = T.variants(s, d).select("brand", "name").distinct().withColumns({"perfume_id": F.xxhash64("brand", "name"), "aliases": alias})
+    candidates = _candidates(s, d)
+    return catalog, candidates, MA.decide(MA.likely_pairs(catalog, candidates.repartition("candidate_id")), brand_checked=True)
+
+
+@query(f"SELECT * FROM ({_ladder}) WHERE {_scored}")
+def match_found(s, d):
+    """What the ladder accepts or doubts, from likely pairs only."""
+    found = _found(s, d)[2].where(_scored)
+    return found.select("candidate_id", "brand", "name", "confidence", "reason", "score")
+
+
+@query(f"SELECT candidate_id, count(*) AS compared, count(*) FILTER (WHERE confidence IN ('exact', 'high_confidence')) AS accepted, count(*) FILTER (WHERE confidence = 'ambiguous' AND score IS NOT NULL) AS doubtful, count(*) FILTER (WHERE NOT ({_scored})) AS mismatched FROM ({_ladder}) GROUP BY 1")
+def match_counts(s, d):
+    """How many names each candidate was compared with, by outcome; mismatches are numbers, not rows."""
+    return MA.match_counts(*_found(s, d))
+
+
 REVIEW = "q AS (SELECT p_partkey AS perfume_id, 1 AS store_id, p_name AS product_url, CAST(p_size AS DOUBLE) AS match_score, CASE p_partkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'confirmed' ELSE 'rejected' END AS status, 10 AS first_seen_at, 10 AS last_seen_at FROM part WHERE p_partkey % 2 = 0), f AS (SELECT p_partkey AS perfume_id, 1 AS store_id, p_name AS product_url, CAST(p_size + 1 AS DOUBLE) AS match_score FROM part WHERE p_partkey % 4 < 3)"
 
 

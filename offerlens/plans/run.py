@@ -35,12 +35,13 @@ class State:
 def judge(state: State, raw: DataFrame) -> DataFrame:
     """Each admitted raw offer (with store_id, ordinal and the perfume_id it was found for, or null) with the perfumes it may be, and the decision.
 
-    One that was found for a perfume is compared with that one alone and has its brand where it tells none; the others with the perfumes of their brand.
+    One that was found for a perfume is compared with that one alone and has its brand where it tells none; the others with the perfumes of their brand
+    that their name can match.
     """
     catalog = matching.with_aliases(state.catalog.select("perfume_id", "brand", "name"), state.aliases)
     found = offers.admit(raw).withColumnsRenamed({"brand": "candidate_brand", "perfume_name": "candidate_name"})
     aimed = matching.targeted_pairs(catalog, found.where("perfume_id IS NOT NULL"))
-    free = matching.candidate_pairs(catalog, found.where("perfume_id IS NULL").drop("perfume_id"))
+    free = matching.likely_pairs(catalog, found.where("perfume_id IS NULL").drop("perfume_id"))
     return matching.decide(aimed).unionByName(matching.decide(free, brand_checked=True))
 
 

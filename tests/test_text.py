@@ -1,3 +1,4 @@
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -83,3 +84,20 @@ def test_similarity(spark):
         assert r["bound"] >= r["s"] - 1e-9
     got = rows.limit(1).select(S.words_within(F.lit("naxos"), F.lit("xj 1861 naxos")), S.words_within(F.lit("sauvage elixir"), F.lit("sauvage")), S.words_within(F.lit(""), F.lit("x"))).first()
     assert tuple(got) == (True, False, False)
+
+
+def test_common_letters(spark):
+    """Against the table of all prefixes, over one and several whole numbers of bits; no bound is below the score."""
+    rng = random.Random(1)
+    some = lambda sizes: "".join(rng.choice("ab c dé😀") for _ in range(rng.choice(sizes)))
+    pairs = [(some([0, 1, 5, 20, 61, 62, 63, 64, 130]), some([0, 1, 5, 20, 62, 90])) for _ in range(300)]
+    bags = [S.counted_letters(S.sorted_words(F.col(c))) for c in "ab"]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("*", S.common_letters(F.col("a"), F.col("b")).alias("n"), S.token_sort_ratio(F.col("a"), F.col("b")).alias("s"), S.letters_bound(*bags).alias("bound"))
+    for r in rows.collect():
+        best = [0] * (len(r["b"]) + 1)
+        for x in r["a"]:
+            new = [0]
+            for j, y in enumerate(r["b"]):
+                new.append(best[j] + 1 if x == y else max(best[j + 1], new[j]))
+            best = new
+        assert r["n"] == best[-1] and r["bound"] >= r["s"] - 1e-9
