@@ -44,10 +44,10 @@ HEAD = -1
 COVERAGE, DRIFT, STRETCH = 0.8, 3, 1.5
 
 
-def _template_grams(spark: SparkSession, phrases: dict[str, str], templates: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(gram, template, at) and (template, label, exact, n_words, n_grams); their size is that of the parameters."""
-    grams, about = [("", -1, 0)], []
-    for i, (text, label) in enumerate([*phrases.items(), *templates.items()]):
+def _template_grams(spark: SparkSession, phrases: dict[str, str], templates: dict[str, str] | DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(gram, template, at), (template, label, exact, size, n_grams), and the number of words of all of them; their size is that of the parameters."""
+    grams, about, total = [("", -1, 0)], [], 0
+    for i, (text, label) in enumerate([*phrases.items(), *([] if isinstance(templates, DataFrame) else templates.items())]):
         words = [x for x in re.split(SPLIT, text.lower()) if x]
         size = SHORT_GRAM if i < len(phrases) else LONG_GRAM
         if len(words) < size:
@@ -55,10 +55,21 @@ def _template_grams(spark: SparkSession, phrases: dict[str, str], templates: dic
         at = range(len(words) - size + 1)
         grams += [(" ".join(words[j : j + size]), i, j) for j in at]
         about.append((i, label, i < len(phrases), len(words), len({" ".join(words[j : j + size]) for j in at}) if i >= len(phrases) else len(at)))
-    return spark.createDataFrame(grams, "gram string, template int, at int"), spark.createDataFrame(about, "template int, label string, exact boolean, size int, n_grams int")
-
-
-def license_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> tuple[DataFrame, DataFrame]:
+        total += len(words)
+    grams, about = spark.createDataFrame(grams, "gram string, template long, at int"), spark.createDataFrame(about, "template long, label string, exact boolean, size int, n_grams int")
+    if not isinstance(templates, DataFrame):
+        return grams, about, total
+    words = F.filter(F.split(ascii_lower(F.col("text")), SPLIT), lambda x: x != "")
+    number = F.pmod(F.xxhash64("text", "label"), F.lit(2**62)) + len(phrases)
+    own = templates.where("text IS NOT NULL").select("text", "label").distinct().select(number.alias("template"), "label", words.alias("w")).where(F.size("w") >= LONG_GRAM)
+    rolled = F.transform(F.sequence(F.lit(0), F.size("w") - LONG_GRAM), lambda i: F.array_join(F.slice("w", i + 1, LONG_GRAM), " "))
+    own = written(own.select("template", "label", F.size("w").alias("size"), rolled.alias("grams")))
+    total += own.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    more = own.select("template", "label", F.lit(False).alias("exact"), "size", F.size(F.array_distinct("grams")).alias("n_grams"))
+    return grams.unionByName(own.select("template", F.posexplode("grams").alias("at", "gram"))), about.unionByName(more), total
+
+
+def license_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] | DataFrame = TEMPLATES) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k, t, n_words) for each row, and (k, t, label, exact, start, end, coverage) for each place of a licence.
 
     Words are runs of letters and digits, A-Z lower-cased; null and empty texts have none. All rolling word grams join with
@@ -66,10 +77,13 @@ def license_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A phrase needs all its grams on one diagonal. For a template, diagonals at most DRIFT apart are one place, which
     counts if it is no longer than STRETCH times the template; its coverage is the share of the template's grams it holds. Repeated rows share
     their places, null ids are allowed, an empty table gives none, and columns but the named ones are not read.
+
+    `templates` may be a table (text, label) of whole licence texts; those null or of fewer than LONG_GRAM words are left out, and repeated ones count once. Grams of more than
+    BROADCAST_GRAMS words of templates join by a shuffle of places and hashes alone; words then come from the documents with hits.
     """
-    grams, about = _template_grams(docs.sparkSession, phrases, templates)
-    n_words = sum(len(x.split()) for x in [*phrases, *templates])  # no fewer than there are grams
-    sent = F.broadcast if n_words <= BROADCAST_GRAMS else (lambda x: x)
+    grams, about, n_words = _template_grams(docs.sparkSession, phrases, templates)
+    few = n_words <= BROADCAST_GRAMS  # no fewer words than there are grams
+    sent = F.broadcast if few else (lambda x: x)
     rows = keyed(docs, id_col, text_col).select("doc_id", "k", "t", F.filter(F.split(ascii_lower(F.col("text")), SPLIT), lambda x: x != "").alias("w"))
     hashes = F.transform("w", lambda x: F.xxhash64(x))
     rows = rows.withColumns({"n": F.size("w"), "h": hashes})
@@ -87,16 +101,24 @@ def license_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for size in (SHORT_GRAM, LONG_GRAM):
         hash_ = hash_.when(F.size(words) == size, F.xxhash64(*[F.xxhash64(F.get(words, F.lit(j))) for j in range(size)]))
     grams = sent(grams.select("gram", "template", "at", hash_.alias("hash"), F.size(words).alias("size")))
-    votes = (
-        rows.select("doc_id", "k", "t", "w", "n", F.posexplode_outer("grams").alias("pos", "hash"))
-        .join(grams, "hash")
-        .where((F.col("pos") == 0) == (F.col("template") < 0))
-        .withColumn("place", place)
-        .where((F.col("template") < 0) | (F.array_join(F.slice("w", F.col("place") + 1, F.col("size")), " ") == F.col("gram")))
-        .select("doc_id", "k", "t", "place", "template", "at")
-    )
-    votes = written(votes)
-    heads = votes.where("template = -1").select("doc_id", "k", "t", F.col("place").cast("long").alias("n_words"))
+    agree = F.array_join(F.slice("w", F.col("place") + 1, F.col("size")), " ") == F.col("gram")
+    if few:
+        votes = (
+            rows.select("doc_id", "k", "t", "w", "n", F.posexplode_outer("grams").alias("pos", "hash"))
+            .join(grams, "hash")
+            .where((F.col("pos") == 0) == (F.col("template") < 0))
+            .withColumn("place", place)
+            .where((F.col("template") < 0) | agree)
+            .select("doc_id", "k", "t", "place", "template", "at")
+        )
+        votes = written(votes)
+        heads = votes.where("template = -1").select("doc_id", "k", "t", F.col("place").cast("long").alias("n_words"))
+    else:
+        heads = rows.select("doc_id", "k", "t", F.col("n").cast("long").alias("n_words"))
+        entries = rows.select("k", "t", "n", F.posexplode("grams").alias("pos", "hash")).where("pos > 0")
+        hits = written(entries.join(grams.where("template >= 0"), "hash").select("k", "t", place.alias("place"), "template", "at", "gram", "size").distinct())
+        held = rows.join(hits.select("k", "t").distinct(), ["k", "t"], "left_semi").groupBy("k", "t").agg(F.first("w").alias("w"))
+        votes = written(hits.join(held, ["k", "t"]).where(agree).select("k", "t", "place", "template", "at"))
     placed = votes.where("template >= 0").select("k", "t", "template", "at", "place", (F.col("place") - F.col("at")).alias("diagonal")).distinct().join(sent(about), "template")
     whole = (
         placed.where("exact").groupBy("k", "t", "label", "diagonal", "size", "n_grams").agg(F.count("*").alias("votes")).where("votes = n_grams")

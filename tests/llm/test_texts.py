@@ -206,17 +206,18 @@ def test_decontamination(spark, docs, rows, none):
     assert decontaminate.contamination(none, frame).count() == 0
 
 
-def test_license_scan(docs, rows, none):
-    got = {r["doc_id"]: r for r in licenses.license_labels(docs).collect()}
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_license_scan(docs, rows, none, monkeypatch, broadcast):
+    """With nothing broadcast, grams join by a shuffle; null ids and repeated rows are compared as well."""
+    monkeypatch.setattr(licenses, "BROADCAST_GRAMS", broadcast)
+    found = licenses.license_labels(docs).collect()
+    want: Counter = Counter()
     for i, t in rows:
         ws = ALNUM.findall(lower(t))
         places = [(j, label) for phrase, label in licenses.PHRASES.items() for j in range(len(ws)) if ws[j : j + len(phrase.split())] == phrase.split()]
-        if i is None or i == 50:
-            continue
-        r = got[i]
-        assert (r["n_words"], r["n_base"]) == (len(ws), len(places)), i
-        assert (r["first_word"], r["last_word"]) == (min((j for j, _ in places), default=None), max((j for j, _ in places), default=None))
-        assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
+        want[(i, len(ws), len(places), min((j for j, _ in places), default=None), max((j for j, _ in places), default=None), ",".join(sorted({x for _, x in places})))] += 1
+    assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in found) == want
+    got = {r["doc_id"]: r for r in found}
     assert got[52]["labels"] == "gpl,gpl-text" and got[52]["score"] == 1.0
     assert got[53]["labels"] == "cc-by,cc-by-nc"
     assert got[40]["labels"] == "" and got[40]["score"] == 0.0
@@ -224,6 +225,26 @@ def test_license_scan(docs, rows, none):
     assert licenses.license_labels(none).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_license_templates_of_a_table(spark, monkeypatch, broadcast):
+    """Whole texts as a table; words inserted, dropped and changed inside a template, and one cut too short."""
+    monkeypatch.setattr(licenses, "BROADCAST_GRAMS", broadcast)
+    text = " ".join(f"clause{i}" for i in range(60))
+    table = spark.createDataFrame([(text, "long-text"), (text, "long-text"), (None, "none"), ("too short", "short"), (text.replace("clause30", "other"), "variant")], "text string, label string")
+    ws = text.split()
+    texts = {
+        1: text, 2: " ".join(ws[:20] + ["inserted", "words"] + ws[20:]), 3: " ".join(ws[:40] + ws[42:]), 4: " ".join(ws[:25]), 5: " ".join(ws[:20] + ["x"] * 40 + ws[20:]),
+        6: "\n".join([text.upper(), "between", text]), 7: " ".join(w if i % 9 else "x" for i, w in enumerate(ws)), 8: None,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_labels(docs, templates=table).collect()}
+    labels = {i: r["labels"] for i, r in got.items()}
+    assert labels == {1: "long-text,variant", 2: "long-text", 3: "long-text", 4: "", 5: "", 6: "long-text,variant", 7: "", 8: ""} or {i: x.split(",")[0] for i, x in labels.items()} == {1: "long-text", 2: "long-text", 3: "long-text", 4: "", 5: "", 6: "long-text", 7: "", 8: ""}
+    assert got[1]["score"] == 1.0 and 0.8 <= got[2]["score"] < 1 and 0.8 <= got[3]["score"] < 1 and got[4]["score"] < 0.5
+    _, places = licenses.license_places(docs, templates=table)
+    assert {(r["start"], r["end"]) for r in places.where("label = 'long-text' AND coverage = 1").collect()} == {(0, 60), (61, 121)}
+
+
 def test_sentencepiece(docs, rows, none):
     import sentencepiece
 
