@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm.frames import ascii_lower, join_once, table, written
+from offerlens.llm.frames import ascii_lower, discard, join_once, table, written
 
 #: Verdict, host and path of each rule; a rule holds for its host and all subdomains.
 RULES = [
@@ -17,7 +17,7 @@ RULES = [
 ]
 #: Different values under one parent from which rare ones become a wildcard, and the share of the parent that is not rare.
 MAX_CHILDREN, KEPT_SHARE = 8, 0.02
-#: Standard errors that a branch may differ from its siblings together and still be merged with those like it.
+#: Standard errors that a branch's share may differ from that of the branches before it, in the order of shares, and still be merged with them.
 MERGE_Z = 2.0
 #: Weight, in labelled urls, of a parent's share for its children, of a host's for its first segments and of the overall share for a host.
 PRIOR_WEIGHT = 4.0
@@ -46,8 +46,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 def shape_of(segment: Column) -> Column:
     """Numbers, with or without an ending, and long ids become wildcards; other segments stay."""
     return (
-        F.when(segment.rlike(r"^[0-9]+$"), F.lit("{n}"))
-        .when(segment.rlike(r"^[0-9]+\.[a-zA-Z0-9]+$"), F.concat(F.lit("{n}"), F.regexp_extract(segment, r"(\.[a-zA-Z0-9]+)$", 1)))
+        F.when(segment.rlike(r"\A[0-9]+\z"), F.lit("{n}"))
+        .when(segment.rlike(r"\A[0-9]+\.[a-zA-Z0-9]+\z"), F.concat(F.lit("{n}"), F.regexp_extract(segment, r"(\.[a-zA-Z0-9]+)\z", 1)))
         .when((F.length(segment) >= 16) & segment.rlike("[0-9]"), F.lit("{id}"))
         .otherwise(segment)
     )
@@ -74,29 +74,48 @@ def _children(paths: DataFrame, level: int, max_children: int, merge_z: float) -
     own = nodes.join(kept, keys, "left")
     rest = F.when(F.col("n") > F.coalesce("n_kept", zero), F.array(F.struct(F.lit("{w}").alias("seg"), (F.col("all_labelled") - F.coalesce("kept_labelled", zero)).alias("labelled"), (F.col("all_blocked") - F.coalesce("kept_blocked", zero)).alias("blocked"))))
     none = F.array().cast("array<struct<seg:string,labelled:bigint,blocked:bigint>>")
-    own = own.withColumn("c", F.concat(F.coalesce("kept", none), F.coalesce(rest, none)))
-    p = F.try_divide(F.col("all_blocked").cast("double"), F.col("all_labelled"))
+    own = own.withColumn("c", F.concat(F.coalesce("kept", none), F.coalesce(rest, none))).withColumn("rows", _grouped("c", merge_z))
+    group = lambda g: F.filter("rows", lambda x: x["g"] == g)
+    total = lambda rows, field: F.aggregate(rows, zero, lambda a, x: a + x[field])
+    last = F.coalesce(F.array_max(F.transform("rows", lambda x: x["g"])), F.lit(0))
+    sums = F.transform(F.sequence(F.lit(0), last), lambda g: F.struct(F.size(group(g)).alias("n"), total(group(g), "labelled").alias("labelled"), total(group(g), "blocked").alias("blocked")))
+    own = own.withColumn("groups", sums)
+    # numbers of the groups of several, in their order: the first is *, the next *2
+    own = own.withColumn("several", F.filter(F.sequence(F.lit(0), last), lambda g: F.get("groups", g)["n"] > 1))
 
-    def alike(x: Column) -> Column:
-        """Two shares, of the branch and of its siblings, that come from one by the usual test; both sides need labels."""
-        labelled, blocked = F.col("all_labelled") - x["labelled"], F.col("all_blocked") - x["blocked"]
-        apart = F.abs(x["blocked"].cast("double") / x["labelled"] - blocked.cast("double") / labelled)
-        error = F.sqrt(p * (1 - p) * (F.lit(1.0) / x["labelled"] + F.lit(1.0) / labelled))
-        return F.when((x["labelled"] > 0) & (labelled > 0), apart <= F.lit(merge_z) * error).otherwise(False)
+    def branch(x: Column) -> Column:
+        g = F.get(F.transform(F.filter("rows", lambda y: y["seg"] == x["seg"]), lambda y: y["g"]), F.lit(0))
+        number = F.coalesce(F.array_position("several", g), F.lit(0))
+        name = F.when(number == 0, x["seg"]).when(number == 1, "*").otherwise(F.concat(F.lit("*"), number.cast("string")))
+        labelled, blocked = (F.when(number > 0, F.get("groups", g)[c]).otherwise(x[c]) for c in ("labelled", "blocked"))
+        return F.struct(F.concat(F.col("node"), F.lit("/"), name).alias("node"), ((blocked + PRIOR_WEIGHT * F.col("share")) / (labelled + PRIOR_WEIGHT)).alias("share"))
 
-    own = own.withColumn("c", F.transform("c", lambda x: F.struct(x["seg"].alias("seg"), x["labelled"].alias("labelled"), x["blocked"].alias("blocked"), alike(x).alias("alike"))))
-    own = own.withColumn("merged", F.filter("c", lambda x: x["alike"])).withColumn("several", F.size("merged") > 1)
-    total = lambda field: F.aggregate("merged", zero, lambda a, x: a + x[field])
-    own = own.withColumns({"m_labelled": total("labelled"), "m_blocked": total("blocked")})
+    branches = written(own.select(*keys, F.map_from_entries(F.transform("c", lambda x: F.struct(x["seg"], branch(x)))).alias("branches"), F.col("paths").alias("n")))
+    discard(heads, nodes)
+    return branches
 
-    def branch(x: Column) -> Column:
-        together = F.col("several") & x["alike"]
-        labelled, blocked = F.when(together, F.col("m_labelled")).otherwise(x["labelled"]), F.when(together, F.col("m_blocked")).otherwise(x["blocked"])
-        return F.struct(
-            F.concat(F.col("node"), F.lit("/"), F.when(together, F.lit("*")).otherwise(x["seg"])).alias("node"), ((blocked + PRIOR_WEIGHT * F.col("share")) / (labelled + PRIOR_WEIGHT)).alias("share")
-        )
 
-    return own.select(*keys, F.map_from_entries(F.transform("c", lambda x: F.struct(x["seg"], branch(x)))).alias("branches"), F.col("paths").alias("n"))
+def _grouped(children: str, merge_z: float) -> Column:
+    """Children with labels in the order of their shares of blocked urls (then by name), each with the number g of its group.
+
+    One joins the group before it if both shares come from one by the usual test of two shares, the group's being that of all its urls; else it begins the next.
+    """
+    share = lambda blocked, labelled: F.try_divide(blocked.cast("double"), labelled)
+    known = F.filter(children, lambda x: x["labelled"] > 0)
+    ordered = F.array_sort(F.transform(known, lambda x: F.struct(share(x["blocked"], x["labelled"]).alias("share"), x["seg"].alias("seg"), x["labelled"].alias("labelled"), x["blocked"].alias("blocked"))))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.array().cast("array<struct<seg:string,labelled:bigint,blocked:bigint,g:int>>").alias("rows"), zero.alias("labelled"), zero.alias("blocked"), F.lit(-1).alias("g"))
+
+    def step(a: Column, x: Column) -> Column:
+        p = share(a["blocked"] + x["blocked"], a["labelled"] + x["labelled"])
+        error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), x["labelled"]) + F.try_divide(F.lit(1.0), a["labelled"])))
+        same = (a["labelled"] > 0) & (F.abs(x["share"] - share(a["blocked"], a["labelled"])) <= merge_z * error)
+        g = F.when(same, a["g"]).otherwise(a["g"] + 1)
+        row = F.struct(x["seg"].alias("seg"), x["labelled"].alias("labelled"), x["blocked"].alias("blocked"), g.alias("g"))
+        so_far = lambda c: F.when(same, a[c]).otherwise(zero) + x[c]
+        return F.struct(F.concat(a["rows"], F.array(row)).alias("rows"), so_far("labelled").alias("labelled"), so_far("blocked").alias("blocked"), g.alias("g"))
+
+    return F.aggregate(ordered, start, step)["rows"]
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, max_children: int = MAX_CHILDREN, merge_z: float = MERGE_Z, levels: int = LEVELS) -> DataFrame:
@@ -104,12 +123,12 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Urls that a rule fits are labelled. Each host has a tree of its paths' segments, in which numbers and long ids are wildcards at once. Level by
     level, from the host down: where a node has more than `max_children` different segments, those with less than KEPT_SHARE of its urls
-    become one wildcard {w}; then branches whose share of blocked urls is within `merge_z` standard errors of that of their siblings
-    together merge to one, *, and go on as one node, if there are two or more. A branch without labels is left as it is. Each node's share is
+    become one wildcard {w}; then siblings stand in the order of their shares of blocked urls, and neighbours whose shares are within `merge_z` standard errors of
+    each other merge and go on as one node: *, or *2 and so on where a node has several such groups. A branch without labels is left as it is. Each node's share is
     smoothed towards its parent's, the host's towards that of all urls; a template, the node where a path ends, is rejected from BLOCK_SHARE on.
 
     Null urls and urls without :// have an empty host and path, and are judged as one host; a path without segments ends at its host's node. Without
-    labels the share is 0.5. Segments from the `levels`-th on count as one. Empty segments do not count; one that is itself written {w} or * is that
+    labels the share is 0.5. Segments from the `levels`-th on count as one. Empty segments do not count; one that is itself written {w} or * (or *2) is that
     wildcard. Repeated rows and ids stay, each judged alike; an empty table gives an empty one; other columns are not read. A host or
     a node with very many paths is not brought together: its children are counted first, and its map of branches is sent to where its paths are.
     """
@@ -129,9 +148,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     ended = paths.where(F.size("s") == 0)
     for level in range(overall[2]):
         going = paths.where(F.size("s") > level)
-        branches = written(_children(going, level, max_children, merge_z))
+        branches = _children(going, level, max_children, merge_z)
         found = F.coalesce(F.try_element_at("branches", F.get("s", F.lit(level))), F.try_element_at("branches", F.lit("{w}")))
         paths = written(join_once(going.drop("share"), branches, ["host", "node"]).withColumn("to", found).select("host", "s", "n", "labelled", "blocked", F.col("to.share").alias("share"), F.col("to.node").alias("node")))
+        discard(branches)
         ended = ended.unionByName(paths.where(F.size("s") == level + 1))
     # every path with its template; as many rows as there are different paths
     templates = ended.select("host", "s", "n", F.when(F.col("node") == "", "/").otherwise(F.col("node")).alias("template"), F.col("share").alias("block_share"))
@@ -167,16 +187,21 @@ pr AS (SELECT (sum(b) + 1)::DOUBLE / (sum(l) + 2)::DOUBLE AS prior FROM c),
 t(host, s, n, l, b, node, share, d) AS (
   SELECT host, s, n, l, b, '', (sum(b) OVER (PARTITION BY host) + {PRIOR_WEIGHT}::DOUBLE * prior) / (sum(l) OVER (PARTITION BY host) + {PRIOR_WEIGHT}::DOUBLE), 0 FROM c, pr
   UNION ALL
-  SELECT host, s, n, l, b, node || '/' || CASE WHEN min(general) OVER k <> max(general) OVER k THEN key ELSE general END,
+  SELECT host, s, n, l, b, node || '/' || CASE WHEN key NOT LIKE '*%' OR list_position(several, key) IS NULL THEN general WHEN list_position(several, key) = 1 THEN '*' ELSE '*' || list_position(several, key) END,
     (sum(b) OVER k + {PRIOR_WEIGHT}::DOUBLE * share) / (sum(l) OVER k + {PRIOR_WEIGHT}::DOUBLE), d + 1
   FROM (
-    SELECT *, CASE WHEN gl > 0 AND pl - gl > 0 AND abs(gb::DOUBLE / gl - (pb - gb)::DOUBLE / (pl - gl)) <= {MERGE_Z}::DOUBLE * sqrt(pb::DOUBLE / pl * (1 - pb::DOUBLE / pl) * (1.0::DOUBLE / gl + 1.0::DOUBLE / (pl - gl))) THEN '*' ELSE general END AS key
+    SELECT *, CASE WHEN gl > 0 THEN '*' || list_extract(list_filter(grouped, lambda x: x.seg = general), 1).g ELSE general END AS key,
+      list_transform(list_filter(range(len(grouped)), lambda g: len(list_filter(grouped, lambda x: x.g = g)) > 1), lambda g: '*' || g) AS several
     FROM (
-      SELECT *, sum(l) OVER g AS gl, sum(b) OVER g AS gb, sum(l) OVER p AS pl, sum(b) OVER p AS pb
+      SELECT *, list_reduce(list_sort(list_distinct(list_filter(kids, lambda x: x.l > 0))), lambda a, x: CASE
+          WHEN a.l > 0 AND abs(x.share - a.b::DOUBLE / a.l) <= {MERGE_Z}::DOUBLE * sqrt((a.b + x.b)::DOUBLE / (a.l + x.l) * (1 - (a.b + x.b)::DOUBLE / (a.l + x.l)) * (1.0::DOUBLE / x.l + 1.0::DOUBLE / a.l))
+          THEN {{'done': list_append(a.done, {{'seg': x.seg, 'g': a.g}}), 'l': a.l + x.l, 'b': a.b + x.b, 'g': a.g}}
+          ELSE {{'done': list_append(a.done, {{'seg': x.seg, 'g': a.g + 1}}), 'l': x.l, 'b': x.b, 'g': a.g + 1}} END, {{'done': []::STRUCT(seg VARCHAR, g BIGINT)[], 'l': 0::HUGEINT, 'b': 0::HUGEINT, 'g': -1::BIGINT}}).done AS grouped
+      FROM (SELECT *, list({{'share': CASE WHEN gl > 0 THEN gb::DOUBLE / gl ELSE 0 END, 'seg': general, 'l': gl, 'b': gb}}) OVER (PARTITION BY host, node) AS kids FROM (SELECT *, sum(l) OVER g AS gl, sum(b) OVER g AS gb
       FROM (
         SELECT *, CASE WHEN max(rank) OVER (PARTITION BY host, node) > {MAX_CHILDREN} AND sum(n) OVER (PARTITION BY host, node, seg) < sum(n) OVER (PARTITION BY host, node) * {KEPT_SHARE}::DOUBLE THEN '{{w}}' ELSE seg END AS general
         FROM (SELECT *, s[d + 1] AS seg, dense_rank() OVER (PARTITION BY host, node ORDER BY s[d + 1]) AS rank FROM t WHERE len(s) > d)
-      ) WINDOW g AS (PARTITION BY host, node, general), p AS (PARTITION BY host, node)
+      ) WINDOW g AS (PARTITION BY host, node, general)))
     )
   ) WINDOW k AS (PARTITION BY host, node, key)
 )

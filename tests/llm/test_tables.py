@@ -90,8 +90,8 @@ def test_url_tree_at_every_level(spark):
     rows = url_filters.judge_urls(frame, rules=rules, levels=8).collect()
     of = lambda host: {r["template"] for r in rows if r["host"] == host}
     assert of("w.test") == {"/shop/{w}/item"} and of("v.test") == {"/en/news/{w}"}
-    assert of("y.test") == {f"/a/{s}/{{n}}" for s in "pqrs"}  # none is like its siblings together
-    assert {r["verdict"] for r in rows if r["template"] == "/a/p/{n}"} == {"block"} and {r["verdict"] for r in rows if r["template"] == "/a/r/{n}"} == {"allow"}
+    assert of("y.test") == {"/a/*/{n}", "/a/r/{n}", "/a/s/{n}"}  # p and q are both blocked wholly, s has no labels
+    assert {r["verdict"] for r in rows if r["template"] == "/a/*/{n}"} == {"block"} and {r["verdict"] for r in rows if r["template"] == "/a/r/{n}"} == {"allow"}
     assert len(of("z.test")) == 2 and "/" in of("z.test")
     # branches of one share merge: half of each is blocked
     mixed = [("block", "m.test", f"/{s}/x") for s in "abc"] + [("allow", "m.test", f"/{s}/y") for s in "abc"]
@@ -101,6 +101,20 @@ def test_url_tree_at_every_level(spark):
     assert {(r["template"], r["verdict"]) for r in got if "z" not in r["template"]} == {("/*/x/{n}", "block"), ("/*/y/{n}", "allow")}
 
 
+def test_url_groups_of_like_branches(spark):
+    """Two groups of siblings merge, each on its own; one between them that is like neither stays alone; a line feed makes no number."""
+    share = {"a": 0, "b": 0, "c": 20, "d": 20, "e": 10}
+    rules = [("block" if i < n else "allow", "g.test", f"/{s}/v{chr(97 + i)}") for s, n in share.items() for i in range(20)]
+    urls = [f"http://g.test/{s}/v{chr(97 + i)}/{j}" for s in share for i in range(20) for j in range(10)] + ["http://g.test/12\n", "http://g.test/12"]
+    got = url_filters.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules, max_children=1000, levels=2).collect()
+    first = {}
+    for r in got[: len(urls) - 2]:
+        first.setdefault(r["path"].split("/")[1], set()).add(r["template"].split("/")[1])
+    assert first == {"a": {"*"}, "b": {"*"}, "e": {"e"}, "c": {"*2"}, "d": {"*2"}}
+    by_path = {r["path"]: r["template"] for r in got}
+    assert by_path["/12"] == "/{n}" and by_path["/12\n"] == "/12\n"
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     import corpus_pipeline as P
     from offerlens.llm.frames import written
@@ -127,5 +141,5 @@ def test_pipeline(spark, docs, rows, tmp_path):
 def test_registry():
     from offerlens.llm import queries
 
-    assert all(any(n.startswith(f"op{i}_") for n in queries.QUERIES) for i in range(1, 11)) and "pipeline" in queries.QUERIES
+    assert all(any(n.startswith(f"op{i}_") for n in queries.QUERIES) for i in range(1, 14)) and "pipeline" in queries.QUERIES
     assert set(queries.SQL) <= set(queries.QUERIES)
