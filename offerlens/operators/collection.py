@@ -109,16 +109,25 @@ def first_attributes(rows: DataFrame, item: str = "item_id", name: str = "accord
     return few.groupBy(item).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__n", name))), lambda x: x[name]), ", ").alias("names"))
 
 
-def insights(items: DataFrame, accords: DataFrame, notes: DataFrame, edges: DataFrame, item: str = "item_id", brand: str = "brand", families: dict[str, list[str]] = FAMILIES) -> dict[str, DataFrame]:
-    """All parts of the collection report: counts, dna (shares with offsets), contributors, accords and notes in order, edges of the clusters."""
+def insights(items: DataFrame, accords: DataFrame, notes: DataFrame, edges: DataFrame, item: str = "item_id", brand: str = "brand", name: str = "name", families: dict[str, list[str]] = FAMILIES) -> dict[str, DataFrame]:
+    """All parts of the collection report: counts, dna (shares with offsets), contributors, accords and notes in order, clusters with their nodes, and the edges between those.
+
+    `edges`: directed (src, dst) between items.
+    """
+    from offerlens.operators.graph import cluster_edges, cluster_report, visible_edges
+
     known = with_family(accords, families=families)
-    n = items.count() if item not in items.columns else items.select(item).distinct().count()
+    n = items.agg(F.count_distinct(item)).scalar()
+    plain = cluster_edges(edges)
+    clusters = cluster_report(plain, items, item, name)
     return {
         "counts": insight_counts(items, edges, brand),
         "dna": offsets(family_shares(known)),
         "contributors": family_contributors(known),
         "accords": rank_attributes(accords, n, "accord", strength="strength", order=["item_id", "position"]),
         "notes": rank_attributes(notes, n, "name", order=["item_id", "name"]),
+        "clusters": clusters,
+        "cluster_edges": visible_edges(clusters, plain),
     }
 
 

@@ -87,13 +87,29 @@ def store_catalog(stores: DataFrame, offers: DataFrame, store: str = "store_id",
     return stores.join(by_perfume, store, "left").orderBy(store, *[F.lower(c) for c in perfume], *perfume)
 
 
+def offers_of_variants(variants: DataFrame, offers: DataFrame, variant: str = "variant_id") -> DataFrame:
+    """Every variant with all its current offers as a list, cheapest first, those without a price last; an empty list for none."""
+    o = F.struct(F.col("price").isNull().alias("unpriced"), "price", "offer_id", "availability")
+    lists = offers.groupBy(variant).agg(F.sort_array(F.collect_list(o)).alias("offers"))
+    return variants.join(lists, variant, "left").withColumn("offers", F.coalesce("offers", F.array()))
+
+
 def variant_keys() -> list:
     """Order of a perfume's variants: larger ones first."""
     return [F.desc("volume_ml"), "concentration", "tester"]
 
 
-def variant_order(df: DataFrame, *first: str) -> DataFrame:
-    return df.orderBy(*first, *variant_keys())
+def perfume_report(perfumes: DataFrame, best: DataFrame, latest: DataFrame, perfume: str = "perfume_id", store: str = "store_id") -> DataFrame:
+    """Every perfume with the latest status of each store (a list by store, ties by time all in it), how many stores have it in stock, and its overall best offer.
+
+    `best`: its variants' best offers; `latest`: results at each pair's latest time.
+    """
+    at = F.array_sort(F.collect_list(F.struct(store, "status")))
+    there = F.count_distinct(F.when(F.col("status") == "in_stock", F.col(store)))
+    statuses = latest.groupBy(perfume).agg(at.alias("statuses"), there.alias("in_stock_stores"))
+    cheapest = overall_best(best, [perfume]).select(perfume, F.col("variant_id").alias("best_variant_id"), F.col("price").alias("best_price"))
+    out = perfumes.join(statuses, perfume, "left").join(cheapest, perfume, "left")
+    return out.withColumns({"statuses": F.coalesce("statuses", F.array()), "in_stock_stores": F.coalesce("in_stock_stores", F.lit(0))})
 
 
 def detail(best: DataFrame, statuses: DataFrame, drops: DataFrame, stats: DataFrame, variant: str = "variant_id") -> DataFrame:

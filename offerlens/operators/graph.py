@@ -70,6 +70,28 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def update_components(parts: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """`connected_components` after a change, from the one before it: `edges` are those before, `added` and `removed` undirected (a, b) edges.
+
+    Components that lose an edge are computed again from their own edges alone; then the new edges join components by their labels, a graph as large as the
+    change. A component's label is its smallest node, so the least label of those that join is the new one.
+    """
+    pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    lost = pair(removed).join(pair(added), ["a", "b"], "left_anti").join(pair(edges), ["a", "b"], "left_semi")
+    broken = parts.join(lost.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
+    inside = parts.join(broken, "component", "left_semi").select("node")
+    again = pair(edges).join(lost, ["a", "b"], "left_anti").join(inside.withColumnRenamed("node", "a"), "a", "left_semi")
+    base = parts.join(broken, "component", "left_anti").select("node", "component").unionByName(connected_components(again))
+    base = written_with_state(base, "node", "component")[0]
+    label = lambda c: base.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+    new = pair(added).join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", "b", F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y"))
+    joined = connected_components(new, "x", "y").withColumnRenamed("component", "__to")
+    moved = base.join(joined.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+    ends = new.select(F.col("a").alias("node"), F.col("x").alias("label")).unionByName(new.select(F.col("b").alias("node"), F.col("y").alias("label"))).distinct()
+    fresh = ends.join(base.select("node"), "node", "left_anti").join(joined.withColumnRenamed("node", "label"), "label", "left")
+    return moved.unionByName(fresh.select("node", F.coalesce("__to", "label").alias("component")))
+
+
 def cluster_report(edges: DataFrame, items: DataFrame, item: str = "item_id", name: str = "name", clusters: int = 6, nodes: int = 8) -> DataFrame:
     """The largest clusters (by edges, then members, then smallest node), with their nodes by degree, then name, both from above.
 

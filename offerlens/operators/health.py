@@ -35,9 +35,9 @@ def store_health(results: DataFrame, store: str = "store_id", limit: int = 20, a
 
 
 def health_report(stores: DataFrame, results: DataFrame, store: str = "store_id", limit: int = 20) -> DataFrame:
-    """Every store with its health, zeros for one without results, and its last statuses as a strip, newest first."""
+    """Every store with its health, zeros for one without results, and its last statuses as a strip, oldest first."""
     last = last_results(results, [store], limit)
-    strip = last.groupBy(store).agg(F.transform(F.sort_array(F.collect_list(F.struct("recency", "status"))), lambda x: x["status"]).alias("strip"))
+    strip = last.groupBy(store).agg(F.transform(F.sort_array(F.collect_list(F.struct("recency", "status")), asc=False), lambda x: x["status"]).alias("strip"))
     out = stores.join(store_health(results, store, limit), store, "left").join(strip, store, "left")
     return out.fillna({"total": 0, "healthy": 0, "failing_in_a_row": 0}).withColumn("strip", F.coalesce("strip", F.array().cast("array<string>")))
 

@@ -53,6 +53,11 @@ def moves_of_run(obs: DataFrame, series: list[str], id_col: list[str], run_col:
     return moves(obs.join(touched, series, "left_semi"), series, id_col).where(F.col(run_col) == run)
 
 
+def count_moves_of_run(obs: DataFrame, series: list[str], id_col: list[str], run_col: str, run: Column | None = None) -> DataFrame:
+    """(changes) of one run, by default the last: how many rows `moves_of_run` has, 0 where there is no run."""
+    return moves_of_run(obs, series, id_col, run_col, run).agg(F.count("*").alias("changes"))
+
+
 def series_history(history: DataFrame, wanted: DataFrame, series: list[str], order: list[str]) -> DataFrame:
     """All entries of the wanted series with recency 1, 2, ... from the newest."""
     w = W.partitionBy(*series).orderBy(*[F.desc(c) for c in order])

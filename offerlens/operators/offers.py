@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +115,40 @@ def delete_cascade(tables: dict[str, DataFrame], deleted: DataFrame, chain: list
     return out
 
 
+def delete_graph(tables: dict[str, DataFrame], deleted: dict[str, DataFrame], links: list[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
+    """Tables without the rows named in `deleted` (table: its keys) and all that hangs on them; links: (child, its column, parent, the parent's column).
+
+    Tables are taken in an order in which parents come before their children; a child with several parents loses what any of them takes along. Rows whose
+    column is null hang on nothing. Links that go in a circle are an error.
+    """
+    order, left = [], list(tables)
+    while left:
+        free = [t for t in left if not any(child == t and parent in left and parent != t for child, _, parent, _ in links)]
+        if not free:
+            raise ValueError(f"links in a circle among {left}")
+        order += free
+        left = [t for t in left if t not in free]
+    out, gone = {}, {}
+    for name in order:
+        table, lost = tables[name], []
+        if name in deleted:
+            lost.append((deleted[name].distinct(), deleted[name].columns))
+        for child, own, parent, key in links:
+            if child == name and parent in gone:
+                lost.append((gone[parent].select(F.col(key).alias(own)).where(F.col(own).isNotNull()).distinct(), [own]))
+        if not lost:
+            out[name] = table
+            continue
+        marks = [f"__gone{i}" for i in range(len(lost))]
+        marked = table
+        for mark, (keys, on) in zip(marks, lost, strict=True):
+            marked = marked.join(keys.withColumn(mark, F.lit(True)), on, "left")
+        hit = reduce(lambda a, b: a | b, [F.col(m).isNotNull() for m in marks])
+        out[name] = marked.where(~hit).select(*table.columns)
+        gone[name] = marked.where(hit).select(*table.columns)
+    return out
+
+
 def replace_children(children: DataFrame, new: DataFrame, parent: str, parents: DataFrame | None = None) -> DataFrame:
     """Child rows of `parents`, by default those in `new`, are replaced by those in `new`; a parent whose new list is empty keeps none."""
     replaced = new.select(parent) if parents is None else parents.select(parent).unionByName(new.select(parent))

@@ -31,7 +31,17 @@ def merge_queue(queue: DataFrame, found: DataFrame, now: Column, keys: list[str]
 
 
 def pending(queue: DataFrame) -> DataFrame:
-    return queue.where("status = 'pending'").orderBy(F.desc("first_seen_at"), *QUEUE_KEY)
+    return queue.where("status = 'pending'").orderBy(*pending_keys())
+
+
+def pending_listed(queue: DataFrame, catalog: DataFrame, stores: DataFrame) -> DataFrame:
+    """Pending rows with their perfume's brand and name and their store's name, newest first; rows of deleted perfumes or stores go."""
+    named = pending(queue).join(catalog.select("perfume_id", "brand", "name"), "perfume_id").join(stores.select("store_id", "store_name"), "store_id")
+    return named.orderBy(*pending_keys())
+
+
+def pending_keys() -> list:
+    return [F.desc("first_seen_at"), *QUEUE_KEY]
 
 
 def pending_count(queue: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,10 +229,10 @@ def dashboard(s, d):
     return numbered(_dashboard(s, d).drop("last_checked_at"), *P.dashboard_keys("best_price", "desc", price="best_price"))
 
 
-@query(f"WITH {CTES['obs']}, {CTES['offers']}, {CTES['variants']}, {CTES['best']}, {DASH} SELECT * FROM dash WHERE (contains(lower(brand), 'ring') OR contains(lower(name), 'ring')) AND best_price IS NOT NULL")
+@query(f"WITH {CTES['obs']}, {CTES['offers']}, {CTES['variants']}, {CTES['best']}, {DASH} SELECT *, row_number() OVER (ORDER BY lower(brand), lower(name), brand, name) AS row_number FROM dash WHERE (contains(lower(brand), 'ring') OR contains(lower(name), 'ring')) AND best_price IS NOT NULL")
 def dashboard_search(s, d):
     found = P.by_availability(P.search(_dashboard(s, d), "  RING ", "brand", "name"), "in_stock", price="best_price")
-    return P.dashboard_order(found, "name").drop("last_checked_at")
+    return numbered(found.drop("last_checked_at"), *P.dashboard_keys("name"))
 
 
 @query("SELECT s.store_id, s.store_name, o.brand, o.name, coalesce(o.offers, '') AS offers FROM stores s LEFT JOIN (SELECT store_id, brand, name, string_agg(variant_id || ':' || price, ',' ORDER BY price, variant_id, availability) AS offers FROM offers JOIN variants USING (variant_id) GROUP BY 1, 2, 3) o USING (store_id)", "obs offers variants stores")
@@ -647,7 +648,7 @@ def series_history(s, d):
     return Y.series_history(T.obs(s, d), now, ["variant_id", "store_id"], ["recorded_at", "seq"]).select("variant_id", "store_id", "seq", "price", "recency")
 
 
-@query("SELECT s.store_id, store_name, coalesce(total, 0) AS total, coalesce(healthy, 0) AS healthy, coalesce(strip, '') AS strip FROM stores s LEFT JOIN (SELECT store_id, count(*) AS total, count(*) FILTER (WHERE status NOT IN ('scraping_error', 'store_unavailable')) AS healthy, string_agg(status, ',' ORDER BY n) AS strip FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY created_at DESC, result_id DESC) AS n FROM results) WHERE n <= 20 GROUP BY 1) h USING (store_id)", "stores results")
+@query("SELECT s.store_id, store_name, coalesce(total, 0) AS total, coalesce(healthy, 0) AS healthy, coalesce(strip, '') AS strip FROM stores s LEFT JOIN (SELECT store_id, count(*) AS total, count(*) FILTER (WHERE status NOT IN ('scraping_error', 'store_unavailable')) AS healthy, string_agg(status, ',' ORDER BY n DESC) AS strip FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY created_at DESC, result_id DESC) AS n FROM results) WHERE n <= 20 GROUP BY 1) h USING (store_id)", "stores results")
 def store_health_report(s, d):
     return H.health_report(T.stores(s, d), T.results(s, d)).select("store_id", "store_name", "total", "healthy", F.array_join("strip", ",").alias("strip"))
 
@@ -835,3 +836,81 @@ def pages_run_snapshot(s, d):
 def pages_run_history(s, d):
     tables = SH.two_runs(s, d)
     return tables.read("history").join(tables.read("variants"), "variant_id").select("run_id", "store_id", *RUN.VARIANT, "price", "availability")
+
+
+# -- reports, titles, deletions, components ------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS changes FROM (SELECT *, lag(price) OVER (PARTITION BY variant_id ORDER BY seq) AS previous_price FROM obs) WHERE previous_price <> price AND run_id = (SELECT max(run_id) FROM obs)", "obs")
+def price_change_count(s, d):
+    return Y.count_moves_of_run(T.obs(s, d), ["variant_id"], ["seq"], "run_id")
+
+
+@query("SELECT v.variant_id, coalesce(string_agg(offer_id || ':' || price || ':' || availability, ',' ORDER BY price, offer_id), '') AS offers FROM variants v LEFT JOIN offers USING (variant_id) GROUP BY 1", "obs variants offers")
+def offers_by_variant(s, d):
+    listed = P.offers_of_variants(T.variants(s, d).select("variant_id"), T.offers(s, d))
+    return listed.select("variant_id", F.array_join(F.transform("offers", lambda x: F.concat_ws(":", x["offer_id"], x["price"], x["availability"])), ",").alias("offers"))
+
+
+@query("SELECT perfume_id, coalesce(statuses, '') AS statuses, coalesce(x.n, 0) AS in_stock_stores, b.variant_id AS best_variant_id, b.price AS best_price FROM perfumes LEFT JOIN (SELECT perfume_id, string_agg(store_id || ':' || status, ',' ORDER BY store_id, status) AS statuses, count(DISTINCT CASE WHEN status = 'in_stock' THEN store_id END) AS n FROM (SELECT *, rank() OVER (PARTITION BY perfume_id, store_id ORDER BY created_at DESC) AS r FROM results) WHERE r = 1 GROUP BY 1) x USING (perfume_id) LEFT JOIN (SELECT * FROM (SELECT brand, name, variant_id, price, row_number() OVER (PARTITION BY brand, name ORDER BY price, volume_ml DESC, concentration, tester, variant_id) AS n FROM best WHERE price IS NOT NULL) WHERE n = 1) b USING (brand, name)", "obs offers variants best perfumes results")
+def perfume_report(s, d):
+    """Every perfume with its stores' latest statuses and its overall best offer."""
+    perfumes = T.perfumes(s, d)
+    latest = H.latest_statuses(T.results(s, d), ["perfume_id", "store_id"])
+    out = P.perfume_report(perfumes, best(s, d).join(perfumes, ["brand", "name"]), latest)
+    return out.select("perfume_id", F.array_join(F.transform("statuses", lambda x: F.concat_ws(":", x["store_id"], x["status"])), ",").alias("statuses"), "in_stock_stores", "best_variant_id", "best_price")
+
+
+@query("SELECT p_partkey AS perfume_id, s_suppkey AS store_id, p_name AS product_url, p_brand AS brand, p_name AS name, s_name AS store_name, row_number() OVER (ORDER BY p_size DESC, p_partkey, s_suppkey, p_name) AS row_number FROM part JOIN supplier ON s_suppkey = p_partkey % 60 WHERE p_partkey % 3 = 0")
+def pending_queue(s, d):
+    """A doubtful row for each part, seen first by its size; those divisible by three wait."""
+    part = T.read(s, d, "part")
+    queue = part.select(F.col("p_partkey").alias("perfume_id"), (F.col("p_partkey") % 60).alias("store_id"), F.col("p_name").alias("product_url"), F.when(F.col("p_partkey") % 3 == 0, "pending").otherwise("rejected").alias("status"), F.col("p_size").alias("first_seen_at"))
+    catalog = part.select(F.col("p_partkey").alias("perfume_id"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name"))
+    return numbered(R.pending_listed(queue, catalog, T.stores(s, d)), *R.pending_keys()).select("perfume_id", "store_id", "product_url", "brand", "name", "store_name", "row_number")
+
+
+@query(
+    f"SELECT 'counts' AS part, 'items' AS key, items || ':' || brands || ':' || edges AS value FROM ({SQL['insight_counts']}) UNION ALL SELECT 'dna', family, percentage || ':' || \"offset\" FROM ({SQL['dna_offsets']}) "
+    f"UNION ALL SELECT 'contributors', family || ':' || place, item_id || ':' || total FROM ({SQL['family_top3']}) UNION ALL SELECT 'accords', label, item_count || ':' || score FROM ({SQL['top_accords']}) "
+    f"UNION ALL SELECT 'notes', label, item_count || ':' || score FROM ({SQL['top_notes']}) UNION ALL SELECT 'clusters', cluster || ':' || number, component || ':' || node || ':' || degree || ':' || members || ':' || edge_count FROM ({SQL['cluster_report']}) "
+    f"UNION ALL SELECT 'cluster_edges', ce.a || '-' || ce.b, x.cluster || ':' || x.number || ':' || y.number FROM (WITH RECURSIVE {CTES['edges']}, {_GRAPH} SELECT a, b FROM ce) ce JOIN ({SQL['cluster_report']}) x ON x.node = ce.a JOIN ({SQL['cluster_report']}) y ON y.node = ce.b"
+)
+def insights_report(s, d):
+    """All parts of the collection report in one table."""
+    items = T.read(s, d, "supplier").withColumnsRenamed({"s_suppkey": "item_id", "s_name": "name"}).withColumn("brand", F.col("name"))
+    parts = C.insights(items, T.accords(s, d), T.notes(s, d), T.edges(s, d), families=FAMILY)
+    show = {
+        "counts": (F.lit("items"), ["items", "brands", "edges"]), "dna": (F.col("family"), ["percentage", "offset"]), "contributors": (F.concat_ws(":", "family", "place"), ["item_id", "total"]), "accords": (F.col("label"), ["item_count", "score"]),
+        "notes": (F.col("label"), ["item_count", "score"]), "clusters": (F.concat_ws(":", "cluster", "number"), ["component", "node", "degree", "members", "edge_count"]), "cluster_edges": (F.concat_ws("-", "a", "b"), ["cluster", "source_number", "target_number"]),
+    }
+    rows = [parts[name].select(F.lit(name).alias("part"), key.alias("key"), F.concat_ws(":", *values).alias("value")) for name, (key, values) in show.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query(f"WITH {TITLES} SELECT p_partkey, b.brand FROM titles JOIN (SELECT DISTINCT p_brand AS brand FROM part UNION SELECT DISTINCT p_name FROM part) b ON contains(strip_accents(lower(title)), lower(b.brand))")
+def title_brands(s, d):
+    """Every title with every brand that it names; the products' names count as brands as well."""
+    part = T.read(s, d, "part")
+    brands = part.select(F.col("p_brand").alias("brand")).unionByName(part.select(F.col("p_name").alias("brand")))
+    return MA.titles_with_brands(_titles(s, d).select("p_partkey", "title"), brands).select("p_partkey", "brand")
+
+
+@query("WITH gone AS (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0), parts AS (SELECT p_partkey FROM part WHERE p_size <= 5) SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_custkey % 7 <> 0 UNION ALL SELECT 'lines', count(*) FROM (SELECT DISTINCT * FROM lineitem) WHERE l_orderkey NOT IN (SELECT * FROM gone) AND l_partkey NOT IN (SELECT * FROM parts) UNION ALL SELECT 'parts', count(*) FROM part WHERE p_size > 5 UNION ALL SELECT 'suppliers', count(*) FROM supplier")
+def cascade_graph(s, d):
+    """Lines hang on orders, these on customers, and on parts; some customers and parts are deleted in one call."""
+    tables = {"lines": T.read(s, d, "lineitem").distinct(), "orders": T.read(s, d, "orders"), "customers": T.read(s, d, "customer"), "parts": T.read(s, d, "part"), "suppliers": T.read(s, d, "supplier")}
+    deleted = {"customers": tables["customers"].where("c_custkey % 7 = 0").select("c_custkey"), "parts": tables["parts"].where("p_size <= 5").select("p_partkey")}
+    links = [("orders", "o_custkey", "customers", "c_custkey"), ("lines", "l_orderkey", "orders", "o_orderkey"), ("lines", "l_partkey", "parts", "p_partkey"), ("lines", "l_suppkey", "suppliers", "s_suppkey")]
+    left = O.delete_graph(tables, deleted, links)
+    return reduce(lambda a, b: a.unionByName(b), [left[name].agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in ("orders", "lines", "parts", "suppliers")])
+
+
+@query(f"WITH RECURSIVE {CTES['edges']}, {_GRAPH.replace('ce AS (SELECT DISTINCT a, b FROM un WHERE m = (SELECT bool_or(m) FROM un))', 'ce AS (SELECT DISTINCT a, b FROM un WHERE (a + b) % 7 <> 0)')} SELECT node, component FROM comp")
+def components_updated(s, d):
+    """Components after edges whose ends sum up to a multiple of five were added and those of a multiple of seven removed, from those before."""
+    both = T.edges(s, d).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    late = (F.col("a") + F.col("b")) % 5 == 0
+    before = both.where(~late)
+    removed = both.where((F.col("a") + F.col("b")) % 7 == 0)
+    return G.update_components(G.connected_components(before), before, both.where(late).join(removed, ["a", "b"], "left_anti"), removed)
