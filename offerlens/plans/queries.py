@@ -914,3 +914,163 @@ def components_updated(s, d):
     before = both.where(~late)
     removed = both.where((F.col("a") + F.col("b")) % 7 == 0)
     return G.update_components(G.connected_components(before), before, both.where(late).join(removed, ["a", "b"], "left_anti"), removed)
+
+
+# -- extraction from pages made of parts: what is extracted is what they were made of ---------------------------------
+
+_PAGE = "p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand, p_size * 5 AS volume, CAST(p_retailprice AS DECIMAL(10,2)) AS price, p_size % 2 = 0 AS there, lpad(p_partkey::VARCHAR, 9, '0') AS code FROM part)"
+
+
+def _parts(s, d):
+    return T.read(s, d, "part").select(
+        F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), (F.col("p_size") * 5).alias("volume"), F.col("p_retailprice").cast("decimal(10,2)").alias("price"), (F.col("p_size") % 2 == 0).alias("there"),
+        F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("code"),
+    )
+
+
+def _made(rows: DataFrame, *html) -> DataFrame:
+    """A page for each row: texts and columns (by name) one after the other; `{price}` stands for the price with a comma."""
+    comma = F.replace(F.col("price").cast("string"), F.lit("."), F.lit(","))
+    parts = [x if not isinstance(x, str) else comma if x == "{price}" else F.col(x[1:-1]) if x.startswith("{") and x.endswith("}") else F.lit(x) for x in html]
+    return rows.select(F.lit("shop").alias("store_slug"), F.concat(F.lit("https://shop.test/p/"), "code").alias("url"), F.concat(*parts).alias("html"))
+
+
+def _shown(raw: DataFrame) -> DataFrame:
+    return SP.to_offers(raw).select("product_url", F.col("store_product_identifier").alias("code"), "perfume_name", "concentration", "volume_ml", "tester", "price", "old_price", "availability")
+
+
+def _stock(then, other):
+    return F.when(F.col("there"), then).otherwise(other)
+
+
+_URL, _STOCK = "'https://shop.test/p/' || code AS product_url", "CASE WHEN there THEN 'in_stock' ELSE 'out_of_stock' END AS availability"
+
+
+@query(f"WITH {_PAGE} SELECT {_URL}, code, name AS perfume_name, 'EDT' AS concentration, volume AS volume_ml, false AS tester, price, NULL::DECIMAL(10,2) AS old_price, {_STOCK} FROM p")
+def extract_variant_list(s, d):
+    html = ['<ul><li class="product-variants-list__item"><a data-variant-value="', "{code}", '" class="', _stock("x", "is-disabled"), '" title="Alege opțiunea produsului ', "{name}", " Apă de toaletă ", "{volume}", ' ml"></a><span class="product-variants-list__item-price">', "{price}", " lei</span></li></ul>"]
+    return _shown(SP.variant_list(_made(_parts(s, d), *html)))
+
+
+@query(f"WITH {_PAGE} SELECT {_URL}, code || x AS code, name AS perfume_name, 'Extrait' AS concentration, volume + v AS volume_ml, t AS tester, price + v AS price, NULL::DECIMAL(10,2) AS old_price, CASE WHEN x = 'a' AND there OR x = 'b' AND NOT there THEN 'in_stock' ELSE 'out_of_stock' END AS availability FROM p, (VALUES ('a', 0, false), ('b', 1, true)) z(x, v, t)")
+def extract_attribute_groups(s, d):
+    """Two sizes on each page; the second's price and button come from its own answer."""
+    rows = _parts(s, d)
+    html = [
+        "<h1>", "{name}", '</h1><span class="current-price-value">', "{price}", ' lei</span><button class="add-to-cart"', _stock("", " disabled"), '>x</button><div class="product-variants"><div class="product-variants-item"><span class="form-control-label">Volum</span>',
+        '<input class="input-radio" value="', "{code}", 'a" title="', "{volume}", ' ml" checked><input class="input-radio" value="', "{code}", 'b" title="', F.col("volume") + 1, ' ml Tester"></div><div class="product-variants-item"><select><option>a</option><option selected>extract de parfum</option></select></div></div>',
+    ]
+    pages = _made(rows, *html)
+    other = F.concat(F.lit('<span class="current-price-value">'), F.replace((F.col("price") + 1).cast("string"), F.lit("."), F.lit(",")), F.lit("&nbsp;lei</span>"))
+    more = rows.select(F.lit("shop").alias("store_slug"), F.concat(F.lit("https://shop.test/p/"), "code").alias("url"), F.concat("code", F.lit("b")).alias("value_id"), other.alias("price_html"), F.concat(F.lit('<button class="add-to-cart"'), _stock(" disabled", ""), F.lit(">x</button>")).alias("button_html"))
+    return _shown(SP.attribute_groups(pages, more))
+
+
+@query(f"WITH {_PAGE} SELECT {_URL}, 'CODE' || k AS code, price AS coupon FROM p WHERE there")
+def extract_coupons(s, d):
+    html = ['<div data-product-add-coupon-to-cart="CODE', "{k}", '"><b></b><p class="x h4">', _stock(F.replace(F.col("price").cast("string"), F.lit("."), F.lit(",")), "none"), " lei</p></div>"]
+    return SP.coupons(_made(_parts(s, d), *html)).select(F.col("url").alias("product_url"), "code", M.comma_price(F.col("coupon")).alias("coupon"))
+
+
+@query(f"WITH {_PAGE} SELECT k AS id, name, brand, '/a-' || k || '_z' || k || '/' AS product_url FROM p WHERE there")
+def extract_tracked_search(s, d):
+    """Results whose link the page does not have are left out."""
+    row = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("k").alias("id"), "name", "brand")).alias("products")).alias("results")))
+    link = _stock(F.concat(F.lit('<a href="/a-'), "k", F.lit("_z"), "k", F.lit('/">x</a>')), "")
+    pages = _made(_parts(s, d), '<div data-tracking-search="', F.replace(row, F.lit('"'), F.lit("&quot;")), '"></div>', link, '<a href="/other_z999999999/">y</a>')
+    return SP.tracked_search(pages).drop("store_slug")
+
+
+@query(f"WITH {_PAGE} SELECT 'https://shop.test/v/' || code AS product_url, 'C' || code AS code, name AS perfume_name, 'EDP' AS concentration, volume AS volume_ml, false AS tester, price, CAST(price * 2 AS DECIMAL(10,2)) AS old_price, {_STOCK} FROM p")
+def extract_pointer_map(s, d):
+    ref = lambda key: F.struct(key.alias("__ref"))
+    brand, variant = F.concat(F.lit("Brand:"), "k"), F.concat(F.lit("Variant:"), "k")
+    product = F.struct(ref(brand).alias("brand"), F.array(ref(variant)).alias("variants"))
+    detail = F.struct(
+        "name", F.lit("Eau de Parfum").alias("variantName"), F.concat("volume", F.lit(" ml")).alias("additionalInfo"), F.concat(F.lit("/v/"), "code").alias("url"), F.concat(F.lit("C"), "code").alias("productCode"),
+        F.struct(F.col("price").alias("value"), F.lit("RON").alias("currency")).alias("price"), F.struct((F.col("price") * 2).alias("value")).alias("originalPrice"), F.struct(_stock("CanBeBought", "Sold").alias("state")).alias("availability"),
+    )
+    pages = _made(_parts(s, d), '<script id="__APOLLO_STATE__">{"CatalogProduct:', "{k}", '":', F.to_json(product), ',"', variant, '":', F.to_json(detail), ',"', brand, '":', F.to_json(F.struct(F.col("brand").alias("name"))), "}</script>")
+    return _shown(SP.pointer_map(pages, F.lit("https://shop.test")))
+
+
+@query(f"WITH {_PAGE} SELECT 'https://shop.test/i/' || k || '?c=' || code || x AS product_url, code || x AS code, name AS perfume_name, 'EDP' AS concentration, volume + v AS volume_ml, false AS tester, CAST(price + v AS DECIMAL(10,2)) AS price, CASE WHEN v = 1 THEN CAST(price * 2 AS DECIMAL(10,2)) END AS old_price, CASE WHEN there = (v = 0) THEN 'in_stock' ELSE 'out_of_stock' END AS availability FROM p, (VALUES ('a', 0), ('b', 1)) z(x, v)")
+def extract_escaped_state(s, d):
+    """Two sizes of an item in a state that a script holds as a quoted string, quotes and backslashes escaped."""
+    size = lambda x, v: F.struct(
+        F.concat("code", F.lit(x)).alias("code"), F.concat(F.col("volume") + v, F.lit(" ml")).alias("value"), F.when(F.col("there") == F.lit(v == 0), 1).otherwise(0).alias("online"),
+        F.struct(F.struct((F.col("price") + v).cast("string").alias("decimal")).alias("withVat"), F.struct((F.col("price") * 2).cast("decimal(10,2)").cast("string").alias("decimal")).alias("rrpWithVat")).alias("price"), F.struct(F.lit(v == 1).alias("sale")).alias("priceAction"),
+    )
+    item = F.to_json(F.struct(F.concat("name", F.lit(" Eau de Parfum")).alias("name"), F.concat(F.lit("/i/"), "k").alias("urlRelative"), F.array(F.struct(F.col("brand").alias("name"))).alias("brands"), F.array(size("a", 0), size("b", 1)).alias("pars")))
+    quoted = F.replace(F.replace(item, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    pages = _made(_parts(s, d), "<script>window.__INITIAL_STATE__state='{\"x\":1,\"productsStore\":{\"items\":[", quoted, "]}}';</script>")
+    return _shown(SP.escaped_state(pages, F.lit("https://shop.test")))
+
+
+@query(f"WITH {_PAGE} SELECT 'https://shop.test/c/' || code AS product_url, code, name AS perfume_name, 'EDP' AS concentration, NULL::INTEGER AS volume_ml, false AS tester, price, CAST(price * 2 AS DECIMAL(10,2)) AS old_price, {_STOCK} FROM p")
+def extract_listing_cards(s, d):
+    """Cards with prices: brand, name and type each in a place of its own."""
+    html = [
+        '<article class="product-miniature" data-id-product="', "{code}", '"><h3><a href="https://shop.test/c/', "{code}", '">link</a></h3><span class="product-name-manufacturer">', "{brand}", '</span><span class="product-name-middle">', "{name}",
+        '</span><span class="product-name-type">Eau de Parfum</span><span class="regular-price">', F.replace((F.col("price") * 2).cast("decimal(10,2)").cast("string"), F.lit("."), F.lit(",")), ' lei</span><span class="price">', "{price}", " lei</span>", _stock("", '<b class="out-of-stock-product">x</b>'), "</article>",
+    ]
+    return _shown(SP.listing_cards(_made(_parts(s, d), *html)))
+
+
+@query(f"WITH {_PAGE} SELECT 'https://shop.test/p/' || code AS url, position::INTEGER AS position, accord, strength::INTEGER AS strength FROM p, LATERAL (VALUES (0, brand, volume / 250 * 100), (1, name, 50)) z(position, accord, strength)".replace("volume / 250 * 100", "round_even(CAST(volume AS DOUBLE) * 100 / 250, 0)"))
+def extract_accords(s, d):
+    bar = ['<div style="opacity: 1; width: ', F.try_divide(F.col("volume") * 100, F.lit(250)).cast("decimal(10,2)"), '%;"> ', "{brand}", ' </div><div style="width:50%"> ', "{name}", " </div>"]
+    return SP.accords(_made(_parts(s, d), "<h6>main accords</h6>", *bar, '<h2>x</h2><div style="width:9%">no</div>'))
+
+
+@query(f"WITH {_PAGE} SELECT 'https://shop.test/p/' || code AS url, tier, position::INTEGER AS position, name FROM (SELECT code, 'top' AS tier, unnest(string_split(name, ' ')) AS name, unnest(range(len(string_split(name, ' ')))) AS position FROM p UNION ALL SELECT code, 'base', brand, 0 FROM p)")
+def extract_notes(s, d):
+    """The words of a name are its top notes, the brand the base."""
+    label = lambda x: F.concat(F.lit('<span class="pyramid-note-label"> '), x, F.lit(" </span>"))
+    top = F.array_join(F.transform(F.split("name", " "), label), "")
+    return SP.notes(_made(_parts(s, d), '<pyramid-level-new notes="top">', top, '</pyramid-level-new><pyramid-level-new notes="base">', label(F.col("brand")), "</pyramid-level-new>"))
+
+
+@query(f"WITH {_PAGE} SELECT 'https://shop.test/p/' || code AS url, 0 AS position, brand, name, 'https://www.items.test/perfume/b/n-' || k || '.html' AS similar_url FROM p WHERE there")
+def extract_similar_items(s, d):
+    """The object that a script assigns, decoded; entries on another host and repeated ones are left out."""
+    entry = lambda host: F.struct(F.struct(F.col("brand").alias("dizajner"), F.col("name").alias("naslov"), F.concat(F.lit(host), F.lit("/perfume/b/n-"), "k", F.lit(".html")).alias("perfume_url")).alias("perfume"))
+    body = F.to_json(F.struct(F.when(F.col("there"), F.array(entry(""), entry("https://www.items.test"))).otherwise(F.array(entry("https://other.test"))).alias("similar_perfumes")))
+    payloads = SP.sealed_payload(_made(_parts(s, d), "<script>let similar_perfumes = ", body, ";</script>"))
+    return SP.similar_items(payloads, ["www.items.test"], "www.items.test")
+
+
+_OWNED = f"WITH {_PAGE} SELECT 'https://shop.test/p/' || code AS url, 0 AS position, 'https://www.items.test/perfume/b/n-' || k || '.html' AS item_url FROM p WHERE there"
+
+
+@query(_OWNED)
+def extract_owned_html(s, d):
+    """The shelf under its label; pages without one are errors."""
+    html = ["<div><div><h3>", _stock("I have (2)", "I want (2)"), '</h3></div><div><a href="/perfume/b/n-', "{k}", '.html?x=1">a</a><a href="/perfume/b/n-', "{k}", '.html">again</a></div></div>']
+    return SP.owned_html(_made(_parts(s, d), *html), ["www.items.test"], "www.items.test")
+
+
+@query(_OWNED)
+def extract_owned_json(s, d):
+    item = F.struct(F.concat(F.lit("/perfume/b/n-"), "k", F.lit(".html")).alias("url"))
+    shelf = lambda value: F.struct(F.lit("wardrobe").alias("type"), F.lit("relation").alias("field"), value.alias("value"), F.array(item, item).alias("perfumes"))
+    payloads = _made(_parts(s, d), F.to_json(F.array(shelf(F.lit("want")), shelf(_stock("have", "had"))))).select("url", F.col("html").alias("payload"))
+    return SP.owned_json(payloads, ["www.items.test"], "www.items.test")
+
+
+@query(f"WITH {_PAGE} SELECT 'https://shop.test/' || regexp_replace(lower(brand), '[^a-z0-9]+', '-', 'g') || '/' || replace(name, ' ', '-') || '/' AS loc, brand, replace(name, ' ', '-') AS slug FROM p GROUP BY ALL")
+def extract_sitemap(s, d):
+    """Locations of a sitemap that are of the catalog's brands; others are left out."""
+    rows = _parts(s, d)
+    entry = F.concat(F.lit("<url><loc> https://shop.test/"), X.slug(F.col("brand")), F.lit("/"), F.replace("name", F.lit(" "), F.lit("-")), F.lit("/ </loc></url><url><loc>https://shop.test/nobody/x/</loc></url>"))
+    found = SP.sitemap_candidates(SP.sitemap_urls(_made(rows, "<urlset>", entry, "</urlset>")), T.perfumes(s, d))
+    return found.select("loc", "brand", F.replace("name_text", F.lit(" "), F.lit("-")).alias("slug"))
+
+
+@query(f"WITH {_PAGE} SELECT {_URL}, CASE WHEN there THEN 'EDP' END AS concentration FROM p WHERE k % 2 = 0 UNION ALL SELECT {_URL}, 'EDT' FROM p WHERE k % 2 = 1")
+def extract_detail_concentration(s, d):
+    """Offers without a concentration take it from their detail page, where that tells one."""
+    rows = _parts(s, d)
+    offers = rows.select(F.concat(F.lit("https://shop.test/p/"), "code").alias("product_url"), F.when(F.col("k") % 2 == 1, "EDT").alias("concentration"))
+    data = F.replace(F.to_json(F.struct(F.lit("x").alias("description"), _stock("o apă de parfum", "y").alias("description_short"))), F.lit('"'), F.lit("&quot;"))
+    return SP.detail_concentration(offers, _made(rows, '<div data-product="', data, '"></div>'))

@@ -1,5 +1,6 @@
 """Operators on small tables: golden values, empty input, order independence."""
 
+import random
 from decimal import Decimal as D
 
 import pytest
@@ -228,7 +229,7 @@ def test_health_report_has_every_store(spark):
     stores = spark.createDataFrame([(1, "a"), (2, "b")], "store_id long, name string")
     r = spark.createDataFrame([(1, 1, 1, "in_stock"), (1, 2, 2, "scraping_error")], "store_id long, created_at int, result_id int, status string")
     got = {x["store_id"]: (x["total"], x["failing_in_a_row"], x["strip"]) for x in health.health_report(stores, r).collect()}
-    assert got == {1: (2, 1, ["scraping_error", "in_stock"]), 2: (0, 0, [])}
+    assert got == {1: (2, 1, ["in_stock", "scraping_error"]), 2: (0, 0, [])}
 
 
 def test_snapshot_versions(spark, tmp_path):
@@ -245,3 +246,67 @@ def test_snapshot_versions(spark, tmp_path):
     storage.append_facts(spark.createDataFrame([(1, "a")], "run_id long, status string"), str(tmp_path / "runs"))
     storage.append_facts(spark.createDataFrame([(2, "b")], "run_id long, status string"), str(tmp_path / "runs"))
     assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
+
+
+def test_deletions_over_a_graph(spark):
+    """Everything that hangs on a deleted perfume goes in one call: variants, offers, history, alerts, aliases and queue rows; a store takes its own."""
+    from offerlens.operators.offers import delete_graph
+
+    table = lambda kind, *rows: spark.createDataFrame(list(rows), kind)
+    tables = {
+        "history": table("store_id long, variant_id long, n int", (1, 10, 1), (2, 10, 2), (1, 20, 3), (None, 20, 4)), "offers": table("store_id long, variant_id long", (1, 10), (2, 20), (1, 20)),
+        "variants": table("variant_id long, perfume_id long", (10, 1), (20, 2), (30, None)), "catalog": table("perfume_id long", (1,), (2,)), "alerts": table("alert_id long, variant_id long", (5, 10), (6, 20)),
+        "aliases": table("perfume_id long, alias string", (1, "a"), (2, "b")), "queue": table("perfume_id long, store_id long", (1, 1), (2, 1), (2, 2)), "stores": table("store_id long", (1,), (2,)),
+    }
+    links = [("variants", "perfume_id", "catalog", "perfume_id"), ("aliases", "perfume_id", "catalog", "perfume_id"), ("queue", "perfume_id", "catalog", "perfume_id"), ("queue", "store_id", "stores", "store_id"), ("alerts", "variant_id", "variants", "variant_id")]
+    links += [(t, "variant_id", "variants", "variant_id") for t in ("offers", "history")] + [(t, "store_id", "stores", "store_id") for t in ("offers", "history")]
+    left = delete_graph(tables, {"catalog": table("perfume_id long", (1,), (1,), (9,))}, links)
+    rows = lambda x: {name: sorted(map(tuple, df.collect()), key=repr) for name, df in x.items()}
+    assert rows(left) == {"history": [(1, 20, 3), (None, 20, 4)], "offers": [(1, 20), (2, 20)], "variants": [(20, 2), (30, None)], "catalog": [(2,)], "alerts": [(6, 20)], "aliases": [(2, "b")], "queue": [(2, 1), (2, 2)], "stores": [(1,), (2,)]}
+    both = delete_graph(tables, {"catalog": table("perfume_id long", (1,)), "stores": table("store_id long", (2,))}, links)
+    assert rows({k: both[k] for k in ("offers", "queue", "stores", "history")}) == {"offers": [(1, 20)], "queue": [(2, 1)], "stores": [(1,)], "history": [(1, 20, 3), (None, 20, 4)]}
+    assert rows(delete_graph(tables, {}, links)) == rows(tables)
+    with pytest.raises(ValueError, match="circle"):
+        delete_graph(tables, {}, [("offers", "store_id", "stores", "store_id"), ("stores", "store_id", "offers", "store_id")])
+
+
+def test_components_follow_changes(spark):
+    from offerlens.operators.graph import connected_components, update_components
+
+    rng = random.Random(3)
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "a long, b long")
+    for _ in range(3):
+        pair = lambda: tuple(sorted(rng.sample(range(60), 2)))
+        old = {pair() for _ in range(30)}
+        added = {pair() for _ in range(12)}
+        removed = set(rng.sample(sorted(old), 8)) | {(90, 91)}
+        now = (old - removed) | added
+        got = update_components(connected_components(frame(old)), frame(old), frame(added).unionByName(frame([(7, 7)])), frame(removed))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, connected_components(frame(now)).collect()))
+    same = connected_components(frame(old))
+    assert sorted(map(tuple, update_components(same, frame(old), frame(old).limit(0), frame(old).limit(0)).collect())) == sorted(map(tuple, same.collect()))
+
+
+def test_titles_with_brands(spark):
+    from offerlens.operators.matching import titles_with_brands
+
+    titles = [(1, "Christian DIOR sample"), (1, "Christian DIOR sample"), (2, "xdiorx & Ab"), (3, None), (4, ""), (5, "nothing here"), (6, "Éclat d'or éa")]
+    brands = [("Dior",), ("Ab",), ("a",), ("ea",), ("Eclat d'Or",), ("",), (None,)]
+    got = titles_with_brands(spark.createDataFrame(titles, "i int, title string"), spark.createDataFrame(brands, "brand string"))
+    want = [(i, t, b) for i, t in titles if t for b in ("Dior", "Ab", "a", "ea", "Eclat d'Or") if b.lower() in t.lower().replace("é", "e")]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_reports_of_perfumes_and_the_queue(spark):
+    from offerlens.operators import compare, health, review
+
+    results = spark.createDataFrame([(1, 1, "in_stock", 5), (1, 2, "not_found", 4), (1, 2, "in_stock", 4), (1, 1, "scraping_error", 3), (2, 1, "not_found", 1)], "perfume_id long, store_id long, status string, created_at int")
+    best = spark.createDataFrame([(1, 7, 50, "EDP", False, 9.0), (1, 8, 100, "EDP", False, 9.0), (2, 9, 10, "EDP", False, None)], "perfume_id long, variant_id long, volume_ml int, concentration string, tester boolean, price double")
+    perfumes = spark.createDataFrame([(1,), (2,), (3,)], "perfume_id long")
+    got = compare.perfume_report(perfumes, best, health.latest_statuses(results, ["perfume_id", "store_id"])).orderBy("perfume_id").collect()
+    assert [([tuple(x) for x in r["statuses"]], r["in_stock_stores"], r["best_variant_id"]) for r in got] == [([(1, "in_stock"), (2, "in_stock"), (2, "not_found")], 2, 8), ([(1, "not_found")], 0, None), ([], 0, None)]
+    queue = spark.createDataFrame([(1, 1, "b", "pending", 5), (1, 1, "a", "pending", 5), (1, 2, "c", "pending", 9), (1, 1, "d", "rejected", 9), (9, 1, "e", "pending", 9)], "perfume_id long, store_id long, product_url string, status string, first_seen_at int")
+    listed = review.pending_listed(queue, perfumes.withColumns({"brand": F.lit("B"), "name": F.lit("N")}), spark.createDataFrame([(1, "one"), (2, "two")], "store_id long, store_name string"))
+    assert [(r["product_url"], r["store_name"], r["brand"]) for r in listed.collect()] == [("c", "two", "B"), ("a", "one", "B"), ("b", "one", "B")]
+    lists = compare.offers_of_variants(spark.createDataFrame([(1,), (2,)], "variant_id long"), spark.createDataFrame([(1, 1, None, "in_stock"), (1, 2, 5.0, "in_stock")], "variant_id long, offer_id long, price double, availability string")).orderBy("variant_id").collect()
+    assert [[x["offer_id"] for x in r["offers"]] for r in lists] == [[2, 1], []]
