@@ -1074,3 +1074,29 @@ def extract_detail_concentration(s, d):
     offers = rows.select(F.concat(F.lit("https://shop.test/p/"), "code").alias("product_url"), F.when(F.col("k") % 2 == 1, "EDT").alias("concentration"))
     data = F.replace(F.to_json(F.struct(F.lit("x").alias("description"), _stock("o apă de parfum", "y").alias("description_short"))), F.lit('"'), F.lit("&quot;"))
     return SP.detail_concentration(offers, _made(rows, '<div data-product="', data, '"></div>'))
+
+
+@query(f"WITH {_PAGE} SELECT shape, name || ' ' || x AS brand, CASE shape WHEN 'grid_links' THEN 'b-' || k WHEN 'checkboxes' THEN k::VARCHAR ELSE '/brand/' || k END AS target FROM (SELECT name, max(k) AS k FROM p GROUP BY 1), (VALUES ('a')) y(x), (VALUES ('boxed_links'), ('brand_links'), ('data_spans'), ('grid_links'), ('checkboxes')) z(shape)")
+def extract_directories(s, d):
+    """Names as brands in directories of all five forms; of a name that stands on several pages the last counts."""
+    rows = _parts(s, d).withColumn("name", F.concat("name", F.lit(" a")))
+    link = ['<a href="/brand/', "{k}", '">', "{name}", "</a>"]
+    forms = {
+        "boxed_links": ['<div class="brand-infos">', *link, "</div>"], "brand_links": link, "data_spans": ['<span data-id="m-1" data-text="', "{name}", '" data-url="/brand/', "{k}", '"></span>'],
+        "grid_links": ['<div class="grid"><a href="/b-', "{k}", '/">', "{name}", "</a></div>"],
+        "checkboxes": ['<input class="filter-checkbox-list__checkbox" id="fs-prop-brand-val-', "{k}", '"><label for="fs-prop-brand-val-', "{k}", '"><span class="filter-checkbox-list__label-text">', "{name}", " <i>(3)</i></span></label>"],
+    }
+    found = [SP.read_directory(_made(rows, *html), shape)[0].select(F.lit(shape).alias("shape"), "brand", "target") for shape, html in forms.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+_listing = "regexp_replace(url, '[?&]page=\\d+.*$', '')"
+_number = "CASE WHEN regexp_extract(url, '[?&]page=(\\d+)', 1) = '' THEN 1 ELSE CAST(regexp_extract(url, '[?&]page=(\\d+)', 1) AS INTEGER) END"
+
+
+@query(f"SELECT regexp_extract(url, '://([^/]*)', 1) AS store_slug, {_listing} AS listing, count(DISTINCT {_number}) AS pages_seen, max({_number}) AS last_page, count(DISTINCT {_number}) = max({_number}) AND NOT arg_max(length(html) % 2 = 0, {_number}) AS complete FROM pages GROUP BY 1, 2")
+def listing_gaps(s, d):
+    """Pages of even length get a link to a next one."""
+    rows = _pages(s, d)
+    more = F.when(F.length("html") % 2 == 0, F.concat("html", F.lit('<a rel="next" href="/n">next</a>'))).otherwise(F.regexp_replace("html", 'rel="next"', ""))
+    return SP.listing_gaps(rows.withColumn("html", more), "rel_next")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -74,6 +75,72 @@ def brand_directory(pages: DataFrame, pattern: str = r"(?is)<a\b[^>]*\bhref=\"([
     return out.where("brand <> ''").groupBy("store_slug", "brand").agg(F.max_by("target", "at").alias("target"))
 
 
+def _own_text(node: Node) -> str:
+    return " ".join("".join(x for x in node.children if isinstance(x, str)).split())
+
+
+def _boxed_links(root: Node) -> list[tuple]:
+    return [(a.text(), a.attrs["href"]) for box in root.all("div", "brand-infos") for a in box.all("a", attr="href")]
+
+
+def _brand_links(root: Node) -> list[tuple]:
+    return [(a.text(), a.attrs["href"]) for a in root.all("a", attr="href") if "/brand/" in (a.attrs["href"] or "")]
+
+
+def _data_spans(root: Node) -> list[tuple]:
+    return [(x.attrs.get("data-text"), x.attrs.get("data-url")) for x in root.all("span", attr="data-id") if (x.attrs["data-id"] or "").startswith("m-")]
+
+
+def _grid_links(root: Node) -> list[tuple]:
+    links = [a for box in root.all("div", "grid") for a in box.all("a", attr="href")]
+    return [(a.text(), a.attrs["href"].strip("/")) for a in links if re.fullmatch("/[a-z0-9][a-z0-9-]*/", a.attrs["href"] or "")]
+
+
+def _checkboxes(root: Node) -> list[tuple]:
+    """The label's own text: the number behind it is an element of its own."""
+    labels = {x.attrs["for"]: x.first(cls="filter-checkbox-list__label-text") for x in root.all("label", attr="for")}
+    boxes = [x.attrs["id"] for x in root.all("input", "filter-checkbox-list__checkbox", "id") if (x.attrs["id"] or "").startswith("fs-prop-brand-val-")]
+    return [(_own_text(labels[x]), x.removeprefix("fs-prop-brand-val-")) for x in boxes if labels.get(x) is not None]
+
+
+#: The places in which directories have brands and where they lead.
+DIRECTORIES = {"boxed_links": _boxed_links, "brand_links": _brand_links, "data_spans": _data_spans, "grid_links": _grid_links, "checkboxes": _checkboxes}
+
+
+def read_directory(pages: DataFrame, shape: str) -> tuple[DataFrame, DataFrame]:
+    """(store_slug, brand, target) of directory pages of one of DIRECTORIES, the last entry of a brand counting, and (store_slug, url, error) of pages without any."""
+    find = DIRECTORIES[shape]
+
+    def rule(root: Node, url: str) -> list[dict]:
+        found = [{"name": name, "target": target} for name, target in find(root) if name and target]
+        if not found:
+            raise ValueError("no directory of brands")
+        return found
+
+    rows = written(each_page(pages, rule, ["name", "target"]))
+    named = rows.where("error IS NULL").select("store_slug", X.normalize(F.col("name")).alias("brand"), F.struct("url", "position").alias("at"), "target")
+    return named.where("brand <> ''").groupBy("store_slug", "brand").agg(F.max_by("target", "at").alias("target")), rows.where("error IS NOT NULL").select("store_slug", "url", "error")
+
+
+#: How a listing's page tells that another follows; `page` is its own number.
+NEXT_PAGE = {
+    "numbered_link": lambda html, page: F.rlike(html, F.concat(F.lit(r'(?is)<a\b[^>]*\bhref="[^"]*page='), (page + 1).cast("string"))),
+    "next_item": lambda html, page: html.rlike(r'(?is)<li\b[^>]*class="[^"]*\bproduct-list-pagination__item\b[^"]*\bfs-next\b[^"]*"[^>]*>(?:(?!</li>).)*<a\b[^>]*\bhref='),
+    "rel_next": lambda html, page: html.rlike(r'(?is)<a\b[^>]*\brel="next"'),
+    "state_counts": lambda html, page: F.coalesce(F.regexp_extract(html, r'"listingPage":\s*(\d+)', 1).try_cast("int") < F.regexp_extract(html, r'"listingPagesCount":\s*(\d+)', 1).try_cast("int"), F.lit(False)),
+    "none": lambda html, page: F.lit(False),
+}
+
+
+def listing_gaps(pages: DataFrame, shape: str, page: Column | None = None) -> DataFrame:
+    """(store_slug, listing, pages_seen, last_page, complete): whether all pages of each listing are there, up to one after which none follows."""
+    page = url_page() if page is None else page
+    more = NEXT_PAGE[shape](F.col("html"), page.cast("int"))
+    rows = pages.select("store_slug", F.regexp_replace("url", r"[?&]page=\d+.*$", "").alias("listing"), page.cast("int").alias("p"), more.alias("more"))
+    out = rows.groupBy("store_slug", "listing").agg(F.count_distinct("p").alias("pages_seen"), F.max("p").alias("last_page"), F.max_by("more", "p").alias("more"))
+    return out.select("store_slug", "listing", "pages_seen", "last_page", ((F.col("pages_seen") == F.col("last_page")) & ~F.col("more")).alias("complete"))
+
+
 def brand_lookup(wanted: DataFrame, directory: DataFrame, brand: str = "brand") -> DataFrame:
     """Each wanted brand's target in each store's directory, under the first of its names that is listed."""
     forms = wanted.select(brand, F.posexplode(X.brand_forms(F.col(brand))).alias("priority", "form"))
@@ -424,7 +491,7 @@ def _shelves(pages: DataFrame, labels: tuple[str, ...], most: int) -> DataFrame:
 
     def rule(root: Node, url: str) -> list[dict]:
         for node in root.all():
-            own = " ".join("".join(x for x in node.children if isinstance(x, str)).split()).lower()
+            own = _own_text(node).lower()
             if (own.rsplit(" (", 1)[0] if own.endswith(")") else own) not in wanted:
                 continue
             at = node

@@ -46,6 +46,13 @@ def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return spark.readStream.schema(schema("raw_pages")).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def read_sitemaps(spark: SparkSession, path: str, index: bool = False, stream: bool = False) -> DataFrame:
+    """(loc, lastmod, file) of the locations in a folder of sitemap files, or of the sitemaps that index files name; read in parts by Spark's XML source."""
+    reader = spark.readStream if stream else spark.read
+    rows = reader.format("xml").option("rowTag", "sitemap" if index else "url").schema("loc string, lastmod string").load(path)
+    return rows.where("loc IS NOT NULL").select(F.trim("loc").alias("loc"), "lastmod", F.col("_metadata.file_name").alias("file"))
+
+
 def conform(df: DataFrame, name: str, *more: Column | str) -> DataFrame:
     """The table's columns in order, cast, and those in `more`; missing ones are null."""
     have = set(df.columns)

@@ -16,13 +16,15 @@ _lock, _writers = threading.Lock(), {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one beside the warehouse, or of our own on a local master."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one beside the warehouse, which must not be a local one, or of our own on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         if spark.sparkContext.master.startswith("local"):
             named = _own_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="offerlens-"))
         else:
             named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.offerlens"
+            if named.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of one machine, which executors elsewhere do not share")
     return named.rstrip("/")
 
 

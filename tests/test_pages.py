@@ -170,3 +170,46 @@ def test_stream_of_pages(spark, tmp_path):
     query = S.stream_pages(spark, str(tmp_path / "p")).writeStream.format("memory").queryName("pages_in").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("pages_in").count() == 1
+
+
+def test_five_directories(spark):
+    htmls = {
+        "boxed_links": '<a href="/no">Outside</a><div class="brand-infos"><a href="/m">Amber House</a><a href="/n"> </a></div><div class="brand-infos"><a href="/m2">AMBER  house</a></div>',
+        "brand_links": '<a href="/brand/a">Amber House</a><a href="/other/b">Other</a><a href="/brand/m2"><b>Amber</b> House</a>',
+        "data_spans": '<span data-id="m-1" data-text="Amber House" data-url="x"></span><span data-id="c-1" data-text="No" data-url="y"></span><span data-id="m-2" data-text="Amber House" data-url="/m2"></span><span data-id="m-3" data-text="" data-url="z"></span>',
+        "grid_links": '<div class="grid"><a href="/m2/">Amber House</a><a href="/m2/more/">Deep</a></div><a href="/out/">Out</a>',
+        "checkboxes": '<input class="filter-checkbox-list__checkbox" id="fs-prop-brand-val-77"><label for="fs-prop-brand-val-77"><span class="filter-checkbox-list__label-text">Amber House <i>(12)</i></span></label><input class="filter-checkbox-list__checkbox" id="other-1">',
+    }
+    want = {"brand_links": "/brand/m2", "grid_links": "m2", "checkboxes": "77"}
+    for shape, html in htmls.items():
+        found, errors = P.read_directory(pages(spark, html, "<p>nothing</p>"), shape)
+        assert [tuple(r) for r in found.collect()] == [("shop", "amber house", want.get(shape, "/m2"))], shape
+        assert [(r["url"], r["error"]) for r in errors.collect()] == [("https://shop.test/p_z7/1", "ValueError: no directory of brands")]
+
+
+def test_next_pages(spark):
+    more = {
+        "numbered_link": '<a class="x" href="/l?page=3">3</a>', "next_item": '<li class="product-list-pagination__item fs-next"><a href="/l">next</a></li>', "rel_next": '<a rel="next" href="/l">x</a>',
+        "state_counts": '{"listingPage": 2, "listingPagesCount":3}',
+    }
+    for shape, html in more.items():
+        last = html.replace("page=3", "page=2").replace("fs-next", "fs-other").replace('rel="next"', 'rel="prev"').replace("Count\":3", "Count\":2")
+        rows = [("s", "", "https://s.test/a", "x"), ("s", "", "https://s.test/a?page=2", last), ("s", "", "https://s.test/b", "x"), ("s", "", "https://s.test/b?page=2", html), ("s", "", "https://s.test/c?page=2", last)]
+        got = P.listing_gaps(spark.createDataFrame(rows, "store_slug string, page_kind string, url string, html string"), shape)
+        assert sorted((r["listing"][-1], r["pages_seen"], r["last_page"], r["complete"]) for r in got.collect()) == [("a", 2, 2, True), ("b", 2, 2, False), ("c", 1, 2, False)], shape
+
+
+def test_sitemap_files(spark, tmp_path):
+    from offerlens.sources import schema as S
+
+    head = '<?xml version="1.0" encoding="UTF-8"?>'
+    entries = "".join(f"<url><loc> https://n.test/a/{i}?x=1&amp;y=2 </loc><lastmod>2024-01-01</lastmod></url>" for i in range(500))
+    (tmp_path / "maps").mkdir()
+    (tmp_path / "maps" / "one.xml").write_text(f'{head}<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">{entries}</urlset>')
+    (tmp_path / "maps" / "index.xml").write_text(f"{head}<sitemapindex><sitemap><loc>https://n.test/one.xml</loc></sitemap></sitemapindex>")
+    found = S.read_sitemaps(spark, str(tmp_path / "maps"))
+    assert found.count() == 500 and found.select("loc").distinct().count() == 500 and found.where("loc = 'https://n.test/a/7?x=1&y=2' AND lastmod = '2024-01-01' AND file = 'one.xml'").count() == 1
+    assert [r["loc"] for r in S.read_sitemaps(spark, str(tmp_path / "maps"), index=True).collect()] == ["https://n.test/one.xml"]
+    query = S.read_sitemaps(spark, str(tmp_path / "maps"), stream=True).writeStream.format("memory").queryName("maps_in").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert spark.table("maps_in").count() == 500
