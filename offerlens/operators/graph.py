@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerlens.functions.text import url_key
 from offerlens.operators.skew import join_once
-from offerlens.sources.storage import discard, written_with_state
+from offerlens.sources.storage import discard, written, written_with_state
 
 
 def owned_edges(similar: DataFrame, items: DataFrame, item: str = "item_id", url: str = "url") -> DataFrame:
@@ -25,7 +29,8 @@ def mutual(edges: DataFrame) -> DataFrame:
 
 
 def cluster_edges(edges: DataFrame) -> DataFrame:
-    """The mutual edges if there are any at all, else every edge without its direction."""
+    """The mutual edges if there are any at all, else every edge without its direction. `edges` are written once, being read several times."""
+    edges = written(edges.select("src", "dst"))
     both = mutual(edges).withColumn("mutual", F.lit(True))
     all_ = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("mutual", F.lit(False))
     any_mutual = both.limit(1).select(F.lit(True).alias("__any"), F.lit(1).alias("__k"))
@@ -50,16 +55,41 @@ def _stars(edges: DataFrame, small: bool, hubs: bool) -> DataFrame:
     return moved.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges of a graph that one task may have whole: two columns of a few megabytes.
+FEW_EDGES = 100_000
+
+
+def _components_of_few(edges: DataFrame) -> DataFrame:
+    """(node, component) of at most FEW_EDGES edges, in one task: the greater root of an edge takes the smaller one, until all edges agree."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"a": [], "b": []}, dtype=object), *batches])
+        if rows.empty:
+            return
+        names, at = np.unique(np.concatenate([rows["a"].to_numpy(object), rows["b"].to_numpy(object)]), return_inverse=True)
+        x, y, root = at[: len(rows)], at[len(rows) :], np.arange(len(names))
+        while (root[x] != root[y]).any():
+            np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+            while (root[root] != root).any():
+                root = root[root]
+        yield pd.DataFrame({"node": names, "component": names[root]})
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.coalesce(1).mapInPandas(find, f"node {kind}, component {kind}")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", few: int = 0) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge. Nodes are whole numbers, strings or bytes.
 
     Alternating large and small stars: only minima and joins on unique sides; where there are more than HUB_EDGES edges, the
     rows of a node with very many of them are not brought together (`join_once`). Rows with a null end and loops are ignored; an edge repeated or turned round counts
-    once. Every round is written to the shared folder, the one before it deleted, and rounds end when the edges no longer change.
+    once. A graph of no more than `few` edges (FEW_EDGES at most) is done in one task. Every round is written to the shared folder, the one before it deleted, and rounds end when the edges no longer change.
     """
     x, y = (F.col(c) if edges.schema[c].dataType.typeName() in ("binary", "string") else F.col(c).cast("long") for c in (a, b))
     first = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
     edges, was = written_with_state(first, "a", "b")
+    if was[0] <= min(few, FEW_EDGES):
+        return _components_of_few(edges)
     while was[0]:
         before, hubs = edges, was[0] > HUB_EDGES
         edges, now = written_with_state(_stars(_stars(edges, False, hubs), True, hubs), "a", "b")
@@ -97,7 +127,8 @@ def cluster_report(edges: DataFrame, items: DataFrame, item: str = "item_id", na
 
     Columns: cluster, component, members, edge_count, number, node, degree. Members and edges count the whole cluster.
     """
-    parts = connected_components(edges)
+    edges = written(edges.select("a", "b"))
+    parts = connected_components(edges, few=FEW_EDGES)
     degree = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
     nodes_ = parts.join(degree, "node")
     sizes = nodes_.groupBy("component").agg(F.count("*").alias("members"), (F.sum("degree") / 2).cast("long").alias("edge_count"))

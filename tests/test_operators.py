@@ -310,3 +310,14 @@ def test_reports_of_perfumes_and_the_queue(spark):
     assert [(r["product_url"], r["store_name"], r["brand"]) for r in listed.collect()] == [("c", "two", "B"), ("a", "one", "B"), ("b", "one", "B")]
     lists = compare.offers_of_variants(spark.createDataFrame([(1,), (2,)], "variant_id long"), spark.createDataFrame([(1, 1, None, "in_stock"), (1, 2, 5.0, "in_stock")], "variant_id long, offer_id long, price double, availability string")).orderBy("variant_id").collect()
     assert [[x["offer_id"] for x in r["offers"]] for r in lists] == [[2, 1], []]
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "binary"])
+def test_few_edges_in_one_task(spark, kind):
+    rng = random.Random(4)
+    name = {"long": int, "string": lambda i: f"n{i}é", "binary": lambda i: bytes([i % 256, 200 - i % 7])}[kind]
+    rows = [(name(rng.randrange(80)), name(rng.randrange(80))) for _ in range(60)] + [(None, name(1)), (name(2), name(2))]
+    frame = spark.createDataFrame(rows, f"a {kind}, b {kind}")
+    both = [sorted(map(repr, graph.connected_components(frame, few=n).collect())) for n in (0, 1000)]
+    assert both[0] == both[1] and both[0]
+    assert graph.connected_components(frame.limit(0), few=10).count() == 0
