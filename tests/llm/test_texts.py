@@ -440,3 +440,44 @@ def test_page_language(spark, tmp_path):
     got = {r["page_id"]: r for r in language_id.page_language(spark, str(tmp_path)).collect()}
     assert all(got[i]["lang"] == x for i, x in enumerate(["en", "de"] * 40))
     assert got[900]["lang"] == "en" and got[901]["lang"] == "de" and got[902]["rejected"] and got[903]["lang"] == "de"
+
+
+def test_page_language_takes_pages_apart(spark, docs, rows, tmp_path):
+    """Text, declaration and host by Python's expressions and splits, judged by `identify`, give the query's rows."""
+    words = {i: t for i, t in rows if t and i is not None}
+    htmls = [
+        f'<html lang="de-DE"><head><title>x</title><script>var a = "<b>";</script></head><body><p>{words[0]}</p><!-- <p>{words[1]}</p> --></body></html>', f"<HTML class=x LANG='fr'>{words[2]}<style>p {{}}</style>", f"<p lang=es>{words[3]}</p>",
+        f'<html xlang="de">{words[4]} 1 < 2 > 0</html>', "<html lang=></html>", "", None, f"<script>{words[5]}", f"<html\nlang = 'de'>{words[6]}", f'<html lang="en">{words[7]}<SCRIPT type=x>no</script >yes</SCRIPT>{words[8]}',
+    ]
+    urls = ["http://A.Example.DE/x?y", "https://b.example.de", "ftp://fr.test/#a", None, "no scheme", "http://", "x://y://z", "https://a.example.de/", "http://one", "http://b.example.de?q=://c"]
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(urls, htmls, strict=True))], "page_id long, url string, html string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    frame.write.parquet(str(tmp_path / "pages.parquet"))
+    plain = []
+    for i, (url, html) in enumerate(zip(urls, htmls, strict=True)):
+        text = None if html is None else re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ", html))
+        said = re.search(r"(?is)<html[^>]*\slang=[\"']?([A-Za-z-]+)", html or "")
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest)[0].lower()
+        plain.append((i, text, host or None, said[1] if said else None))
+    table = spark.createDataFrame(plain, "page_id long, text string, host string, declared string")
+    want = language_id.identify(table, language_id.fit(docs), id_col="page_id", host=F.col("host"), declared=F.col("declared"))
+    want = {r["doc_id"]: (r["lang"], round(r["confidence"], 6), r["text_lang"], r["n_grams"], r["rejected"]) for r in want.collect()}
+    got = {r["page_id"]: (r["lang"], r["confidence"], r["text_lang"], r["n_grams"], r["rejected"]) for r in language_id.page_language(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == len(urls)
+
+
+def test_backtracking_equals_the_library():
+    """Texts without spaces: pieces cut and joined, several scripts, and long ones, where the longest match is often wrong."""
+    import random
+
+    import sentencepiece
+
+    path = sentencepiece_bpe.default_model()
+    library, own, rng = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_bpe.codec(path), random.Random(12)
+    pieces = [library.id_to_piece(rng.randrange(300, library.get_piece_size())).replace("\u2581", "") for _ in range(3000)]
+    made = ["".join(rng.choice(pieces)[rng.randrange(2) : rng.randint(1, 8)] for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    made += ["".join(rng.choice("aeinrstlohd") for _ in range(rng.randint(1, 40))) for _ in range(2000)] + ["".join(rng.choice("абвгде日本語éü😀x") for _ in range(20)) for _ in range(300)]
+    made.append("".join(rng.choice("etaoinshrdlu") for _ in range(100_000)))
+    for text, ids in zip(made, library.encode(made, num_threads=1), strict=True):
+        assert own.encode(text) == ids, text[:200]
