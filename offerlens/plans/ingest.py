@@ -6,6 +6,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from offerlens.operators import offers
 from offerlens.operators.health import UNHEALTHY
@@ -135,6 +136,22 @@ def store_run(tables: Versions, pages: DataFrame, fetches: DataFrame, extractors
     return tables.commit(base, changed, {"history": _numbered(made.state.history), "results": made.results, "runs": made.header}, only)
 
 
+def run_stream(tables: Versions, fetched: DataFrame, extractors: dict[str, Extractor], now: Column | None = None, first_run: int = 1) -> DataStreamWriter:
+    """A run for each micro-batch of a stream of fetches that carry their pages: perfume_id, store_slug, url, html, error_status, error_message.
+
+    The number of a run is that of its micro-batch from `first_run` on, so a micro-batch that is played again after a failure is not stored again. A perfume's fetches of
+    one check belong in one micro-batch (one file): what a later one brings counts as a later check.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rows = written(batch)
+        pages = rows.where("html IS NOT NULL").select("store_slug", "url", "html").distinct()
+        fetches = rows.select("perfume_id", "store_slug", "url", "error_status", "error_message")
+        store_run(tables, pages, fetches, extractors, first_run + number, F.current_timestamp().cast("timestamp_ntz") if now is None else now, run_type="stream")
+
+    return fetched.writeStream.foreachBatch(apply).outputMode("append")
+
+
 def store_decisions(tables: Versions, decisions: DataFrame, now: Column) -> int:
     """Apply decisions on queued rows and commit all that they change as one version."""
     base = tables.current()

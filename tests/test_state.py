@@ -169,3 +169,23 @@ def test_decisions_on_a_stored_queue(spark, tmp_path):
     assert [r["normalized_alias"] for r in t.read("aliases").collect()] == ["still water night"]
     go(spark, t, 2, [("one", "u/1", page.replace("100.00", "95.00"))], [(1, "one", "u/1")])
     assert results(t, 2) == {(1, 1): ("in_stock", 1, None)} and t.current() == version + 1
+
+
+def test_a_stream_of_fetches_is_a_run_for_each_batch(spark, tmp_path):
+    t = begun(spark, tmp_path / "state")
+    schema = "perfume_id long, store_slug string, url string, html string, error_status string, error_message string"
+    water = lambda price: ld("Still Water Eau de Parfum 50 ml", price)
+    for rows in ([(1, "one", "u/1", water("100.00"), None, None), (1, "two", None, None, "store_unavailable", "timed out")], [(1, "one", "u/1", water("95.00"), None, None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    extractors = {"one": P.json_ld, **EXTRACTORS}
+
+    def play(folder):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        ingest.run_stream(t, stream, extractors, AT(1)).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / folder)).start().awaitTermination(300)
+
+    play("a")
+    assert results(t, 1) == {(1, 1): ("in_stock", 1, None), (1, 2): ("store_unavailable", 0, "timed out")} and results(t, 2) == {(1, 1): ("in_stock", 1, None)}
+    assert [r["price"] for r in t.read("snapshot").collect()] == [D(95)] and t.read("history").count() == 2
+    version = t.current()
+    play("b")  # the same micro-batches again
+    assert t.current() == version and t.read("history").count() == 2
