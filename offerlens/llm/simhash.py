@@ -179,7 +179,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes of each text's word shingles, sorted, and the texts' bounds in them; a text of fewer words is one shingle."""
-    words = find_words(texts, SPACED)
+    words = find_words(texts, SPACED, strong=True)
     counts = words.counts()
     hashes, at = grams(words.hash, words.row, shingle)
     row = words.row[at]

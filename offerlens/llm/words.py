@@ -57,7 +57,11 @@ class Words:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[i:j], self.end[i:j], strict=True))
 
 
-def find_words(texts: pa.Array, is_word: np.ndarray, lower: bool = True) -> Words:
+def find_words(texts: pa.Array, is_word: np.ndarray, lower: bool = True, strong: bool = False) -> Words:
+    """The words of some texts. Their hash is a polynomial of their bytes; texts can be made whose words agree in it without being equal.
+
+    With `strong` each byte and its place in the word have a mixed value of their own, and the hash is their sum: no rule makes words agree.
+    """
     texts = texts.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
@@ -73,10 +77,17 @@ def find_words(texts: pa.Array, is_word: np.ndarray, lower: bool = True) -> Word
     start = np.flatnonzero(inside & (~before | cut[:-1]))
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    first = np.searchsorted(start, offsets)
+    row = np.repeat(np.arange(len(texts)), np.diff(first))
+    if strong:
+        begins = np.zeros(len(data), dtype=np.int64)
+        begins[start] = 1
+        place = np.arange(len(data)) - np.concatenate([start, [0]])[np.cumsum(begins) - 1]
+        np.cumsum(mix((place.astype(np.uint64) << np.uint64(8) | data) + np.uint64(0x9E3779B97F4A7C15)), out=sums[1:])
+        return Words(data, row, start, end, mix(sums[end] - sums[start]), first)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("base", len(data))[: len(data)], out=sums[1:])
     hashed = mix((sums[end] - sums[start]) * _power("inverse", len(data) + 1)[start])
-    first = np.searchsorted(start, offsets)
-    return Words(data, np.repeat(np.arange(len(texts)), np.diff(first)), start, end, hashed, first)
+    return Words(data, row, start, end, hashed, first)
 
 
 def grams(hashes: np.ndarray, row: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -481,3 +481,22 @@ def test_backtracking_equals_the_library():
     made.append("".join(rng.choice("etaoinshrdlu") for _ in range(100_000)))
     for text, ids in zip(made, library.encode(made, num_threads=1), strict=True):
         assert own.encode(text) == ids, text[:200]
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    """The letters of the Thue-Morse sequence and their opposites: any polynomial with an odd base gives both the same value."""
+    import pyarrow as pa
+
+    from offerlens.llm import words as W
+
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+    texts = pa.array([f"{one} and", f"é {two}", f"x {one}", "", None, "same same ame"])
+    weak, strong = (W.find_words(texts, W.SPACED, strong=x) for x in (False, True))
+    assert weak.hash[0] == weak.hash[3] and strong.hash[0] != strong.hash[3] and strong.hash[0] == strong.hash[5]
+    assert strong.hash[6] == strong.hash[7] != strong.hash[8] and len(set(strong.hash.tolist())) == 7
+    assert all((getattr(weak, c) == getattr(strong, c)).all() for c in ("row", "start", "end", "first"))
+    tail = " ".join(f"w{i}" for i in range(4))
+    docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{one} {tail}")], "doc_id long, text string")
+    found, groups = simhash.near_duplicates(docs, shingle=5, similarity=0.8)
+    assert {r["k"]: r["first_k"] for r in found.join(groups, "node").select("k", "first_k").collect()} == {1: 1, 2: 2, 3: 1}
