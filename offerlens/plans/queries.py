@@ -664,9 +664,9 @@ def catalog_columns(s, d):
     return MA.normalised_catalog(padded)
 
 
-@query("SELECT p.perfume_id, coalesce(string_agg(a, ',' ORDER BY a), '') AS aliases FROM perfumes p LEFT JOIN (SELECT DISTINCT perfume_id, p_type AS a FROM perfumes JOIN part ON brand = p_brand AND name = p_name WHERE p_size > 40) x USING (perfume_id) GROUP BY 1", "perfumes")
+@query("SELECT p.perfume_id, coalesce(string_agg(a, ',' ORDER BY a), '') AS aliases FROM perfumes p LEFT JOIN (SELECT DISTINCT perfume_id, p_type AS a FROM perfumes JOIN part ON brand = p_brand AND name = p_name) x USING (perfume_id) GROUP BY 1", "perfumes")
 def catalog_aliases(s, d):
-    part = T.read(s, d, "part").where("p_size > 40").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("p_type").alias("normalized_alias"))
+    part = T.read(s, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("p_type").alias("normalized_alias"))
     named = T.perfumes(s, d).join(part, ["brand", "name"]).select("perfume_id", "normalized_alias")
     return MA.with_aliases(T.perfumes(s, d), named).select("perfume_id", F.coalesce(F.array_join("aliases", ","), F.lit("")).alias("aliases"))
 

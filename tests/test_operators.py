@@ -321,3 +321,16 @@ def test_few_edges_in_one_task(spark, kind):
     both = [sorted(map(repr, graph.connected_components(frame, few=n).collect())) for n in (0, 1000)]
     assert both[0] == both[1] and both[0]
     assert graph.connected_components(frame.limit(0), few=10).count() == 0
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_dense_pairs_of_a_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) + 2 * (j == i % 3) for j in range(6)], i % 2) for i in range(60)]
+    odd = [(100, None, 0), (101, [0.0] * 6, 0), (102, [float("nan")] * 6, 0), (103, [None] * 6, 0), (104, [1.0], 0), (105, [2.0], 0), (106, [1.0], 1), (107, rows[0][1], None)]
+    got = overlap.dense_pairs(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int"), 0.5).collect()
+    cosine = lambda x, y: sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+    want = {(i, j): cosine(x, y) for i, x, m in rows for j, y, n in rows if i < j and m == n and cosine(x, y) >= 0.5} | {(104, 105): 1.0}
+    assert {(r["a"], r["b"]) for r in got} == set(want) and len(got) == len(want)
+    assert all(abs(r["cosine"] - want[r["a"], r["b"]]) < 1e-12 for r in got)
