@@ -256,3 +256,16 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", QUOTED), (-7, 1, "assistant", QUOTED)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return read_back(format_windows(rows))
+
+
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `op12_chat_format` reads back of turns and targets: all of it that SQL can tell without the windows."""
+    return op12_chat_format(spark, sf_dir).drop("formatted_chars")
+
+
+CHAT_TURNS_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{QUOTED}'), (-7, 1, 'assistant', '{QUOTED}')))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256
+FROM c GROUP BY conv_id
+"""

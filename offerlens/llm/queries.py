@@ -21,6 +21,7 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_chat_format": chat_format.op12_chat_format,
+    "chat_turns": chat_format.chat_turns,
     "op13_importance_resampling": resampling.op13_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
@@ -32,5 +33,6 @@ SQL = {
     "op7_url_filters": url_filters.OP7_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "chat_turns": chat_format.CHAT_TURNS_SQL,
     "op13_importance_resampling": resampling.OP13_SQL,
 }
