@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,17 +40,13 @@ class Versions:
 
     def __init__(self, spark: SparkSession, root: str, layouts: dict[str, Layout], buckets: int = BUCKETS):
         self.spark, self.root, self.layouts = spark, root.rstrip("/"), layouts
-        if self._commits() is None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             self._publish([("", -1, "", "", buckets)], 0)
         self.buckets = self._manifest(0)[0]["buckets"]
 
-    def _commits(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/commits")
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+    def _commits(self) -> DataFrame:
+        return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/commits")
 
     def _manifest(self, version: int) -> list:
         """A row for each bucket of each table, and for each fact table that the version added to."""
