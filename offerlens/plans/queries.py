@@ -1096,7 +1096,7 @@ _number = "CASE WHEN regexp_extract(url, '[?&]page=(\\d+)', 1) = '' THEN 1 ELSE
 
 @query(f"SELECT regexp_extract(url, '://([^/]*)', 1) AS store_slug, {_listing} AS listing, count(DISTINCT {_number}) AS pages_seen, max({_number}) AS last_page, count(DISTINCT {_number}) = max({_number}) AND NOT arg_max(length(html) % 2 = 0, {_number}) AS complete FROM pages GROUP BY 1, 2")
 def listing_gaps(s, d):
-    """Pages of even length get a link to a next one."""
+    """Pages of even length get a link to a next one; of copies of a page the one of the least page_id counts."""
     rows = _pages(s, d)
     more = F.when(F.length("html") % 2 == 0, F.concat("html", F.lit('<a rel="next" href="/n">next</a>'))).otherwise(F.regexp_replace("html", 'rel="next"', ""))
-    return SP.listing_gaps(rows.withColumn("html", more), "rel_next")
+    return SP.listing_gaps(rows.withColumn("html", more), "rel_next", order=F.col("page_id"))

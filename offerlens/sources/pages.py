@@ -132,12 +132,16 @@ NEXT_PAGE = {
 }
 
 
-def listing_gaps(pages: DataFrame, shape: str, page: Column | None = None) -> DataFrame:
-    """(store_slug, listing, pages_seen, last_page, complete): whether all pages of each listing are there, up to one after which none follows."""
+def listing_gaps(pages: DataFrame, shape: str, page: Column | None = None, order: Column | None = None) -> DataFrame:
+    """(store_slug, listing, pages_seen, last_page, complete): whether all pages of each listing are there, up to one after which none follows.
+
+    Of several copies of the last page the first by the number `order` counts; without an order, one that names a next page does.
+    """
     page = url_page() if page is None else page
     more = NEXT_PAGE[shape](F.col("html"), page.cast("int"))
-    rows = pages.select("store_slug", F.regexp_replace("url", r"[?&]page=\d+.*$", "").alias("listing"), page.cast("int").alias("p"), more.alias("more"))
-    out = rows.groupBy("store_slug", "listing").agg(F.count_distinct("p").alias("pages_seen"), F.max("p").alias("last_page"), F.max_by("more", "p").alias("more"))
+    rows = pages.select("store_slug", F.regexp_replace("url", r"[?&]page=\d+.*$", "").alias("listing"), page.cast("int").alias("p"), more.alias("more"), (F.lit(0) if order is None else -order).alias("late"))
+    last = F.max(F.when(F.col("p").isNotNull(), F.struct("p", "late", "more")))
+    out = rows.groupBy("store_slug", "listing").agg(F.count_distinct("p").alias("pages_seen"), last.alias("last")).select("store_slug", "listing", "pages_seen", F.col("last.p").alias("last_page"), "last.more")
     return out.select("store_slug", "listing", "pages_seen", "last_page", ((F.col("pages_seen") == F.col("last_page")) & ~F.col("more")).alias("complete"))
 
 

@@ -199,6 +199,16 @@ def test_next_pages(spark):
         assert sorted((r["listing"][-1], r["pages_seen"], r["last_page"], r["complete"]) for r in got.collect()) == [("a", 2, 2, True), ("b", 2, 2, False), ("c", 1, 2, False)], shape
 
 
+def test_copies_of_the_last_page(spark):
+    html = {True: '<a rel="next" href="/l">x</a>', False: "x"}
+    for more in ([True, False, False], [False, True, True], [True, False, True], [False, True, False]):
+        rows = [("s", "https://s.test/a", "x", 9)] + [("s", "https://s.test/a?page=2", html[m], i) for i, m in enumerate(more)]
+        for turned in (rows, rows[::-1]):
+            table = spark.createDataFrame(turned, "store_slug string, url string, html string, page_id long").coalesce(1)
+            assert [r["complete"] for r in P.listing_gaps(table, "rel_next", order=F.col("page_id")).collect()] == [not more[0]], more
+            assert [r["complete"] for r in P.listing_gaps(table, "rel_next").collect()] == [False], more
+
+
 def test_sitemap_files(spark, tmp_path):
     from offerlens.sources import schema as S
 
