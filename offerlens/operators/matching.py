@@ -77,10 +77,15 @@ def names_brand(title, brand):
     return F.exists(T.brand_forms(brand), lambda x: F.contains(plain, x))
 
 
-def titles_with_brands(titles: DataFrame, catalog: DataFrame, title: str = "title", most: int = 4) -> DataFrame:
+#: Names of brands that every task holds; with more of them titles and brands are shuffled.
+NAMES = 100_000
+
+
+def titles_with_brands(titles: DataFrame, catalog: DataFrame, title: str = "title", most: int = 4, held: int = NAMES) -> DataFrame:
     """Each title with each brand of the catalog of which it holds a name, anywhere in its normalised text; (titles' columns, brand), once for each brand.
 
     A name in a title begins with its own first letters, up to `most`: titles meet brands by their runs of so many letters, and what meets is looked at as a whole.
+    A title is as many rows as it has runs, so up to `held` names are sent to the titles, and beyond both sides are shuffled; the titles' rows are never broadcast.
     """
     forms = catalog.select("brand").distinct().select("brand", F.explode(T.brand_forms(F.col("brand"))).alias("__form")).where("__form <> ''")
     heads = forms.withColumn("__head", F.left("__form", F.lit(most)))
@@ -89,7 +94,8 @@ def titles_with_brands(titles: DataFrame, catalog: DataFrame, title: str = "titl
     at = F.sequence(F.lit(1), F.length("__plain"))
     runs = F.array_distinct(F.flatten(F.transform("__sizes", lambda n: F.transform(at, lambda i: F.substring(F.col("__plain"), i, n)))))
     dealt = own.where("__plain <> ''").withColumn("__sizes", heads.agg(sizes).scalar()).withColumn("__head", F.explode(runs))
-    return dealt.join(heads, "__head").where(F.contains("__plain", F.col("__form"))).select(*titles.columns, "__row", "brand").distinct().drop("__row")
+    met = dealt.join(F.broadcast(heads), "__head") if forms.limit(held + 1).count() <= held else dealt.hint("merge").join(heads, "__head")
+    return met.where(F.contains("__plain", F.col("__form"))).select(*titles.columns, "__row", "brand").distinct().drop("__row")
 
 
 def decide(pairs: DataFrame, high: int = HIGH, ambiguous: int = AMBIGUOUS, brand_checked: bool = False) -> DataFrame:

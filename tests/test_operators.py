@@ -297,6 +297,20 @@ def test_titles_with_brands(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_titles_are_not_broadcast(spark):
+    from offerlens.operators.matching import titles_with_brands
+
+    titles = spark.createDataFrame([(i, f"amber house {i % 7} noir {i}") for i in range(300)], "i int, title string")
+    brands = spark.createDataFrame([("Amber House",), ("noir 1",), ("gone",)], "brand string")
+    want = sorted([(i, "Amber House") for i in range(300)] + [(i, "noir 1") for i in range(300) if str(i).startswith("1")])
+    for held in (0, 100):
+        got = titles_with_brands(titles, brands, held=held)
+        assert sorted((r["i"], r["brand"]) for r in got.collect()) == want
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        sides = [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "__head" in x]
+        assert len(sides) == (1 if held else 0) and all("BuildRight" in x for x in sides), plan
+
+
 def test_reports_of_perfumes_and_the_queue(spark):
     from offerlens.operators import compare, health, review
 
