@@ -287,6 +287,23 @@ def test_components_follow_changes(spark):
     assert sorted(map(tuple, update_components(same, frame(old), frame(old).limit(0), frame(old).limit(0)).collect())) == sorted(map(tuple, same.collect()))
 
 
+def test_overlap_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "PART_ITEMS", 7)
+    monkeypatch.setattr(overlap, "TILE", 3)
+    monkeypatch.setattr(overlap, "TILE_KEYS", 2)
+    rows = [(f"i{i % 40:03}", f"k{(i * i + i // 40) % 9}", float(1 + i * 7 % 11)) for i in range(200)] + [("zero", "k1", 0.0), (None, "k1", 1.0), ("one", None, 1.0), ("one", "k1", 2.0)]
+    vecs = spark.createDataFrame(rows, "item string, key string, weight double").groupBy("item", "key").agg(F.max("weight").alias("weight"))
+    for threshold in (0.0, 0.72, 0.99):
+        got = []
+        for share in (0, 1e9):  # all pairs, index
+            monkeypatch.setattr(overlap, "MEETINGS", share)
+            got.append(sorted(tuple(r) for r in overlap.similar_pairs(vecs, threshold).collect()))
+            report = [tuple(r) for r in overlap.overlap_report(vecs, threshold, pairs=9).collect()]
+            assert [r[:2] for r in report] == [x[:2] for x in sorted(got[-1], key=lambda r: (-round(r[3] * 100, 1), r[0], r[1]))[:9]]
+        assert [(a, b, keys) for a, b, _, _, keys in got[0]] == [(a, b, keys) for a, b, _, _, keys in got[1]] and (threshold == 0.99 or len(got[0]) > 20)
+        assert all(abs(x[2] - y[2]) < 1e-9 and abs(x[3] - y[3]) < 1e-12 for x, y in zip(*got, strict=True))
+
+
 def test_titles_with_brands(spark):
     from offerlens.operators.matching import titles_with_brands
 
