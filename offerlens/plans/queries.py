@@ -922,7 +922,8 @@ _PAGE = "p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand, p_size *
 
 
 def _parts(s, d):
-    return T.read(s, d, "part").select(
+    """Rows that pages are made of; dealt to all cores, as a small file is few splits and a page much more than its row."""
+    return T.read(s, d, "part").repartition(4 * s.sparkContext.defaultParallelism).select(
         F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), (F.col("p_size") * 5).alias("volume"), F.col("p_retailprice").cast("decimal(10,2)").alias("price"), (F.col("p_size") % 2 == 0).alias("there"),
         F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("code"),
     )

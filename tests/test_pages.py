@@ -223,3 +223,13 @@ def test_sitemap_files(spark, tmp_path):
     query = S.read_sitemaps(spark, str(tmp_path / "maps"), stream=True).writeStream.format("memory").queryName("maps_in").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("maps_in").count() == 500
+
+
+def test_made_pages_are_dealt_to_all_cores(spark, tmp_path):
+    from offerlens.plans import queries as Q
+
+    parts = [(i, f"name {i}", "Brand#1", "SMALL", i % 9, 900.0 + i) for i in range(200)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = Q._parts(spark, str(tmp_path))
+    sizes = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) <= 200 // 8 and rows.select("k").distinct().count() == 200
