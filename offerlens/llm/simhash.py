@@ -19,6 +19,12 @@ STRIP_ROWS = 32_768
 TILE_ROWS = 512
 #: Blocks that a set of shingles enters, smallest hashes that name one, and most rows and bytes of sets of a block's strip.
 BLOCKS, BLOCK_HASHES, BLOCK_ROWS, BLOCK_BYTES = 8, 4, 8_192, 1 << 22
+#: Texts of the sample that tells which shingles are common, and most shingles that it tells. Both only order the shingles; the links are the same with any.
+SAMPLE_TEXTS, COMMON = 4_096, 1 << 16
+#: Pairs that a task of `_meetings` collects before it returns them.
+MEETING_ROWS = 1 << 16
+#: Bits of a set's sketch.
+SKETCH_BITS = 512
 _BLOCK = 1 << 12
 
 
@@ -215,17 +221,135 @@ def set_prints(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return fp, blocks.view(np.int64)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("node", pa.binary()), ("size", pa.int64()), ("fp", pa.int64()), ("blocks", pa.list_(pa.int64()))])
+def _prefix_sizes(sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many first elements of sets of these sizes, in one order of all elements, any similar set has one of: among its own first ones by the first number; by the second, smaller one, if it is at least as large."""
+    least = lambda share: sizes - np.ceil(share * sizes - 1e-8).astype(np.int64) + 1
+    return np.where(sizes > 0, least(similarity), 0), np.where(sizes > 0, least(2 * similarity / (1 + similarity)), 0)
 
 
-def _set_scan(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def set_prefixes(hashes: np.ndarray, bounds: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First elements of each set in the order of all (those in the sorted `common` last, then by hash), their bounds, and how many of each set's are enough where the other set is not smaller."""
+    sizes = np.diff(bounds)
+    most, few = _prefix_sizes(sizes, similarity)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
+    order = np.lexsort((hashes, late, row))
+    taken = np.arange(len(hashes)) - bounds[:-1][row] < most[row]
+    return hashes[order[taken]], np.concatenate([[0], np.cumsum(most)]), few
+
+
+def set_sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(sets, SKETCH_BITS / 8) bytes: each bit tells whether an odd number of a set's elements falls on it, so two sketches differ in no more bits than the sets in elements."""
+    n = len(bounds) - 1
+    at = np.repeat(np.arange(n), np.diff(bounds)) * SKETCH_BITS + (mix(hashes) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=n * SKETCH_BITS) & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+
+
+def _near_sketches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sketches u and v do not differ in more bits than sets of that similarity and of these sizes (together) in elements."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        u, v = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in "uv")
+        apart = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+        near = pa.array(apart <= (1 - similarity) / (1 + similarity) * batch["sizes"].to_numpy() + 1e-6)
+        yield pa.RecordBatch.from_arrays([batch["a"].filter(near), batch["b"].filter(near)], names=["a", "b"])
+
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("node", pa.binary()), ("size", pa.int64()), ("fp", pa.int64()), ("blocks", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("few", pa.int64()), ("sketch", pa.binary())])
+
+
+def _set_scan(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             hashes, bounds = shingle_sets(part["text"], shingle)
             fp, blocks = set_prints(hashes, bounds)
             nodes = [xxhash.xxh3_128_digest(hashes[i:j].tobytes()) for i, j in zip(bounds, bounds[1:], strict=False)]
             sizes = np.diff(bounds)
-            yield arrow_batch(_SETS, part["doc_id"], part["k"], part["t"], nodes, sizes, fp, [x if n else [] for x, n in zip(blocks.tolist(), sizes.tolist(), strict=True)])
+            first, ends, few = set_prefixes(hashes, bounds, common, similarity)
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first.view(np.int64)))
+            yield arrow_batch(_SETS, part["doc_id"], part["k"], part["t"], nodes, sizes, fp, [x if n else [] for x, n in zip(blocks.tolist(), sizes.tolist(), strict=True)], prefix, few, [x.tobytes() for x in set_sketches(hashes, bounds)])
+
+
+def _common(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that at least two texts of a sample of about SAMPLE_TEXTS have, the COMMON most frequent ones, sorted."""
+    sampled = rows.where(F.pmod("t", F.lit(max(1, rows.count() // SAMPLE_TEXTS))) == 0).dropDuplicates(["t"]).select("text")
+    schema = pa.schema([("x", pa.int64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield arrow_batch(schema, shingle_sets(part["text"], shingle)[0].view(np.int64))
+
+    often = sampled.mapInArrow(scan, "x long").groupBy("x").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").limit(COMMON).select("x")
+    return np.sort(often.toArrow()["x"].to_numpy().view(np.uint64))
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (x, c, i, size, early) sorted by x and c: pairs of i of one x and different c whose sizes allow the similarity, the smaller one being early."""
+    names = ("x", "c", "i", "size", "early")
+
+    def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x, c, i, size, early = (rows[n] for n in names)
+        ends = lambda new: np.repeat(np.append(np.flatnonzero(new)[1:], len(x)), np.diff(np.append(np.flatnonzero(new), len(x))))
+        new = np.ones(len(x), bool)
+        new[1:] = x[1:] != x[:-1]
+        last = ends(new)
+        new[1:] |= c[1:] != c[:-1]
+        at, to, out, n = np.arange(len(x)), ends(new), [], 0
+        while len(at):
+            there = to < last[at]
+            at, to = at[there], to[there]
+            low, high = np.minimum(size[at], size[to]), np.maximum(size[at], size[to])
+            first = np.where(size[at] == size[to], early[at] | early[to], np.where(size[at] < size[to], early[at], early[to]))
+            good = first & (low >= similarity * high - 1e-8)
+            a, b = i[at[good]], i[to[good]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            n, to = n + len(a), to + 1
+            if n > MEETING_ROWS or not len(at):
+                met = np.unique(np.concatenate(out, axis=1), axis=1)
+                out, n = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(met[0]), pa.array(met[1])], names=["a", "b"])
+
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        rows = {n: batch[n].to_numpy(zero_copy_only=False) for n in names}
+        rows = {n: np.concatenate([held[n], rows[n]]) for n in names} if held else rows
+        if not len(rows["x"]):
+            continue
+        cut = int(np.searchsorted(rows["x"], rows["x"][-1]))  # rows of the last x go on in the next batch
+        held = {n: rows[n][cut:] for n in names}
+        if cut:
+            yield from pairs({n: rows[n][:cut] for n in names})
+    if held:
+        yield from pairs(held)
+
+
+def _exact_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(a, b) of components in `nodes` (node, component, size, prefix, few, sketch, k, t) that hold similar sets, each such pair of sets found.
+
+    Two similar sets have one of their first elements in common, in any order of all elements; those of different components that have, and whose sketches
+    allow it, are compared whole.
+    """
+    placed = nodes.select(F.xxhash64("node").alias("i"), F.xxhash64("component").alias("c"), F.col("size").cast("int").alias("size"), "few", F.posexplode("prefix").alias("n", "x"))
+    work = placed.select("x", "c", "i", "size", (F.col("n") < F.col("few")).alias("early")).repartition("x").sortWithinPartitions("x", "c")
+    met = written(work.mapInArrow(lambda b: _meetings(b, similarity), "a long, b long").distinct())
+    sketch = lambda i, c, n: nodes.select(F.xxhash64("node").alias(i), F.col("sketch").alias(c), F.col("size").alias(n))
+    drawn = met.join(sketch("a", "u", "m"), "a").join(sketch("b", "v", "n"), "b").select("a", "b", "u", "v", (F.col("m") + F.col("n")).alias("sizes"))
+    met = written(drawn.mapInArrow(lambda b: _near_sketches(b, similarity), "a long, b long"))
+    ends = met.select(F.col("a").alias("i")).union(met.select(F.col("b").alias("i"))).distinct()
+    found = written(sets(nodes.select(F.xxhash64("node").alias("i"), "node", F.lit(0).alias("fp"), "component", "k", "t").join(ends, "i")))
+    side = lambda i, c, h: found.select(F.xxhash64("node").alias(i), F.col("component").alias(c), F.col("hashes").alias(h))
+    pairs = met.join(side("a", "x", "u"), "a").join(side("b", "y", "v"), "b").select("x", "y", "u", "v")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similar(np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64), similarity) for u, v in zip(batch["u"], batch["v"], strict=True)]
+            kept = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["x"].filter(kept), batch["y"].filter(kept)], schema=schema)
+
+    return pairs.mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -273,38 +397,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links are between texts whose sets of distinct shingles have a Jaccard similarity of at least `similarity`, as counted on the sets
     themselves; groups are what links connect, and (first_k, first_t) is the row of the smallest id (null is the largest), then of the
-    least text hash. Equal sets, empty ones included, are one node, told by a 128-bit digest. At this similarity about ten bits of a SimHash differ, so
-    comparing all fingerprints would skip no tiles; sets meet in blocks instead, each named by the smallest shingle hashes under
-    BLOCK_HASHES orders. In a block, strips are compared in tiles as in `near_pairs`, within the bits that the similarity
-    stands for plus three standard errors, and what is within them by its sets. Of pairs at a similarity of exactly 0.8, 98.5 % share a block, of
-    those at 0.9 all but 1 in 3,000. A block of many or long texts is cut into strips, and each two strips are a piece of work of their own.
+    least text hash. Equal sets, empty ones included, are one node, told by a 128-bit digest. Large groups are brought together first: sets meet in
+    blocks, each named by the smallest shingle hashes under BLOCK_HASHES orders; in a block, strips are compared in tiles as in `near_pairs`,
+    within the bits that the similarity stands for plus three standard errors, and what is within them by its sets. A block of many or long texts is cut
+    into strips, and each two strips are a piece of work of their own. That leaves out some links; `_exact_links` finds all that are left between the groups.
     Null ids and texts, repeated rows, empty tables and other columns of any name are allowed.
     """
     rows = keyed(docs, id_col, text_col)
-    prints = written(rows.mapInArrow(lambda b: _set_scan(b, shingle), "doc_id long, k long, t long, node binary, size long, fp long, blocks array<long>"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "k", "t")
-    nodes = written(prints.groupBy("node", "size", "fp", "blocks").agg(F.min(order).alias("x")).select("node", "size", "fp", "blocks", "x.none", "x.k", "x.t"))
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))
+    kind = "doc_id long, k long, t long, node binary, size long, fp long, blocks array<long>, prefix array<long>, few long, sketch binary"
+    prints = written(rows.mapInArrow(lambda b: _set_scan(b, shingle, similarity, common.value), kind))
+    order, of_set = F.struct(F.col("doc_id").isNull().alias("none"), "k", "t"), ["node", "size", "fp", "blocks", "prefix", "few", "sketch"]
+    nodes = written(prints.groupBy(*of_set).agg(F.min(order).alias("x")).select(*of_set, "x.none", "x.k", "x.t"))
     entries = nodes.select("node", "size", F.explode("blocks").alias("block"))
     strips = F.greatest(F.ceil(F.sum("size") * 8 / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
     crowds = written(entries.groupBy("block").agg(F.count("*").alias("n"), strips.alias("strips")).where("n > 1"))
     placed = written(join_once(entries, crowds, ["block"]).select("node", "block", "strips", F.pmod(F.xxhash64("node"), F.col("strips")).cast("int").alias("strip")))
-    wanted = placed.select("node").distinct().join(nodes.select("node", "fp", "k", "t"), "node")
-    schema = pa.schema([("node", pa.binary()), ("fp", pa.int64()), ("hashes", pa.binary())])
+    schema = pa.schema([("node", pa.binary()), ("fp", pa.int64()), ("component", pa.binary()), ("hashes", pa.binary())])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 hashes, bounds = shingle_sets(part["text"], shingle)
-                yield arrow_batch(schema, part["node"], part["fp"], [hashes[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)])
+                yield arrow_batch(schema, part["node"], part["fp"], part["component"], [hashes[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)])
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        texts = rows.select("k", "t", "text").join(wanted.select("node", "fp", "component", "k", "t"), ["k", "t"]).select("node", "fp", "component", "text")
+        return texts.mapInArrow(scan, "node binary, fp long, component binary, hashes binary").dropDuplicates(["node"])
 
-    found = rows.select("k", "t", "text").join(wanted, ["k", "t"]).select("node", "fp", "text").mapInArrow(sets, "node binary, fp long, hashes binary").dropDuplicates(["node"])
+    found = sets(nodes.withColumn("component", F.col("node")).join(placed.select("node").distinct(), "node")).drop("component")
     dealt = placed.select("node", "block", "strip", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("other")).select(
         "node", "block", "strip", F.least("strip", "other").alias("low"), F.greatest("strip", "other").alias("high")
     )
     keys = ["block", "low", "high"]
     work = dealt.join(found, "node").select(*keys, "strip", "node", "fp", "hashes").repartition(*keys).sortWithinPartitions(*keys)
     parts = connected_components(work.mapInArrow(lambda b: _block_links(b, similarity), "a binary, b binary"))
-    of = written(nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "none", "k", "t"))
+    parts = written(parts)
+    of = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = connected_components(_exact_links(of, sets, similarity)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    of = written(of.join(more, "component", "left").select("node", F.coalesce("whole", "component").alias("component"), "none", "k", "t"))
     first = of.groupBy("component").agg(F.min(F.struct("none", "k", "t")).alias("x"), F.count("*").alias("n"))
     groups = join_once(of, first, ["component"]).select("node", F.when(~F.col("x.none"), F.col("x.k")).alias("component_id"), F.col("x.k").alias("first_k"), F.col("x.t").alias("first_t"))
     return prints.select("doc_id", "k", "t", "node"), groups

@@ -500,3 +500,33 @@ def test_words_made_to_collide_are_told_apart(spark):
     docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{one} {tail}")], "doc_id long, text string")
     found, groups = simhash.near_duplicates(docs, shingle=5, similarity=0.8)
     assert {r["k"]: r["first_k"] for r in found.join(groups, "node").select("k", "first_k").collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_near_duplicates_that_share_no_block(spark, monkeypatch):
+    """Every pair at the threshold is found, also where no block and no near fingerprint brings it together."""
+    import random
+
+    rng, texts = random.Random(12), {}
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    for i in range(200):
+        words = [word() for _ in range(224)]
+        for j, m in ((0, 0), (1, 24), (2, 25)):  # 0.803 and 0.796 of the shingles
+            texts[i * 10 + j] = " ".join(words[: len(words) - m] + [word() for _ in range(m)])
+    texts[5000], texts[5001] = "a b c d e f g h i", "a b c d e f g h"  # 4 of 5 shingles
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for blocks, sample in ((simhash.BLOCKS, simhash.SAMPLE_TEXTS), (1, 7)):
+        monkeypatch.setattr(simhash, "BLOCKS", blocks)
+        monkeypatch.setattr(simhash, "SAMPLE_TEXTS", sample)
+        found, groups = simhash.near_duplicates(frame)
+        got = {r["doc_id"]: r["component_id"] for r in found.join(groups, "node").collect()}
+        assert all(got[i * 10 + 1] == i * 10 and got[i * 10 + 2] == i * 10 + 2 for i in range(200)) and got[5001] == 5000
+
+
+def test_sketches_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (0, 1, 30, 700)]
+    sets += [np.sort(np.concatenate([sets[3][40:], sets[2]])), sets[3][:-1]]
+    sketches = simhash.set_sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    for x, u in zip(sets, sketches, strict=True):
+        for y, v in zip(sets, sketches, strict=True):
+            assert np.bitwise_count(u ^ v).sum() <= len(np.setxor1d(x, y))
