@@ -13,20 +13,43 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a stored table for each task that sorts them: with more rows there are more tasks, and none needs more memory.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a stored table dealt to tasks by `keys`; how many there are is read from the files' footers."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS + 1), *keys)
+
+
 def stamp(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations: a part is a variant, a supplier a store; seq numbers each variant's rows by all columns."""
-    rows = read(spark, sf_dir, "lineitem").distinct()
-    seq = F.row_number().over(W.partitionBy("l_partkey").orderBy(*LINE))
-    return rows.select(
+    return distinct_lines(spark, sf_dir).select(
         F.col("l_partkey").alias("variant_id"), F.col("l_suppkey").alias("store_id"), F.col("l_extendedprice").cast("decimal(10,2)").alias("price"), F.col("l_shipdate").alias("recorded_at"),
-        F.when(F.col("l_linestatus") == "O", "in_stock").otherwise("out_of_stock").alias("availability"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("run_id"), seq.alias("seq"),
+        F.when(F.col("l_linestatus") == "O", "in_stock").otherwise("out_of_stock").alias("availability"), _run().alias("run_id"), "seq",
     )
 
 
+def _run() -> Column:
+    return F.year("l_shipdate") * 12 + F.month("l_shipdate")
+
+
+def distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without repeated rows; seq numbers each part's by all columns. Rows that are equal stand together in that order, so the sort that numbers them also tells the first of each: one shuffle, by part."""
+    w = W.partitionBy("l_partkey").orderBy(*LINE)
+    numbers = {"seq": F.dense_rank().over(w), "__rank": F.rank().over(w), "__row": F.row_number().over(w)}
+    return dealt(read(spark, sf_dir, "lineitem").select("l_partkey", *LINE), "l_partkey").withColumns(numbers).where("__rank = __row").drop("__rank", "__row")
+
+
+def last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id) of all runs, the last one first; repeated rows make no difference to it."""
+    return read(spark, sf_dir, "lineitem").select(_run().alias("run_id")).where("run_id IS NOT NULL").distinct().orderBy(F.desc("run_id"))
+
+
 def perfumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each (brand, name), with the least number of its parts as perfume_id."""
     return read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("perfume_id"))
@@ -50,6 +73,13 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(obs(spark, sf_dir), ["variant_id", "store_id"], ["recorded_at", "seq"]).withColumn("offer_id", F.col("store_id"))
 
 
+def offered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(variant_id, store_id) of the offers, in tasks that sort their rows, which takes less memory than a hash map of nearly as many pairs."""
+    w = W.partitionBy("variant_id").orderBy("store_id")
+    pairs = dealt(read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("variant_id"), F.col("l_suppkey").alias("store_id")), "variant_id")
+    return pairs.withColumns({"__rank": F.rank().over(w), "__row": F.row_number().over(w)}).where("__rank = __row").drop("__rank", "__row")
+
+
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("alert_id"), F.col("p_partkey").alias("variant_id"), (F.col("p_retailprice").cast("decimal(10,2)") * 20).cast("decimal(12,2)").alias("target_price"), (F.col("p_partkey") % 15 != 0).alias("enabled"),
@@ -68,20 +98,23 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier is an item, the types of its parts its accords, the summed quantities their strengths."""
-    lines = read(spark, sf_dir, "lineitem").distinct().join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = distinct_lines(spark, sf_dir).join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     sums = lines.groupBy(F.col("l_suppkey").alias("item_id"), F.col("p_type").alias("accord")).agg(F.sum("l_quantity").cast("long").alias("strength"))
     return sums.withColumn("position", F.row_number().over(W.partitionBy("item_id").orderBy("accord")))
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").distinct().join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return lines.select(F.col("l_suppkey").alias("item_id"), F.col("p_name").alias("name")).distinct()
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A supplier's similar ones: the three that stand most often on the line after its own in an order, of all lines."""
-    rows = read(spark, sf_dir, "lineitem").distinct()
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", *LINE[2:])
+    """A supplier's similar ones: the three that stand most often on the line after its own in an order, of all lines.
+
+    Lines of one number, part and supplier stand together, whatever else they hold, and what follows within them is the supplier itself, which does not count: neither repeated rows nor the other columns change anything.
+    """
+    rows = dealt(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     nxt = rows.withColumn("dst", F.lead("l_suppkey").over(w)).where("dst IS NOT NULL AND dst <> l_suppkey")
     times = nxt.groupBy(F.col("l_suppkey").alias("src"), "dst").agg(F.count("*").alias("n"))
     top = F.row_number().over(W.partitionBy("src").orderBy(F.desc("n"), "dst"))
