@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ from offerlens.plans import tables as T
 from offerlens.plans.tables import CTES, sql, stamp
 from offerlens.sources import pages as SP
 from offerlens.sources import schema as SC
+from offerlens.sources.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -735,19 +737,19 @@ def _run_rows(s, d):
     """Observations with their perfume and variant; ordinal is by variant and sequence."""
     from pyspark.sql import Window as W
 
-    rows = T.obs(s, d).join(T.variants(s, d), "variant_id").join(T.perfumes(s, d), ["brand", "name"])
+    rows = T.obs(s, d).join(T.named_variants(s, d), "variant_id")
     return rows.withColumn("ordinal", F.struct("variant_id", "seq"))
 
 
-def _run_state(s, d) -> tuple[RUN.State, DataFrame]:
-    """The state before the last run, and the raw offers of that run; every fourth tells no brand."""
-    rows = _run_rows(s, d)
-    last = T.obs(s, d).agg(F.max("run_id")).scalar()
+def _run_state(s, d, rows: DataFrame) -> tuple[RUN.State, DataFrame]:
+    """The state before the last run of `rows`, and the raw offers of that run; every fourth tells no brand."""
+    last = T.last_runs(s, d).agg(F.max("run_id")).scalar()
     key = RUN.VARIANT
     known = rows.select(*key).distinct().withColumn("variant_id", O.variant_id(*[F.col(c) for c in key]))
     text, money = F.lit(None).cast("string"), F.lit(None).cast("decimal(10,2)")
-    before = O.dedup_in_run(rows.where(F.col("run_id") < last).select("store_id", *key, "run_id", "price", "availability", "ordinal"), ["store_id", *key, "run_id"])
-    before = Y.latest(before, ["store_id", *key], ["run_id"]).join(known, key)
+    earlier = rows.repartition(T.tasks(T.read(s, d, "lineitem")), "store_id", "perfume_id").where(F.col("run_id") < last).dropna(subset=key)
+    before = O.dedup_in_run(earlier.select("store_id", *key, "run_id", "price", "availability", "ordinal"), ["store_id", *key, "run_id"])
+    before = Y.latest(before, ["store_id", *key], ["run_id"]).withColumn("variant_id", O.variant_id(*[F.col(c) for c in key]))
     snapshot = before.select("store_id", "variant_id", "perfume_id", text.alias("url"), text.alias("identifier"), text.alias("title"), "price", money.alias("old_price"), F.lit("RON").alias("currency"), F.lit(None).cast("int").alias("discount_percentage"), "availability", F.lit("OLD").alias("coupon_code"), money.alias("coupon_price"), F.lit(1).alias("first_seen_at"), F.lit(1).alias("last_seen_at"))
     history = before.select("store_id", "variant_id", F.lit(1).cast("long").alias("run_id"), F.lit(1).alias("recorded_at"), "price", money.alias("old_price"), F.lit("RON").alias("currency"), F.lit(None).cast("int").alias("discount_percentage"), "availability")
     catalog = T.perfumes(s, d).withColumn("last_checked_at", F.lit(None).cast("int"))
@@ -764,9 +766,10 @@ def _run_state(s, d) -> tuple[RUN.State, DataFrame]:
 
 def _after_run(s, d) -> RUN.State:
     """The state after the last run, in which stores of odd numbers failed where they brought nothing."""
-    state, raw = _run_state(s, d)
+    state, raw = _run_state(s, d, written(_run_rows(s, d).select("brand", "name", "store_id", *RUN.VARIANT, "variant_id", "run_id", "price", "availability", "ordinal")))
+    state = replace(state, variants=written(state.variants), snapshot=written(state.snapshot))
     pairs = state.snapshot.select("perfume_id", "store_id").unionByName(raw.select("perfume_id", "store_id")).distinct()
-    attempts = pairs.withColumn("error_status", F.when(F.col("store_id") % 2 == 1, "scraping_error"))
+    attempts = written(pairs.withColumn("error_status", F.when(F.col("store_id") % 2 == 1, "scraping_error")))
     return RUN.apply_run(state, raw, attempts, 2, F.lit(2))[0]
 
 
@@ -786,7 +789,7 @@ def run_history(s, d):
 @query("SELECT store_id, perfume_id, price, 'confirmed_name' AS alias, 'in_stock' AS availability FROM (SELECT DISTINCT 1 AS store_id, p_partkey AS perfume_id, CAST(p_retailprice AS DECIMAL(10,2)) AS price FROM part WHERE p_size % 2 = 0)")
 def confirmed_offers(s, d):
     """Decisions on a queue of one doubtful row for each part: those of even sizes are confirmed, the others rejected."""
-    state, _ = _run_state(s, d)
+    state, _ = _run_state(s, d, _run_rows(s, d))
     part = T.read(s, d, "part")
     text = F.lit(None).cast("string")
     queue = part.select(
@@ -795,8 +798,6 @@ def confirmed_offers(s, d):
         F.lit(80.0).alias("match_score"), F.lit("pending").alias("status"), F.lit(1).alias("first_seen_at"), F.lit(1).alias("last_seen_at"), F.lit(None).cast("int").alias("resolved_at"),
     )
     decisions = queue.select(*R.QUEUE_KEY, F.when(F.col("volume_ml") % 2 == 0, "confirmed").otherwise("rejected").alias("decision"))
-    from dataclasses import replace
-
     start = replace(state, queue=queue, snapshot=state.snapshot.limit(0), history=state.history.limit(0), variants=state.variants.limit(0))
     after = RUN.apply_decisions(start, decisions, F.lit(3))
     return after.snapshot.join(after.aliases, "perfume_id").select("store_id", "perfume_id", "price", F.col("normalized_alias").alias("alias"), "availability")

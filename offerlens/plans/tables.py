@@ -17,9 +17,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASK_ROWS = 250_000
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a stored table dealt to tasks by `keys`; how many there are is read from the files' footers."""
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS + 1), *keys)
+def tasks(stored: DataFrame) -> int:
+    """Tasks for as many rows as a stored table has; they are counted from the files' footers."""
+    return max(stored.sparkSession.sparkContext.defaultParallelism, stored.count() // TASK_ROWS + 1)
+
+
+def dealt(stored: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a stored table dealt to tasks by `keys`."""
+    return stored.repartition(tasks(stored), *keys)
 
 
 def stamp(c: str) -> Column:
@@ -62,6 +67,11 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def named_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with their perfume_id: tables of parts alone meet here, so that observations need no shuffle by name."""
+    return variants(spark, sf_dir).join(perfumes(spark, sf_dir), ["brand", "name"])
+
+
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("store_id"), F.col("s_name").alias("store_name"), (F.col("s_acctbal") >= 0).alias("enabled"))
 
