@@ -910,7 +910,7 @@ def cascade_graph(s, d):
 @query(f"WITH RECURSIVE {CTES['edges']}, {_GRAPH.replace('ce AS (SELECT DISTINCT a, b FROM un WHERE m = (SELECT bool_or(m) FROM un))', 'ce AS (SELECT DISTINCT a, b FROM un WHERE (a + b) % 7 <> 0)')} SELECT node, component FROM comp")
 def components_updated(s, d):
     """Components after edges whose ends sum up to a multiple of five were added and those of a multiple of seven removed, from those before."""
-    both = T.edges(s, d).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    both = written(T.edges(s, d).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     late = (F.col("a") + F.col("b")) % 5 == 0
     before = both.where(~late)
     removed = both.where((F.col("a") + F.col("b")) % 7 == 0)
