@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from offerlens.sources.storage import written
+
 # Family of each accord.
 FAMILIES = {
     "Citrus": ["citrus"],
@@ -112,10 +114,11 @@ def first_attributes(rows: DataFrame, item: str = "item_id", name: str = "accord
 def insights(items: DataFrame, accords: DataFrame, notes: DataFrame, edges: DataFrame, item: str = "item_id", brand: str = "brand", name: str = "name", families: dict[str, list[str]] = FAMILIES) -> dict[str, DataFrame]:
     """All parts of the collection report: counts, dna (shares with offsets), contributors, accords and notes in order, clusters with their nodes, and the edges between those.
 
-    `edges`: directed (src, dst) between items.
+    `edges`: directed (src, dst) between items. They and `accords` are written once, several parts being made of each.
     """
     from offerlens.operators.graph import cluster_edges, cluster_report, visible_edges
 
+    accords, edges = written(accords), written(edges)
     known = with_family(accords, families=families)
     n = items.agg(F.count_distinct(item)).scalar()
     plain = cluster_edges(edges)
