@@ -35,9 +35,10 @@ def _slug() -> Column:
     return F.concat(F.lit("shop"), F.col("store_id"))
 
 
-def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each observation as a listing of its run: the volume is five times the size, the concentration goes by the variant's number; suggesters round prices down."""
-    rows = T.obs(spark, sf_dir).join(T.variants(spark, sf_dir), "variant_id").join(T.perfumes(spark, sf_dir), ["brand", "name"])
+def listed(spark: SparkSession, sf_dir: str, runs: list[int] | None = None) -> DataFrame:
+    """Each observation, by default of all runs, as a listing of its run: the volume is five times the size, the concentration goes by the variant's number; suggesters round prices down."""
+    seen = T.obs(spark, sf_dir)
+    rows = (seen if runs is None else seen.where(F.col("run_id").isin(runs))).join(T.named_variants(spark, sf_dir), "variant_id")
     wording = F.get(F.array(*map(F.lit, ["Eau de Parfum", "Eau de Toilette", "Extract de parfum"])), (F.col("variant_id") % 3).cast("int"))
     tester = F.when(F.col("tester"), " Tester").otherwise("")
     title = F.concat("name", F.lit(" "), wording, F.lit(" "), F.col("volume_ml") * 5, F.lit(" ml"), tester)
@@ -75,8 +76,8 @@ def two_runs(spark: SparkSession, sf_dir: str) -> Versions:
 
     In the second run stores whose number ends in 9 do not answer, and pages of those that end in 8 are broken; what only the first month has is asked for and not found.
     """
-    rows = written(listed(spark, sf_dir))
-    last, before = rows.select("run_id").distinct().orderBy(F.desc("run_id")).limit(2).toPandas()["run_id"]
+    last, before = (int(r[0]) for r in T.last_runs(spark, sf_dir).limit(2).collect())
+    rows = written(listed(spark, sf_dir, [last, before]))
     tables = ingest.open_state(spark, f"{shared_dir(spark)}/offerlens-state-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}", buckets=16)
     catalog = T.perfumes(spark, sf_dir).withColumns({c: F.lit(None) for c in ("normalized_brand", "normalized_name", "created_at", "updated_at", "last_checked_at")})
     tables.commit(0, {"catalog": catalog, "stores": stores(spark, sf_dir)})
@@ -84,9 +85,9 @@ def two_runs(spark: SparkSession, sf_dir: str) -> Versions:
     pairs = None
     for run, month in ((1, before), (2, last)):
         late, n = run == 2, F.col("store_id")
-        found = pages(rows.where(F.col("run_id") == int(month)), F.lit(late) & (n % 10 == 8))
+        found = pages(rows.where(F.col("run_id") == month), F.lit(late) & (n % 10 == 8))
         found = written(found.where(F.lit(not late) | (n % 10 != 9)))
-        now = rows.where(F.col("run_id") == int(month)).select("store_id", "perfume_id").distinct()
+        now = rows.where(F.col("run_id") == month).select("store_id", "perfume_id").distinct()
         pairs = now if pairs is None else pairs.unionByName(now).distinct()
         fetched = found.select("perfume_id", "store_id", "store_slug", "url")
         rest = pairs.join(fetched, ["perfume_id", "store_id"], "left_anti").select("perfume_id", "store_id", _slug().alias("store_slug"), ok.alias("url"))

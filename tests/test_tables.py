@@ -54,3 +54,36 @@ def test_more_rows_are_dealt_to_more_tasks(spark, shop, monkeypatch):
 
 def test_runs_from_the_last(spark, shop):
     assert [r[0] for r in T.last_runs(spark, shop).limit(2).collect()] == [2020 * 12 + 7, 2020 * 12 + 6]
+
+
+def _reads_lines(df):
+    return any("lineitem" in x for x in df.inputFiles())
+
+
+def test_a_run_reads_the_lines_once(spark, shop):
+    from offerlens.plans import queries as Q
+
+    after = Q._after_run(spark, shop)
+    assert after.snapshot.count() and after.variants.count()
+    assert not any(_reads_lines(x) for x in (after.snapshot, after.variants, after.history, after.queue))
+
+
+def test_the_parts_of_the_insights_share_edges_and_accords(spark, shop):
+    from offerlens.operators.collection import insights
+
+    items = T.accords(spark, shop).selectExpr("item_id", "'x' AS name", "'y' AS brand").distinct()
+    parts = insights(spark.createDataFrame(items.collect(), items.schema), T.accords(spark, shop), T.notes(spark, shop), T.edges(spark, shop))
+    assert not any(_reads_lines(parts[x]) for x in ("counts", "dna", "contributors", "accords"))
+
+
+def test_updated_components_read_the_lines_once(spark, shop):
+    from offerlens.plans import queries as Q
+
+    assert not _reads_lines(Q.components_updated(spark, shop))
+
+
+def test_listings_of_some_runs_are_those_of_all(spark, shop):
+    from offerlens.plans import shop as SH
+
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(SH.listed(spark, shop, [24247, 24245])) == rows(SH.listed(spark, shop).where("run_id IN (24245, 24247)")) != []
