@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm.frames import arrow_batch, join_once, keyed, slices, table, written
+from offerlens.llm.frames import arrow_batch, discard, join_once, keyed, slices, table, written
 from offerlens.llm.words import SPACED, find_words, grams, mix
 from offerlens.operators.graph import connected_components
 
@@ -23,8 +23,8 @@ BLOCKS, BLOCK_HASHES, BLOCK_ROWS, BLOCK_BYTES = 8, 4, 8_192, 1 << 22
 SAMPLE_TEXTS, COMMON = 4_096, 1 << 16
 #: Pairs that a task of `_meetings` collects before it returns them.
 MEETING_ROWS = 1 << 16
-#: Bits of a set's sketch.
-SKETCH_BITS = 512
+#: Bits of a set's sketch: at least so many, and at least so many for each element.
+SKETCH_BITS, ELEMENT_BITS = 512, 2
 _BLOCK = 1 << 12
 
 
@@ -238,21 +238,42 @@ def set_prefixes(hashes: np.ndarray, bounds: np.ndarray, common: np.ndarray, sim
     return hashes[order[taken]], np.concatenate([[0], np.cumsum(most)]), few
 
 
-def set_sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(sets, SKETCH_BITS / 8) bytes: each bit tells whether an odd number of a set's elements falls on it, so two sketches differ in no more bits than the sets in elements."""
+def set_sketches(hashes: np.ndarray, bounds: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """(sets, bits / 8) bytes: each bit tells whether an odd number of a set's elements falls on it, so two sketches differ in no more bits than the sets in elements."""
     n = len(bounds) - 1
-    at = np.repeat(np.arange(n), np.diff(bounds)) * SKETCH_BITS + (mix(hashes) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=n * SKETCH_BITS) & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+    at = np.repeat(np.arange(n), np.diff(bounds)) * bits + (mix(hashes) % np.uint64(bits)).astype(np.int64)
+    odd = np.zeros(n * bits, np.uint8)
+    np.add.at(odd, at, np.uint8(1))  # goes round at 256, which leaves odd numbers odd
+    return np.packbits(odd & 1).reshape(n, bits // 8)
+
+
+def sized_sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """The sketch of each set, of a power of two of bits that grows with the set: one of few bits is half full for any long set and tells it from none."""
+    sizes = np.diff(bounds)
+    bits = np.array([max(SKETCH_BITS, 1 << (ELEMENT_BITS * n - 1).bit_length()) for n in sizes.tolist()], np.int64)
+    out = [b""] * len(sizes)
+    for width in np.unique(bits).tolist():
+        own = np.flatnonzero(bits == width)
+        drawn = set_sketches(hashes[np.repeat(bits == width, sizes)], np.concatenate([[0], np.cumsum(sizes[own])]), width)
+        for i, x in zip(own.tolist(), drawn, strict=True):
+            out[i] = x.tobytes()
+    return out
+
+
+def apart(u: list[bytes], v: list[bytes]) -> np.ndarray:
+    """Different bits of each two sketches; the longer one is folded to the size of the other, which gives the sketch of so many bits of its set."""
+    lengths, out = np.array([(len(x), len(y)) for x, y in zip(u, v, strict=True)], np.int64).reshape(-1, 2), np.zeros(len(u), np.int64)
+    for m, n in np.unique(lengths, axis=0).tolist():
+        own = np.flatnonzero((lengths == (m, n)).all(axis=1)).tolist()
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join([z[i] for i in own]), np.uint64).reshape(len(own), -1, min(m, n) // 8), axis=1) for z in (u, v))
+        out[own] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _near_sketches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose sketches u and v do not differ in more bits than sets of that similarity and of these sizes (together) in elements."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        u, v = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in "uv")
-        apart = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
-        near = pa.array(apart <= (1 - similarity) / (1 + similarity) * batch["sizes"].to_numpy() + 1e-6)
+        near = pa.array(apart(batch["u"].to_pylist(), batch["v"].to_pylist()) <= (1 - similarity) / (1 + similarity) * batch["sizes"].to_numpy() + 1e-6)
         yield pa.RecordBatch.from_arrays([batch["a"].filter(near), batch["b"].filter(near)], names=["a", "b"])
 
 
@@ -268,7 +289,7 @@ def _set_scan(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
             sizes = np.diff(bounds)
             first, ends, few = set_prefixes(hashes, bounds, common, similarity)
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first.view(np.int64)))
-            yield arrow_batch(_SETS, part["doc_id"], part["k"], part["t"], nodes, sizes, fp, [x if n else [] for x, n in zip(blocks.tolist(), sizes.tolist(), strict=True)], prefix, few, [x.tobytes() for x in set_sketches(hashes, bounds)])
+            yield arrow_batch(_SETS, part["doc_id"], part["k"], part["t"], nodes, sizes, fp, [x if n else [] for x, n in zip(blocks.tolist(), sizes.tolist(), strict=True)], prefix, few, sized_sketches(hashes, bounds))
 
 
 def _common(rows: DataFrame, shingle: int) -> np.ndarray:
@@ -409,6 +430,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(rows.mapInArrow(lambda b: _set_scan(b, shingle, similarity, common.value), kind))
     order, of_set = F.struct(F.col("doc_id").isNull().alias("none"), "k", "t"), ["node", "size", "fp", "blocks", "prefix", "few", "sketch"]
     nodes = written(prints.groupBy(*of_set).agg(F.min(order).alias("x")).select(*of_set, "x.none", "x.k", "x.t"))
+    whole, prints = prints, written(prints.select("doc_id", "k", "t", "node"))
+    discard(whole)
     entries = nodes.select("node", "size", F.explode("blocks").alias("block"))
     strips = F.greatest(F.ceil(F.sum("size") * 8 / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
     crowds = written(entries.groupBy("block").agg(F.count("*").alias("n"), strips.alias("strips")).where("n > 1"))
@@ -436,9 +459,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = connected_components(_exact_links(of, sets, similarity)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     of = written(of.join(more, "component", "left").select("node", F.coalesce("whole", "component").alias("component"), "none", "k", "t"))
+    discard(nodes, crowds, placed)
     first = of.groupBy("component").agg(F.min(F.struct("none", "k", "t")).alias("x"), F.count("*").alias("n"))
     groups = join_once(of, first, ["component"]).select("node", F.when(~F.col("x.none"), F.col("x.k")).alias("component_id"), F.col("x.k").alias("first_k"), F.col("x.t").alias("first_t"))
-    return prints.select("doc_id", "k", "t", "node"), groups
+    return prints, groups
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -530,3 +530,41 @@ def test_sketches_differ_in_no_more_than_the_sets():
     for x, u in zip(sets, sketches, strict=True):
         for y, v in zip(sets, sketches, strict=True):
             assert np.bitwise_count(u ^ v).sum() <= len(np.setxor1d(x, y))
+
+
+def test_folded_sketches_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (0, 1, 300, 5000, 40_000)]
+    sets += [sets[3][:-900], np.sort(np.concatenate([sets[3][4000:], sets[2]])), sets[4][:-7000], sets[4][::2]]
+    sketches = simhash.sized_sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    at = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    got = simhash.apart([sketches[i] for i, _ in at], [sketches[j] for _, j in at])
+    for (i, j), bits in zip(at, got, strict=True):
+        both = len(np.setxor1d(sets[i], sets[j]))
+        assert bits <= both and (bits > 0) == (i != j)
+    assert got[at.index((3, 6))] > (len(sets[3]) + len(sets[6])) / 9 and len(simhash.apart([], [])) == 0
+
+
+def test_whole_sets_of_long_texts_are_not_moved_in_vain(spark, monkeypatch):
+    """Long texts that have some shingles in common meet, but only those that may be similar are compared whole."""
+    import random
+
+    rng, texts, moved = random.Random(13), {}, []
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    start = [word() for _ in range(300)]
+    for i in range(12):
+        texts[i] = " ".join(start + [word() for _ in range(2700)])
+    words = [word() for _ in range(3004)]
+    texts[20], texts[21] = " ".join(words), " ".join(words[:-330] + [word() for _ in range(330)])  # 2,670 of 3,330 shingles: 0.802
+    monkeypatch.setattr(simhash, "_common", lambda *_: np.zeros(0, np.uint64))
+    write = simhash.written
+
+    def written(df):
+        out = write(df)
+        moved.extend([out.count()] if "hashes" in df.columns else [])
+        return out
+
+    monkeypatch.setattr(simhash, "written", written)
+    found, groups = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.join(groups, "node").collect()} == {i: 20 if i == 21 else i for i in texts}
+    assert len(moved) == 1 and moved[0] <= 2
