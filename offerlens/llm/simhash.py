@@ -25,6 +25,8 @@ SAMPLE_TEXTS, COMMON = 4_096, 1 << 16
 MEETING_ROWS = 1 << 16
 #: Bits of a set's sketch: at least so many, and at least so many for each element.
 SKETCH_BITS, ELEMENT_BITS = 512, 2
+#: Bits that a sketch is folded to for `_meetings`, in 64-bit columns: what tells short sets apart before pairs become rows.
+FOLDED = 2
 _BLOCK = 1 << 12
 
 
@@ -260,6 +262,11 @@ def sized_sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return out
 
 
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of `size` bytes (uint64) of the set that a longer one is of."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+
+
 def apart(u: list[bytes], v: list[bytes]) -> np.ndarray:
     """Different bits of each two sketches; the longer one is folded to the size of the other, which gives the sketch of so many bits of its set."""
     lengths, out = np.array([(len(x), len(y)) for x, y in zip(u, v, strict=True)], np.int64).reshape(-1, 2), np.zeros(len(u), np.int64)
@@ -277,7 +284,7 @@ def _near_sketches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iter
         yield pa.RecordBatch.from_arrays([batch["a"].filter(near), batch["b"].filter(near)], names=["a", "b"])
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("node", pa.binary()), ("size", pa.int64()), ("fp", pa.int64()), ("blocks", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("few", pa.int64()), ("sketch", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("node", pa.binary()), ("size", pa.int64()), ("fp", pa.int64()), ("blocks", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("few", pa.int64()), ("sketch", pa.binary()), ("folded", pa.list_(pa.int64()))])
 
 
 def _set_scan(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -289,7 +296,8 @@ def _set_scan(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
             sizes = np.diff(bounds)
             first, ends, few = set_prefixes(hashes, bounds, common, similarity)
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first.view(np.int64)))
-            yield arrow_batch(_SETS, part["doc_id"], part["k"], part["t"], nodes, sizes, fp, [x if n else [] for x, n in zip(blocks.tolist(), sizes.tolist(), strict=True)], prefix, few, sized_sketches(hashes, bounds))
+            sketches = sized_sketches(hashes, bounds)
+            yield arrow_batch(_SETS, part["doc_id"], part["k"], part["t"], nodes, sizes, fp, [x if n else [] for x, n in zip(blocks.tolist(), sizes.tolist(), strict=True)], prefix, few, sketches, [folded(x, 8 * FOLDED).view(np.int64).tolist() for x in sketches])
 
 
 def _common(rows: DataFrame, shingle: int) -> np.ndarray:
@@ -307,11 +315,13 @@ def _common(rows: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (x, c, i, size, early) sorted by x and c: pairs of i of one x and different c whose sizes allow the similarity, the smaller one being early."""
-    names = ("x", "c", "i", "size", "early")
+    """Rows (x, c, i, size, early, f0...) sorted by x and c: pairs of i of one x and different c whose sizes and folded sketches allow the similarity, the smaller one being early."""
+    folds = [f"f{n}" for n in range(FOLDED)]
+    names = ("x", "c", "i", "size", "early", *folds)
 
     def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        x, c, i, size, early = (rows[n] for n in names)
+        x, c, i, size, early = (rows[n] for n in names[:5])
+        bits = np.stack([rows[n] for n in folds]).view(np.uint64)  # bits of signed numbers would be those of their absolute values
         ends = lambda new: np.repeat(np.append(np.flatnonzero(new)[1:], len(x)), np.diff(np.append(np.flatnonzero(new), len(x))))
         new = np.ones(len(x), bool)
         new[1:] = x[1:] != x[:-1]
@@ -323,7 +333,9 @@ def _meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
             at, to = at[there], to[there]
             low, high = np.minimum(size[at], size[to]), np.maximum(size[at], size[to])
             first = np.where(size[at] == size[to], early[at] | early[to], np.where(size[at] < size[to], early[at], early[to]))
-            good = first & (low >= similarity * high - 1e-8)
+            good = np.flatnonzero(first & (low >= similarity * high - 1e-8))
+            differ = np.bitwise_count(bits[:, at[good]] ^ bits[:, to[good]]).sum(axis=0, dtype=np.int64)
+            good = good[differ <= (1 - similarity) / (1 + similarity) * (low + high)[good] + 1e-6]
             a, b = i[at[good]], i[to[good]]
             out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             n, to = n + len(a), to + 1
@@ -347,13 +359,14 @@ def _meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
 
 
 def _exact_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """(a, b) of components in `nodes` (node, component, size, prefix, few, sketch, k, t) that hold similar sets, each such pair of sets found.
+    """(a, b) of components in `nodes` (node, component, size, prefix, few, sketch, folded, k, t) that hold similar sets, each such pair of sets found.
 
     Two similar sets have one of their first elements in common, in any order of all elements; those of different components that have, and whose sketches
     allow it, are compared whole.
     """
-    placed = nodes.select(F.xxhash64("node").alias("i"), F.xxhash64("component").alias("c"), F.col("size").cast("int").alias("size"), "few", F.posexplode("prefix").alias("n", "x"))
-    work = placed.select("x", "c", "i", "size", (F.col("n") < F.col("few")).alias("early")).repartition("x").sortWithinPartitions("x", "c")
+    folds = [F.col("folded")[n].alias(f"f{n}") for n in range(FOLDED)]
+    placed = nodes.select(F.xxhash64("node").alias("i"), F.xxhash64("component").alias("c"), F.col("size").cast("int").alias("size"), "few", *folds, F.posexplode("prefix").alias("n", "x"))
+    work = placed.select("x", "c", "i", "size", (F.col("n") < F.col("few")).alias("early"), *[f"f{n}" for n in range(FOLDED)]).repartition("x").sortWithinPartitions("x", "c")
     met = written(work.mapInArrow(lambda b: _meetings(b, similarity), "a long, b long").distinct())
     sketch = lambda i, c, n: nodes.select(F.xxhash64("node").alias(i), F.col("sketch").alias(c), F.col("size").alias(n))
     drawn = met.join(sketch("a", "u", "m"), "a").join(sketch("b", "v", "n"), "b").select("a", "b", "u", "v", (F.col("m") + F.col("n")).alias("sizes"))
@@ -426,9 +439,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = keyed(docs, id_col, text_col)
     common = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))
-    kind = "doc_id long, k long, t long, node binary, size long, fp long, blocks array<long>, prefix array<long>, few long, sketch binary"
+    kind = "doc_id long, k long, t long, node binary, size long, fp long, blocks array<long>, prefix array<long>, few long, sketch binary, folded array<long>"
     prints = written(rows.mapInArrow(lambda b: _set_scan(b, shingle, similarity, common.value), kind))
-    order, of_set = F.struct(F.col("doc_id").isNull().alias("none"), "k", "t"), ["node", "size", "fp", "blocks", "prefix", "few", "sketch"]
+    order, of_set = F.struct(F.col("doc_id").isNull().alias("none"), "k", "t"), ["node", "size", "fp", "blocks", "prefix", "few", "sketch", "folded"]
     nodes = written(prints.groupBy(*of_set).agg(F.min(order).alias("x")).select(*of_set, "x.none", "x.k", "x.t"))
     whole, prints = prints, written(prints.select("doc_id", "k", "t", "node"))
     discard(whole)

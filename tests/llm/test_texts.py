@@ -568,3 +568,15 @@ def test_whole_sets_of_long_texts_are_not_moved_in_vain(spark, monkeypatch):
     found, groups = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in found.join(groups, "node").collect()} == {i: 20 if i == 21 else i for i in texts}
     assert len(moved) == 1 and moved[0] <= 2
+
+
+def test_meetings_leave_out_unlike_short_sets():
+    """Sets that share one first element become a pair only where their folded sketches allow it; bits of either sign count."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64)) for _ in range(30)]
+    sets += [np.sort(np.concatenate([x[:-6], rng.integers(0, 2**63, 6, dtype=np.uint64)])) for x in sets]  # 54 of 66
+    bits = np.stack([simhash.folded(x, 16) for x in simhash.sized_sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))]).view(np.int64)
+    n = np.arange(60)
+    rows = simhash.pa.table({"x": np.zeros(60, np.int64), "c": n, "i": n, "size": np.full(60, 60, np.int32), "early": np.ones(60, bool), "f0": bits[:, 0], "f1": bits[:, 1]})
+    got = {(a, b) for batch in simhash._meetings(iter(rows.to_batches()), 0.8) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)}
+    assert {(i, i + 30) for i in range(30)} <= got and len(got) < 100
