@@ -1100,5 +1100,5 @@ _number = "CASE WHEN regexp_extract(url, '[?&]page=(\\d+)', 1) = '' THEN 1 ELSE
 def listing_gaps(s, d):
     """Pages of even length get a link to a next one; of copies of a page the one of the least page_id counts."""
     rows = _pages(s, d)
-    more = F.when(F.length("html") % 2 == 0, F.concat("html", F.lit('<a rel="next" href="/n">next</a>'))).otherwise(F.regexp_replace("html", 'rel="next"', ""))
+    more = F.when(F.length("html") % 2 == 0, F.concat("html", F.lit('<a rel="next" href="/n">next</a>'))).otherwise(F.regexp_replace("html", '(?i)rel="next"', " "))
     return SP.listing_gaps(rows.withColumn("html", more), "rel_next", order=F.col("page_id"))

@@ -135,13 +135,14 @@ NEXT_PAGE = {
 def listing_gaps(pages: DataFrame, shape: str, page: Column | None = None, order: Column | None = None) -> DataFrame:
     """(store_slug, listing, pages_seen, last_page, complete): whether all pages of each listing are there, up to one after which none follows.
 
-    Of several copies of the last page the first by the number `order` counts; without an order, one that names a next page does.
+    Of several copies of the last page the first by the number `order` counts; without an order, one that names a next page does. Pages without
+    html are seen, but tell nothing of a next one: the last page with html does.
     """
     page = url_page() if page is None else page
     more = NEXT_PAGE[shape](F.col("html"), page.cast("int"))
-    rows = pages.select("store_slug", F.regexp_replace("url", r"[?&]page=\d+.*$", "").alias("listing"), page.cast("int").alias("p"), more.alias("more"), (F.lit(0) if order is None else -order).alias("late"))
-    last = F.max(F.when(F.col("p").isNotNull(), F.struct("p", "late", "more")))
-    out = rows.groupBy("store_slug", "listing").agg(F.count_distinct("p").alias("pages_seen"), last.alias("last")).select("store_slug", "listing", "pages_seen", F.col("last.p").alias("last_page"), "last.more")
+    rows = pages.select("store_slug", listing_url().alias("listing"), page.cast("int").alias("p"), more.alias("more"), (F.lit(0) if order is None else -order).alias("late"))
+    last = F.max(F.when(F.col("p").isNotNull() & F.col("more").isNotNull(), F.struct("p", "late", "more")))
+    out = rows.groupBy("store_slug", "listing").agg(F.count_distinct("p").alias("pages_seen"), F.max("p").alias("last_page"), last["more"].alias("more"))
     return out.select("store_slug", "listing", "pages_seen", "last_page", ((F.col("pages_seen") == F.col("last_page")) & ~F.col("more")).alias("complete"))
 
 
@@ -198,13 +199,19 @@ def with_cards(raw: DataFrame, cards: DataFrame) -> DataFrame:
 
 def pages_complete(pages: DataFrame, declared: Column, page: Column) -> DataFrame:
     """(store_slug, listing, pages_seen, last_page, complete): whether the pages of each listing reach the declared count."""
-    listing = F.regexp_replace("url", r"[?&]page=\d+.*$", "")
-    out = pages.select("store_slug", listing.alias("listing"), page.cast("int").alias("p"), declared.cast("int").alias("d")).groupBy("store_slug", "listing")
+    out = pages.select("store_slug", listing_url().alias("listing"), page.cast("int").alias("p"), declared.cast("int").alias("d")).groupBy("store_slug", "listing")
     return out.agg(F.count_distinct("p").alias("pages_seen"), F.max("d").alias("last_page")).withColumn("complete", F.coalesce(F.col("pages_seen") >= F.col("last_page"), F.lit(False)))
 
 
 def url_page(url: str = "url") -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(url, r"[?&]page=(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
+    """The page's number in its address, 1 where that names none; null without an address."""
+    number = F.regexp_extract(url, r"[?&]page=(\d+)", 1)
+    return F.when(number == "", 1).otherwise(F.nullif(number, F.lit("")).cast("int"))
+
+
+def listing_url(url: str = "url") -> Column:
+    """The address without the page's number and what follows it; a line feed behind that number makes it part of the listing's address."""
+    return F.regexp_replace(url, r"(?d)[?&]page=\d+.*\z", "")
 
 
 def listing_cards(pages: DataFrame, card: str = "product-miniature") -> DataFrame:

@@ -209,6 +209,23 @@ def test_copies_of_the_last_page(spark):
             assert [r["complete"] for r in P.listing_gaps(table, "rel_next").collect()] == [False], more
 
 
+def test_listings_of_odd_pages_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from offerlens.plans import queries as Q
+
+    html = ["x", "xx", None, '<A REL="NEXT" href="/l">x</A>y', '<a rel="nrel="next"ext">z']
+    urls = [(f"https://s.test/a{i}{j}{end}", x) for i, first in enumerate(html) for j, x in enumerate(html) for end, x in (("", first), ("?page=2", x), ("?page=2&x=1", first))]
+    urls += [(u, x) for u in (None, "", "https://s.test/e?page=", "https://s.test/f?page=2\n", "https://s.test/g?page=2\rz") for x in ("x", "xx")]
+    rows = [(i, *x) for i, x in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute("SET threads = 1")  # of copies of a page the first one counts, which several threads leave open
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet') ORDER BY page_id")
+    want = con.execute(Q.SQL["listing_gaps"]).fetchall()
+    assert sorted(map(tuple, Q.QUERIES["listing_gaps"](spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_sitemap_files(spark, tmp_path):
     from offerlens.sources import schema as S
 
