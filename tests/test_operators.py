@@ -304,6 +304,23 @@ def test_overlap_in_parts(spark, monkeypatch):
         assert all(abs(x[2] - y[2]) < 1e-9 and abs(x[3] - y[3]) < 1e-12 for x, y in zip(*got, strict=True))
 
 
+def test_parts_are_not_shuffled_once_for_each_other(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "PART_ITEMS", 7)
+    monkeypatch.setattr(overlap, "MEETINGS", 0)
+    rows = [(i % 60, f"k{(i * i + i // 60) % 9}", float(1 + i * 7 % 11)) for i in range(300)]
+    vecs = spark.createDataFrame(rows, "item long, key string, weight double").groupBy("item", "key").agg(F.max("weight").alias("weight"))
+    got = []
+    for groups in (2, 128):  # several parts in a group, and one
+        monkeypatch.setattr(overlap, "GROUPS", groups, raising=False)
+        pairs = overlap.similar_pairs(vecs, 0.72, with_shared=False)
+        assert "Generate" not in pairs._jdf.queryExecution().executedPlan().toString()
+        got.append(sorted((r["a"], r["b"], round(r["cosine"], 9)) for r in pairs.collect()))
+    x = vecs.alias("x").join(vecs.alias("y"), F.expr("x.key = y.key AND x.item < y.item")).groupBy(F.col("x.item").alias("a"), F.col("y.item").alias("b")).agg(F.sum(F.expr("x.weight * y.weight")).alias("dot"))
+    n = {r["item"]: r["n"] for r in vecs.groupBy("item").agg(F.sqrt(F.sum(F.expr("weight * weight"))).alias("n")).collect()}
+    want = sorted((r["a"], r["b"], round(r["dot"] / (n[r["a"]] * n[r["b"]]), 9)) for r in x.collect() if r["dot"] / (n[r["a"]] * n[r["b"]]) >= 0.72)
+    assert got == [want, want] and len(want) > 20
+
+
 def test_titles_with_brands(spark):
     from offerlens.operators.matching import titles_with_brands
 
